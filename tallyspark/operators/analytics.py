@@ -105,7 +105,7 @@ def budget_variance(budgets: DataFrame, categories: DataFrame, ledger: DataFrame
 def runway_days():
     """Balance over burn; NULL without burn."""
     burn = F.col("avg_daily_burn").cast("double")
-    return F.when(burn > 0, F.round(F.col("current_balance").cast("double") / burn, 6))
+    return F.when(burn > 0, F.col("current_balance").cast("double") / F.nullif(burn, F.lit(0.0)))
 
 
 def runway(health: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tallyspark import schemas
 from tallyspark.operators import forest_kernel as kernel
 from tallyspark.operators.joins import attach_group_stats, join_dimension
-from tallyspark.session import materialize
+from tallyspark.session import materialize, wide
 
 FEATURES = ["amount", "z_amount", "same_day", "day_of_week", "day_of_month"]
 SCORE_UNIT = 1_000_000_000
@@ -97,6 +97,20 @@ class ForestModel:
         return rows.withColumn("raw_score", F.round(scorer("vector"), 9))
 
 
+def describe(spark, model: ForestModel) -> DataFrame:
+    """One row per tree: nodes used and deepest path."""
+    feature, threshold, left, right, depth = model.packed
+    rows = []
+    for t in range(len(feature)):
+        reached, frontier, levels = {0}, [0], 0
+        while frontier:
+            frontier = [c for n in frontier for c in (int(left[t][n]), int(right[t][n])) if c not in reached]
+            reached.update(frontier)
+            levels += bool(frontier)
+        rows.append((t, len(reached), levels))
+    return spark.createDataFrame(rows, "tree long, nodes long, levels long")
+
+
 def sample_for_trees(featured: DataFrame, n_rows: int, trees: int = schemas.FOREST_TREES,
                      sample: int = schemas.FOREST_SAMPLE, seed: int = schemas.SEED) -> DataFrame:
     """At most `sample` rows for each tree, drawn by hashes of the transaction id.
@@ -147,6 +161,7 @@ def fit_forest(featured: DataFrame, trees: int = schemas.FOREST_TREES, sample: i
 
     grown = (
         sample_for_trees(featured, n_rows, trees, sample, seed)
+        .repartition(min(trees, wide(featured.sparkSession)), "tree")
         .groupBy("tree").applyInPandas(
             build, "tree int, n int, feature array<int>, threshold array<double>, "
                    "left array<int>, right array<int>, depth array<double>")

@@ -32,62 +32,109 @@ class Booster:
 
 
 def fit(x, y, n_trees, depth, rate):
-    """Boosted trees of a fixed depth on rows `x` and targets `y`."""
+    """Boosted trees of a fixed depth on rows `x` and targets `y`.
+
+    Every distinct value of a feature is a bin, so the search over bins is
+    exact. A whole level is searched at once. Running counts and sums over the
+    bins are gathered for the smaller child of each node only; the larger
+    one's are the parent's minus those.
+    """
     x = np.ascontiguousarray(x, dtype=float)
     y = np.asarray(y, dtype=float)
-    # Row order of every feature, found once and only split afterwards.
-    order = np.argsort(x, axis=0, kind="stable").T
-    sorted_x = np.take_along_axis(x.T, order, axis=1)
+    n = len(x)
+    bins = _Bins(x)
     inner, leaves = 2**depth - 1, 2**depth
     feature = np.zeros((n_trees, inner), dtype=np.int64)
     threshold = np.full((n_trees, inner), np.inf)
     value = np.zeros((n_trees, leaves))
     start = float(y.mean())
-    fitted = np.full(len(y), start)
+    fitted = np.full(n, start)
+    everyone, one_node = np.arange(n), np.zeros(n, dtype=np.int64)
+    root_counts = bins.running(everyone, one_node, 1)
     for t in range(n_trees):
         residual = y - fitted
-        level = [(0, order, sorted_x)]
-        for _ in range(depth):
-            level = _grow_level(level, residual, x, feature[t], threshold[t])
-        for node, members, _ in level:
-            if members.shape[1]:
-                rows = members[0]
-                mean = float(residual[rows].mean())
-                value[t, node - inner] = mean
-                fitted[rows] += rate * mean
+        node = one_node
+        counts, sums = root_counts, bins.running(everyone, one_node, 1, residual)
+        for d in range(depth):
+            width = 2**d
+            f, code, cut = bins.best_splits(counts, sums)
+            feature[t, width - 1 : 2 * width - 1] = f
+            threshold[t, width - 1 : 2 * width - 1] = cut
+            goes_right = bins.code[everyone, f[node]] > code[node]
+            child = 2 * node + goes_right
+            if d < depth - 1:
+                sizes = np.bincount(child, minlength=2 * width).reshape(width, 2)
+                small_side = np.argmin(sizes, axis=1)
+                rows = np.flatnonzero(goes_right == small_side[node])
+                few = bins.running(rows, node[rows], width)
+                few_sum = bins.running(rows, node[rows], width, residual)
+                counts = _children(counts, few, small_side)
+                sums = _children(sums, few_sum, small_side)
+            node = child
+        members = np.bincount(node, minlength=leaves)
+        value[t] = np.bincount(node, weights=residual, minlength=leaves) / np.maximum(members, 1)
+        fitted = fitted + rate * value[t][node]
     return Booster(start, rate, feature, threshold, value)
 
 
-def _grow_level(level, residual, x, feature, threshold):
-    below = []
-    for node, members, values in level:
-        split = _best_split(members, values, residual)
-        if split is None:
-            # An unsplit node sends all its rows left; the right side stays empty.
-            below.append((2 * node + 1, members, values))
-            below.append((2 * node + 2, members[:, :0], values[:, :0]))
-            continue
-        feature[node], threshold[node] = split
-        goes_left = (x[:, split[0]] <= split[1])[members]
-        width = len(members)
-        below.append((2 * node + 1, members[goes_left].reshape(width, -1), values[goes_left].reshape(width, -1)))
-        below.append((2 * node + 2, members[~goes_left].reshape(width, -1), values[~goes_left].reshape(width, -1)))
-    return below
-
-
-def _best_split(members, values, residual):
-    n = members.shape[1]
-    if n < 2:
-        return None
-    running = np.cumsum(residual[members], axis=1)
-    total = running[:, -1:]
-    left_n = np.arange(1, n)
-    left_sum = running[:, :-1]
-    # Squared distance of the two means, weighted by both sizes.
-    gain = (left_sum * n - total * left_n) ** 2 / (left_n * (n - left_n))
-    gain[values[:, 1:] <= values[:, :-1]] = -1.0
-    best = int(np.argmax(gain))
-    f, i = divmod(best, n - 1)
-    if gain[f, i] <= 1e-12:
-        return None
-    return f, 0.5 * (values[f, i] + values[f, i + 1])
+def _children(parent, small, small_side):
+    """Statistics of both children of every node, left before right."""
+    both = np.empty((2 * len(parent), parent.shape[1]), dtype=parent.dtype)
+    nodes = 2 * np.arange(len(parent))
+    both[nodes + small_side] = small
+    both[nodes + 1 - small_side] = parent - small
+    return both
+
+
+class _Bins:
+    """The distinct values of every feature, end to end, and each row's place among them."""
+
+    def __init__(self, x):
+        found = [np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])]
+        self.values = np.concatenate([v for v, _ in found])
+        self.spans = np.array([len(v) for v, _ in found])
+        self.starts = np.concatenate([[0], np.cumsum(self.spans)])
+        self.size = int(self.starts[-1])
+        self.code = np.column_stack([inverse for _, inverse in found])
+        self.flat = self.code + self.starts[:-1]
+
+    def running(self, rows, node, n_nodes, residual=None):
+        """Per node and bin, the count (or sum of residuals) of its rows up to the bin's value."""
+        places = (self.flat[rows] + (node * self.size)[:, None]).ravel()
+        weights = None if residual is None else np.repeat(residual[rows], len(self.spans))
+        per_bin = np.bincount(places, weights=weights, minlength=n_nodes * self.size)
+        total = np.cumsum(per_bin.reshape(n_nodes, self.size), axis=1)
+        before = total[:, self.starts[1:-1] - 1]
+        total[:, self.starts[1] :] -= np.repeat(before, self.spans[1:], axis=1)
+        return total
+
+    def best_splits(self, left_n, left_sum):
+        """(feature, last code on the left, threshold) for every node.
+
+        A node without a useful split gets an infinite threshold and the first
+        feature's last code, which sends all its rows left.
+        """
+        last = self.starts[1] - 1
+        n, total = left_n[:, last, None], left_sum[:, last, None]
+        sizes = left_n * (n - left_n)
+        # Squared distance of the two means, weighted by both sizes.
+        gain = left_sum * n
+        gain -= total * left_n
+        gain *= gain
+        gain /= np.maximum(sizes, 1)
+        gain[sizes == 0] = -1.0
+        place = np.argmax(gain, axis=1)
+        f = np.searchsorted(self.starts, place, side="right") - 1
+        code = place - self.starts[f]
+        cut = np.empty(len(place))
+        for k, at in enumerate(place):
+            if gain[k, at] <= 1e-12:
+                f[k], code[k], cut[k] = 0, last, np.inf
+                continue
+            begin, end = self.starts[f[k]], self.starts[f[k] + 1]
+            seen = left_n[k, begin:end]
+            # Values the node really has on both sides of the cut.
+            below = begin + np.searchsorted(seen, seen[code[k]], side="left")
+            above = begin + np.searchsorted(seen, seen[code[k]], side="right")
+            cut[k] = 0.5 * (self.values[below] + self.values[above])
+        return f, code, cut

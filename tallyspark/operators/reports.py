@@ -189,8 +189,8 @@ def _consequences(picked: DataFrame) -> DataFrame:
     return picked.select(
         "account_id", "position", "category_name", "action",
         savings.alias("monthly_savings"),
-        F.round(old_runway, 6).alias("old_runway"),
-        F.round(new_runway, 6).alias("new_runway"),
+        old_runway.alias("old_runway"),
+        new_runway.alias("new_runway"),
         F.when(~meaningful, F.when(balance <= 0, "not meaningful with a negative balance")
                .otherwise("no burn detected")).alias("runway_na_reason"),
         F.when(meaningful & new_runway.isNull(), "no longer burning cash")

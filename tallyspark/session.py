@@ -43,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def wide(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row, which size-based coalescing would squeeze into few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tallyspark/{label}-{uuid.uuid4().hex}"

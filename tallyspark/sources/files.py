@@ -11,12 +11,12 @@ CORRUPT = "_corrupt_record"
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV file with a header, every column text.
+    """A CSV file with a header, every column text, blank where a field is empty.
 
     Rows with too few or too many fields keep their text in `_corrupt_record`.
     """
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    return (
+    rows = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
@@ -25,6 +25,8 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
         .schema(with_corrupt)
         .csv(path)
     )
+    # Spark reads an empty field as NULL; here NULL would hide a blank flag or date.
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in schema.names], CORRUPT)
 
 
 def read_accounts_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -60,15 +62,15 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def land_raw(tables: dict[str, DataFrame], out_dir: str) -> list[str]:
-    """Replace the raw zone: every table stamped and written, empty input skipped."""
-    landed = []
+def land_raw(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
+    """Replace the raw zone, every row stamped; a feed without rows leaves an empty table.
+
+    Returns the path of each table.
+    """
+    paths = {name: f"{out_dir}/raw_{name}" for name in tables}
     for name, df in tables.items():
-        if df.isEmpty():
-            continue
-        replace_table(stamp_loaded_at(df), f"{out_dir}/raw_{name}")
-        landed.append(name)
-    return landed
+        replace_table(stamp_loaded_at(df), paths[name])
+    return paths
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
