@@ -5,7 +5,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -97,18 +97,15 @@ class ForestModel:
         return rows.withColumn("raw_score", F.round(scorer("vector"), 9))
 
 
-def describe(spark, model: ForestModel) -> DataFrame:
-    """One row per tree: nodes used and deepest path."""
-    feature, threshold, left, right, depth = model.packed
+def describe(spark: SparkSession, model: ForestModel) -> DataFrame:
+    """One row per tree: its nodes, its leaves and the mean path length at its leaves."""
+    _, threshold, _, depth, roots = model.packed
+    ends = [*roots[1:], len(depth)]
     rows = []
-    for t in range(len(feature)):
-        reached, frontier, levels = {0}, [0], 0
-        while frontier:
-            frontier = [c for n in frontier for c in (int(left[t][n]), int(right[t][n])) if c not in reached]
-            reached.update(frontier)
-            levels += bool(frontier)
-        rows.append((t, len(reached), levels))
-    return spark.createDataFrame(rows, "tree long, nodes long, levels long")
+    for t, (begin, end) in enumerate(zip(roots, ends)):
+        leaves = np.isinf(threshold[begin:end])
+        rows.append((t, int(end - begin), int(leaves.sum()), float(depth[begin:end][leaves].mean())))
+    return spark.createDataFrame(rows, "tree long, nodes long, leaves long, mean_depth double")
 
 
 def sample_for_trees(featured: DataFrame, n_rows: int, trees: int = schemas.FOREST_TREES,
@@ -156,7 +153,7 @@ def fit_forest(featured: DataFrame, trees: int = schemas.FOREST_TREES, sample: i
         nodes = kernel.grow_tree(np.stack(pdf["vector"].to_numpy()).astype(float), [seed, tree])
         return pd.DataFrame({
             "tree": [tree], "n": [len(pdf)], "feature": [nodes[0]], "threshold": [nodes[1]],
-            "left": [nodes[2]], "right": [nodes[3]], "depth": [nodes[4]],
+            "left": [nodes[2]], "depth": [nodes[3]],
         })
 
     grown = (
@@ -164,10 +161,10 @@ def fit_forest(featured: DataFrame, trees: int = schemas.FOREST_TREES, sample: i
         .repartition(min(trees, wide(featured.sparkSession)), "tree")
         .groupBy("tree").applyInPandas(
             build, "tree int, n int, feature array<int>, threshold array<double>, "
-                   "left array<int>, right array<int>, depth array<double>")
+                   "left array<int>, depth array<double>")
         .toPandas().sort_values("tree")
     )
-    packed = kernel.pack([tuple(row) for row in grown[["feature", "threshold", "left", "right", "depth"]].to_numpy()])
+    packed = kernel.pack([tuple(row) for row in grown[["feature", "threshold", "left", "depth"]].to_numpy()])
     return ForestModel(packed, int(grown["n"].max()))
 
 

@@ -27,21 +27,17 @@ def mean_path_length(n):
 def grow_tree(sample, seed):
     """One random tree over `sample` (rows by features), as flat node arrays.
 
-    Returns (feature, threshold, left, right, depth): feature is -1 at a leaf,
-    where depth holds the path length with the leaf's own size accounted for.
+    Returns (feature, threshold, left, depth). The right child follows the
+    left one. At a leaf `left` is -1, and depth holds the path length with the
+    leaf's own size accounted for.
     """
     rng = np.random.default_rng(seed)
     limit = int(np.ceil(np.log2(max(len(sample), 2))))
-    feature, threshold, left, right, depth = [], [], [], [], []
-    pending = [(sample, 0, None, None)]
+    feature, threshold, left, depth = [0], [0.0], [-1], [0.0]
+    pending = [(0, sample, 0)]
     while pending:
-        rows, level, parent, side = pending.pop()
-        node = len(feature)
-        if parent is not None:
-            (left if side == 0 else right)[parent] = node
-        for column, value in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1)):
-            column.append(value)
-        depth.append(level + float(mean_path_length(len(rows))))
+        node, rows, level = pending.pop()
+        depth[node] = level + float(mean_path_length(len(rows)))
         if level >= limit or len(rows) <= 1:
             continue
         low, high = rows.min(axis=0), rows.max(axis=0)
@@ -53,40 +49,45 @@ def grow_tree(sample, seed):
         goes_left = rows[:, chosen] <= cut
         if goes_left.all():
             continue
-        feature[node], threshold[node] = chosen, cut
-        pending.append((rows[~goes_left], level + 1, node, 1))
-        pending.append((rows[goes_left], level + 1, node, 0))
-    return feature, threshold, left, right, depth
+        first = len(feature)
+        feature[node], threshold[node], left[node] = chosen, cut, first
+        for column, value in ((feature, 0), (threshold, 0.0), (left, -1), (depth, 0.0)):
+            column.extend([value, value])
+        pending.append((first + 1, rows[~goes_left], level + 1))
+        pending.append((first, rows[goes_left], level + 1))
+    return feature, threshold, left, depth
 
 
 def pack(trees):
-    """Trees of different sizes as padded arrays, one row per tree."""
-    width = max(len(t[0]) for t in trees)
+    """All trees end to end: (feature, threshold, left, depth, roots).
 
-    def stack(position, kind):
-        out = np.zeros((len(trees), width), dtype=kind)
-        for i, tree in enumerate(trees):
-            out[i, : len(tree[position])] = tree[position]
-        return out
-
-    feature = stack(0, np.int32)
-    leaf = feature < 0
-    own = np.arange(width, dtype=np.int32)
-    # A leaf points at itself, so every row can take the same number of steps.
-    left = np.where(leaf, own, stack(2, np.int32))
-    right = np.where(leaf, own, stack(3, np.int32))
-    return np.maximum(feature, 0), stack(1, float), left, right, stack(4, float)
-
-
-def path_lengths(packed, points, steps):
-    """Mean path length of every point over all trees."""
-    feature, threshold, left, right, depth = packed
-    rows = np.arange(len(points))
-    total = np.zeros(len(points))
-    for t in range(len(feature)):
-        node = np.zeros(len(points), dtype=np.int32)
+    A leaf points at itself and sends everything left, so every row can take
+    the same number of steps.
+    """
+    sizes = [len(t[0]) for t in trees]
+    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    shift = np.repeat(roots, sizes)
+    feature = np.concatenate([t[0] for t in trees]).astype(np.int64)
+    threshold = np.concatenate([t[1] for t in trees]).astype(float)
+    local = np.concatenate([t[2] for t in trees]).astype(np.int64)
+    depth = np.concatenate([t[3] for t in trees]).astype(float)
+    leaf = local < 0
+    left = np.where(leaf, np.arange(len(local)), local + shift)
+    return feature, np.where(leaf, np.inf, threshold), left, depth, roots
+
+
+def path_lengths(packed, points, steps, chunk=128):
+    """Mean path length of every point over all trees, some points at a time to stay in cache."""
+    feature, threshold, left, depth, roots = packed
+    width = points.shape[1]
+    means = np.empty(len(points))
+    for begin in range(0, len(points), chunk):
+        part = np.ascontiguousarray(points[begin : begin + chunk], dtype=float)
+        values = part.ravel()
+        base = (np.arange(len(part)) * width)[:, None]
+        node = np.broadcast_to(roots, (len(part), len(roots)))
         for _ in range(steps):
-            goes_left = points[rows, feature[t][node]] <= threshold[t][node]
-            node = np.where(goes_left, left[t][node], right[t][node])
-        total += depth[t][node]
-    return total / len(feature)
+            goes_right = values.take(base + feature.take(node)) > threshold.take(node)
+            node = left.take(node) + goes_right
+        means[begin : begin + chunk] = depth.take(node).mean(axis=1)
+    return means
