@@ -1,0 +1,144 @@
+"""Daily series, features, booster and forecasts."""
+
+import datetime as dt
+from decimal import Decimal
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.operators import booster_kernel, forecast
+
+
+def series(spark, flows, account=1, start=dt.date(2026, 1, 1)):
+    rows = [(account, start + dt.timedelta(days=i), Decimal(f"{v:.2f}")) for i, v in enumerate(flows)]
+    return spark.createDataFrame(rows, "account_id long, txn_date date, net_flow decimal(12,2)")
+
+
+def balances(spark, amount, account=1):
+    return spark.createDataFrame([(account, Decimal(str(amount)))], "account_id long, current_balance decimal(22,2)")
+
+
+def noise(seed, scale, n):
+    return np.random.default_rng(seed).normal(0, scale, n)
+
+
+def test_gaps_are_filled_with_zero(spark):
+    days = [dt.date(2026, 1, d) for d in (1, 4, 5)]
+    rows = spark.createDataFrame([(1, d, Decimal("5.00")) for d in days], "account_id long, txn_date date, net_flow decimal(12,2)")
+    dense = forecast.densify(rows).orderBy("txn_date").collect()
+    assert [(r.txn_date.day, float(r.net_flow)) for r in dense] == [(1, 5), (2, 0), (3, 0), (4, 5), (5, 5)]
+
+
+def test_lag_frame_drops_exactly_seven_rows(spark):
+    flows = noise(42, 100, 30)
+    rows = forecast.feature_rows(series(spark, flows)).orderBy("txn_date").collect()
+    assert len(rows) == 23
+    assert all(r[c] is not None for r in rows for c in forecast.FEATURES)
+    assert float(rows[0].lag_1) == pytest.approx(round(flows[6], 2))
+    assert rows[0].rolling_mean_7 == pytest.approx(np.mean([round(v, 2) for v in flows[:7]]))
+
+
+@pytest.mark.parametrize("days, kept", [(51, 0), (52, 45)])
+def test_minimum_history(spark, days, kept):
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(1, 50, days))))
+    assert split.count() == kept
+    if kept:
+        assert split.filter("is_train").count() == 38
+        train_end = split.filter("is_train").agg(F.max("txn_date")).first()[0]
+        assert train_end < split.filter("not is_train").agg(F.min("txn_date")).first()[0]
+
+
+def test_accounts_without_history_are_reported(spark):
+    accounts = spark.createDataFrame([(1,), (2,)], "account_id long")
+    featured = forecast.feature_rows(series(spark, noise(1, 50, 10)))
+    assert {r.account_id: r.n_rows for r in forecast.skipped_accounts(accounts, featured).collect()} == {1: 3, 2: 0}
+
+
+def test_backtest_reports_both_errors(spark):
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(7, 150, 120))))
+    row = forecast.metrics(forecast.fit_and_forecast(split), split).first()
+    assert row.mae_model >= 0 and row.mae_naive >= 0 and row.better == (row.mae_model < row.mae_naive)
+
+
+def test_forecast_has_horizon_days_and_a_running_balance(spark):
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(3, 50, 60))))
+    fitted = forecast.fit_and_forecast(split)
+    rows = forecast.forecast_table(fitted, balances(spark, 1000)).orderBy("forecast_date").collect()
+    flows = [r.predicted_net_flow for r in fitted.filter("step > 0").orderBy("step").collect()]
+    assert len({r.forecast_date for r in rows}) == 30
+    assert rows[0].forecast_date == dt.date(2026, 3, 2)
+    assert float(rows[-1].predicted_balance) == pytest.approx(1000 + sum(flows), abs=0.006)
+
+
+def test_recursion_feeds_predictions_back(spark):
+    """The same 30 steps, written as a plain loop over the kernel."""
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(3, 50, 60))))
+    got = [r.predicted_net_flow for r in forecast.fit_and_forecast(split).filter("step > 0").orderBy("step").collect()]
+    rows = split.orderBy("txn_date").collect()
+    x = np.array([[float(r[c]) for c in forecast.FEATURES] for r in rows])
+    y = [float(r.net_flow) for r in rows]
+    model = booster_kernel.fit(x, np.array(y), 150, 3, 0.05)
+    history, last = list(y), rows[-1].txn_date
+    for k in range(1, 31):
+        day = last + dt.timedelta(days=k)
+        row = [history[-i] for i in range(1, 8)] + [day.weekday(), day.day, np.mean(history[-7:])]
+        history.append(float(model.predict(np.array([row]))[0]))
+    assert got == pytest.approx(history[-30:], abs=1e-9)
+
+
+def test_one_account_does_not_affect_another(spark):
+    one, two = series(spark, noise(3, 50, 60)), series(spark, noise(4, 500, 80), account=2)
+    alone = forecast.fit_and_forecast(forecast.with_split(forecast.feature_rows(one)))
+    both = forecast.fit_and_forecast(forecast.with_split(forecast.feature_rows(one.unionByName(two))))
+    pick = lambda df: [r.predicted_net_flow for r in df.filter("account_id = 1").orderBy("step").collect()]
+    assert pick(alone) == pick(both)
+
+
+def test_seasonal_naive_repeats_the_last_week(spark):
+    rows = forecast.seasonal_naive(series(spark, range(20)), balances(spark, 100)).orderBy("forecast_date").collect()
+    assert [float(r.predicted_net_flow) for r in rows[:9]] == [13, 14, 15, 16, 17, 18, 19, 13, 14]
+    assert len(rows) == 30 and float(rows[1].predicted_balance) == 127
+
+
+def best_tree_by_search(x, y, depth):
+    """Squared error of a greedy tree found by trying every cut of every feature."""
+    if depth == 0 or len(y) < 2:
+        return ((y - y.mean()) ** 2).sum()
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for cut in (values[1:] + values[:-1]) / 2:
+            left = x[:, f] <= cut
+            error = sum(((y[s] - y[s].mean()) ** 2).sum() for s in (left, ~left))
+            if best is None or error < best[0] - 1e-9:
+                best = (error, left)
+    if best is None or best[0] >= ((y - y.mean()) ** 2).sum() - 1e-9:
+        return ((y - y.mean()) ** 2).sum()
+    return sum(best_tree_by_search(x[s], y[s], depth - 1) for s in (best[1], ~best[1]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_splits_are_the_best_ones(seed):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=40).round(1), rng.integers(0, 4, 40), rng.normal(size=40)])
+    y = x[:, 0] + 3 * (x[:, 1] > 2) + rng.normal(0, 0.2, 40)
+    for depth in (1, 2, 3):
+        model = booster_kernel.fit(x, y, 1, depth, 1.0)
+        error = ((y - model.predict(x)) ** 2).sum()
+        assert error == pytest.approx(best_tree_by_search(x, y, depth), rel=1e-9)
+
+
+def test_boosting_beats_the_mean_and_repeats():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 3))
+    y = x[:, 0] ** 2 + x[:, 1]
+    a, b = booster_kernel.fit(x, y, 150, 3, 0.05), booster_kernel.fit(x, y, 150, 3, 0.05)
+    assert np.array_equal(a.predict(x), b.predict(x))
+    assert np.abs(y - a.predict(x)).mean() < np.abs(y - y.mean()).mean() / 3
+
+
+def test_constant_series_predicts_itself():
+    x = np.ones((50, 2))
+    model = booster_kernel.fit(x, np.full(50, 7.0), 20, 3, 0.05)
+    assert model.predict(x).tolist() == [7.0] * 50
