@@ -13,7 +13,13 @@ def amount_if(txn_type: str, amount="amount") -> Column:
     return F.when(F.col("txn_type") == txn_type, F.col(amount)).otherwise(F.lit(0).cast("decimal(12,2)"))
 
 
-def month_of(date="txn_date") -> Column:
+def month_start(date="txn_date") -> Column:
+    """First day of the month: the cheap form to group by."""
+    return F.trunc(F.col(date), "MM")
+
+
+def month_text(date) -> Column:
+    """`yyyy-MM`, for results; formatting every input row would cost more than the aggregate."""
     return F.date_format(F.col(date), "yyyy-MM")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.operators.marts import spend_by_month
+from tallyspark.operators.marts import actual_by_category
 
 
 def account_list(accounts: DataFrame) -> DataFrame:
@@ -89,10 +89,10 @@ def review_flags(flags: DataFrame, ledger: DataFrame, accounts: DataFrame, n: in
     )
 
 
-def budget_variance(budgets: DataFrame, categories: DataFrame, ledger: DataFrame) -> DataFrame:
+def budget_variance(budgets: DataFrame, categories: DataFrame, spend: DataFrame) -> DataFrame:
     known = budgets.join(categories.select("category_name"), "category_name")
     return (
-        known.join(spend_by_month(ledger), ["account_id", "month", "category_name"], "left")
+        known.join(actual_by_category(spend), ["account_id", "month", "category_name"], "left")
         .withColumn("actual_amount", F.coalesce("actual_amount", F.lit(0).cast("decimal(12,2)")))
         .select(
             "account_id", "month", "category_name", "budgeted_amount", "actual_amount",

@@ -50,11 +50,12 @@ def fit(x, y, n_trees, depth, rate):
     start = float(y.mean())
     fitted = np.full(n, start)
     everyone, one_node = np.arange(n), np.zeros(n, dtype=np.int64)
-    root_counts = bins.running(everyone, one_node, 1)
+    root_places = bins.flat.ravel()
+    root_counts = bins.running(root_places, 1)
     for t in range(n_trees):
         residual = y - fitted
         node = one_node
-        counts, sums = root_counts, bins.running(everyone, one_node, 1, residual)
+        counts, sums = root_counts, bins.running(root_places, 1, residual)
         for d in range(depth):
             width = 2**d
             f, code, cut = bins.best_splits(counts, sums)
@@ -66,10 +67,9 @@ def fit(x, y, n_trees, depth, rate):
                 sizes = np.bincount(child, minlength=2 * width).reshape(width, 2)
                 small_side = np.argmin(sizes, axis=1)
                 rows = np.flatnonzero(goes_right == small_side[node])
-                few = bins.running(rows, node[rows], width)
-                few_sum = bins.running(rows, node[rows], width, residual)
-                counts = _children(counts, few, small_side)
-                sums = _children(sums, few_sum, small_side)
+                places = (bins.flat[rows] + (node[rows] * bins.size)[:, None]).ravel()
+                counts = _children(counts, bins.running(places, width), small_side)
+                sums = _children(sums, bins.running(places, width, residual[rows]), small_side)
             node = child
         members = np.bincount(node, minlength=leaves)
         value[t] = np.bincount(node, weights=residual, minlength=leaves) / np.maximum(members, 1)
@@ -98,14 +98,15 @@ class _Bins:
         self.code = np.column_stack([inverse for _, inverse in found])
         self.flat = self.code + self.starts[:-1]
 
-    def running(self, rows, node, n_nodes, residual=None):
-        """Per node and bin, the count (or sum of residuals) of its rows up to the bin's value."""
-        places = (self.flat[rows] + (node * self.size)[:, None]).ravel()
-        weights = None if residual is None else np.repeat(residual[rows], len(self.spans))
-        per_bin = np.bincount(places, weights=weights, minlength=n_nodes * self.size)
-        total = np.cumsum(per_bin.reshape(n_nodes, self.size), axis=1)
-        before = total[:, self.starts[1:-1] - 1]
-        total[:, self.starts[1] :] -= np.repeat(before, self.spans[1:], axis=1)
+    def running(self, places, n_nodes, residual=None):
+        """Per node and bin, the count (or sum of residuals) of rows up to the bin's value.
+
+        `places` holds every row's bins, offset by its node.
+        """
+        weights = None if residual is None else np.repeat(residual, len(self.spans))
+        total = np.bincount(places, weights=weights, minlength=n_nodes * self.size)
+        total = np.cumsum(total.reshape(n_nodes, self.size), axis=1)
+        total[:, self.starts[1] :] -= np.repeat(total[:, self.starts[1:-1] - 1], self.spans[1:], axis=1)
         return total
 
     def best_splits(self, left_n, left_sum):

@@ -90,19 +90,26 @@ def naive_mae(split: DataFrame) -> DataFrame:
         (F.sum(error).cast("double") / F.count("*")).alias("mae_naive"))
 
 
-def seasonal_naive(dense: DataFrame, balances: DataFrame, horizon: int = schemas.HORIZON) -> DataFrame:
+def seasonal_naive(daily: DataFrame, balances: DataFrame, horizon: int = schemas.HORIZON) -> DataFrame:
     """The naive model carried forward: day k repeats the day seven earlier.
 
-    Each of the last seven days is written to all later days of its weekday,
-    so nothing is sorted or joined by day.
+    Works on the sparse daily rows: only an account's last seven days matter,
+    and each of them without a row is 0. Days before the account's first row
+    have no value to repeat.
     """
-    by_age = Window.partitionBy("account_id").orderBy(F.desc("txn_date"))
-    week = dense.withColumn("age", F.row_number().over(by_age)).filter(F.col("age") <= schemas.LAGS)
-    last = F.max("txn_date").over(Window.partitionBy("account_id"))
-    steps = F.filter(F.sequence(F.lit(1), F.lit(horizon)),
-                     lambda k: (k - 1) % schemas.LAGS == schemas.LAGS - F.col("age"))
-    flows = week.withColumn("last", last).select(
-        "account_id", "last", F.col("net_flow").alias("predicted_net_flow"), F.explode(steps).alias("step"))
+    by_account = Window.partitionBy("account_id")
+    spanned = daily.withColumns({
+        "first": F.min("txn_date").over(by_account), "last": F.max("txn_date").over(by_account)})
+    age = F.date_diff("last", "txn_date")
+    week = spanned.filter(age < schemas.LAGS).groupBy("account_id", "first", "last").agg(
+        F.array(*[F.coalesce(F.sum(F.when(age == a, F.col("net_flow"))), F.lit(0).cast("decimal(12,2)"))
+                  for a in range(schemas.LAGS)]).alias("by_age"))
+    back = (schemas.LAGS - 1) - (F.col("step") - 1) % schemas.LAGS
+    flows = (
+        week.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        .filter(back <= F.date_diff("last", "first"))
+        .select("account_id", "last", "step", F.col("by_age")[back].alias("predicted_net_flow"))
+    )
     return _with_balance(flows, balances)
 
 

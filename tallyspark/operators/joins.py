@@ -54,13 +54,15 @@ def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str], weigh
     return merged.select(*rows.columns, *[picked[v].alias(v) for v in values])
 
 
-def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int, row_id: str) -> DataFrame:
-    """The first `k` rows of every group.
+def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first `k` rows of every group; `order` must be total.
 
-    Each group is first cut to `k` rows in each of SPREAD slices, so no task
-    sees more than SPREAD * k rows of a hot group when the slices are merged.
+    Every input partition keeps `k` rows of a group before anything is
+    shuffled. What is left of a group over all partitions is cut again in
+    SPREAD slices of partitions, so the last step sees at most SPREAD * k rows
+    of a hot group. Which slice a row falls in does not change the result.
     """
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(row_id), F.lit(SPREAD)))
+    sliced = rows.withColumn("_slice", F.spark_partition_id() % SPREAD)
     in_slice = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
     in_group = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (

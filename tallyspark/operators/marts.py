@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions.columns import amount_if, cents, cents_mean, month_of, signed
+from tallyspark.functions.columns import amount_if, cents, cents_mean, month_start, month_text, signed
 from tallyspark.operators.joins import join_dimension
 from tallyspark.schemas import BUDGETABLE_GROUPS
 
+TOTAL = "decimal(22,2)"
 BURN_WINDOW_DAYS = 30
 BUDGET_MONTHS = 6
 
@@ -23,26 +24,42 @@ def fct_transactions(transactions: DataFrame, categories: DataFrame) -> DataFram
 
 
 def monthly_cashflow(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("account_id", month_of().alias("month")).agg(
-        F.sum(amount_if("credit")).alias("total_income"),
-        F.sum(amount_if("debit")).alias("total_expense"),
-        F.sum(signed()).alias("net_flow"),
+    return _monthly(ledger, amount_if("credit"), amount_if("debit"), signed())
+
+
+def monthly_from_daily(daily: DataFrame) -> DataFrame:
+    """The same mart from stored daily totals, without another pass over the ledger."""
+    return _monthly(daily, F.col("income"), F.col("expense"), F.col("net_flow"))
+
+
+def _monthly(rows, income, expense, net):
+    totals = rows.groupBy("account_id", month_start().alias("_month")).agg(
+        F.sum(income).cast(TOTAL).alias("total_income"),
+        F.sum(expense).cast(TOTAL).alias("total_expense"),
+        F.sum(net).cast(TOTAL).alias("net_flow"),
     )
+    return totals.select(
+        "account_id", month_text("_month").alias("month"), "total_income", "total_expense", "net_flow")
 
 
 def category_spend_monthly(fct: DataFrame) -> DataFrame:
     """Debit spend; an unknown category stays as a group of its own."""
-    return (
+    totals = (
         fct.filter(F.col("txn_type") == "debit")
-        .groupBy("account_id", month_of().alias("month"), "category_name", "category_group")
+        .groupBy("account_id", month_start().alias("_month"), "category_name", "category_group")
         .agg(F.sum("amount").alias("total_amount"), F.count("*").alias("txn_count"))
     )
+    return totals.select(
+        "account_id", month_text("_month").alias("month"), "category_name", "category_group",
+        "total_amount", "txn_count")
 
 
 def daily_movement(ledger: DataFrame) -> DataFrame:
-    """Net and debit amount per account and day: the grain that bounds every per-account window."""
+    """Totals per account and day: the grain that bounds every per-account window."""
     return ledger.groupBy("account_id", "txn_date").agg(
-        F.sum(signed()).alias("net_flow"), F.sum(amount_if("debit")).alias("debit_amount")
+        F.sum(amount_if("credit")).alias("income"),
+        F.sum(amount_if("debit")).alias("expense"),
+        F.sum(signed()).alias("net_flow"),
     )
 
 
@@ -54,13 +71,16 @@ def account_health(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
     Rows are reduced to one per account and day before any window, so an account
     of any size is a few thousand rows in it.
     """
-    daily = daily_movement(ledger).withColumn(
-        "last_date", F.max("txn_date").over(Window.partitionBy("account_id"))
-    )
+    return health_from_daily(accounts, daily_movement(ledger))
+
+
+def health_from_daily(accounts: DataFrame, daily: DataFrame) -> DataFrame:
+    """`account_health` from stored daily totals."""
+    daily = daily.withColumn("last_date", F.max("txn_date").over(Window.partitionBy("account_id")))
     recent = F.col("txn_date") >= F.date_sub("last_date", BURN_WINDOW_DAYS)
     per_account = daily.groupBy("account_id").agg(
         F.sum("net_flow").alias("net_movement"),
-        F.sum(F.when(recent, F.col("debit_amount"))).alias("recent_debit"),
+        F.sum(F.when(recent, F.col("expense"))).alias("recent_debit"),
     )
     return accounts.join(per_account, "account_id", "left").select(
         "account_id", "account_name", "account_type",
@@ -71,17 +91,17 @@ def account_health(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def spend_by_month(ledger: DataFrame) -> DataFrame:
-    return (
-        ledger.filter(F.col("txn_type") == "debit")
-        .groupBy("account_id", month_of().alias("month"), "category_name")
-        .agg(F.sum("amount").alias("actual_amount"))
-    )
+def actual_by_category(spend: DataFrame) -> DataFrame:
+    """The spend mart without its groups."""
+    return spend.groupBy("account_id", "month", "category_name").agg(F.sum("total_amount").alias("actual_amount"))
 
 
-def budget_vs_actual(budgets: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Every budget with the debit spend of its month; spend without a budget does not appear."""
-    return budgets.join(spend_by_month(ledger), ["account_id", "month", "category_name"], "left").select(
+def budget_vs_actual(budgets: DataFrame, spend: DataFrame) -> DataFrame:
+    """Every budget with the debit spend of its month; spend without a budget does not appear.
+
+    Reads the spend mart, so the ledger is not scanned again.
+    """
+    return budgets.join(actual_by_category(spend), ["account_id", "month", "category_name"], "left").select(
         "account_id", "month", "category_name", "budgeted_amount",
         F.coalesce("actual_amount", F.lit(0).cast("decimal(12,2)")).cast("decimal(22,2)").alias("actual_amount"),
     )
@@ -111,22 +131,19 @@ def recurring_transactions(ledger: DataFrame) -> DataFrame:
     )
 
 
-def budget_baseline(fct: DataFrame) -> DataFrame:
+def budget_baseline(spend: DataFrame, ledger: DataFrame) -> DataFrame:
     """A budget for each account and budgetable category, sized by its own past spend.
 
-    The size is the mean over months with activity. Months are those of the
+    The size is the mean of the spend mart's months, those with activity. Months are those of the
     ledger's last day minus 0, 30, … 150 days, each once, so a month can be
     missing where two of those days share one.
     """
-    monthly = (
-        fct.filter((F.col("txn_type") == "debit") & F.col("category_group").isin(*BUDGETABLE_GROUPS))
-        .groupBy("account_id", "category_name", month_of().alias("month"))
-        .agg(F.sum(cents("amount")).alias("month_cents"))
-    )
-    typical = monthly.groupBy("account_id", "category_name").agg(
-        F.sum("month_cents").alias("sum_cents"), F.count("*").alias("n_months")
+    typical = (
+        spend.filter(F.col("category_group").isin(*BUDGETABLE_GROUPS))
+        .groupBy("account_id", "category_name")
+        .agg(F.sum(cents("total_amount")).alias("sum_cents"), F.count("*").alias("n_months"))
     )
-    end = fct.agg(F.max("txn_date")).scalar()
+    end = ledger.agg(F.max("txn_date")).scalar()
     months = F.array_distinct(F.array(*[
         F.date_format(F.date_sub(end, 30 * i), "yyyy-MM") for i in range(BUDGET_MONTHS)
     ]))

@@ -78,7 +78,7 @@ def merchant_names(merchants: DataFrame) -> DataFrame:
 def newest_per_account(ledger: DataFrame, account_id=None, n: int = 300) -> DataFrame:
     """The newest `n` rows of each account."""
     order = [F.desc("txn_date"), F.desc("transaction_id")]
-    return top_per_group(_of(ledger, account_id), ["account_id"], order, n, "transaction_id")
+    return top_per_group(_of(ledger, account_id), ["account_id"], order, n)
 
 
 def data_status(ledger: DataFrame) -> DataFrame:

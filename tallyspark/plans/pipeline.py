@@ -68,10 +68,12 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
     def build_marts():
         t = run.tables
         fct = t["fct_transactions"]
-        stored("monthly_cashflow", marts.monthly_cashflow(fct))
+        # The ledger is read for three marts; the others build on those.
+        stored("daily_movement", marts.daily_movement(fct))
+        stored("monthly_cashflow", marts.monthly_from_daily(t["daily_movement"]))
+        stored("account_health", marts.health_from_daily(t["accounts"], t["daily_movement"]))
         stored("category_spend_monthly", marts.category_spend_monthly(fct))
-        stored("account_health", marts.account_health(t["accounts"], fct))
-        stored("budget_vs_actual", marts.budget_vs_actual(t["budgets"], fct))
+        stored("budget_vs_actual", marts.budget_vs_actual(t["budgets"], t["category_spend_monthly"]))
         stored("recurring_transactions", marts.recurring_transactions(fct))
 
     def gate():
@@ -93,8 +95,8 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
 
     def predict():
         t = run.tables
-        stored("daily_net", forecast.daily_net(t["fct_transactions"]))
-        split = forecast.with_split(forecast.feature_rows(forecast.densify(t["daily_net"])))
+        daily = t["daily_movement"].select("account_id", "txn_date", "net_flow")
+        split = forecast.with_split(forecast.feature_rows(forecast.densify(daily)))
         stored("forecast_models", forecast.fit_and_forecast(split))
         stored("cashflow_forecast", forecast.forecast_table(t["forecast_models"], t["account_health"]))
         stored("forecast_metrics", forecast.metrics(t["forecast_models"], split))

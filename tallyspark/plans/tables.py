@@ -62,11 +62,11 @@ class Tables:
 
     @cached_property
     def budgets(self):
-        return marts.budget_baseline(self.fct)
+        return marts.budget_baseline(self.spend, self.movements)
 
     @cached_property
     def budget_vs_actual(self):
-        return marts.budget_vs_actual(self.budgets, self.ledger)
+        return marts.budget_vs_actual(self.budgets, self.spend)
 
     @cached_property
     def recurring(self):
@@ -120,7 +120,7 @@ class Tables:
 
     @cached_property
     def naive_forecast(self):
-        return forecast.seasonal_naive(self.dense, self.health)
+        return forecast.seasonal_naive(forecast.daily_net(self.movements), self.health)
 
     @cached_property
     def access(self):

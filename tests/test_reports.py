@@ -54,13 +54,13 @@ def test_recurring_takes_the_latest_amount_and_rounds_half_up(spark):
 def test_unbudgeted_spend_does_not_appear(spark):
     budgets = spark.createDataFrame([(1, "C", "2026-01", D("5")), (1, "Other", "2026-01", D("7"))], schemas.BUDGETS)
     rows = ledger(spark, [{}, {"category_name": "X"}, {"txn_type": "credit"}])
-    got = {r.category_name: r.actual_amount for r in marts.budget_vs_actual(budgets, rows).collect()}
+    got = {r.category_name: r.actual_amount for r in marts.budget_vs_actual(budgets, marts.category_spend_monthly(rows)).collect()}
     assert got == {"C": D("10.00"), "Other": D("0.00")}
 
 
 def test_budget_months_follow_thirty_day_steps(spark):
     rows = ledger(spark, [{"txn_date": "2026-03-31", "amount": "10"}, {"txn_date": "2026-02-01", "amount": "21.01"}])
-    got = sorted((r.month, r.budgeted_amount) for r in marts.budget_baseline(rows).collect())
+    got = sorted((r.month, r.budgeted_amount) for r in marts.budget_baseline(marts.category_spend_monthly(rows), rows).collect())
     # 31 March less 30 days is 1 March, less 60 is 30 January: February is skipped, March comes once.
     assert [m for m, _ in got] == ["2025-11", "2025-12", "2026-01", "2026-03"]
     assert {a for _, a in got} == {D("15.51")}
