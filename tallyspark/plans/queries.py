@@ -358,7 +358,7 @@ def _(t):
 
 @query("q09_budget_variance")
 def _(t):
-    return analytics.budget_variance(t.budgets, t.categories, t.spend)
+    return analytics.budget_variance(t.budgets, t.categories, t.stored_spend)
 
 
 @query("q10_runway")
@@ -500,7 +500,8 @@ def _(t):
 
 @query("rep_recommendations")
 def _(t):
-    return reports.recommendations(t.spend, t.budget_vs_actual, t.health, t.naive_forecast)
+    return reports.recommendations(
+        t.stored_spend, materialize(t.budget_vs_actual, "budget-vs-actual"), t.health, t.naive_forecast)
 
 
 # --- anomalies ----------------------------------------------------------------------

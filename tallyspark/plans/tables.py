@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import anomaly, forecast, marts, staging, validation
+from tallyspark.session import materialize
 from tallyspark.sources import testtables as source
 
 
@@ -56,17 +57,22 @@ class Tables:
     def spend(self):
         return marts.category_spend_monthly(self.fct)
 
+    @cached_property
+    def stored_spend(self):
+        """The spend mart written once, for reports that read it several times."""
+        return materialize(self.spend, "category-spend")
+
     @cached_property
     def health(self):
         return marts.account_health(self.accounts, self.movements)
 
     @cached_property
     def budgets(self):
-        return marts.budget_baseline(self.spend, self.movements)
+        return marts.budget_baseline(self.stored_spend, self.movements)
 
     @cached_property
     def budget_vs_actual(self):
-        return marts.budget_vs_actual(self.budgets, self.spend)
+        return marts.budget_vs_actual(self.budgets, self.stored_spend)
 
     @cached_property
     def recurring(self):
@@ -105,7 +111,8 @@ class Tables:
     @cached_property
     def distance_flags(self):
         """Flags with a score that SQL can compute too: the z-score's distance."""
-        rows = anomaly.with_same_day(anomaly.with_zscore(anomaly.debits(self.ledger)))
+        debits = materialize(anomaly.debits(self.ledger), "debits")
+        rows = anomaly.with_same_day(anomaly.with_zscore(debits))
         score = (F.floor(F.abs("z_amount") * 1000) / 10000).cast("decimal(6,4)")
         return rows.filter(F.abs("z_amount") > 1.5).select(
             "transaction_id", score.alias("anomaly_score"), anomaly.reason().alias("reason"))
