@@ -320,7 +320,7 @@ QUERIES["load_merchants"] = """
 SELECT m.merchant_id, m.merchant_name, c.category_id AS default_category_id
 FROM stg_merchants m LEFT JOIN categories c ON c.category_name = m.default_category"""
 QUERIES["load_budgets"] = """
-SELECT account_id, category_name, month, CAST(budgeted_amount + 100 AS DOUBLE) AS budgeted_amount FROM budgets"""
+SELECT account_id, category_name, month, CAST(budget_cents + 10000 AS DOUBLE) / 100 AS budgeted_amount FROM budgets"""
 QUERIES["stg_accounts"] = """
 SELECT account_id, account_name, account_type, owner_name, currency,
        CAST(opening_balance AS DOUBLE) AS opening_balance FROM stg_accounts"""

@@ -65,6 +65,7 @@ def main():
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--sql-only", action="store_true")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
@@ -73,7 +74,7 @@ def main():
     con = connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     failed = 0
-    for name in args.names or queries:
+    for name in args.names or (sql if args.sql_only else queries):
         try:
             problem, n, seconds = compare(spark, con, sf_dir, queries[name], sql.get(name))
         except Exception as error:  # a broken query must not hide the others
