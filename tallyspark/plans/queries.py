@@ -53,7 +53,7 @@ def _write_csv(df: DataFrame, path: str) -> None:
 @query("src_csv")
 def _(t):
     path = scratch_path(t.spark, "transactions-csv")
-    _write_csv(t.raw_transactions, path)
+    _write_csv(t.raw_feed, path)
     back = files.read_raw_csv(t.spark, path, schemas.RAW_TABLES["transactions"])
     return back.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT, "description")
 
@@ -73,7 +73,7 @@ def _(t):
 def _raw_zone(t):
     return {
         "accounts": t.raw_accounts, "categories": t.raw_categories, "merchants": t.raw_merchants,
-        "transactions": t.raw_transactions, "budgets": t.raw_budgets,
+        "transactions": t.raw_feed, "budgets": t.raw_budgets,
     }
 
 
@@ -92,7 +92,7 @@ def _(t):
 
 @query("sink_loaded_at")
 def _(t):
-    stamped = files.stamp_loaded_at(t.raw_transactions)
+    stamped = files.stamp_loaded_at(t.raw_feed)
     return stamped.agg(F.count("*").alias("n"), F.count("loaded_at").alias("n_stamped"))
 
 
@@ -205,7 +205,7 @@ def _(t):
 
 @query("clean_text")
 def _(t):
-    return t.raw_transactions.select("source_txn_id", clean_text("description").alias("description"))
+    return t.raw_feed.select("source_txn_id", clean_text("description").alias("description"))
 
 
 @query("suggest_category")
@@ -230,18 +230,18 @@ def _(t):
 
 @query("dq_not_null")
 def _(t):
-    return quality.nulls(t.raw_transactions, "merchant_name").select("source_txn_id")
+    return quality.nulls(t.raw_feed, "merchant_name").select("source_txn_id")
 
 
 @query("dq_relationships")
 def _(t):
-    child = t.raw_transactions.select(F.trim("category_name").alias("category_name"))
+    child = t.raw_feed.select(F.trim("category_name").alias("category_name"))
     return quality.orphans(child, "category_name", t.categories, "category_name")
 
 
 @query("dq_accepted_values")
 def _(t):
-    return quality.outside(t.raw_transactions, "txn_type", schemas.TXN_TYPES).select("source_txn_id", "txn_type")
+    return quality.outside(t.raw_feed, "txn_type", schemas.TXN_TYPES).select("source_txn_id", "txn_type")
 
 
 @query("dq_schema_checks")

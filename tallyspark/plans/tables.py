@@ -91,9 +91,15 @@ class Tables:
         return self._from(source.raw_merchants)
 
     @cached_property
-    def raw_transactions(self):
+    def raw_feed(self):
+        """Raw transactions as they arrive."""
         return self._from(source.raw_transactions)
 
+    @cached_property
+    def raw_transactions(self):
+        """The feed landed in the raw zone, where cleaning and validation read it."""
+        return materialize(self.raw_feed, "raw-transactions")
+
     @cached_property
     def raw_budgets(self):
         return source.raw_budgets(self.budgets)
