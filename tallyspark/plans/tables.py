@@ -97,7 +97,7 @@ class Tables:
 
     @cached_property
     def raw_transactions(self):
-        """The feed landed in the raw zone, where cleaning and validation read it."""
+        """The feed landed in the raw zone, for queries that clean or test it in several passes."""
         return materialize(self.raw_feed, "raw-transactions")
 
     @cached_property
@@ -107,7 +107,7 @@ class Tables:
     @cached_property
     def checked(self):
         return validation.check_transactions(
-            self.raw_transactions, staging.stage_accounts(self.raw_accounts),
+            self.raw_feed, staging.stage_accounts(self.raw_accounts),
             staging.stage_categories(self.raw_categories), staging.stage_merchants(self.raw_merchants))
 
     @cached_property
