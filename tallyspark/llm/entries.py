@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontaminate
+from tallyspark.llm import decontaminate, group_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,3 +25,9 @@ def query(name: str) -> Callable[[Query], Query]:
 def op10(spark, sf_dir):
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.mark_contaminated(docs.select("doc_id", "text"), benchmark))
+
+
+@query("op7_group_join")
+def op7(spark, sf_dir):
+    found = group_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.withColumnRenamed("id", "doc_id")

@@ -131,9 +131,7 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(full[a:b - size + 1])
         elif b > a:
-            short = np.uint64(b - a)
-            for i in range(b - a):
-                short = short + word[a + i] * _PLACE[i]
-            yield mix(np.array([short * _PLACE[7]], np.uint64))
+            short = np.sum(word[a:b] * _PLACE[:b - a], keepdims=True) + np.uint64(b - a)
+            yield mix(short * _PLACE[7])
         else:
             yield np.zeros(0, np.uint64)
