@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontaminate, group_join
+from tallyspark.llm import decontaminate, group_join, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -31,3 +31,8 @@ def op10(spark, sf_dir):
 def op7(spark, sf_dir):
     found = group_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

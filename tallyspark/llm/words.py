@@ -45,6 +45,7 @@ class Words:
     """Words of some texts. Row r has words `first[r]` to `first[r + 1]`; word w is `data[start[w]:end[w]]`."""
 
     def __init__(self, data: np.ndarray, row_offsets: np.ndarray, is_word: np.ndarray):
+        self.raw, self.row_offsets = data, row_offsets
         self.data = LOWER[data]
         n = len(data)
         inside = is_word[self.data]
