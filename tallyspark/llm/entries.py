@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, group_join, quality
+from tallyspark.llm import decontaminate, group_join, mixing, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -36,3 +37,29 @@ def op7(spark, sf_dir):
 @query("op9_quality")
 def op9(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_shards")
+def op2(spark, sf_dir):
+    rows = shards.digest_rows(table(spark, sf_dir, "documents"))
+    return shards.shuffle_to_shards(rows, 40, seed=11).select(
+        "*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Target weights of the documents' tree; sources weigh the same within their language.
+MIX_WEIGHTS = {
+    "domain": {"domain0": 30, "domain1": 30, "domain2": 20, "domain3": 20},
+    "lang": {"en": 40, "de": 20, "fr": 20, "es": 20},
+}
+
+
+def mix_levels():
+    return {"domain": mixing.domain_of("source"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+@query("op8_mixing")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, levels=mix_levels(), weights=MIX_WEIGHTS, budget_percent=120, max_epochs=3, seed=5)
+    return mixed.select("doc_id", mixing.domain_of("source").alias("domain"), "lang", "source",
+                        mixing.n_tokens("text").alias("tokens"), "epoch")
