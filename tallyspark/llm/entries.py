@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, group_join, mixing, quality, shards
+from tallyspark.llm import cap_filters, decontaminate, group_join, mixing, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -63,3 +63,8 @@ def op8(spark, sf_dir):
     mixed = mixing.mix(docs, levels=mix_levels(), weights=MIX_WEIGHTS, budget_percent=120, max_epochs=3, seed=5)
     return mixed.select("doc_id", mixing.domain_of("source").alias("domain"), "lang", "source",
                         mixing.n_tokens("text").alias("tokens"), "epoch")
+
+
+@query("op1_cap_filters")
+def op1(spark, sf_dir):
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93).withColumnRenamed("id", "vec_id")
