@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import cap_filters, decontaminate, group_join, mixing, quality, shards
+from tallyspark.llm import cap_filters, decontaminate, group_join, html_text, mixing, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -68,3 +68,8 @@ def op8(spark, sf_dir):
 @query("op1_cap_filters")
 def op1(spark, sf_dir):
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93).withColumnRenamed("id", "vec_id")
+
+
+@query("op3_main_text")
+def op3(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
