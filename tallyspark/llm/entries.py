@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import cap_filters, decontaminate, group_join, html_text, mixing, quality, shards
+from tallyspark.llm import cap_filters, decontaminate, group_join, html_text, mixing, quality, shards, warc
+from tallyspark.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -73,3 +74,14 @@ def op1(spark, sf_dir):
 @query("op3_main_text")
 def op3(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op6_warc")
+def op6(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    # Payloads are read and hashed; only what the assembly needs is stored.
+    records = materialize(warc.read_records(spark, path).drop("payload"), "records")
+    return warc.assemble(records).select(
+        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to_page_id").alias("refers_to"))
