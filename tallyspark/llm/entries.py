@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import cap_filters, decontaminate, group_join, html_text, mixing, quality, shards, warc
+from tallyspark.llm import cap_filters, chat, decontaminate, group_join, html_text, mixing, quality, shards, warc
 from tallyspark.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,12 @@ def op6(spark, sf_dir):
     return warc.assemble(records).select(
         "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         F.col("refers_to_page_id").alias("refers_to"))
+
+
+@query("op5_chat")
+def op5(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    formatted = materialize(chat.format_turns(turns.union(extra)), "chat")
+    return chat.digest(formatted)

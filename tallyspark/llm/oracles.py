@@ -47,3 +47,20 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM d JOIN first USING (hex, payload_bytes)
 """
+
+#: Marks and escapes of the template, for formatted_chars: no text of these tables but conversation -1 needs an escape.
+SQL["op5_chat"] = """
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss,
+    sum(length(text) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 END
+      + CASE WHEN conv_id = -1 THEN 3 ELSE 0 END) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM g
+"""
