@@ -3,19 +3,21 @@
 Documents are sets of word shingles. Two documents link when |A and B| * 100 >= percent * |A or B|, exactly.
 
 1. Equal sets collapse to one representative, so copies cost nothing further.
-2. Similar representatives are put into groups: those that share a minhash are compared with the key's first ones (by
-   size, and by a hash), and what links is joined. A group is thus already one component. Groups only save work:
-   whatever they miss is found in step 4.
+2. Similar representatives are put into groups: those that share a minhash are compared with two of them (the one whose
+   tokens are most common, and one by a hash), and what links is joined. A group is thus already one component. Groups
+   only save work: whatever they miss is found in step 4.
 3. The token-group matrix says which token occurs in which group. Large groups are cut into blocks of about BLOCK
    members, and a block's token union is one row.
 4. Every representative of the smaller group of two queries the blocks of the larger. A block's overlap with the query
    bounds that with each member: a link needs ceil(percent / 100 * |Q|) common tokens, so among the query's rarest
-   n - that + l tokens, l are in the block's. Blocks with fewer are never opened. For the others the overlap with the
-   whole union is taken, and only blocks that still qualify are opened and their members compared.
+   n - that + l tokens, l are in the block's, and the first of them stands early enough in both that the tokens after
+   it can make up the overlap. Other blocks are never opened. For these the overlap with the whole union is taken, and
+   only blocks that still qualify are opened and their members compared.
 5. Components of all links; a set's documents share one.
 
 Which tokens are rare is read from a table of token counts of fixed size, summed over all documents. It decides the
-order of tokens only; the result is the same for any order.
+order of tokens only; the result is the same for any order. Texts are read again for the documents in candidate pairs;
+a bit table of fixed size, with a bit for each such id, passes them and a few others.
 
 A null or blank text has an empty set, which links with nothing. Equal ids are one node. A row with a null id has a
 null component. Columns of the result's names are replaced.
@@ -37,42 +39,65 @@ COUNTERS = 1 << 20
 SLICES = 64
 MINHASHES = 4
 BLOCK = 32
+ID_BITS = 1 << 23
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64, MINHASHES, dtype=np.uint64)
 
 
 def token_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents have a token of each counter, over all documents. The table's size never grows."""
-    per_slice = COUNTERS // SLICES
-
     def count(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, words in slices(batch.column(0), NOT_BLANK):
                 tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(words, size)])
                 counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield _slices_of(enumerate(counts.reshape(SLICES, per_slice)))
+        yield _parts(counts)
+
+    return _sum_table(texts.mapInArrow(count, "part int, counts binary"), COUNTERS)
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A table of fixed size with a bit set for every id."""
+    def mark(batches):
+        marks = np.zeros(ID_BITS, bool)
+        for batch in batches:
+            marks[_id_bit(batch.column(0))] = True
+        yield _parts(np.packbits(marks).astype(np.int64))
+
+    return np.unpackbits((_sum_table(ids.mapInArrow(mark, "part int, counts binary"), ID_BITS // 8, np.bitwise_or))
+                         .astype(np.uint8)).astype(bool)
+
 
+def _id_bit(ids: pa.Array) -> np.ndarray:
+    values = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
+    return (mix(values) % np.uint64(ID_BITS)).astype(np.int64)
+
+
+def _sum_table(partial: DataFrame, length: int, combine=np.add) -> np.ndarray:
+    """The tables of all tasks in one, combined as streams: a task holds the parts that fall to it only."""
     def add(batches):
         sums = {}
         for batch in batches:
             for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[at] = sums.get(at, 0) + np.frombuffer(data, np.int64)
-        yield _slices_of(sums.items())
-
-    partial = texts.mapInArrow(count, "slice int, counts binary")
-    # Summed as a stream in each task: a task holds the sums of its slices only.
-    rows = partial.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    total = np.zeros((SLICES, per_slice), np.int64)
-    for row in rows:
-        total[row["slice"]] += np.frombuffer(row["counts"], np.int64)
+                values = np.frombuffer(data, np.int64)
+                sums[at] = combine(sums[at], values) if at in sums else values
+        yield _batch_of(sums.items())
+
+    total = np.zeros((SLICES, length // SLICES), np.int64)
+    for row in partial.repartition(SLICES, "part").mapInArrow(add, "part int, counts binary").collect():
+        total[row["part"]] = np.frombuffer(row["counts"], np.int64)
     return total.ravel()
 
 
-def _slices_of(parts) -> pa.RecordBatch:
+def _parts(table: np.ndarray) -> pa.RecordBatch:
+    return _batch_of((i, part) for i, part in enumerate(table.reshape(SLICES, -1)) if part.any())
+
+
+def _batch_of(parts) -> pa.RecordBatch:
     parts = list(parts)
     return pa.RecordBatch.from_arrays(
         [pa.array([i for i, _ in parts], pa.int32()), pa.array([c.tobytes() for _, c in parts], pa.binary())],
-        names=["slice", "counts"])
+        names=["part", "counts"])
 
 
 def needed(n, percent: int):
@@ -82,19 +107,20 @@ def needed(n, percent: int):
 
 def required(n, percent: int):
     """How many of the tokens in its prefix a set shares, at least, with any set it links with."""
-    return np.minimum(needed(n, percent), 1 + n // 40)
+    return np.minimum(needed(n, percent), 1 + n // 100)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per document: id, n, two hashes that name the set, its rarest tokens (the prefix) and its minhashes."""
-    # Bounded by COUNTERS; 255 is as common as any token gets in the order.
+    """Per document: id, n, two hashes that name the set, its rarest tokens (the prefix), rarest first, how common these
+    are on the average, and the set's minhashes."""
+    # Bounded by COUNTERS.
     counts = token_counts(docs.select(text_col), size)
     order = np.minimum(counts, 2**31 - 1).astype(np.uint32)
 
     def sign(batches):
         for batch in batches:
             ids = batch.column(0)
-            n, names_a, names_b, prefixes, minima = [], [], [], [], []
+            n, names_a, names_b, prefixes, common, minima = [], [], [], [], [], []
             for _, words in slices(batch.column(1), NOT_BLANK):
                 for tokens in shingle_sets(words, size):
                     k = len(tokens)
@@ -103,21 +129,28 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
                     names_b.append(np.add.reduce(mix(tokens + _SEEDS[0])).astype(np.int64) if k else 0)
                     keep = int(k - needed(k, percent) + required(k, percent)) if k else 0
                     rare = order[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
-                    prefixes.append(tokens[np.lexsort((tokens, rare))[:keep]].astype(np.int64))
+                    first = np.lexsort((tokens, rare))[:keep]
+                    prefixes.append(tokens[first].astype(np.int64))
+                    common.append(int(rare[first].mean()) if k else 0)
                     minima.append([mix(tokens + s).min().astype(np.int64) for s in _SEEDS] if k else [])
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n, pa.int64()), pa.array(names_a, pa.int64()), pa.array(names_b, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64()))],
-                names=["id", "n", "name_a", "name_b", "prefix", "minhash"])
+                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(common, pa.int64()),
+                 pa.array(minima, pa.list_(pa.int64()))],
+                names=["id", "n", "name_a", "name_b", "prefix", "common", "minhash"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(
-        sign, "id long, n long, name_a long, name_b long, prefix array<long>, minhash array<long>")
+        sign, "id long, n long, name_a long, name_b long, prefix array<long>, common long, minhash array<long>")
+
 
+def token_sets(texts: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
+    """(id, tokens) of (id, text), for the ids whose bit is set in `wanted`."""
+    packed = np.packbits(wanted)
 
-def token_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(id, tokens) of (id, text)."""
     def sets(batches):
+        chosen = np.unpackbits(packed).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(chosen[_id_bit(batch.column(0))]))
             tokens = [t.astype(np.int64) for _, words in slices(batch.column(1), NOT_BLANK)
                       for t in shingle_sets(words, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))],
@@ -136,10 +169,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = materialize(classes, "classes")
     reps = materialize(
         signed.join(classes.select(F.col("rep").alias("id"), *name), ["id", *name], "left_semi")
-        .dropDuplicates(["id", *name]).select("id", "n", "prefix", "minhash"), "representatives")
+        .dropDuplicates(["id", *name]).select("id", "n", "prefix", "common", "minhash"), "representatives")
 
     alike = materialize(_first_of_key(reps, percent), "alike")
-    postings = reps.select("id", "n", F.explode("prefix").alias("token"))
+    postings = reps.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     sets = _active_sets(texts, alike, size)
     near = _linked(alike, sets, percent)
     groups = materialize(connected_components(near), "groups")
@@ -158,15 +191,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def _first_of_key(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each representative with the first of those that share a minhash and about the size."""
+    """Pairs of each representative with two of those that share a minhash and about the size."""
     step = np.log(100 / percent)
-    keyed = reps.select("id", "n", F.posexplode("minhash").alias("k", "h")).withColumn(
+    keyed = reps.select("id", "n", "common", F.posexplode("minhash").alias("k", "h")).withColumn(
         "band", F.floor(F.log("n") / step + F.col("k") % 2 / 2.0))
     firsts = keyed.groupBy("k", "h", "band").agg(
-        F.min(F.struct("n", "id")).alias("small"), F.min(F.struct(F.xxhash64("id").alias("x"), "n", "id")).alias("any"),
-        F.count("*").alias("rows")).filter("rows > 1")
+        F.max(F.struct("common", "n", "id")).alias("middle"),
+        F.min(F.struct(F.xxhash64("id").alias("x"), "n", "id")).alias("any"), F.count("*").alias("rows"),
+    ).filter("rows > 1")
     pairs = keyed.join(firsts, ["k", "h", "band"]).select(
-        "id", "n", F.explode(F.array(F.struct("small.n", "small.id"), F.struct("any.n", "any.id"))).alias("first"))
+        "id", "n", F.explode(F.array(F.struct("middle.n", "middle.id"), F.struct("any.n", "any.id"))).alias("first"))
     return (
         pairs.filter(F.col("first.id") != F.col("id"))
         .filter(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
@@ -175,9 +209,9 @@ def _first_of_key(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _active_sets(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Stored token sets of the documents in `pairs`."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return materialize(token_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
+    """Stored token sets of the documents in `pairs`, and of some others. Of equal ids with different texts, one."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    return materialize(token_sets(texts, size, id_bits(ids)), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,27 +237,34 @@ def _block_candidates(postings: DataFrame, groups: DataFrame, percent: int) -> D
     """(query, n, group, block): blocks of other groups that hold enough of a query's rare tokens."""
     # Most tokens occur in one group only and go before the matrix is joined with the queries.
     token = Window.partitionBy("token")
-    placed = _grouped(postings.select("token", "id", "n"), groups)
+    placed = _grouped(postings.select("token", "id", "n", "at"), groups)
     shared = materialize(
         placed.withColumns({"low": F.min("group").over(token), "high": F.max("group").over(token)})
         .filter("low <> high").drop("low", "high"), "matrix")
     query = shared.select("token", F.col("id").alias("query"), F.col("n").alias("query_n"),
+                          (F.col("n") - F.col("at")).alias("query_rest"),
                           F.struct(F.col("group_size").alias("s"), F.col("group").alias("g")).alias("query_rank"))
     matrix = shared.groupBy("token", "group", "group_size", "block").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"))
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    # The i-th common token of two sets leaves at least their overlap less i - 1 in both.
+    overlap = F.ceil((F.col("query_n") + F.col("least")) * percent / (100 + percent))
+    rest = F.least("query_rest", "rest")
     fits = (
         (F.col("query_rank") < F.struct(F.col("group_size").alias("s"), F.col("group").alias("g")))
         & (F.col("most") * 100 >= F.col("query_n") * percent) & (F.col("query_n") * 100 >= F.col("least") * percent)
+        & (rest >= overlap - _required("query_n", percent) + 1)
     )
     met = query.join(matrix, "token").filter(fits).groupBy("query", "query_n", "group", "block", "group_size").agg(
-        F.count("*").alias("tokens"), F.min("least").alias("least"))
-    return met.filter(F.col("tokens") >= F.least(_required("query_n", percent), _required("least", percent))).select(
-        "query", "query_n", "group", "block", "group_size")
+        F.count("*").alias("tokens"), F.min("least").alias("least"), F.max(rest).alias("rest"))
+    return met.filter(
+        (F.col("tokens") >= F.least(_required("query_n", percent), _required("least", percent)))
+        & (F.col("rest") >= overlap)
+    ).select("query", "query_n", "group", "block", "group_size")
 
 
 def _required(column: str, percent: int):
     n = F.col(column)
-    return F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 40))
+    return F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 100))
 
 
 def _open_blocks(candidates: DataFrame, reps: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
