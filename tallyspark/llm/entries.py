@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import cap_filters, chat, decontaminate, group_join, html_text, mixing, quality, shards, warc
+from tallyspark.llm import cap_filters, chat, decontaminate, group_join, html_text, mixing, quality, shards, token_files, warc
 from tallyspark.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,15 @@ def op5(spark, sf_dir):
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
     formatted = materialize(chat.format_turns(turns.union(extra)), "chat")
     return chat.digest(formatted)
+
+
+@query("op4_token_files")
+def op4(spark, sf_dir):
+    # The tokenizer's file belongs to the query's environment, not to the repository.
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer_json = file.read()
+    path = scratch_path(spark, "tokens")
+    token_files.encode_corpus(table(spark, sf_dir, "documents"), path, tokenizer_json, end_id=0)
+    return token_files.digest(spark, path)
