@@ -186,7 +186,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         *name, F.coalesce("component", "rep").alias("component"))
     # Equal ids with different texts are one node: the id's sets are joined by the id.
     members = signed.join(of_set, name, "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        "id", F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return members
 
 
