@@ -149,7 +149,8 @@ def as_frame(spark, docs):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int")
 
 
-LEVELS = {"lang": F.col("lang"), "source": F.col("source")}
+def levels():
+    return {"lang": F.col("lang"), "source": F.col("source")}
 
 
 @pytest.mark.parametrize("percent, epochs", [(30, 1), (90, 1), (150, 3), (1000, 2)])
@@ -158,7 +159,7 @@ def test_mix_equals_plain_arithmetic(spark, percent, epochs):
     docs = [(i, (rng.choice("abc"), rng.choice("uvwxyz")), rng.randrange(0, 30)) for i in range(400)]
     docs += [(i, ("a", "u"), 17) for i in range(400, 600)]
     weights = {"lang": {"a": 5, "b": 2}, "source": {"v": 7, "w": 0}}
-    mixed = mixing.mix(as_frame(spark, docs), levels=LEVELS, weights=weights, budget_percent=percent,
+    mixed = mixing.mix(as_frame(spark, docs), levels=levels(), weights=weights, budget_percent=percent,
                        max_epochs=epochs, seed=4)
     want, nodes = brute_mix(docs, [weights["lang"], weights["source"]], percent, epochs, 4)
     assert sorted((r.doc_id, r.epoch) for r in mixed.collect()) == want
@@ -177,9 +178,9 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
 def test_nulls_repeated_rows_and_no_rows(spark):
     rows = [(1, "a b", None, "s", 1), (1, "a b", None, "s", 1), (None, None, "x", None, 1), (3, "", "x", None, 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int")
-    taken = mixing.mix(frame, levels=LEVELS, weights={}, budget_percent=100).collect()
+    taken = mixing.mix(frame, levels=levels(), weights={}, budget_percent=100).collect()
     assert sorted((r.doc_id or 0, r.epoch) for r in taken) == [(0, 1), (1, 1), (1, 1), (3, 1)]
-    assert mixing.mix(frame.limit(0), levels=LEVELS, weights={}, budget_percent=100).count() == 0
+    assert mixing.mix(frame.limit(0), levels=levels(), weights={}, budget_percent=100).count() == 0
 
 
 def test_mixing_query(spark, sf_dir):
