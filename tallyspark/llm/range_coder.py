@@ -33,7 +33,7 @@ TOTAL_BITS = 14
 TOTAL = 1 << TOTAL_BITS
 SLOTS_1, SLOTS_2 = 1024, 2048
 DEEP = 512
-SLOTS_0 = 1 + 16 + 256 + DEEP
+SHALLOW = 1 + 16 + 256
 CHANCE_RATE = 5
 FLOOR = 32
 
@@ -47,11 +47,13 @@ _TOWARDS = np.array([[i if i <= s else TOTAL - 16 + i for i in range(16)] + [TOT
 class _Model:
     """Distributions and predictions of `lanes` blocks."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, groups: int):
         self.lane = np.arange(lanes)
-        self.bounds = np.empty((lanes * SLOTS_0, 17), np.int16)
+        # Each group has contexts of its own, so all groups of an id can be looked up at once.
+        self.slots = SHALLOW + DEEP * max(0, groups - 3)
+        self.bounds = np.empty((lanes * self.slots, 17), np.int16)
         self.bounds[:] = _EVEN
-        self.seen = np.zeros(lanes * SLOTS_0, np.int8)
+        self.seen = np.zeros(lanes * self.slots, np.int8)
         self.base = np.stack([self.lane * SLOTS_1, lanes * SLOTS_1 + self.lane * SLOTS_2])
         self.expected = np.zeros(lanes * (SLOTS_1 + SLOTS_2), np.int64)
         self.times = np.zeros(lanes * (SLOTS_1 + SLOTS_2), np.int8)
@@ -89,18 +91,18 @@ class _Model:
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
+    def context(self, lanes: np.ndarray, group: int, prefix: np.ndarray) -> np.ndarray:
+        """Where the distribution of a group of four bits is, by the bits before it."""
+        if group <= 2:
+            return lanes * self.slots + (0, 1, 17)[group] + prefix
+        return lanes * self.slots + SHALLOW + DEEP * (group - 3) + (prefix * 0x9E3779B1 >> 12 & (DEEP - 1))
+
     def learn_groups(self, at: np.ndarray, bounds: np.ndarray, symbol: np.ndarray):
         seen = self.seen[at]
         self.seen[at] = np.minimum(seen + 1, len(_RATES) - 1)
         self.bounds[at] = bounds + ((_TOWARDS[symbol] - bounds) >> _RATES[seen][..., None])
 
 
-def _context(lanes: np.ndarray, group: int, prefix: np.ndarray) -> np.ndarray:
-    if group <= 2:
-        return lanes * SLOTS_0 + (0, 1, 17)[group] + prefix
-    return lanes * SLOTS_0 + 273 + ((prefix + group) * 0x9E3779B1 >> 12 & (DEEP - 1))
-
-
 def _settled(low: np.ndarray, rng: np.ndarray, move) -> tuple[np.ndarray, np.ndarray]:
     """Shift out 16 bits wherever they are certain, or the range is too small; `move` gets the lanes."""
     while True:
@@ -190,7 +192,7 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     sizes = _sizes(len(ids), block_ids)
     # An even number of groups of four bits.
     groups = 2 * max(1, -(-int(ids.max()).bit_length() // 8)) if len(ids) else 2
-    model, coder = _Model(len(sizes)), _Encoder(len(sizes))
+    model, coder = _Model(len(sizes), groups), _Encoder(len(sizes))
     first = block_ids * np.arange(len(sizes))
     shifts = 4 * np.arange(groups - 1, -1, -1)[:, None]
     for i in range(int(sizes.max(initial=0))):
@@ -202,7 +204,7 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
         miss = np.flatnonzero(~right)
         if len(miss):
             value = token[miss]
-            at = np.stack([_context(miss, g, value >> (s + 4)) for g, s in enumerate(shifts[:, 0].tolist())])
+            at = np.stack([model.context(miss, g, value >> (s + 4)) for g, s in enumerate(shifts[:, 0].tolist())])
             symbol = value >> shifts & 15
             bounds = model.bounds[at]
             start = np.take_along_axis(bounds, symbol[..., None], 2)[..., 0].astype(np.int64)
@@ -230,7 +232,7 @@ def decode(code: bytes) -> np.ndarray:
     sizes, lengths, sums = np.frombuffer(code, "<u4", 3 * n_blocks, struct.calcsize(HEADER)).reshape(-1, 3).astype(np.int64).T
     words = np.frombuffer(code, "<u2", offset=struct.calcsize(HEADER) + struct.calcsize(BLOCK) * n_blocks)
     ids = np.zeros(n_ids, np.int64)
-    model = _Model(n_blocks)
+    model = _Model(n_blocks, groups)
     coder = _Decoder(words, np.cumsum(lengths) - lengths)
     first = block_ids * np.arange(n_blocks)
     for i in range(int(sizes.max(initial=0))):
@@ -247,7 +249,7 @@ def decode(code: bytes) -> np.ndarray:
                 target = coder.target(miss, 2 * TOTAL_BITS)
                 start, size = [], []
                 for k in (g, g + 1):
-                    at = _context(miss, k, value)
+                    at = model.context(miss, k, value)
                     bounds = model.bounds[at]
                     level = target >> TOTAL_BITS if k == g else (target - (start[0] << TOTAL_BITS)) // size[0]
                     symbol = (bounds[:, 1:16] <= level[:, None]).sum(1)
