@@ -175,53 +175,75 @@ class Cell:
         return counted, parts
 
 
+KEYS = ["label", "length", "cell", "first", "second"]
+SMALL = 24
+
+
 def verify_cells(cells: DataFrame, cosine: float, width: int) -> DataFrame:
     """(id, links, other): links counted in a cell, and an id of the same local component, where there are any.
 
-    `cells` is dealt by cell and chunk pair and sorted by them, so that units come as runs.
+    `cells` is dealt by cell and chunk pair and sorted by them, so that units come as runs. Most units are small and hold
+    no near pair; those are told at once for all units of a batch.
     """
-    keys = ["label", "length", "cell", "first", "second"]
-
     def verify(batches):
         codes = codes_for(width)
-        held: list[pa.RecordBatch] = []
-
-        def finish():
-            table = pa.Table.from_batches(held)
-            key = [table.column(k)[0].as_py() for k in keys]
-            same, length = key[3] == key[4], key[1]
-            unit = unit_vectors(table.column("vector").combine_chunks().flatten(), length)
-            chunk = table.column("chunk").to_numpy()
-            ids = table.column("id").to_numpy()
-            cell = Cell(ids, table.column("weight").to_numpy(), unit, chunk == key[3], chunk == key[4], same)
-            counted, parts = cell.links(cosine, key[2], codes(length))
-            rows = np.flatnonzero((counted > 0) | (parts != np.arange(len(parts))))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(counted[rows]), pa.array(ids[parts[rows]])],
-                names=["id", "links", "other"])
-
-        last = None
+        held = None
         for batch in batches:
-            columns = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy().astype(np.int64) for k in keys])
-            cuts = np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1
-            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if stop == start:
-                    continue
-                key = columns[:, start].tolist()
-                if held and key != last:
-                    # Most cells hold one vector.
-                    if sum(b.num_rows for b in held) > 1:
-                        yield finish()
-                    held.clear()
-                last = key
-                held.append(batch.slice(start, stop - start))
-        if held and sum(b.num_rows for b in held) > 1:
-            yield finish()
-
-    dealt = cells.repartition(wide(cells.sparkSession), *keys).sortWithinPartitions(*keys, "id")
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            starts = _starts(held)
+            # The last unit may go on in the next batch.
+            whole = int(starts[-1])
+            if whole:
+                yield from _verify_units(held.slice(0, whole), starts, cosine, codes)
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from _verify_units(held, np.append(_starts(held), held.num_rows), cosine, codes)
+
+    dealt = cells.repartition(wide(cells.sparkSession), *KEYS).sortWithinPartitions(*KEYS, "id")
     return dealt.mapInArrow(verify, "id long, links long, other long")
 
 
+def _starts(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in KEYS])
+    return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
+
+
+def _verify_units(table: pa.Table, starts: np.ndarray, cosine: float, codes):
+    """The results of whole units, which begin at `starts`; its last entry is the end."""
+    table = table.combine_chunks()
+    sizes = np.diff(starts)
+    keys = {k: table.column(k).to_numpy()[starts[:-1]] for k in KEYS}
+    ids, weights, chunk = (table.column(k).to_numpy() for k in ("id", "weight", "chunk"))
+    vectors = table.column("vector").combine_chunks()
+    for length, units in same_length(keys["length"]):
+        units = units[sizes[units] > 1]
+        if not len(units):
+            continue
+        size = sizes[units]
+        rows = np.repeat(starts[units] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        vector = unit_vectors(vectors.take(pa.array(rows)).flatten(), length)
+        unit = np.repeat(np.arange(len(units)), size)
+        near = np.zeros(len(units), bool)
+        near[size > SMALL] = True
+        for apart in range(1, int(size[size <= SMALL].max(initial=1))):
+            left = np.flatnonzero((unit[:-apart] == unit[apart:]) & ~near[unit[:-apart]])
+            # A little below the limit, as another order of summing may differ in the last digits.
+            close = np.einsum("ij,ij->i", vector[left], vector[left + apart]) >= cosine - 1e-9
+            near[unit[left[close]]] = True
+        ends = np.cumsum(size)
+        for u in np.flatnonzero(near):
+            mine = slice(ends[u] - size[u], ends[u])
+            at = rows[mine]
+            first, second = keys["first"][units[u]], keys["second"][units[u]]
+            cell = Cell(ids[at], weights[at], vector[mine], chunk[at] == first, chunk[at] == second, first == second)
+            counted, parts = cell.links(cosine, int(keys["cell"][units[u]]), codes(length))
+            keep = np.flatnonzero((counted > 0) | (parts != np.arange(len(parts))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.ids[keep]), pa.array(counted[keep]), pa.array(cell.ids[parts[keep]])],
+                names=["id", "links", "other"])
+
+
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", cosine: float = 0.93) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of `vectors`."""
