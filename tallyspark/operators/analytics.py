@@ -11,28 +11,28 @@ def account_list(accounts: DataFrame) -> DataFrame:
     return accounts.select("account_id", "account_name", "account_type", "opening_balance")
 
 
-def recent_transactions(ledger: DataFrame, accounts: DataFrame, n: int = 10) -> DataFrame:
-    """The newest `n` rows with names.
+def recent_transactions(ledger: DataFrame, accounts: DataFrame, categories: DataFrame, n: int = 10) -> DataFrame:
+    """The newest `n` rows with names, of rows whose account and category exist.
 
-    Only rows of existing accounts and with a category count. A validated
-    ledger has no others, so the newest rows are picked before the join and
-    only those few are joined.
+    Both lookups come before the cut, so rows of unknown keys take no place.
+    The cut itself keeps `n` rows per task.
     """
-    newest = (
-        ledger.filter(F.col("category_name").isNotNull())
+    named = accounts.select("account_id", "account_name").dropDuplicates(["account_id"])
+    return (
+        of_known_categories(ledger, categories).join(named, "account_id")
         .orderBy(F.desc("txn_date"), "transaction_id").limit(n)
+        .select("transaction_id", "txn_date", "account_name", "merchant_name", "category_name", "amount", "txn_type")
     )
-    return newest.join(accounts.select("account_id", "account_name"), "account_id").select(
-        "transaction_id", "txn_date", "account_name", "merchant_name", "category_name", "amount", "txn_type"
-    ).orderBy(F.desc("txn_date"), "transaction_id")
 
 
-def category_totals(ledger: DataFrame) -> DataFrame:
-    return (
-        ledger.filter((F.col("txn_type") == "debit") & F.col("category_name").isNotNull())
-        .groupBy("category_name").agg(F.sum("amount").alias("total_spend"))
-        .orderBy(F.desc("total_spend"), "category_name")
-    )
+def of_known_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    return rows.join(categories.select("category_name"), "category_name", "left_semi").select(*rows.columns)
+
+
+def category_totals(ledger: DataFrame, categories: DataFrame) -> DataFrame:
+    """Debits by category; the few sums are looked up, not the rows."""
+    sums = ledger.filter(F.col("txn_type") == "debit").groupBy("category_name").agg(F.sum("amount").alias("total_spend"))
+    return of_known_categories(sums, categories).orderBy(F.desc("total_spend"), "category_name")
 
 
 def high_expense_accounts(monthly: DataFrame, above: int = 3000) -> DataFrame:
@@ -74,18 +74,18 @@ def top_categories(spend: DataFrame, k: int = 3) -> DataFrame:
 
 
 def review_flags(flags: DataFrame, ledger: DataFrame, accounts: DataFrame, n: int = 20) -> DataFrame:
-    """The `n` most anomalous flags with their transactions.
+    """The `n` most anomalous flags whose transaction and account exist, with their detail.
 
-    Flags are cut to the top first; each names one existing transaction. Only
-    those ids are then looked up in the ledger.
+    Flags are few beside the ledger; they are joined before the cut, which
+    keeps `n` rows per task.
     """
-    top = flags.select("transaction_id", "anomaly_score", "reason").orderBy(
-        F.desc("anomaly_score"), "transaction_id").limit(n)
+    named = accounts.select("account_id", "account_name").dropDuplicates(["account_id"])
     return (
-        top.join(ledger, "transaction_id")
-        .join(accounts.select("account_id", "account_name"), "account_id")
+        flags.select("transaction_id", "anomaly_score", "reason")
+        .join(ledger.select("transaction_id", "account_id", "txn_date", "amount", "category_name"), "transaction_id")
+        .join(named, "account_id")
+        .orderBy(F.desc("anomaly_score"), "transaction_id").limit(n)
         .select("transaction_id", "anomaly_score", "reason", "txn_date", "account_name", "amount", "category_name")
-        .orderBy(F.desc("anomaly_score"), "transaction_id")
     )
 
 

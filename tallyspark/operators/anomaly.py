@@ -1,5 +1,6 @@
 """Unusual-transaction scoring: features, an isolation forest, flags and rules."""
 
+import math
 from dataclasses import dataclass
 from typing import Any
 
@@ -27,11 +28,12 @@ BURST_ROWS = 5
 BURST_AMOUNT = 15
 
 
-def debits(ledger: DataFrame) -> DataFrame:
-    """The rows the model looks at: debits with a category."""
-    return ledger.filter((F.col("txn_type") == "debit") & F.col("category_name").isNotNull()).select(
-        "transaction_id", "account_id", "txn_date", "category_name", "amount"
-    )
+def debits(ledger: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """The rows the model looks at: debits with a category, one of `categories` where they are given."""
+    rows = ledger.filter((F.col("txn_type") == "debit") & F.col("category_name").isNotNull())
+    if categories is not None:
+        rows = rows.join(categories.select("category_name"), "category_name", "left_semi")
+    return rows.select("transaction_id", "account_id", "txn_date", "category_name", "amount")
 
 
 def with_calendar(rows: DataFrame, date: str = "txn_date") -> DataFrame:
@@ -42,13 +44,19 @@ def with_calendar(rows: DataFrame, date: str = "txn_date") -> DataFrame:
 def category_stats(rows: DataFrame) -> DataFrame:
     """Mean and sample deviation per category over all accounts.
 
-    A category without a usable deviation takes that of all rows.
+    A category without a usable deviation takes that of all rows, which
+    follows from the categories' counts, means and deviations.
     """
     amount = F.col("amount").cast("double")
-    overall = rows.agg(F.nullif(F.stddev_samp(amount), F.lit(0.0))).scalar()
     per_category = rows.groupBy("category_name").agg(
-        F.avg(amount).alias("cat_mean"), F.stddev_samp(amount).alias("cat_std"))
-    return per_category.withColumn("cat_std", F.coalesce(F.nullif("cat_std", F.lit(0.0)), overall))
+        F.avg(amount).alias("cat_mean"), F.stddev_samp(amount).alias("cat_std"), F.count(amount).alias("_n"))
+    total, mean = F.sum("_n"), F.sum(F.col("_n") * F.col("cat_mean")) / F.sum("_n")
+    inside = F.sum((F.col("_n") - 1) * F.pow(F.coalesce("cat_std", F.lit(0.0)), 2))
+    between = F.sum(F.col("_n") * F.pow("cat_mean", 2)) - total * F.pow(mean, 2)
+    # Equal amounts everywhere leave a rest of rounding, not of spread.
+    variance = F.when(inside + between > 1e-9 * F.sum(F.col("_n") * F.pow("cat_mean", 2)), (inside + between) / (total - 1))
+    overall = per_category.agg(F.sqrt(variance)).scalar()
+    return per_category.withColumn("cat_std", F.coalesce(F.nullif("cat_std", F.lit(0.0)), overall)).drop("_n")
 
 
 def with_zscore(rows: DataFrame) -> DataFrame:
@@ -112,23 +120,26 @@ def sample_for_trees(featured: DataFrame, n_rows: int, trees: int = schemas.FORE
                      sample: int = schemas.FOREST_SAMPLE, seed: int = schemas.SEED) -> DataFrame:
     """At most `sample` rows for each tree, drawn by hashes of the transaction id.
 
-    Hashes make the draw independent of how rows are partitioned. With many
-    rows each joins one tree at most, so samples are disjoint; with few, rows
-    are drawn for every tree on their own. Only about half as many rows again
-    as the trees need leave the scan.
+    Hashes make the draw independent of how rows are partitioned. A row joins a
+    tree with a probability that gives each tree half as many rows again as it
+    needs. How many trees it joins is therefore binomial: one hash picks that
+    number, further ones that many distinct trees. The rule is the same for any
+    number of rows, and most rows of a large ledger fail its first comparison.
     """
     def unit(*parts):
         return (F.pmod(F.xxhash64("transaction_id", *parts), F.lit(1 << 40)) / float(1 << 40)).cast("double")
 
     share = min(1.0, 1.5 * sample / max(n_rows, 1))
-    if n_rows <= 4 * sample:
-        share = 1.0
-    if share * trees <= 1.0:
-        drawn = featured.withColumn("_u", unit(F.lit(seed))).filter(F.col("_u") < share * trees)
-        drawn = drawn.withColumn("tree", F.least(F.floor(F.col("_u") / share), F.lit(trees - 1)).cast("int"))
-    else:
-        joins = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.lit(seed), t) < share)
-        drawn = featured.withColumn("tree", F.explode(joins))
+    # Chance of at most k trees, for k below the number of trees.
+    chance = [math.comb(trees, k) * share**k * (1 - share) ** (trees - k) for k in range(trees)]
+    at_most = F.array(*[F.lit(min(1.0, sum(chance[:k + 1]))) for k in range(trees)])
+    by_hash = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        F.xxhash64("transaction_id", F.lit(seed), t).alias("h"), t.alias("t"))))
+    drawn = (
+        featured.withColumn("_u", unit(F.lit(seed))).filter(F.col("_u") >= chance[0])
+        .withColumn("_k", F.size(F.filter(at_most, lambda c: c <= F.col("_u"))))
+        .withColumn("tree", F.explode(F.slice(by_hash, 1, F.col("_k")))).withColumn("tree", F.col("tree.t"))
+    )
     order = Window.partitionBy("tree").orderBy(F.xxhash64("transaction_id", F.lit(seed + 1), "tree"), "transaction_id")
     return (
         drawn.withColumn("_rank", F.row_number().over(order))
@@ -241,7 +252,8 @@ def detect(ledger: DataFrame, contamination: float = schemas.CONTAMINATION) -> D
     """Features, fit, score and flags.
 
     Features and scores are each stored once in the shared folder, because
-    fit, threshold, normalisation and flags all read them.
+    fit, threshold, normalisation and flags all read them. Inside a
+    `session.scratch` block they are removed when the flags are stored.
     """
     featured = materialize(features(ledger), "features")
     model = fit_forest(featured)
@@ -258,7 +270,7 @@ def detect(ledger: DataFrame, contamination: float = schemas.CONTAMINATION) -> D
 
 def rule_flags(featured: DataFrame) -> DataFrame:
     """Rows that a reason predicate alone picks out, with that reason."""
-    picked = (F.col("z_amount") > Z_LIMIT) | (F.col("same_day") > SAME_DAY_LIMIT)
+    picked = (F.abs("z_amount") > Z_LIMIT) | (F.col("same_day") > SAME_DAY_LIMIT)
     return featured.filter(picked).select(
         "transaction_id", "account_id", "txn_date", "z_amount", "same_day", reason().alias("reason"))
 

@@ -21,22 +21,25 @@ def append_rows(ledger: DataFrame, new_rows: DataFrame) -> DataFrame:
     return ledger.unionByName(normalise_rows(new_rows).select(*ledger.columns))
 
 
-def apply_changes(ledger: DataFrame, updates: DataFrame, deletes: DataFrame) -> DataFrame:
+def apply_changes(ledger: DataFrame, updates: DataFrame, deletes: DataFrame, sequence: str = "sequence") -> DataFrame:
     """The ledger after updates and deletes by transaction id; a delete wins over an update.
 
-    Both become one change per id, so the ledger is read and joined once.
-    Changes of ids that the ledger does not hold have no effect. Write the
-    result to a new path: the ledger's own path is an input of this plan.
+    Of several updates of one id, the one with the highest `sequence`, a column
+    of `updates`, is the last and wins. Updates and deletes become one change
+    per id, so the ledger is read and joined once. Changes of ids that the
+    ledger does not hold have no effect. Write the result to a new path: the
+    ledger's own path is an input of this plan.
     """
     columns = [c for c in ledger.columns if c != "transaction_id"]
     new = F.struct(*[F.col(c).cast(ledger.schema[c].dataType).alias(c) for c in columns])
-    updated = normalise_rows(updates).select("transaction_id", new.alias("_new"), F.lit(False).alias("_gone"))
+    updated = normalise_rows(updates).select(
+        "transaction_id", F.struct(F.col(sequence).alias("_at"), new.alias("_row")).alias("_new"), F.lit(False).alias("_gone"))
     gone = deletes.select(
         "transaction_id", F.lit(None).cast(updated.schema["_new"].dataType).alias("_new"), F.lit(True).alias("_gone"))
     per_id = updated.unionByName(gone).groupBy("transaction_id").agg(
         F.max("_new").alias("_new"), F.max("_gone").alias("_gone"))
     merged = ledger.join(per_id, "transaction_id", "left").filter(~F.coalesce("_gone", F.lit(False)))
-    pick = {c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)) for c in columns}
+    pick = {c: F.when(F.col("_new").isNotNull(), F.col("_new._row")[c]).otherwise(F.col(c)) for c in columns}
     return merged.select(*[pick[c].alias(c) if c in pick else F.col(c) for c in ledger.columns])
 
 

@@ -4,22 +4,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 50_000
 HOT_SHARE = 1_000
 SPREAD = 512
 
 
-def join_dimension(facts: DataFrame, dimension: DataFrame, on, how: str = "left",
-                   max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table to a large one.
+def join_dimension(facts: DataFrame, dimension: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join a lookup table to a large one by a key; no row of `facts` is ever doubled.
 
-    The lookup is counted, up to `max_rows`, before it is broadcast. A larger
-    one is joined without a hint, where the optimizer shuffles both sides and
-    the skew join splits hot keys.
+    A key that the lookup holds twice gets the smallest of its rows. There is no
+    hint: the planner broadcasts a lookup by its stored or measured size, and
+    shuffles both sides of a larger one, where the skew join splits hot keys.
     """
-    if dimension.limit(max_rows + 1).count() <= max_rows:
-        dimension = F.broadcast(dimension)
-    return facts.join(dimension, on, how)
+    values = [c for c in dimension.columns if c != on]
+    if values:
+        single = dimension.groupBy(on).agg(F.min(F.struct(*values)).alias("_row")).select(on, "_row.*")
+    else:
+        single = dimension.select(on).distinct()
+    return facts.join(single, on, how)
 
 
 def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str,

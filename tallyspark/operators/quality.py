@@ -35,7 +35,7 @@ class Relationship:
     parent_column: str
 
 
-# The declared data tests: eleven on staging, seven on marts.
+# The declared data tests, eleven on staging, seven on marts.
 STAGING_TESTS = (
     Unique("stg_accounts", ("account_id",)), NotNull("stg_accounts", "account_id"),
     Unique("stg_categories", ("category_id",)), NotNull("stg_categories", "category_id"),
@@ -52,7 +52,7 @@ MART_TESTS = (
     Unique("account_health", ("account_id",)), NotNull("account_health", "account_id"),
 )
 
-# The constraints of the table definitions, as tests over typed tables.
+# The constraints of the table definitions, as tests over typed tables.
 SCHEMA_TESTS = (
     Accepted("accounts", "account_type", ACCOUNT_TYPES),
     Accepted("categories", "category_group", CATEGORY_GROUPS),

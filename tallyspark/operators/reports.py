@@ -30,6 +30,7 @@ def kpis(accounts: DataFrame, health: DataFrame, monthly: DataFrame) -> DataFram
     )
 
 
+# The words of statuses, marks and recommendations below.
 def runway_status(kpi: DataFrame) -> DataFrame:
     """Words for the figures. A runway below the buffer, negative ones included, warns."""
     short = F.coalesce(F.col("runway_days") < RUNWAY_BUFFER_DAYS, F.lit(False))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.columns import month_range
+from tallyspark.functions.columns import month_range, ordered_months
 from tallyspark.operators.joins import top_per_group
 
 
@@ -60,6 +60,13 @@ def category_drilldown(ledger: DataFrame, category_name: str, start_month=None,
         & (F.col("txn_type") == "debit")
         & month_range(start_month, end_month)
     )
+    if "txn_month" in ledger.columns:
+        # The stored ledger's folders are months; those outside the range are not even listed.
+        start_month, end_month = ordered_months(start_month, end_month)
+        if start_month is not None:
+            wanted = wanted & (F.col("txn_month") >= start_month)
+        if end_month is not None:
+            wanted = wanted & (F.col("txn_month") <= end_month)
     return (
         _of(ledger, account_id).filter(wanted)
         .select("account_id", "transaction_id", "txn_date", "merchant_name", "amount", "is_recurring")

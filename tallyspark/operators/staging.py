@@ -40,9 +40,9 @@ def stage_transactions(raw: DataFrame) -> DataFrame:
     """The lenient cleaner: drops rows without a plain amount, a known type or a date.
 
     Text such as `1.2.3` passes the character test but is no number; it is
-    dropped rather than failing the job.
+    dropped rather than failing the job. `staging_report` counts what goes.
     """
-    typed = raw.filter(F.col("amount").rlike("^[0-9.]+$")).select(
+    typed = raw.filter(raw_fault().isNull()).select(
         F.col("source_txn_id").alias("transaction_id"),
         F.col("account_ref").try_cast("bigint").alias("account_id"),
         F.col("txn_date").try_cast("date").alias("txn_date"),
@@ -53,11 +53,25 @@ def stage_transactions(raw: DataFrame) -> DataFrame:
         "description",
         (F.col("is_recurring") == "1").alias("is_recurring"),
     )
-    return typed.filter(
-        F.col("amount").isNotNull() & F.col("txn_type").isin("credit", "debit") & F.col("txn_date").isNotNull()
+    return typed
+
+
+def raw_fault():
+    """Why the lenient cleaner drops a raw row; NULL for rows that stay."""
+    plain = F.coalesce(F.col("amount").rlike("^[0-9.]+$"), F.lit(False))
+    return (
+        F.when(~plain | F.col("amount").try_cast("double").isNull(), "amount")
+        .when(F.col("amount").try_cast(MONEY).isNull(), "amount_too_large")
+        .when(~F.coalesce(F.lower(F.trim("txn_type")).isin("credit", "debit"), F.lit(False)), "txn_type")
+        .when(F.col("txn_date").try_cast("date").isNull(), "txn_date")
     )
 
 
+def staging_report(raw: DataFrame) -> DataFrame:
+    """Raw transactions by what the lenient cleaner does with them."""
+    return raw.groupBy(F.coalesce(raw_fault(), F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def stage_budgets(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("account_ref").try_cast("bigint").alias("account_id"),
@@ -100,7 +114,7 @@ def load_budgets(raw: DataFrame, categories: DataFrame, accounts: DataFrame | No
                  existing: DataFrame | None = None) -> DataFrame:
     """Budgets with known categories; the last load of an (account, category, month) wins.
 
-    `load_seq` orders the rows of the feed. Rows of `existing` budgets lose to
+    `load_seq`, of any type that sorts, orders the rows of the feed. Rows of `existing` budgets lose to
     any row of the feed. With `accounts` given, a reference to a missing account
     aborts the load.
     """
@@ -115,10 +129,10 @@ def load_budgets(raw: DataFrame, categories: DataFrame, accounts: DataFrame | No
         earlier = existing.join(categories.select("category_name", "category_id"), "category_name", "inner")
         known = known.unionByName(
             earlier.select("category_name", "category_id", "account_id", "month", "budgeted_amount")
-            .withColumn("load_seq", F.lit(None).cast("bigint"))
+            .withColumn("load_seq", F.lit(None).cast(raw.schema["load_seq"].dataType))
         )
-    # max_by skips nothing and combines before the shuffle; NULL sequence sorts first.
-    order = F.struct(F.coalesce("load_seq", F.lit(-1)), F.col("budgeted_amount"))
+    # max_by skips nothing and combines before the shuffle; rows without a sequence come first.
+    order = F.struct(F.col("load_seq").isNotNull(), F.col("load_seq"), F.col("budgeted_amount"))
     return known.groupBy("account_id", "category_id", "category_name", "month").agg(
         F.max_by("budgeted_amount", order).alias("budgeted_amount")
     )
@@ -130,7 +144,7 @@ def _typed_budgets(raw: DataFrame) -> DataFrame:
         F.trim("category_name").alias("category_name"),
         "month",
         F.col("budgeted_amount").try_cast(MONEY).alias("budgeted_amount"),
-        F.col("load_seq").cast("bigint").alias("load_seq"),
+        "load_seq",
     )
 
 

@@ -41,6 +41,13 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
        concat_ws(' - ', p_brand, p_type) AS description, l_returnflag = 'R' AS is_recurring
 FROM lineitem LEFT JOIN part ON p_partkey = l_partkey"""
 
+TABLES["orphan_ledger"] = """
+SELECT transaction_id, account_id, txn_date, merchant_name, category_name, amount, txn_type FROM ledger
+UNION ALL SELECT 'a-' || transaction_id, account_id + 1000000000, CAST(txn_date + to_days(36500) AS DATE), merchant_name,
+                 category_name, amount, txn_type FROM ledger WHERE is_recurring
+UNION ALL SELECT 'c-' || transaction_id, account_id, CAST(txn_date + to_days(36500) AS DATE), merchant_name,
+                 'Uncharted', amount, txn_type FROM ledger WHERE is_recurring"""
+
 TABLES["fct"] = """
 SELECT t.*, c.category_group FROM ledger t LEFT JOIN categories c ON c.category_name = t.category_name"""
 
@@ -126,7 +133,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, amt) AS so
             WHEN d = 0.01 AND k = 1 THEN 'y' ELSE CAST(l_suppkey AS VARCHAR) END AS account_ref,
        CASE WHEN d = 0 AND k = 3 THEN '' WHEN d = 0 AND k = 4 THEN '2026-13-01'
             ELSE strftime(l_shipdate, '%Y-%m-%d') END AS txn_date,
-       CASE WHEN d = 0 AND k = 6 THEN 'Some Unknown Shop' WHEN d = 0.01 AND k = 5 THEN NULL
+       CASE WHEN d = 0 AND k = 6 THEN 'Nameless Kiosk' WHEN d = 0.01 AND k = 5 THEN NULL
             ELSE p_brand || ' ' END AS merchant_name,
        CASE WHEN d = 0.1 AND k = 4 THEN 'Uncharted' ELSE ' ' || p_type END AS category_name,
        CASE WHEN (d = 0.1 AND k = 5) OR (d = 0.01 AND k = 1) THEN 'abc' WHEN d = 0.1 AND k = 6 THEN '-' || amt
@@ -169,7 +176,7 @@ TABLES["stg_txn"] = """
 SELECT source_txn_id AS transaction_id, TRY_CAST(account_ref AS BIGINT) AS account_id,
        TRY_CAST(txn_date AS DATE) AS txn_date, trim(merchant_name) AS merchant_name,
        trim(category_name) AS category_name, TRY_CAST(amount AS DECIMAL(12,2)) AS amount,
-       lower(trim(txn_type)) AS txn_type, is_recurring = '1' AS is_recurring
+       lower(trim(txn_type)) AS txn_type, description, is_recurring = '1' AS is_recurring
 FROM raw_txn
 WHERE regexp_full_match(amount, '[0-9.]+') AND TRY_CAST(amount AS DECIMAL(12,2)) IS NOT NULL
   AND lower(trim(txn_type)) IN ('credit', 'debit') AND TRY_CAST(txn_date AS DATE) IS NOT NULL"""
@@ -277,7 +284,7 @@ FROM (SELECT account_id, month, category_name || ' ' AS category_name, budget_ce
 # --- sources and sinks ---
 QUERIES["src_csv"] = """
 SELECT source_txn_id, account_ref, txn_date, coalesce(merchant_name, '') AS merchant_name, category_name, amount,
-       txn_type, is_recurring
+       txn_type, replace(description, ' - ', chr(10) || '"-", ') AS description, is_recurring
 FROM raw_txn"""
 QUERIES["src_accounts_ref"] = "SELECT account_ref, account_name, opening_balance FROM raw_accounts"
 QUERIES["src_table"] = """
@@ -290,14 +297,14 @@ UNION ALL SELECT 'transactions', count(*) FROM raw_txn
 UNION ALL SELECT 'budgets', count(*) FROM raw_budgets"""
 QUERIES["sink_loaded_at"] = "SELECT count(*) AS n, count(*) AS n_stamped FROM raw_txn"
 QUERIES["sink_ml_replace"] = f"""
-SELECT transaction_id, {REASON} AS reason FROM ev_features WHERE z_amount > 2 OR same_day > 3"""
+SELECT transaction_id, {REASON} AS reason FROM ev_features WHERE abs(z_amount) > 2 OR same_day > 3"""
 QUERIES["sink_materialize"] = QUERIES["monthly_cashflow"] = """
 SELECT account_id, month, CAST(total_income AS DOUBLE) AS total_income,
        CAST(total_expense AS DOUBLE) AS total_expense, CAST(net_flow AS DOUBLE) AS net_flow FROM monthly"""
 QUERIES["sink_csv_export"] = """
 SELECT transaction_id, z_amount AS anomaly_score, 'User #' || account_id || '''s Account' AS account_name,
        'user_' || account_id || '_s_account' AS account_slug
-FROM ev_features WHERE z_amount > 2 OR same_day > 3"""
+FROM ev_features WHERE abs(z_amount) > 2 OR same_day > 3"""
 
 # --- cleaning, validation, keys ---
 for _rule, _name in (
@@ -311,7 +318,16 @@ SELECT transaction_id, account_id, category_name FROM checked WHERE reason_code
 QUERIES["val_round_cents"] = """
 SELECT transaction_id, CAST(amount AS DOUBLE) AS amount FROM checked WHERE reason_code IS NULL"""
 QUERIES["val_report"] = """
-SELECT coalesce(reason_code, 'accepted') AS outcome, count(*) AS n FROM checked GROUP BY 1"""
+SELECT coalesce(reason_code, 'accepted') AS outcome, count(*) AS n, min(reason) AS example FROM checked GROUP BY 1"""
+QUERIES["val_reject_sample"] = """
+SELECT transaction_id, reason_code, reason FROM checked WHERE reason_code IS NOT NULL
+ORDER BY transaction_id, reason LIMIT 10"""
+QUERIES["stg_report"] = """
+SELECT CASE WHEN NOT regexp_full_match(amount, '[0-9.]+') OR TRY_CAST(amount AS DOUBLE) IS NULL THEN 'amount'
+            WHEN TRY_CAST(amount AS DECIMAL(12,2)) IS NULL THEN 'amount_too_large'
+            WHEN lower(trim(txn_type)) NOT IN ('credit', 'debit') THEN 'txn_type'
+            WHEN TRY_CAST(txn_date AS DATE) IS NULL THEN 'txn_date' ELSE 'kept' END AS outcome, count(*) AS n
+FROM raw_txn GROUP BY 1"""
 QUERIES["load_accounts"] = """
 SELECT CAST(account_ref AS BIGINT) AS account_id, account_name, account_type, owner_name, currency,
        CAST(opening_balance AS DOUBLE) AS opening_balance FROM raw_accounts"""
@@ -320,7 +336,7 @@ QUERIES["load_merchants"] = """
 SELECT m.merchant_id, m.merchant_name, c.category_id AS default_category_id
 FROM stg_merchants m LEFT JOIN categories c ON c.category_name = m.default_category"""
 QUERIES["load_budgets"] = """
-SELECT account_id, category_name, month, CAST(budget_cents + 10000 AS DOUBLE) / 100 AS budgeted_amount FROM budgets"""
+SELECT account_id, md5(category_name) AS category_id, category_name, month, CAST(budget_cents + 10000 AS DOUBLE) / 100 AS budgeted_amount FROM budgets"""
 QUERIES["stg_accounts"] = """
 SELECT account_id, account_name, account_type, owner_name, currency,
        CAST(opening_balance AS DOUBLE) AS opening_balance FROM stg_accounts"""
@@ -329,7 +345,7 @@ SELECT category_id, category_name, category_group FROM categories"""
 QUERIES["stg_merchants"] = "SELECT merchant_id, merchant_name, default_category FROM stg_merchants"
 QUERIES["stg_transactions"] = """
 SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, merchant_name, category_name,
-       CAST(amount AS DOUBLE) AS amount, txn_type, is_recurring FROM stg_txn"""
+       CAST(amount AS DOUBLE) AS amount, txn_type, description, is_recurring FROM stg_txn"""
 QUERIES["stg_budgets"] = """
 SELECT CAST(account_ref AS BIGINT) AS account_id, trim(category_name) AS category_name, month,
        CAST(budget_cents AS DOUBLE) / 100 AS budgeted_amount FROM raw_budgets"""
@@ -414,11 +430,13 @@ SELECT account_id, account_name, account_type, CAST(opening_balance AS DOUBLE) A
 QUERIES["q02_recent_txns"] = """
 SELECT t.transaction_id, CAST(t.txn_date AS VARCHAR) AS txn_date, a.account_name, t.merchant_name, t.category_name,
        CAST(t.amount AS DOUBLE) AS amount, t.txn_type
-FROM ledger t JOIN accounts a ON a.account_id = t.account_id JOIN categories c ON c.category_name = t.category_name
+FROM orphan_ledger t JOIN accounts a ON a.account_id = t.account_id
+JOIN categories c ON c.category_name = t.category_name
 ORDER BY t.txn_date DESC, t.transaction_id LIMIT 10"""
 QUERIES["q03_category_total"] = """
-SELECT category_name, CAST(sum(amount) AS DOUBLE) AS total_spend FROM fct
-WHERE txn_type = 'debit' AND category_name IS NOT NULL GROUP BY category_name"""
+SELECT t.category_name, CAST(sum(t.amount) AS DOUBLE) AS total_spend
+FROM orphan_ledger t JOIN categories c ON c.category_name = t.category_name
+WHERE t.txn_type = 'debit' GROUP BY t.category_name"""
 QUERIES["q04_high_expense_accounts"] = """
 SELECT account_id, CAST(sum(total_expense) AS DOUBLE) / count(*) AS avg_monthly_expense FROM monthly
 GROUP BY account_id HAVING sum(total_expense) > 3000 * count(*)"""
@@ -438,7 +456,9 @@ WHERE rnk <= 3"""
 QUERIES["q08_anomaly_review"] = """
 SELECT f.transaction_id, f.anomaly_score, f.reason, CAST(t.txn_date AS VARCHAR) AS txn_date, a.account_name,
        CAST(t.amount AS DOUBLE) AS amount, t.category_name
-FROM distance_flags f JOIN ledger t ON t.transaction_id = f.transaction_id
+FROM (SELECT transaction_id, anomaly_score, reason FROM distance_flags
+      UNION ALL SELECT p || transaction_id, 9, 'x' FROM ledger, (VALUES ('a-'), ('gone-')) v(p) WHERE is_recurring) f
+JOIN orphan_ledger t ON t.transaction_id = f.transaction_id
 JOIN accounts a ON a.account_id = t.account_id
 ORDER BY f.anomaly_score DESC, f.transaction_id LIMIT 20"""
 QUERIES["q09_budget_variance"] = """
@@ -467,7 +487,7 @@ QUERIES["srv_categories"] = "SELECT category_id, category_name FROM categories"
 QUERIES["srv_merchants"] = "SELECT merchant_id, merchant_name, default_category FROM merchants"
 QUERIES["srv_recent_300"] = """
 SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, merchant_name, category_name,
-       CAST(amount AS DOUBLE) AS amount, txn_type, is_recurring
+       CAST(amount AS DOUBLE) AS amount, txn_type, description, is_recurring
 FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date DESC, transaction_id DESC) AS rn
       FROM ledger) WHERE rn <= 300"""
 QUERIES["srv_data_status"] = """
@@ -555,7 +575,8 @@ FROM rec_top"""
 # --- anomalies ---
 QUERIES["anom_input"] = """
 SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, category_name,
-       CAST(amount AS DOUBLE) AS amount FROM debits"""
+       CAST(amount AS DOUBLE) AS amount
+FROM orphan_ledger WHERE txn_type = 'debit' AND category_name IN (SELECT category_name FROM categories)"""
 QUERIES["anom_calendar"] = "SELECT transaction_id, day_of_week, day_of_month FROM ev_features"
 QUERIES["anom_zscore"] = "SELECT transaction_id, z_amount FROM ev_features"
 QUERIES["anom_same_day"] = "SELECT transaction_id, same_day FROM ev_features"
@@ -566,7 +587,7 @@ SELECT transaction_id, CAST(amount AS DOUBLE) AS f0_amount, coalesce(z_amount, 0
 QUERIES["anom_reason"] = f"SELECT transaction_id, {REASON} AS reason FROM ev_features"
 QUERIES["anom_rules"] = f"""
 SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, z_amount, same_day, {REASON} AS reason
-FROM ev_features WHERE z_amount > 2 OR same_day > 3"""
+FROM ev_features WHERE abs(z_amount) > 2 OR same_day > 3"""
 QUERIES["anom_duplicate_charges"] = """
 SELECT account_id, category_name AS merchant_name, CAST(txn_date AS VARCHAR) AS txn_date,
        floor(CAST(amount AS DOUBLE)) AS amount, count(*) AS n
@@ -601,14 +622,16 @@ FROM split WHERE NOT is_train GROUP BY account_id"""
 
 # --- change sets ---
 QUERIES["edit_append"] = """
-SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, merchant_name,
+SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, merchant_name, category_name,
        CAST(amount AS DOUBLE) AS amount, txn_type, description, is_recurring FROM ledger
 UNION ALL
-SELECT 'e-' || transaction_id, account_id, CAST(txn_date AS VARCHAR), merchant_name, CAST(amount AS DOUBLE),
+SELECT 'e-' || transaction_id, account_id, CAST(txn_date AS VARCHAR), merchant_name, category_name, CAST(amount AS DOUBLE),
        'debit', NULL, false FROM ev"""
 QUERIES["edit_update_delete"] = """
-SELECT transaction_id, CASE WHEN is_recurring THEN NULL ELSE merchant_name END AS merchant_name,
-       CAST(amount AS DOUBLE) AS amount, CASE WHEN is_recurring THEN 'credit' ELSE txn_type END AS txn_type
+SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date,
+       CASE WHEN is_recurring THEN NULL ELSE merchant_name END AS merchant_name, category_name,
+       CAST(amount AS DOUBLE) AS amount, CASE WHEN is_recurring THEN 'credit' ELSE txn_type END AS txn_type,
+       description, is_recurring
 FROM ledger WHERE NOT amount < 30000"""
 QUERIES["edit_merchant_upsert"] = """
 SELECT merchant_id, merchant_name, default_category FROM merchants

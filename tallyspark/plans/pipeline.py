@@ -1,6 +1,7 @@
 """The daily run: raw files to validated ledger, marts, gate, models and results."""
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.operators import anomaly, forecast, marts, quality, staging, validation
+from tallyspark.session import scratch
 from tallyspark.sources import files
 
 
@@ -23,8 +25,11 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
     """Read the raw CSV files below `in_dir`, write every result below `out_dir`.
 
     Each step ends in a written table, so a lost executor costs tasks of one
-    step only and later steps read columns, not lineage. The gate raises before
-    any model runs. `out_dir` must not lie below `in_dir`.
+    step only and later steps read columns, not lineage. Malformed rows of any
+    feed end up in `malformed_rows`, those of transactions in `rejected` too. A
+    later row of the budget feed replaces an earlier one; files are in order of
+    their paths. The gate raises before any model runs, and the two models run
+    side by side. `out_dir` must not lie below `in_dir`.
     """
     run = RunResult({})
 
@@ -40,14 +45,20 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
 
     def load_raw():
         raw = {
-            name: files.read_raw_csv(spark, f"{in_dir}/{name}.csv", schema).drop(files.CORRUPT)
+            name: files.read_raw_csv(spark, f"{in_dir}/{name}.csv", schema, order="load_seq" if name == "budgets" else None)
             for name, schema in schemas.RAW_TABLES.items() if name != "accounts"
         }
         raw["accounts"] = files.read_accounts_csv(spark, f"{in_dir}/accounts.csv")
-        # Later lines of the budget file replace earlier ones.
-        raw["budgets"] = raw["budgets"].withColumn("load_seq", F.monotonically_increasing_id())
+        malformed = None
         for name, path in files.land_raw(raw, out_dir).items():
-            run.tables[f"raw_{name}"] = spark.read.parquet(path)
+            landed = spark.read.parquet(path)
+            marked = landed.filter(F.col(files.CORRUPT).isNotNull()).select(
+                F.lit(name).alias("feed"), F.col(files.CORRUPT).alias("record"))
+            malformed = marked if malformed is None else malformed.unionByName(marked)
+            # The validation gives malformed transactions their reason; other feeds go on without such rows.
+            run.tables[f"raw_{name}"] = landed if name == "transactions" else (
+                landed.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT))
+        stored("malformed_rows", malformed)
 
     def stage():
         t = run.tables
@@ -90,20 +101,25 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
     def flag():
         if anomaly.debits(run.tables["fct_transactions"]).isEmpty():
             return
-        found = anomaly.detect(run.tables["fct_transactions"])
-        stored("anomaly_flags", found.flags)
+        with scratch(spark):
+            stored("anomaly_flags", anomaly.detect(run.tables["fct_transactions"]).flags)
 
     def predict():
         t = run.tables
         daily = t["daily_movement"].select("account_id", "txn_date", "net_flow")
-        split = forecast.with_split(forecast.feature_rows(forecast.densify(daily)))
+        rows = forecast.feature_rows(forecast.densify(daily))
+        stored("skipped_accounts", forecast.skipped_accounts(t["accounts"], rows))
+        split = forecast.with_split(rows)
         stored("forecast_models", forecast.fit_and_forecast(split))
         stored("cashflow_forecast", forecast.forecast_table(t["forecast_models"], t["account_health"]))
         stored("forecast_metrics", forecast.metrics(t["forecast_models"], split))
 
     for name, work in (
         ("load raw", load_raw), ("stage and validate", stage), ("marts", build_marts),
-        ("quality gate", gate), ("anomalies", flag), ("forecast", predict),
+        ("quality gate", gate),
     ):
         step(name, work)
+    with ThreadPoolExecutor(2) as models:
+        for running in [models.submit(step, *s) for s in (("anomalies", flag), ("forecast", predict))]:
+            running.result()
     return run

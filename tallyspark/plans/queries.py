@@ -52,10 +52,12 @@ def _write_csv(df: DataFrame, path: str) -> None:
 
 @query("src_csv")
 def _(t):
+    """Columns in another order, and a line break and quotes inside a field."""
     path = scratch_path(t.spark, "transactions-csv")
-    _write_csv(t.raw_feed, path)
+    feed = t.raw_feed.withColumn("description", F.replace("description", F.lit(" - "), F.lit('\n"-", ')))
+    _write_csv(feed.select(*reversed(feed.columns), F.lit("x").alias("unused")), path)
     back = files.read_raw_csv(t.spark, path, schemas.RAW_TABLES["transactions"])
-    return back.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT, "description")
+    return back.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT)
 
 
 @query("src_accounts_ref")
@@ -100,7 +102,7 @@ def _(t):
 def _(t):
     """Replaces the flag table twice; it must hold one copy."""
     path = scratch_path(t.spark, "flags")
-    flags = materialize(anomaly.rule_flags(t.event_features), "rule-flags")
+    flags = anomaly.rule_flags(t.event_features)
     files.replace_table(flags, path)
     files.replace_table(flags, path)
     return t.spark.read.parquet(path).select("transaction_id", "reason")
@@ -153,7 +155,12 @@ def _(t):
 
 @query("val_report")
 def _(t):
-    return validation.validation_report(t.checked).select("outcome", "n")
+    return validation.validation_report(t.checked)
+
+
+@query("val_reject_sample")
+def _(t):
+    return validation.reject_sample(t.checked, 10)
 
 
 @query("load_accounts")
@@ -173,9 +180,13 @@ def _(t):
 
 @query("load_budgets")
 def _(t):
-    return staging.load_budgets(
-        t.raw_budgets, staging.load_categories(t.raw_categories), t.accounts
-    ).drop("category_id")
+    """The feed's loads as two files; the second, larger one wins."""
+    path = scratch_path(t.spark, "budget-feed")
+    feed = t.raw_budgets
+    _write_csv(feed.filter("load_seq = 1").drop("load_seq"), f"{path}/a")
+    _write_csv(feed.filter("load_seq > 1").drop("load_seq"), f"{path}/b")
+    back = files.read_raw_csv(t.spark, f"{path}/*", schemas.RAW_TABLES["budgets"], order="load_seq")
+    return staging.load_budgets(back, staging.load_categories(t.raw_categories), t.accounts)
 
 
 @query("stg_accounts")
@@ -195,7 +206,12 @@ def _(t):
 
 @query("stg_transactions")
 def _(t):
-    return staging.stage_transactions(t.raw_transactions).drop("description")
+    return staging.stage_transactions(t.raw_feed)
+
+
+@query("stg_report")
+def _(t):
+    return staging.staging_report(t.raw_feed)
 
 
 @query("stg_budgets")
@@ -322,12 +338,12 @@ def _(t):
 
 @query("q02_recent_txns")
 def _(t):
-    return analytics.recent_transactions(t.ledger, t.accounts)
+    return analytics.recent_transactions(t.ledger_with_orphans, t.accounts, t.categories)
 
 
 @query("q03_category_total")
 def _(t):
-    return analytics.category_totals(t.ledger)
+    return analytics.category_totals(t.ledger_with_orphans, t.categories)
 
 
 @query("q04_high_expense_accounts")
@@ -352,7 +368,7 @@ def _(t):
 
 @query("q08_anomaly_review")
 def _(t):
-    return analytics.review_flags(t.distance_flags, t.ledger, t.accounts)
+    return analytics.review_flags(t.flags_with_orphans, t.ledger_with_orphans, t.accounts)
 
 
 @query("q09_budget_variance")
@@ -429,7 +445,7 @@ def _(t):
 
 @query("srv_recent_300")
 def _(t):
-    return serving.newest_per_account(t.ledger).drop("description")
+    return serving.newest_per_account(t.ledger)
 
 
 @query("srv_data_status")
@@ -507,7 +523,7 @@ def _(t):
 
 @query("anom_input")
 def _(t):
-    return anomaly.debits(t.ledger)
+    return anomaly.debits(t.ledger_with_orphans, t.categories)
 
 
 @query("anom_calendar")
@@ -685,16 +701,18 @@ def _(t):
         "account_id", "txn_date", F.concat(F.lit(" "), "merchant_name").alias("merchant_name"), "category_name",
         (-F.col("amount")).alias("amount"), "txn_type", F.lit("  ").alias("description"),
         F.lit(False).alias("is_recurring"))
-    return changes.append_rows(t.ledger, new_rows).drop("category_name")
+    return changes.append_rows(t.ledger, new_rows)
 
 
 @query("edit_update_delete")
 def _(t):
-    updates = t.ledger.filter(F.col("is_recurring")).withColumns(
-        {"amount": -F.col("amount"), "merchant_name": F.lit("  "), "txn_type": F.lit("credit")})
+    """Two updates of each changed id, the later one with the smaller values."""
+    changed = t.ledger.filter(F.col("is_recurring"))
+    first = changed.withColumns({"amount": F.col("amount") + 1, "merchant_name": F.lit("Zz"), "sequence": F.lit(1)})
+    last = changed.withColumns({
+        "amount": -F.col("amount"), "merchant_name": F.lit("  "), "txn_type": F.lit("credit"), "sequence": F.lit(2)})
     deletes = t.ledger.filter(F.col("amount") < 30000).select("transaction_id")
-    return changes.apply_changes(t.ledger, updates, deletes).select(
-        "transaction_id", "merchant_name", "amount", "txn_type")
+    return changes.apply_changes(t.ledger, last.unionByName(first), deletes)
 
 
 @query("edit_merchant_upsert")

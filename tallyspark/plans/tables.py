@@ -41,6 +41,17 @@ class Tables:
     def ledger(self):
         return self._from(source.transactions)
 
+    @cached_property
+    def ledger_with_orphans(self):
+        """The ledger and newer rows whose account or category does not exist."""
+        newer = self.ledger.filter("is_recurring").withColumn("txn_date", F.date_add("txn_date", 36500))
+        of_unknown_account = newer.withColumns({
+            "transaction_id": F.concat(F.lit("a-"), "transaction_id"),
+            "account_id": F.col("account_id") + 1_000_000_000})
+        of_unknown_category = newer.withColumns({
+            "transaction_id": F.concat(F.lit("c-"), "transaction_id"), "category_name": F.lit("Uncharted")})
+        return self.ledger.unionByName(of_unknown_account).unionByName(of_unknown_category)
+
     @cached_property
     def events(self):
         return self._from(source.event_transactions)
@@ -123,6 +134,17 @@ class Tables:
         return rows.filter(F.abs("z_amount") > 1.5).select(
             "transaction_id", score.alias("anomaly_score"), anomaly.reason().alias("reason"))
 
+    @cached_property
+    def flags_with_orphans(self):
+        """The same flags and higher ones of unknown accounts and of transactions that do not exist."""
+        ids = self.ledger.filter("is_recurring").select("transaction_id")
+        higher = [
+            ids.select(F.concat(F.lit(prefix), "transaction_id").alias("transaction_id"),
+                       F.lit(9).cast("decimal(6,4)").alias("anomaly_score"), F.lit("x").alias("reason"))
+            for prefix in ("a-", "gone-")
+        ]
+        return self.distance_flags.unionByName(higher[0]).unionByName(higher[1])
+
     @cached_property
     def dense(self):
         return forecast.densify(forecast.daily_net(self.movements))

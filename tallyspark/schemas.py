@@ -34,29 +34,18 @@ def _text(*names):
     return _struct(*[(n, T.StringType()) for n in names])
 
 
-S, L, D, B, TS = (T.StringType(), T.LongType(), T.DateType(), T.BooleanType(), T.TimestampType())
-
 ACCOUNTS = _struct(
-    ("account_id", L), ("account_name", S), ("account_type", S), ("owner_name", S),
-    ("currency", S), ("opening_balance", MONEY),
-)
-CATEGORIES = _struct(("category_id", S), ("category_name", S), ("category_group", S))
-MERCHANTS = _struct(("merchant_id", S), ("merchant_name", S), ("default_category", S))
-TRANSACTIONS = _struct(
-    ("transaction_id", S), ("account_id", L), ("txn_date", D), ("merchant_name", S),
-    ("category_name", S), ("amount", MONEY), ("txn_type", S), ("description", S),
-    ("is_recurring", B),
+    ("account_id", T.LongType()), ("account_name", T.StringType()), ("account_type", T.StringType()),
+    ("owner_name", T.StringType()), ("currency", T.StringType()), ("opening_balance", MONEY),
 )
-BUDGETS = _struct(("account_id", L), ("category_name", S), ("month", S), ("budgeted_amount", MONEY))
-ANOMALY_FLAGS = _struct(
-    ("transaction_id", S), ("anomaly_score", SCORE), ("reason", S), ("model_version", S),
-)
-FORECAST = _struct(
-    ("account_id", L), ("forecast_date", D), ("predicted_net_flow", MONEY),
-    ("predicted_balance", MONEY), ("model_version", S),
+CATEGORIES = _text("category_id", "category_name", "category_group")
+MERCHANTS = _text("merchant_id", "merchant_name", "default_category")
+BUDGETS = _struct(
+    ("account_id", T.LongType()), ("category_name", T.StringType()), ("month", T.StringType()),
+    ("budgeted_amount", MONEY),
 )
 
-# The raw zone: every business column is text, as it arrives.
+# The columns of the raw feeds; every business column is text, as it arrives.
 RAW_TABLES = {
     "accounts": _text("account_name", "account_type", "owner_name", "currency", "opening_balance"),
     "categories": _text("category_name", "category_group"),
@@ -67,3 +56,6 @@ RAW_TABLES = {
     ),
     "budgets": _text("account_ref", "category_name", "month", "budgeted_amount"),
 }
+
+# Raw columns that a feed may lack, and what they then hold.
+RAW_DEFAULTS = {"is_recurring": "0"}

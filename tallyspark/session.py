@@ -1,11 +1,15 @@
 """Session settings and durable intermediate tables."""
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+#: For each thread, the paths that `materialize` wrote inside its open `scratch` blocks.
+_open_scratch = threading.local()
 
 
 def local_session(app: str = "tallyspark", cores: int | str = "*") -> SparkSession:
@@ -53,6 +57,40 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallyspark/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    file_system, at = _file_system(spark, path)
+    return file_system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this run wrote."""
+    file_system, at = _file_system(spark, path)
+    file_system.delete(at, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    file_system, at = _file_system(spark, source)
+    if not file_system.rename(at, _file_system(spark, target)[1]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that `materialize` writes inside are removed at the end; results must be stored or collected by then."""
+    blocks = _open_scratch.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for path in blocks.pop():
+            remove(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -61,5 +99,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     optimizer true sizes.
     """
     path = scratch_path(df.sparkSession, label)
+    if blocks := getattr(_open_scratch, "blocks", None):
+        blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

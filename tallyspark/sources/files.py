@@ -1,49 +1,75 @@
 """Reading raw CSV files and writing result tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark import schemas
 from tallyspark.functions.columns import slug
+from tallyspark.session import exists, remove, rename
 
 CORRUPT = "_corrupt_record"
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV file with a header, every column text, blank where a field is empty.
+def read_raw_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True,
+                 order: str | None = None) -> DataFrame:
+    """CSV files with a header, the columns of `schema` by name, every column text, blank where a field is empty.
+
+    A missing column fails, but for those with a default in `schemas.RAW_DEFAULTS`; other columns of the files are left
+    out. All files must have the first one's header. Rows with too few or too many fields keep their text in
+    `_corrupt_record`. Line breaks inside quotes belong to the field; files of feeds without any can be read with
+    `multi_line=False`, which also splits large files between tasks. There an unclosed quote ends with its line, and the
+    row is marked as corrupt.
 
-    Rows with too few or too many fields keep their text in `_corrupt_record`.
+    `order` names a column to add that sorts rows by file path and then by place in the file.
     """
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    header = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
+    missing = [c for c in schema.names if c not in header and c not in schemas.RAW_DEFAULTS]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    in_file = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
     rows = (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("quote", '"').option("escape", '"')
-        .option("multiLine", False)
-        .schema(with_corrupt)
+        .option("multiLine", multi_line)
+        .schema(in_file)
         .csv(path)
     )
+    corrupt = F.col(CORRUPT)
+    if not multi_line:
+        odd_quotes = F.concat_ws(",", *[F.col(f"`{c}`") for c in header])
+        corrupt = F.when(F.regexp_count(odd_quotes, F.lit('"')) % 2 == 1, odd_quotes).otherwise(corrupt)
     # Spark reads an empty field as NULL; here NULL would hide a blank flag or date.
-    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in schema.names], CORRUPT)
+    columns = [
+        F.coalesce(F.col(f"`{c}`") if c in header else F.lit(schemas.RAW_DEFAULTS[c]), F.lit("")).alias(c)
+        for c in schema.names
+    ]
+    if order:
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        columns.append(place.alias(order))
+    return rows.select(*columns, corrupt.alias(CORRUPT))
 
 
 def read_accounts_csv(spark: SparkSession, path: str) -> DataFrame:
     """accounts.csv with its 0-based row position as `account_ref`.
 
-    Position only means something within one file, so this is for a
-    dimension-size file read in order. A file that carries its own
-    `account_ref` column is read as it is.
+    Position only means something within one file, so several files without
+    an `account_ref` column are refused. A file read whole is one task, whose
+    rows are numbered from 0 in order.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    if "account_ref" in header:
-        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-        return read_raw_csv(spark, path, schema).drop(CORRUPT)
-    rows = read_raw_csv(spark, path, schemas.RAW_TABLES["accounts"]).drop(CORRUPT)
-    schema = T.StructType([T.StructField("account_ref", T.StringType(), True)] + rows.schema.fields)
-    numbered = rows.rdd.zipWithIndex().map(lambda pair: (str(pair[1]), *pair[0]))
-    return spark.createDataFrame(numbered, schema)
+    reader = spark.read.option("header", True).csv(path)
+    if "account_ref" in reader.columns:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in reader.columns])
+        return read_raw_csv(spark, path, schema)
+    if len(reader.inputFiles()) > 1:
+        raise ValueError(f"{path} holds several files without account_ref; row positions have no meaning across them")
+    rows = read_raw_csv(spark, path, schemas.RAW_TABLES["accounts"])
+    return rows.select(F.monotonically_increasing_id().cast("string").alias("account_ref"), *rows.columns)
 
 
 def stamp_loaded_at(df: DataFrame) -> DataFrame:
@@ -54,22 +80,58 @@ def stamp_loaded_at(df: DataFrame) -> DataFrame:
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace a whole table with `df`; running it twice leaves one copy.
 
-    Never pass a path that `df` itself reads from.
+    The new rows are written beside the table and moved into its place after
+    they are complete, so a job that fails leaves the old table as it was, and
+    `df` may read the table that it replaces.
+    """
+    replace_tables({path: df}, partition_by)
+
+
+def replace_tables(tables: dict[str, DataFrame], partition_by: list[str] | None = None) -> None:
+    """Replace several tables, by path, as one: none is touched before all are written.
+
+    Folders are switched by renames, which a file system does at once. If one
+    fails, the old folders are put back.
     """
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    spark = next(iter(tables.values())).sparkSession
+    new = {path: f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" for path in tables}
+    try:
+        for path, df in tables.items():
+            writer = df.write
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(new[path])
+    except Exception:
+        for path in new.values():
+            remove(spark, path)
+        raise
+    switched = []
+    try:
+        for path in tables:
+            old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}" if exists(spark, path) else None
+            if old:
+                rename(spark, path, old)
+            switched.append((path, old))
+            rename(spark, new[path], path)
+    except Exception:
+        for path, old in reversed(switched):
+            if old and exists(spark, path):
+                remove(spark, path)
+            if old:
+                rename(spark, old, path)
+        raise
+    for _, old in switched:
+        if old:
+            remove(spark, old)
 
 
 def land_raw(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    """Replace the raw zone, every row stamped; a feed without rows leaves an empty table.
+    """Replace the raw zone as one, every row stamped; a feed without rows leaves an empty table.
 
     Returns the path of each table.
     """
     paths = {name: f"{out_dir}/raw_{name}" for name in tables}
-    for name, df in tables.items():
-        replace_table(stamp_loaded_at(df), paths[name])
+    replace_tables({paths[name]: stamp_loaded_at(df) for name, df in tables.items()})
     return paths
 
 

@@ -165,7 +165,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(fault(0.01, 1), "y").otherwise(F.col("l_suppkey").cast("string")).alias("account_ref"),
         F.when(fault(0.0, 3), "").when(fault(0.0, 4), "2026-13-01")
         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("txn_date"),
-        F.when(fault(0.0, 6), "Some Unknown Shop").when(fault(0.01, 5), F.lit(None))
+        F.when(fault(0.0, 6), "Nameless Kiosk").when(fault(0.01, 5), F.lit(None))
         .otherwise(F.concat("p_brand", F.lit(" "))).alias("merchant_name"),
         F.when(fault(0.1, 4), "Uncharted").otherwise(F.concat(F.lit(" "), "p_type")).alias("category_name"),
         F.when(fault(0.1, 5) | fault(0.01, 1), "abc")

@@ -30,19 +30,19 @@ def by_id(df):
 
 def test_same_day_counts_and_no_nulls(spark):
     rows = by_id(anomaly.features(ledger(spark, [
-        (1, "Groceries", 0, 50), (1, "Groceries", 0, 55), (1, "Dining Out", 1, 400), (1, "Dining Out", 2, 12)])))
+        (1, "Bread", 0, 31), (1, "Bread", 0, 36), (1, "Tools", 1, 270), (1, "Tools", 2, 9)])))
     assert [r.same_day for r in rows] == [2, 2, 1, 1]
     assert all(v is not None for r in rows for v in r.vector)
     assert [r.day_of_week for r in rows] == [3, 3, 4, 5]  # 2026-01-01 is a Thursday
 
 
 def test_outlier_has_the_largest_zscore(spark):
-    rows = by_id(anomaly.features(ledger(spark, [(1, "Shopping", i, 50) for i in range(9)] + [(1, "Shopping", 9, 5000)])))
+    rows = by_id(anomaly.features(ledger(spark, [(1, "Paint", i, 44) for i in range(13)] + [(1, "Paint", 13, 3100)])))
     assert rows[-1].z_amount == max(r.z_amount for r in rows) and rows[-1].z_amount > 2
 
 
 def test_single_row_category_uses_the_global_deviation(spark):
-    rows = by_id(anomaly.features(ledger(spark, [(1, "Rare", 0, 75), (1, "Common", 1, 20), (1, "Common", 2, 22)])))
+    rows = by_id(anomaly.features(ledger(spark, [(1, "Once", 0, 61), (1, "Often", 1, 33), (1, "Often", 2, 38)])))
     assert rows[0].z_amount == 0
     assert all(v is not None for r in rows for v in r.vector)
 

@@ -50,11 +50,14 @@ def test_top_rows_equal_a_single_window(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
-def test_large_dimension_is_joined_without_a_hint(spark):
-    facts, dim = skewed(spark), spark.range(100).select(F.col("id").alias("account_id"), F.lit("x").alias("name"))
-    small = joins.join_dimension(facts, dim, "account_id")
-    large = joins.join_dimension(facts, dim, "account_id", max_rows=50)
-    hint = "broadcast"
-    assert hint in small._jdf.queryExecution().logical().toString().lower()
-    assert hint not in large._jdf.queryExecution().logical().toString().lower()
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+def test_lookup_starts_no_job_and_doubles_no_row(spark):
+    facts = skewed(spark)
+    dim = spark.range(100).select(F.col("id").alias("account_id"), F.lit("x").alias("name"))
+    doubled = dim.unionByName(dim.withColumn("name", F.lit("a")))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "lookup")
+    once, twice = joins.join_dimension(facts, dim, "account_id"), joins.join_dimension(facts, doubled, "account_id")
+    assert not tracker.getJobIdsForGroup("lookup")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert once.count() == twice.count() == facts.count()
+    assert {r.name for r in twice.select("name").distinct().collect()} <= {"a", None}

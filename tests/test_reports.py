@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.operators import analytics, changes, marts, quality, reports, serving
@@ -203,7 +204,9 @@ def test_eighteen_declared_tests():
 def test_changes(spark):
     base = ledger(spark, [{"transaction_id": x} for x in "abcd"])
     updates = ledger(spark, [{"transaction_id": "a", "amount": "-5.56", "merchant_name": " New "},
-                             {"transaction_id": "b"}, {"transaction_id": "zzz"}])
+                             {"transaction_id": "b"}, {"transaction_id": "zzz"}]).withColumn("sequence", F.lit(2))
+    earlier = ledger(spark, [{"transaction_id": "a", "amount": "99", "merchant_name": "Zz"}]).withColumn("sequence", F.lit(1))
+    updates = updates.unionByName(earlier)
     deletes = spark.createDataFrame([("b",), ("c",)], "transaction_id string")
     got = {r.transaction_id: r for r in changes.apply_changes(base, updates, deletes).collect()}
     assert sorted(got) == ["a", "d"]
