@@ -126,52 +126,88 @@ def _with_balance(flows: DataFrame, balances: DataFrame) -> DataFrame:
     )
 
 
-def fit_and_forecast(split: DataFrame, horizon: int = schemas.HORIZON, n_trees: int = schemas.BOOSTER_TREES,
-                     depth: int = schemas.BOOSTER_DEPTH, rate: float = schemas.BOOSTER_RATE) -> DataFrame:
-    """Per account: a backtest on its test days, then a refit on all days and a forecast.
-
-    Returns (account_id, last, step, predicted_net_flow, mae_model); step 0
-    carries the error, later steps carry the flows. Each group is one row per
-    calendar day, so its size is bounded by the span of dates, however many
-    transactions the account has.
+MODEL = (
+    "account_id long, last date, n_rows int, history array<double>, start double, rate double, "
+    "feature array<array<int>>, threshold array<array<double>>, value array<array<double>>"
+)
+
+
+def _inputs(split: DataFrame) -> DataFrame:
+    return split.select(
+        "account_id", "txn_date", "is_train", F.col("net_flow").cast("double").alias("net_flow"),
+        *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
+def backtest(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
+             rate: float = schemas.BOOSTER_RATE) -> DataFrame:
+    """Per account, the error on its test days of a model fit to its train days: (account_id, n_test, mae_model).
+
+    Each group is one row per calendar day, so its size is bounded by the span
+    of dates, however many transactions the account has.
     """
-    lags = schemas.LAGS
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("txn_date")
+        x, y = pdf[FEATURES].to_numpy(dtype=float), pdf["net_flow"].to_numpy(dtype=float)
+        train = pdf["is_train"].to_numpy(dtype=bool)
+        model = kernel.fit(x[train], y[train], n_trees, depth, rate)
+        return pd.DataFrame({
+            "account_id": [pdf["account_id"].iloc[0]], "n_test": [int((~train).sum())],
+            "mae_model": [float(np.abs(y[~train] - model.predict(x[~train])).mean())]})
 
+    return _inputs(split).groupBy("account_id").applyInPandas(run, "account_id long, n_test int, mae_model double")
+
+
+def fit_models(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
+               rate: float = schemas.BOOSTER_RATE) -> DataFrame:
+    """Per account, a model fit to all its days, as one row of plain arrays to store and score again later.
+
+    The row also holds the last day and the days before it that the first
+    forecasts need as lags.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("txn_date")
-        x = pdf[FEATURES].to_numpy(dtype=float)
         y = pdf["net_flow"].to_numpy(dtype=float)
-        train = pdf["is_train"].to_numpy(dtype=bool)
-        backtest = kernel.fit(x[train], y[train], n_trees, depth, rate)
-        mae = float(np.abs(y[~train] - backtest.predict(x[~train])).mean())
-        model = kernel.fit(x, y, n_trees, depth, rate)
-        last = pdf["txn_date"].iloc[-1]
-        history = list(y[-lags:])
-        flows = []
-        for step in range(1, horizon + 1):
-            day = last + pd.Timedelta(days=step)
-            recent = history[-lags:]
-            row = recent[::-1] + [day.weekday(), day.day, float(np.mean(recent))]
-            flows.append(float(model.predict(np.array([row], dtype=float))[0]))
-            history.append(flows[-1])
+        model = kernel.fit(pdf[FEATURES].to_numpy(dtype=float), y, n_trees, depth, rate)
         return pd.DataFrame({
-            "account_id": pdf["account_id"].iloc[0],
-            "last": last,
-            "step": range(horizon + 1),
-            "predicted_net_flow": [0.0] + flows,
-            "mae_model": [mae] + [None] * horizon,
-        })
-
-    inputs = split.select(
-        "account_id", "txn_date", "is_train", F.col("net_flow").cast("double").alias("net_flow"),
-        *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    return inputs.groupBy("account_id").applyInPandas(
-        run, "account_id long, last date, step int, predicted_net_flow double, mae_model double")
+            "account_id": [pdf["account_id"].iloc[0]], "last": [pdf["txn_date"].iloc[-1]], "n_rows": [len(pdf)],
+            "history": [list(y[-schemas.LAGS:])], "start": [model.start], "rate": [model.rate],
+            "feature": [model.feature.tolist()], "threshold": [model.threshold.tolist()], "value": [model.value.tolist()]})
+
+    return _inputs(split).groupBy("account_id").applyInPandas(run, MODEL)
+
 
+def forecast_steps(models: DataFrame, horizon: int = schemas.HORIZON) -> DataFrame:
+    """Stored models carried forward a day at a time: (account_id, last, step, predicted_net_flow).
+
+    Models of a batch advance together; a forecast day is a lag of the next.
+    """
+    lags = schemas.LAGS
 
-def forecast_table(fitted: DataFrame, balances: DataFrame) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            boosters = [
+                kernel.Booster(start, rate, np.stack(feature), np.stack(threshold), np.stack(value))
+                for start, rate, feature, threshold, value in zip(
+                    pdf["start"], pdf["rate"], pdf["feature"], pdf["threshold"], pdf["value"])]
+            for account, last, history, model in zip(pdf["account_id"], pdf["last"], pdf["history"], boosters):
+                flows = list(history)
+                for step in range(1, horizon + 1):
+                    day = last + pd.Timedelta(days=step)
+                    recent = flows[-lags:]
+                    row = recent[::-1] + [day.weekday(), day.day, float(np.mean(recent))]
+                    flows.append(float(model.predict(np.array([row], dtype=float))[0]))
+                yield pd.DataFrame({
+                    "account_id": account, "last": last, "step": range(1, horizon + 1),
+                    "predicted_net_flow": flows[-horizon:] if horizon else []})
+
+    return models.mapInPandas(run, "account_id long, last date, step int, predicted_net_flow double")
+
+
+def forecast_table(steps: DataFrame, balances: DataFrame) -> DataFrame:
     """Forecast rows in cents; the balance runs over unrounded flows."""
-    rows = _with_balance(fitted.filter("step > 0"), balances.withColumn(
+    rows = _with_balance(steps, balances.withColumn(
         "current_balance", F.col("current_balance").cast("double")))
     return rows.select(
         "account_id", "forecast_date",
@@ -181,8 +217,7 @@ def forecast_table(fitted: DataFrame, balances: DataFrame) -> DataFrame:
     )
 
 
-def metrics(fitted: DataFrame, split: DataFrame) -> DataFrame:
+def metrics(backtests: DataFrame, split: DataFrame) -> DataFrame:
     """Errors of both models per account, and whether the model beats the naive one."""
-    model = fitted.filter("step = 0").select("account_id", "mae_model")
-    return model.join(naive_mae(split), "account_id").withColumn(
+    return backtests.select("account_id", "mae_model").join(naive_mae(split), "account_id").withColumn(
         "better", F.col("mae_model") < F.col("mae_naive"))

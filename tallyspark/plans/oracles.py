@@ -620,6 +620,43 @@ SELECT account_id, CAST(sum(abs(CAST(net_flow AS DECIMAL(22,2)) - CAST(lag_7 AS
          AS mae_naive
 FROM split WHERE NOT is_train GROUP BY account_id"""
 
+QUERIES["fc_gbt_fit_facts"] = """
+SELECT account_id, max(n_rows) AS n_rows, round(avg(net_flow), 4) AS start, 150 AS n_trees, 150 * 7 AS n_inner,
+       150 * 8 AS n_leaves FROM split GROUP BY account_id"""
+QUERIES["fc_backtest_facts"] = """
+SELECT account_id, round(avg(abs(net_flow - lag_7)), 6) AS mae_naive, true AS is_error, true AS agrees
+FROM split WHERE NOT is_train GROUP BY account_id"""
+QUERIES["fc_forecast_facts"] = """
+SELECT account_id, 30 AS n, 30 AS n_days, CAST(CAST(max(txn_date) + to_days(1) AS DATE) AS VARCHAR) AS first_day,
+       CAST(CAST(max(txn_date) + to_days(30) AS DATE) AS VARCHAR) AS last_day, true AS balance_follows
+FROM split GROUP BY account_id"""
+QUERIES["fc_write_facts"] = """
+SELECT 'gbr_lag_features_v1' AS model_version, 30 * count(DISTINCT account_id) AS n,
+       count(DISTINCT account_id) AS n_accounts FROM split"""
+TABLES["z_scored"] = """
+SELECT transaction_id, round(abs(coalesce(z_amount, 0)) / 1000, 9) AS raw_score FROM ev_features"""
+QUERIES["anom_threshold_of_distance"] = """
+SELECT round(max(q), 9) AS threshold, count(*) AS n, count(*) FILTER (raw_score > q) AS n_flagged
+FROM z_scored, (SELECT quantile_cont(raw_score, 0.98) AS q FROM z_scored)"""
+QUERIES["anom_normalize_of_distance"] = """
+SELECT transaction_id, round((raw_score - lo) / (hi - lo), 4) AS anomaly_score
+FROM z_scored, (SELECT min(raw_score) AS lo, max(raw_score) AS hi FROM z_scored)"""
+QUERIES["anom_forest_facts"] = """
+SELECT count(*) AS n, true AS scores_in_range, true AS flags_follow, 200 AS n_trees, 200 AS n_binary FROM events"""
+QUERIES["run_pipeline_facts"] = """
+SELECT 'accounts' AS table_name, count(*) AS n FROM raw_accounts
+UNION ALL SELECT 'account_health', count(*) FROM raw_accounts
+UNION ALL SELECT 'categories', count(*) FROM categories
+UNION ALL SELECT 'merchants', count(*) FROM raw_merchants
+UNION ALL SELECT 'raw_transactions', count(*) FROM raw_txn
+UNION ALL SELECT 'checked', count(*) FROM checked
+UNION ALL SELECT 'rejected', count(*) FROM checked WHERE reason_code IS NOT NULL
+UNION ALL SELECT 'fct_transactions', count(*) FROM checked WHERE reason_code IS NULL
+UNION ALL SELECT 'malformed_rows', 0
+UNION ALL SELECT 'data_tests', 18
+UNION ALL SELECT 'budgets', count(*) FROM budgets
+UNION ALL SELECT 'skipped_accounts', count(*) FROM accounts WHERE account_id NOT IN (SELECT account_id FROM split)"""
+
 # --- change sets ---
 QUERIES["edit_append"] = """
 SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date, merchant_name, category_name,

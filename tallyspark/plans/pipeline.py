@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.operators import anomaly, forecast, marts, quality, staging, validation
-from tallyspark.session import scratch
+from tallyspark.session import materialize, scratch
 from tallyspark.sources import files
 
 
@@ -109,10 +109,12 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
         daily = t["daily_movement"].select("account_id", "txn_date", "net_flow")
         rows = forecast.feature_rows(forecast.densify(daily))
         stored("skipped_accounts", forecast.skipped_accounts(t["accounts"], rows))
-        split = forecast.with_split(rows)
-        stored("forecast_models", forecast.fit_and_forecast(split))
-        stored("cashflow_forecast", forecast.forecast_table(t["forecast_models"], t["account_health"]))
-        stored("forecast_metrics", forecast.metrics(t["forecast_models"], split))
+        with scratch(spark):
+            split = materialize(forecast.with_split(rows), "split")
+            stored("forecast_models", forecast.fit_models(split))
+            stored("forecast_metrics", forecast.metrics(forecast.backtest(split), split))
+        steps = forecast.forecast_steps(t["forecast_models"])
+        stored("cashflow_forecast", forecast.forecast_table(steps, t["account_health"]))
 
     for name, work in (
         ("load raw", load_raw), ("stage and validate", stage), ("marts", build_marts),

@@ -11,7 +11,7 @@ from tallyspark.operators import (
 )
 from tallyspark.plans.pipeline import run_pipeline
 from tallyspark.plans.tables import Tables
-from tallyspark.session import materialize, scratch_path
+from tallyspark.session import materialize, scratch, scratch_path
 from tallyspark.sources import files
 
 REGISTRY = {}
@@ -575,6 +575,40 @@ def _(t):
     return anomaly.normalise(found.scored).select("transaction_id", "anomaly_score")
 
 
+@query("anom_threshold_of_distance")
+def _(t):
+    """The same threshold over a score that SQL can compute."""
+    threshold = anomaly.contamination_threshold(t.z_scored)
+    return t.z_scored.agg(
+        F.round(F.lit(threshold), 9).alias("threshold"), F.count("*").alias("n"),
+        F.count_if(F.col("raw_score") > threshold).alias("n_flagged"))
+
+
+@query("anom_normalize_of_distance")
+def _(t):
+    return anomaly.normalise(t.z_scored).select("transaction_id", "anomaly_score")
+
+
+@query("anom_forest_facts")
+def _(t):
+    """What must hold for the forest and its flags, whatever it learnt."""
+    with scratch(t.spark):
+        found = anomaly.detect(t.events)
+        scored = found.scored.agg(
+            F.count("*").alias("n"), (F.min("raw_score") > 0).alias("above_0"), (F.max("raw_score") < 1).alias("below_1"),
+            F.count_if(F.col("raw_score") > found.threshold).alias("n_above"),
+            F.count_if(F.col("raw_score") >= found.threshold).alias("n_from")).first()
+        n_flags = found.flags.count()
+        trees = anomaly.describe(t.spark, anomaly.fit_forest(materialize(t.event_features, "features"))).agg(
+            F.count("*").alias("n"), F.count_if(F.col("nodes") == 2 * F.col("leaves") - 1).alias("n_binary")).first()
+    # Ranks above the percentile's are flagged, but for ties with it.
+    most = scored["n"] - 1 - int((scored["n"] - 1) * (1 - schemas.CONTAMINATION))
+    return t.spark.range(1).select(
+        F.lit(scored["n"]).alias("n"), F.lit(scored["above_0"] and scored["below_1"]).alias("scores_in_range"),
+        F.lit(n_flags == scored["n_above"] <= most <= scored["n_from"] + 1).alias("flags_follow"),
+        F.lit(trees["n"]).alias("n_trees"), F.lit(trees["n_binary"]).alias("n_binary"))
+
+
 @query("anom_reason")
 def _(t):
     return t.event_features.select("transaction_id", anomaly.reason().alias("reason"))
@@ -651,12 +685,28 @@ def _(t):
 
 @query("fc_gbt_fit")
 def _(t):
-    return forecast.fit_and_forecast(t.forecast_split).select("account_id", "step", "predicted_net_flow")
+    return t.forecast_models.select("account_id", "n_rows", "start", "rate", "feature", "threshold", "value")
+
+
+@query("fc_gbt_fit_facts")
+def _(t):
+    """What must hold for every stored model: its size, its rows and the mean it starts from."""
+    return t.forecast_models.select(
+        "account_id", "n_rows", F.round("start", 4).alias("start"), F.size("feature").alias("n_trees"),
+        F.size(F.flatten("threshold")).alias("n_inner"), F.size(F.flatten("value")).alias("n_leaves"))
 
 
 @query("fc_backtest_mae")
 def _(t):
-    return forecast.fit_and_forecast(t.forecast_split).filter("step = 0").select("account_id", "mae_model")
+    return forecast.backtest(t.forecast_split).select("account_id", "mae_model")
+
+
+@query("fc_backtest_facts")
+def _(t):
+    found = forecast.metrics(forecast.backtest(t.forecast_split), t.forecast_split)
+    return found.select(
+        "account_id", F.round("mae_naive", 6).alias("mae_naive"), (F.col("mae_model") >= 0).alias("is_error"),
+        (F.col("better") == (F.col("mae_model") < F.col("mae_naive"))).alias("agrees"))
 
 
 @query("fc_naive_mae")
@@ -666,13 +716,28 @@ def _(t):
 
 @query("fc_recursive")
 def _(t):
-    return forecast.fit_and_forecast(t.forecast_split).filter("step > 0").select(
+    return forecast.forecast_steps(t.forecast_models).select(
         "account_id", F.expr("date_add(last, step)").alias("forecast_date"), "predicted_net_flow")
 
 
 @query("fc_running_balance")
 def _(t):
-    return forecast.forecast_table(forecast.fit_and_forecast(t.forecast_split), t.health)
+    return t.forecast
+
+
+@query("fc_forecast_facts")
+def _(t):
+    """What must hold for every account's forecast: its days, and that the balance follows the flows."""
+    start = t.health.select("account_id", F.col("current_balance").cast("double").alias("start"))
+    # Flows and balances are rounded on their own, half a cent each at most.
+    off = F.col("end") - F.col("start") - F.col("flows")
+    return t.forecast.groupBy("account_id").agg(
+        F.count("*").alias("n"), F.countDistinct("forecast_date").alias("n_days"),
+        F.min("forecast_date").alias("first_day"), F.max("forecast_date").alias("last_day"),
+        F.max_by("predicted_balance", "forecast_date").cast("double").alias("end"),
+        F.sum("predicted_net_flow").cast("double").alias("flows"),
+    ).join(start, "account_id").select(
+        "account_id", "n", "n_days", "first_day", "last_day", (F.abs(off) < 0.16).alias("balance_follows"))
 
 
 @query("fc_seasonal_naive")
@@ -683,13 +748,24 @@ def _(t):
 @query("fc_write")
 def _(t):
     path = scratch_path(t.spark, "cashflow-forecast")
-    files.replace_table(forecast.forecast_table(forecast.fit_and_forecast(t.forecast_split), t.health), path)
+    files.replace_table(t.forecast, path)
     return t.spark.read.parquet(path)
 
 
+@query("fc_write_facts")
+def _(t):
+    """Writes the forecast twice; it must hold one copy."""
+    path = scratch_path(t.spark, "cashflow-forecast")
+    forecasts = materialize(t.forecast, "forecast")
+    for _ in range(2):
+        files.replace_table(forecasts, path)
+    return t.spark.read.parquet(path).groupBy("model_version").agg(
+        F.count("*").alias("n"), F.countDistinct("account_id").alias("n_accounts"))
+
+
 @query("fc_metrics")
 def _(t):
-    return forecast.metrics(forecast.fit_and_forecast(t.forecast_split), t.forecast_split)
+    return forecast.metrics(forecast.backtest(t.forecast_split), t.forecast_split)
 
 
 # --- change sets ----------------------------------------------------------------------
@@ -748,3 +824,12 @@ def _(t):
         n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
         report = n if report is None else report.unionByName(n)
     return report
+
+
+@query("run_pipeline_facts")
+def _(t):
+    """Rows of the run's tables that SQL can count."""
+    counted = REGISTRY["run_pipeline"](t.spark, t.sf_dir)
+    return counted.filter(F.col("table_name").isin(
+        "accounts", "categories", "merchants", "raw_transactions", "checked", "rejected", "fct_transactions",
+        "malformed_rows", "data_tests", "budgets", "account_health", "skipped_accounts"))

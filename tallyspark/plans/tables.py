@@ -153,6 +153,21 @@ class Tables:
     def forecast_split(self):
         return forecast.with_split(forecast.feature_rows(self.dense))
 
+    @cached_property
+    def forecast_models(self):
+        """The fitted models as a stored table, which forecasts read."""
+        return materialize(forecast.fit_models(self.forecast_split), "forecast-models")
+
+    @cached_property
+    def forecast(self):
+        return forecast.forecast_table(forecast.forecast_steps(self.forecast_models), self.health)
+
+    @cached_property
+    def z_scored(self):
+        """Events with a score that SQL can compute too: the z-score's distance."""
+        return self.event_features.select(
+            "transaction_id", F.round(F.abs(F.coalesce("z_amount", F.lit(0.0))) / 1000, 9).alias("raw_score"))
+
     @cached_property
     def naive_forecast(self):
         return forecast.seasonal_naive(forecast.daily_net(self.movements), self.health)
