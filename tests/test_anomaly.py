@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import session
 from tallyspark.operators import anomaly, forest_kernel
 from tallyspark.plans.tables import Tables
 from tallyspark.session import materialize
@@ -147,7 +148,32 @@ def test_each_tree_gets_its_full_sample(spark):
         rows = spark.range(n).select(F.col("id").alias("transaction_id"), F.array(F.lit(1.0)).alias("vector"))
         sizes = [r["count"] for r in anomaly.sample_for_trees(rows, n).groupBy("tree").count().collect()]
         assert len(sizes) == 200 and max(sizes) <= 256
-        assert min(sizes) >= 230
+        assert min(sizes) == 256
+
+
+def test_samples_are_drawn_by_one_rule(spark):
+    """Every row joins as many distinct trees on the average, whatever the number of rows."""
+    for n in (300, 400, 2000):
+        rows = spark.range(n).select(F.col("id").alias("transaction_id"), F.array(F.lit(1.0)).alias("vector"))
+        drawn = anomaly.sample_for_trees(rows, n, sample=256).select("tree", "transaction_id")
+        assert drawn.count() == drawn.distinct().count() == 200 * min(n, 256)
+        per_row = drawn.groupBy("transaction_id").count().agg(F.avg("count")).first()[0]
+        assert per_row == pytest.approx(200 * min(n, 256) / n, rel=0.02)
+
+
+def test_negative_outliers_are_flagged_too(spark):
+    rows = spark.createDataFrame([(1, -2.5, 1), (2, 2.5, 1), (3, 1.0, 9), (4, -1.0, 1)],
+                                 "transaction_id long, z_amount double, same_day long")
+    flags = anomaly.rule_flags(rows.withColumns({"account_id": F.lit(1), "txn_date": F.lit("2026-01-01")}))
+    assert sorted(r.transaction_id for r in flags.collect()) == [1, 2, 3]
+
+
+def test_detection_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    with session.scratch(spark):
+        rows = ledger(spark, [(1, "Paint", i % 28, 40 + i % 7) for i in range(80)])
+        assert anomaly.detect(rows).flags.count() >= 0
+    assert not list((tmp_path / "tallyspark").iterdir())
 
 
 def test_duplicate_charges_and_bursts(spark):

@@ -31,9 +31,9 @@ def test_gaps_are_filled_with_zero(spark):
 
 
 def test_lag_frame_drops_exactly_seven_rows(spark):
-    flows = noise(42, 100, 30)
+    flows = noise(27, 80, 33)
     rows = forecast.feature_rows(series(spark, flows)).orderBy("txn_date").collect()
-    assert len(rows) == 23
+    assert len(rows) == 26
     assert all(r[c] is not None for r in rows for c in forecast.FEATURES)
     assert float(rows[0].lag_1) == pytest.approx(round(flows[6], 2))
     assert rows[0].rolling_mean_7 == pytest.approx(np.mean([round(v, 2) for v in flows[:7]]))
@@ -51,30 +51,30 @@ def test_minimum_history(spark, days, kept):
 
 def test_accounts_without_history_are_reported(spark):
     accounts = spark.createDataFrame([(1,), (2,)], "account_id long")
-    featured = forecast.feature_rows(series(spark, noise(1, 50, 10)))
+    featured = forecast.feature_rows(series(spark, noise(21, 35, 10)))
     assert {r.account_id: r.n_rows for r in forecast.skipped_accounts(accounts, featured).collect()} == {1: 3, 2: 0}
 
 
 def test_backtest_reports_both_errors(spark):
-    split = forecast.with_split(forecast.feature_rows(series(spark, noise(7, 150, 120))))
-    row = forecast.metrics(forecast.fit_and_forecast(split), split).first()
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(22, 90, 140))))
+    row = forecast.metrics(forecast.backtest(split), split).first()
     assert row.mae_model >= 0 and row.mae_naive >= 0 and row.better == (row.mae_model < row.mae_naive)
 
 
 def test_forecast_has_horizon_days_and_a_running_balance(spark):
-    split = forecast.with_split(forecast.feature_rows(series(spark, noise(3, 50, 60))))
-    fitted = forecast.fit_and_forecast(split)
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(23, 35, 75))))
+    fitted = forecast.forecast_steps(forecast.fit_models(split))
     rows = forecast.forecast_table(fitted, balances(spark, 1000)).orderBy("forecast_date").collect()
-    flows = [r.predicted_net_flow for r in fitted.filter("step > 0").orderBy("step").collect()]
+    flows = [r.predicted_net_flow for r in fitted.orderBy("step").collect()]
     assert len({r.forecast_date for r in rows}) == 30
-    assert rows[0].forecast_date == dt.date(2026, 3, 2)
+    assert rows[0].forecast_date == dt.date(2026, 3, 17)
     assert float(rows[-1].predicted_balance) == pytest.approx(1000 + sum(flows), abs=0.006)
 
 
 def test_recursion_feeds_predictions_back(spark):
     """The same 30 steps, written as a plain loop over the kernel."""
-    split = forecast.with_split(forecast.feature_rows(series(spark, noise(3, 50, 60))))
-    got = [r.predicted_net_flow for r in forecast.fit_and_forecast(split).filter("step > 0").orderBy("step").collect()]
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(23, 35, 75))))
+    got = [r.predicted_net_flow for r in forecast.forecast_steps(forecast.fit_models(split)).orderBy("step").collect()]
     rows = split.orderBy("txn_date").collect()
     x = np.array([[float(r[c]) for c in forecast.FEATURES] for r in rows])
     y = [float(r.net_flow) for r in rows]
@@ -87,10 +87,22 @@ def test_recursion_feeds_predictions_back(spark):
     assert got == pytest.approx(history[-30:], abs=1e-9)
 
 
+def test_a_stored_model_forecasts_the_same(spark, tmp_path):
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(25, 60, 80))))
+    models, path = forecast.fit_models(split), str(tmp_path / "models")
+    models.write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.first().n_rows == 73 and len(stored.first().feature) == 150
+    fresh, again = (sorted(map(tuple, forecast.forecast_steps(m).collect())) for m in (models, stored))
+    assert fresh == again and len(fresh) == 30
+
+
 def test_one_account_does_not_affect_another(spark):
-    one, two = series(spark, noise(3, 50, 60)), series(spark, noise(4, 500, 80), account=2)
-    alone = forecast.fit_and_forecast(forecast.with_split(forecast.feature_rows(one)))
-    both = forecast.fit_and_forecast(forecast.with_split(forecast.feature_rows(one.unionByName(two))))
+    one, two = series(spark, noise(23, 35, 75)), series(spark, noise(24, 400, 90), account=2)
+    carried = lambda rows: forecast.forecast_steps(
+        forecast.fit_models(forecast.with_split(forecast.feature_rows(rows))))
+    alone = carried(one)
+    both = carried(one.unionByName(two))
     pick = lambda df: [r.predicted_net_flow for r in df.filter("account_id = 1").orderBy("step").collect()]
     assert pick(alone) == pick(both)
 
