@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.words import ALPHANUMERIC, Words, mix, slices
+from tallyspark.llm.words import ALPHANUMERIC, Words, mix, slices, text_batches
 
 WIDTH = 10
 BLOCK_PATTERNS = 1 << 20
@@ -203,7 +203,7 @@ def _scan(docs: DataFrame, tables: list[PatternTable], ids: list, text_col: str,
                         pa.array(names, pa.list_(pa.string()))],
                 names=[f.name for f in plain] + ["n_words", "hit_words", "hit_items"])
 
-    return docs.mapInArrow(scan, schema)
+    return text_batches(docs).mapInArrow(scan, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.words import NOT_BLANK, mix, shingle_sets, slices
+from tallyspark.llm.words import NOT_BLANK, mix, shingle_sets, slices, text_batches
 from tallyspark.session import materialize
 
 COUNTERS = 1 << 20
@@ -48,9 +48,9 @@ def token_counts(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, words in slices(batch.column(0), NOT_BLANK):
-                tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(words, size)])
-                counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            sets = [s for _, words in slices(batch.column(0), NOT_BLANK) for s in shingle_sets(words, size)]
+            tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+            counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         yield _parts(counts)
 
     return _sum_table(texts.mapInArrow(count, "part int, counts binary"), COUNTERS)
@@ -162,7 +162,7 @@ def token_sets(texts: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
                        percent: int = 90) -> DataFrame:
     """`docs` with `n_shingles` and `component_id`, the smallest id that links reach."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(texts, "id", "text", size, percent), "signatures")
     name = ["name_a", "name_b", "n"]
     classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*name).agg(F.min("id").alias("rep"))

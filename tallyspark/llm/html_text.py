@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.words import text_batches
+
 # The classes of elements in the HTML standard.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span "
@@ -221,5 +223,5 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     def text_of(column: pd.Series) -> pd.Series:
         return column.map(main_text)
 
-    with_text = pages.select(*kept, text_of(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
+    with_text = text_batches(pages).select(*kept, text_of(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
     return with_text.withColumn("n_chars", F.char_length("text").cast("long"))

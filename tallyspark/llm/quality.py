@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.words import NOT_BLANK, Words, shingle_sets, slices
+from tallyspark.llm.words import NOT_BLANK, Words, shingle_sets, slices, text_batches
 from tallyspark.session import materialize
 
 NAMES = ("size", "word_length", "length_spread", "upper", "symbols", "same_as_before", "distinct", "bare_marks",
@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 [batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [stats],
                 names=[f.name for f in kept] + ["stats"])
 
-    return docs.mapInArrow(measure, schema)
+    return text_batches(docs).mapInArrow(measure, schema)
 
 
 @dataclass(frozen=True)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm import range_coder
+from tallyspark.llm.words import text_batches
 from tallyspark.session import wide
 
 FRAME_IDS = 1 << 21
@@ -33,7 +34,7 @@ FRAMES = "file int, frame int, doc_ids array<long>, lengths array<long>, n_ids l
 def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 0, id_col: str = "doc_id",
                   text_col: str = "text") -> None:
     """Write the token ids of all documents below `path`."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(wide(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
     def encode(batches):

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+ROWS_PER_BATCH = 1_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 _BYTE_VALUE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
@@ -41,6 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, after making Arrow batches of the session small enough for rows that are whole texts.
+
+    A batch is what JVM and Python both hold at once. A number that the session has set itself stays.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) == 10_000:
+        conf.set(name, ROWS_PER_BATCH)
+    return docs
+
+
 class Words:
     """Words of some texts. Row r has words `first[r]` to `first[r + 1]`; word w is `data[start[w]:end[w]]`."""
 
