@@ -5,7 +5,8 @@ of the article (menus, page headers, footers, sidebars, notices, adverts, forms,
 at once. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
 less the share of linked text. The fused ratio, on a log scale, is smoothed along the page over neighbouring blocks,
 averaged again by path, and compared with half of the page's largest; paths above are content. The smallest element that
-holds nearly all content text is the article, and the blocks in it, headings and short paragraphs included, are the text.
+holds nearly all content text is the article, and the blocks in it, headings and short paragraphs included, are the text, with the heading
+that stands before that element beside it, where it holds none.
 
 Tags need not be closed or balanced. A null or empty page gives an empty text; so does a page without a block that is
 not left out. Texts are read whole. Repeated rows are extracted each on its own; columns named text or n_chars in the
@@ -45,7 +46,11 @@ BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert "
     "comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe "
-    "subscription signup login popup modal overlay toolbar pagination pager widget skip hidden copyright".split())
+    "subscription signup login popup modal overlay toolbar pagination pager widget skip hidden copyright search "
+    "complementary contentinfo discussion adsbygoogle".split())
+#: Stems that name such parts also inside longer words.
+BESIDE_STEMS = re.compile(
+    "sidebar|footer|comments?|cookie|advert|banner|breadcrumb|sponsor|newsletter|topnav|navbar|navigation|menubar|popup")
 PAGE_HEAD = frozenset("header masthead topbar".split())
 
 TOKEN = re.compile(
@@ -56,7 +61,9 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[.,;:!?…。、，！？¡¿]")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.IGNORECASE)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+HIDDEN_FLAG = re.compile(r"(?:^|\s)hidden(?![\w-])", re.IGNORECASE)
 
 
 class Element:
@@ -65,11 +72,13 @@ class Element:
     __slots__ = ("tag", "parent", "beside", "sure", "holds_title", "content")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
-        words = {w.lower() for m in NAMES.finditer(attrs) for w in WORDS.findall(m[1] or m[2] or m[3] or "")}
+        names = [m[1] or m[2] or m[3] or "" for m in NAMES.finditer(attrs)]
+        words = {w.lower() for name in names for w in WORDS.findall(name)}
         self.tag, self.parent, self.holds_title, self.content = tag, parent, False, 0.0
         inside = parent is not None and any(e.tag in ("article", "main") for e in parent.chain())
-        named = bool(words & BESIDE_WORDS) or (not inside and (tag in PAGE_HEAD or bool(words & PAGE_HEAD)))
-        self.sure = tag in BESIDE or bool(HIDDEN.search(attrs))
+        named = bool(words & BESIDE_WORDS) or any(BESIDE_STEMS.fullmatch(w) or (
+            len(w) > 6 and BESIDE_STEMS.search(w)) for w in words) or (not inside and (tag in PAGE_HEAD or bool(words & PAGE_HEAD)))
+        self.sure = tag in BESIDE or bool(HIDDEN.search(attrs)) or bool(HIDDEN_FLAG.search(QUOTED.sub("''", attrs)))
         self.beside = named and tag not in ("html", "body", "main")
 
     def chain(self):
@@ -193,7 +202,15 @@ def main_text(page: str | None) -> str:
         for e in b.element.chain():
             e.content += len(b.text)
     article = _holder(chosen, total)
-    return "\n".join(b.text for b in blocks if article in b.element.chain() and b.linked < len(b.text))
+    inside = [article in b.element.chain() and b.linked < len(b.text) for b in blocks]
+    first = inside.index(True)
+    if not any(b.element.tag == "h1" for b, i in zip(blocks, inside) if i):
+        # The heading may stand beside the element of the text, within an element that holds both.
+        around = set(map(id, article.chain()))
+        titles = [k for k in range(first) if blocks[k].element.tag == "h1" and id(blocks[k].element.parent) in around]
+        if titles:
+            inside[titles[-1]] = True
+    return "\n".join(b.text for b, i in zip(blocks, inside) if i)
 
 
 def _holder(chosen: list[Block], total: int) -> Element:

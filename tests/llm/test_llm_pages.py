@@ -33,6 +33,12 @@ CASES = [
      LONG.strip()),
     (page(f"<div class=cookie-notice><p>{LONG}</p></div><div><p>{LONG}</p><p>{LONG}</p></div><div><a>{LONG}</a></div>"),
      f"{LONG.strip()}\n{LONG.strip()}"),
+    (page(f"<div class='post overflow-hidden'><h1>t</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>"
+          f"<div id=readerComments><p>{LONG}</p></div>"), f"t\n{LONG.strip()}\n{LONG.strip()}"),
+    (page(f"<div class=logo><h1>Site</h1></div><div><p>{LONG}</p><p>{LONG}</p></div><div hidden><p>{LONG}</p></div>"),
+     f"{LONG.strip()}\n{LONG.strip()}"),
+    (page(f"<main><h1>t</h1><div class=adsbygoogle><p>{LONG}</p></div><article><p>{LONG}</p></article></main>"),
+     f"t\n{LONG.strip()}"),
     (f"<article><p>{LONG}<p>cut &am", f"{LONG.strip()}\ncut &am"),
     (f"<article><p>{LONG}</p><p>cut <a hre", f"{LONG.strip()}\ncut"),
     (f"<article><p>{LONG}</p><div style='display:none'>{LONG}</div></article>", LONG.strip()),
