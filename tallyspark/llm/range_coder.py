@@ -100,7 +100,11 @@ class _Model:
     def learn_groups(self, at: np.ndarray, bounds: np.ndarray, symbol: np.ndarray):
         seen = self.seen[at]
         self.seen[at] = np.minimum(seen + 1, len(_RATES) - 1)
-        self.bounds[at] = bounds + ((_TOWARDS[symbol] - bounds) >> _RATES[seen][..., None])
+        moved = np.take(_TOWARDS, symbol, axis=0)
+        moved -= bounds
+        moved >>= _RATES[seen][..., None]
+        moved += bounds
+        self.bounds[at] = moved
 
 
 def _settled(low: np.ndarray, rng: np.ndarray, move) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +210,10 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
             value = token[miss]
             at = np.stack([model.context(miss, g, value >> (s + 4)) for g, s in enumerate(shifts[:, 0].tolist())])
             symbol = value >> shifts & 15
-            bounds = model.bounds[at]
-            start = np.take_along_axis(bounds, symbol[..., None], 2)[..., 0].astype(np.int64)
-            size = np.take_along_axis(bounds, symbol[..., None] + 1, 2)[..., 0].astype(np.int64) - start
+            bounds = np.take(model.bounds, at, axis=0)
+            place = 17 * np.arange(at.size).reshape(at.shape) + symbol
+            start = np.take(bounds, place).astype(np.int64)
+            size = np.take(bounds, place + 1).astype(np.int64) - start
             model.learn_groups(at, bounds, symbol)
             for g in range(0, groups, 2):
                 coder.put(miss, (start[g] << TOTAL_BITS) + size[g] * start[g + 1], size[g] * size[g + 1], 2 * TOTAL_BITS)
@@ -250,9 +255,9 @@ def decode(code: bytes) -> np.ndarray:
                 start, size = [], []
                 for k in (g, g + 1):
                     at = model.context(miss, k, value)
-                    bounds = model.bounds[at]
+                    bounds = np.take(model.bounds, at, axis=0)
                     level = target >> TOTAL_BITS if k == g else (target - (start[0] << TOTAL_BITS)) // size[0]
-                    symbol = (bounds[:, 1:16] <= level[:, None]).sum(1)
+                    symbol = np.count_nonzero(bounds[:, 1:16] <= level[:, None].astype(np.int16), axis=1)
                     start.append(bounds[row, symbol].astype(np.int64))
                     size.append(bounds[row, symbol + 1].astype(np.int64) - start[-1])
                     model.learn_groups(at, bounds, symbol)

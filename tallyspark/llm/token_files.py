@@ -26,7 +26,7 @@ from tallyspark.llm import range_coder
 from tallyspark.llm.words import text_batches
 from tallyspark.session import wide
 
-FRAME_IDS = 1 << 21
+FRAME_IDS = 1 << 23
 SLICE_CHARS = 1 << 20
 FRAMES = "file int, frame int, doc_ids array<long>, lengths array<long>, n_ids long, code binary"
 
