@@ -23,39 +23,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS = 250_000
+ROWS = 50_000
 LEAST, MOST = 64, 2_000
 FINE = 1 << 16
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of `draws` items, taken without replacement, are good; exact, outward from the mode."""
+    """How many of `draws` items, taken without replacement, are good.
+
+    Exact, in a few steps whatever the numbers, by Devroye's rejection for log-concave distributions: flat around the
+    mode, exponential beyond.
+    """
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
     mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
 
-    def log_choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-    top = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    left = rng.random() - top
-    down = up = mode
-    p_down = p_up = top
-    while left >= 0 and (down > low or up < high):
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            left -= p_up
-            if left < 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            left -= p_down
-            if left < 0:
-                return down
-    return mode
+    def log_weight(k: int) -> float:
+        return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(draws - k + 1)
+                 + math.lgamma(bad - draws + k + 1))
+
+    at_mode = log_weight(mode)
+    total = (math.lgamma(good + 1) - math.lgamma(good + bad + 1) + math.lgamma(bad + 1) + math.lgamma(draws + 1)
+             + math.lgamma(good + bad - draws + 1))
+    top = min(1.0, math.exp(total + at_mode))
+    flat = 1 + top / 2
+    while True:
+        v = 1 - rng.random()
+        apart = (v * flat if rng.random() <= flat / (1 + flat) else flat - math.log(v)) / top
+        k = mode + (round(apart) if rng.random() < 0.5 else -round(apart))
+        if low <= k <= high:
+            accept = rng.random() * min(1.0, math.exp(flat - top * apart))
+            if accept <= math.exp(log_weight(k) - at_mode):
+                return k
 
 
 def communication_matrix(part_sizes: list[int], block_sizes: list[int], seed: int) -> list[list[int]]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -25,6 +26,14 @@ def test_hypergeometric_has_its_support_mean_and_variance(good, bad, draws):
     assert abs(sum((v - mean) ** 2 for v in values) / n - variance) <= 0.15 * variance + 1e-9
 
 
+def test_hypergeometric_follows_its_probabilities():
+    rng, n = random.Random(9), 40_000
+    counts = collections.Counter(shards.hypergeometric(rng, 6, 9, 7) for _ in range(n))
+    for k in range(7):
+        p = math.comb(6, k) * math.comb(9, 7 - k) / math.comb(15, 7)
+        assert abs(counts[k] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 1
+
+
 def test_hypergeometric_of_very_many_rows_stays_near_its_mean():
     value = shards.hypergeometric(random.Random(3), 10**9, 4 * 10**10, 10**8)
     assert abs(value - 10**8 / 41) < 20_000
