@@ -63,7 +63,7 @@ def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mixing.mix(docs, levels=mix_levels(), weights=MIX_WEIGHTS, budget_percent=120, max_epochs=3, seed=5)
     return mixed.select("doc_id", mixing.domain_of("source").alias("domain"), "lang", "source",
-                        mixing.n_tokens("text").alias("tokens"), "epoch")
+                        mixing.n_tokens("text").alias("tokens"), F.col("epoch").cast("long").alias("epoch"))
 
 
 @query("op1_cap_filters")

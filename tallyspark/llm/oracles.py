@@ -64,3 +64,110 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
   CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM g
 """
+
+SQL["op1_cap_filters"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings
+  UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT c.vec_id, count(links.b) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN links ON links.a = c.vec_id GROUP BY c.vec_id, component_id
+"""
+
+SQL["op7_group_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b
+    ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
+SQL["op8_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, 'domain' || (coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '(\d+)$', 1) AS BIGINT), 0) % 4) AS domain,
+    coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source, lang AS own_lang, source AS own_source,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x{0B}\f\r]+')) AS tokens
+  FROM documents),
+leaf AS (
+  SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply, CAST(3 * sum(tokens) AS BIGINT) AS cap,
+    CASE domain WHEN 'domain0' THEN 30 WHEN 'domain1' THEN 30 WHEN 'domain2' THEN 20 WHEN 'domain3' THEN 20 ELSE 1 END AS wd,
+    CASE lang WHEN 'en' THEN 40 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 20 ELSE 1 END AS wl
+  FROM d GROUP BY domain, lang, source),
+-- A level's budgets: children in order of capacity by weight; the first ones are full, the others share what is left.
+c1 AS (
+  SELECT domain, wd AS w, CAST(sum(cap) AS BIGINT) AS cap, least((SELECT CAST(sum(supply) AS BIGINT) * 120 // 100 FROM leaf),
+    (SELECT CAST(sum(cap) AS BIGINT) FROM leaf)) AS b FROM leaf GROUP BY domain, wd),
+f1 AS (
+  SELECT *, b - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws
+  FROM c1 WINDOW o AS (ORDER BY cap / w, domain)),
+g1 AS (SELECT *, cap * ws <= w * rest AS is_full FROM f1),
+p1 AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE w * coalesce(max(rest) FILTER (NOT is_full) OVER (), 0)
+    // coalesce(max(ws) FILTER (NOT is_full) OVER (), 1) END AS part FROM g1),
+b1 AS (
+  SELECT domain, part + CASE WHEN NOT is_full AND coalesce(sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER (
+    ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < b - sum(part) OVER () THEN 1 ELSE 0 END
+    AS b FROM p1),
+c2 AS (
+  SELECT domain, lang, wl AS w, CAST(sum(cap) AS BIGINT) AS cap, any_value(b1.b) AS b
+  FROM leaf JOIN b1 USING (domain) GROUP BY domain, lang, wl),
+f2 AS (
+  SELECT *, b - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws
+  FROM c2 WINDOW o AS (PARTITION BY domain ORDER BY cap / w, lang)),
+g2 AS (SELECT *, cap * ws <= w * rest AS is_full FROM f2),
+p2 AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE w * coalesce(max(rest) FILTER (NOT is_full) OVER (PARTITION BY domain), 0)
+    // coalesce(max(ws) FILTER (NOT is_full) OVER (PARTITION BY domain), 1) END AS part FROM g2),
+b2 AS (
+  SELECT domain, lang, part + CASE WHEN NOT is_full AND coalesce(sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER (
+    PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    < b - sum(part) OVER (PARTITION BY domain) THEN 1 ELSE 0 END AS b FROM p2),
+c3 AS (SELECT domain, lang, source, supply, 1 AS w, cap, b2.b FROM leaf JOIN b2 USING (domain, lang)),
+f3 AS (
+  SELECT *, b - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws
+  FROM c3 WINDOW o AS (PARTITION BY domain, lang ORDER BY cap / w, source)),
+g3 AS (SELECT *, cap * ws <= w * rest AS is_full FROM f3),
+p3 AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE w * coalesce(max(rest) FILTER (NOT is_full) OVER (PARTITION BY domain, lang), 0)
+    // coalesce(max(ws) FILTER (NOT is_full) OVER (PARTITION BY domain, lang), 1) END AS part FROM g3),
+b3 AS (
+  SELECT domain, lang, source, supply, part + CASE WHEN NOT is_full AND coalesce(sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER (
+    PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    < b - sum(part) OVER (PARTITION BY domain, lang) THEN 1 ELSE 0 END AS b FROM p3),
+k AS (
+  SELECT d.*, CASE WHEN supply > 0 THEN b // supply ELSE 0 END AS whole, b - CASE WHEN supply > 0 THEN b // supply ELSE 0 END * supply
+    AS rest FROM d JOIN b3 USING (domain, lang, source)),
+u AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY substr(md5('5|' || whole || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15),
+      coalesce(CAST(doc_id AS VARCHAR), '')) AS used FROM k)
+SELECT doc_id, domain, own_lang AS lang, own_source AS source, tokens,
+  unnest(range(1, CAST(least(whole + CASE WHEN used <= rest THEN 1 ELSE 0 END, 3) AS BIGINT) + 1)) AS epoch
+FROM u
+"""
