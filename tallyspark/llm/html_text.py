@@ -2,7 +2,7 @@
 
 A page becomes its text blocks in order, each with the path of block tags from the root. What its markup names as no part
 of the article (menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out
-at once. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
+at once, but no form that holds an h1, article or main element. The head ends where body or text begins. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
 less the share of linked text. The fused ratio, on a log scale, is smoothed along the page over neighbouring blocks,
 averaged again by path, and compared with half of the page's largest; paths above are content. The smallest element that
 holds nearly all content text is the article, and the blocks in it, headings and short paragraphs included, are the text, with the heading
@@ -32,6 +32,8 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|video|audio|canvas|select|xmp|noframes"
+#: Of those, the ones that a "/>" ends; others stay open, as in browsers.
+EMPTY_RAW = "iframe|svg|math|object|video|audio|canvas"
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "thead": {"tr", "td", "th", "thead", "tbody", "tfoot"},
@@ -41,7 +43,7 @@ CLOSES = {
 SCOPES = frozenset("ul ol dl table body html".split())
 
 #: Elements and words in class, id or role that name parts beside the article.
-BESIDE = frozenset("nav aside footer form button dialog menu head".split())
+BESIDE = frozenset("nav aside footer button dialog menu head".split())
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert "
@@ -54,7 +56,7 @@ BESIDE_STEMS = re.compile(
 PAGE_HEAD = frozenset("header masthead topbar".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
+    rf"<!--.*?(?:--!?>|\Z)|<(?:{EMPTY_RAW})(?=[\s/])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL)
@@ -79,7 +81,7 @@ class Element:
         named = bool(words & BESIDE_WORDS) or any(BESIDE_STEMS.fullmatch(w) or (
             len(w) > 6 and BESIDE_STEMS.search(w)) for w in words) or (not inside and (tag in PAGE_HEAD or bool(words & PAGE_HEAD)))
         self.sure = tag in BESIDE or bool(HIDDEN.search(attrs)) or bool(HIDDEN_FLAG.search(QUOTED.sub("''", attrs)))
-        self.beside = named and tag not in ("html", "body", "main")
+        self.beside = tag == "form" or named and tag not in ("html", "body", "main")
 
     def chain(self):
         e = self
@@ -102,6 +104,11 @@ class Block:
         self.path = "/".join(e.tag for e in element.chain())
 
 
+def outside_head(element: Element) -> Element:
+    """The head holds no text and no element but those read as a whole: any other ends it."""
+    return element.parent if element.tag == "head" else element
+
+
 def blocks_of(page: str) -> list[Block]:
     top = element = Element("#page", None, "")
     blocks: list[Block] = []
@@ -109,9 +116,10 @@ def blocks_of(page: str) -> list[Block]:
     linked = depth = at = 0
 
     def finish():
-        nonlocal linked
+        nonlocal element, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
+            element = outside_head(element)
             blocks.append(Block(element, text, linked))
         parts.clear()
         linked = 0
@@ -144,6 +152,7 @@ def blocks_of(page: str) -> list[Block]:
                     element = e.parent
                     break
             continue
+        element = outside_head(element)
         # An open paragraph ends where another block begins, a list item where the next one does.
         ends = CLOSES.get(tag, set()) | {"p"}
         for e in element.chain():

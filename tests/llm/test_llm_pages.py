@@ -144,3 +144,23 @@ def test_other_files_are_refused(spark, tmp_path):
 def test_warc_query(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html) for r in table(spark, sf_dir, "pages").collect()]
     assert sorted(tuple(r) for r in REGISTRY["op6_warc"](spark, sf_dir).collect()) == brute(rows)
+
+
+# --- whole articles --------------------------------------------------------------------
+
+P = LONG.strip()
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<html><head><title>x</title><body><article><p>{LONG}</article>", P),
+    (f"<html><head><title>x</title><article><p>{LONG}</p></article>", P),
+    (f"<html><head><meta charset=utf-8><title>x</title>{LONG}<p>{LONG}", f"{P}\n{P}"),
+    (page(f"<form id=aspnetForm><nav>a</nav><article><p>{LONG}</p></article></form>"), P),
+    (page(f"<form><div><h1>t</h1><p>{LONG}</p></div></form>"), f"t\n{P}"),
+    (page(f"<form><main><p>{LONG}</p><form><p>{LONG}</p></form></main></form>"), P),
+    (page(f"<article><p>{LONG}</p><svg class='a>b' viewBox=\"0 0\"/><p>{LONG}</p><IFRAME src=a /><p>{LONG}</p></article>"),
+     f"{P}\n{P}\n{P}"),
+    (page(f"<article><p>{LONG}</p><svg><path d='m'/><text>no</text></svg><p>{LONG}</p></article>"), f"{P}\n{P}"),
+])
+def test_open_heads_forms_around_pages_and_empty_elements(html, text):
+    assert html_text.main_text(html) == text
