@@ -2,7 +2,7 @@
 
 A page becomes its text blocks in order, each with the path of block tags from the root. What its markup names as no part
 of the article (menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out
-at once, but no form that holds an h1, article or main element. The head ends where body or text begins. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
+at once, but no form that holds an h1, article or main element, nor what a name alone speaks against within an article. The head ends where body or text begins. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
 less the share of linked text. The fused ratio, on a log scale, is smoothed along the page over neighbouring blocks,
 averaged again by path, and compared with half of the page's largest; paths above are content. The smallest element that
 holds nearly all content text is the article, and the blocks in it, headings and short paragraphs included, are the text, with the heading
@@ -54,13 +54,15 @@ BESIDE_WORDS = frozenset(
 BESIDE_STEMS = re.compile(
     "sidebar|footer|comments?|cookie|advert|banner|breadcrumb|sponsor|newsletter|topnav|navbar|navigation|menubar|popup")
 PAGE_HEAD = frozenset("header masthead topbar".split())
+#: Their ids are targets of links; within an article they are text whatever they are named.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<(?:{EMPTY_RAW})(?=[\s/])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[.,;:!?…。、，！？¡¿]")
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -71,13 +73,13 @@ HIDDEN_FLAG = re.compile(r"(?:^|\s)hidden(?![\w-])", re.IGNORECASE)
 class Element:
     """An open tag on the way down; `beside` says its markup names it as no part of the article."""
 
-    __slots__ = ("tag", "parent", "beside", "sure", "holds_title", "content")
+    __slots__ = ("tag", "parent", "inside", "beside", "sure", "holds_title", "content", "weight")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
-        names = [m[1] or m[2] or m[3] or "" for m in NAMES.finditer(attrs)]
+        names = [m[2] or m[3] or m[4] or "" for m in NAMES.finditer(attrs) if tag not in PROSE or m[1].lower() != "id"]
         words = {w.lower() for name in names for w in WORDS.findall(name)}
-        self.tag, self.parent, self.holds_title, self.content = tag, parent, False, 0.0
-        inside = parent is not None and any(e.tag in ("article", "main") for e in parent.chain())
+        self.tag, self.parent, self.holds_title, self.content, self.weight = tag, parent, False, 0.0, 0
+        self.inside = inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         named = bool(words & BESIDE_WORDS) or any(BESIDE_STEMS.fullmatch(w) or (
             len(w) > 6 and BESIDE_STEMS.search(w)) for w in words) or (not inside and (tag in PAGE_HEAD or bool(words & PAGE_HEAD)))
         self.sure = tag in BESIDE or bool(HIDDEN.search(attrs)) or bool(HIDDEN_FLAG.search(QUOTED.sub("''", attrs)))
@@ -89,9 +91,9 @@ class Element:
             yield e
             e = e.parent
 
-    def left_out(self) -> bool:
+    def named(self) -> bool:
         """A name such as "with-sidebar" on an element around the article itself leaves nothing out."""
-        return any(e.sure or (e.beside and not e.holds_title) for e in self.chain())
+        return self.beside and not self.holds_title
 
 
 class Block:
@@ -172,7 +174,59 @@ def blocks_of(page: str) -> list[Block]:
     linked += len(page[at:]) * (depth > 0)
     finish()
     del top
-    return [b for b in blocks if not b.element.left_out()]
+    return _without_beside([b for b in blocks if not any(e.sure for e in b.element.chain())])
+
+
+def _without_beside(blocks: list[Block]) -> list[Block]:
+    """The blocks that no name leaves out.
+
+    A name does not count on an element that holds most of the text: an article with most of all articles' text, or, on a
+    page without article or main, an element with nine tenths of it, or with half of it where there is no h1. Within an
+    article (or main, on a page without article) a name only counts if the ratios agree: at least half of the container's
+    text is linked, or it has no paragraph, no heading and no block on a path above the limit.
+    """
+    total = in_articles = 0
+    for b in blocks:
+        own, articles = max(len(b.text) - b.linked, 0), 0
+        for e in b.element.chain():
+            e.weight += own
+            articles += e.tag == "article"
+        total += own
+        in_articles += own * (articles > 0)
+    every = {id(e): e for b in blocks for e in b.element.chain()}.values()
+    articles = [e for e in every if e.tag == "article"]
+    titled = any(e.tag == "h1" for e in every)
+    holders = {id(e) for e in articles if not e.named() or e.weight * 2 > in_articles} or set(map(id, articles))
+    if not articles and not any(e.tag == "main" for e in every):
+        holders = {id(e) for e in every if e.weight * 10 >= total * 9 or (e.weight * 2 > total and not titled)}
+    scope = "article" if articles else "main"
+
+    free, unsure = [], []
+    for b in blocks:
+        names, within = [], []
+        for e in b.element.chain():
+            if e.tag == scope and (scope == "main" or id(e) in holders):
+                within, names = within + [x for x in names if x.tag not in PROSE], []
+            if e.named() and id(e) not in holders:
+                names.append(e)
+        # A form in an article is a form; a nested article that is named, such as a comment, is none of the article.
+        if not names and not any(e.tag in ("form", "article") for e in within):
+            free.append(b)
+            if within:
+                unsure.append((b, within))
+    if not unsure:
+        return free
+    scores = path_scores(free)
+    limit = max(scores.values()) / 2
+    text, linked, prose = defaultdict(int), defaultdict(int), set()
+    for b, within in unsure:
+        for e in within:
+            text[id(e)] += len(b.text)
+            linked[id(e)] += min(b.linked, len(b.text))
+            if b.element.tag in PROSE or scores[b.path] >= limit:
+                prose.add(id(e))
+    gone = {id(b) for b, within in unsure if any(linked[id(e)] * 2 >= text[id(e)] or id(e) not in prose for e in within)}
+    return [b for b in free if id(b) not in gone]
 
 
 def path_scores(blocks: list[Block]) -> dict[str, float]:

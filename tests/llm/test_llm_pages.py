@@ -164,3 +164,27 @@ P = LONG.strip()
 ])
 def test_open_heads_forms_around_pages_and_empty_elements(html, text):
     assert html_text.main_text(html) == text
+
+
+SHARE = "<div class=share><a href=x>Tweet this</a> <a href=y>Mail it</a></div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (page(f"<article><h2 id=how-to-search>How</h2><p>{LONG}</p><p class=notice>Short.</p>{SHARE}</article>"),
+     f"How\n{P}\nShort."),
+    (page(f"<article><p>{LONG}</p><section id=related-work><h2>Related work</h2><p>{LONG}</p></section>"
+          f"<section id='discussion'><h2>Discussion</h2><p>Short.</p></section></article>"),
+     f"{P}\nRelated work\n{P}\nDiscussion\nShort."),
+    (page(f"<main><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section>{SHARE}</main>"),
+     f"{P}\nDiscussion\n{P}"),
+    (page(f"<article class='post comments-open'><p>{LONG}</p><p>{LONG}</p></article>"), f"{P}\n{P}"),
+    (page(f"<main><article class=category-search><p>{LONG}</p></article></main>"), P),
+    (page(f"<article class='post comments-open'><p>{LONG}</p><p>{LONG}</p></article>"
+          f"<div id=comments><article class=comment><p>{LONG}</p></article></div>"), f"{P}\n{P}"),
+    (page(f"<article><p>{LONG}</p><article class=comment><p>{LONG}</p></article></article>"), P),
+    (page(f"<article><p>{LONG}</p><div class=related><ul><li><a href=x>{LONG}</a></ul></div><div class=ad>Buy.</div></article>"), P),
+    (page(f"<div class='page search'><p>{LONG}</p><p>{LONG}</p></div><div class=menu>a</div>"), f"{P}\n{P}"),
+    (page(f"<div id=content><h2 id=related>R</h2><p id=comment-1>{LONG}</p><p>{LONG}</p></div>"), f"R\n{P}\n{P}"),
+])
+def test_names_within_the_article_leave_no_text_out(html, text):
+    assert html_text.main_text(html) == text
