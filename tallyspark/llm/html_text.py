@@ -65,6 +65,9 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[.,;:!?…。、，！？¡¿]")
+#: An a element that only names a place in the page is no link.
+HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.IGNORECASE)
+ANCHOR = re.compile(r"(?:^|[\s\"'])(?:name|id)\s*=", re.IGNORECASE)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HIDDEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 HIDDEN_FLAG = re.compile(r"(?:^|\s)hidden(?![\w-])", re.IGNORECASE)
@@ -97,7 +100,7 @@ class Element:
 
 
 class Block:
-    """A run of text without a block tag inside."""
+    """A run of text without a block tag inside; `linked` counts characters of its links, decoded as in the text."""
 
     __slots__ = ("element", "text", "linked", "path")
 
@@ -106,6 +109,10 @@ class Block:
         self.path = "/".join(e.tag for e in element.chain())
 
 
+def collapsed(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
 def outside_head(element: Element) -> Element:
     """The head holds no text and no element but those read as a whole: any other ends it."""
     return element.parent if element.tag == "head" else element
@@ -115,21 +122,27 @@ def blocks_of(page: str) -> list[Block]:
     top = element = Element("#page", None, "")
     blocks: list[Block] = []
     parts: list[str] = []
-    linked = depth = at = 0
+    links: list[list[str]] = []
+    in_link, at = False, 0
 
     def finish():
-        nonlocal element, linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal element, in_link
+        text = collapsed(parts)
         if text:
             element = outside_head(element)
-            blocks.append(Block(element, text, linked))
+            blocks.append(Block(element, text, sum(len(collapsed(link)) for link in links)))
         parts.clear()
-        linked = 0
+        links.clear()
+        in_link = False
+
+    def add(piece: str):
+        parts.append(piece)
+        if in_link:
+            links[-1].append(piece)
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at:m.start()])
-            linked += (m.start() - at) * (depth > 0)
+            add(page[at:m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
@@ -137,15 +150,16 @@ def blocks_of(page: str) -> list[Block]:
         closing, attrs = bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
         if tag in INLINE:
             if tag == "a":
-                depth = 0 if closing else 1
+                in_link = not closing and (bool(HREF.search(attrs)) or not ANCHOR.search(attrs))
+                if in_link:
+                    links.append([])
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if tag in ("img", "wbr"):
             continue
         finish()
-        depth = 0
         if tag in VOID:
             continue
         if closing:
@@ -170,8 +184,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in ("h1", "article", "main"):
             for e in element.parent.chain():
                 e.holds_title = True
-    parts.append(page[at:])
-    linked += len(page[at:]) * (depth > 0)
+    add(page[at:])
     finish()
     del top
     return _without_beside([b for b in blocks if not any(e.sure for e in b.element.chain())])
@@ -265,7 +278,7 @@ def main_text(page: str | None) -> str:
         for e in b.element.chain():
             e.content += len(b.text)
     article = _holder(chosen, total)
-    inside = [article in b.element.chain() and b.linked < len(b.text) for b in blocks]
+    inside = [article in b.element.chain() for b in blocks]
     first = inside.index(True)
     if not any(b.element.tag == "h1" for b, i in zip(blocks, inside) if i):
         # The heading may stand beside the element of the text, within an element that holds both.

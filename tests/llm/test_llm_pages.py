@@ -188,3 +188,21 @@ SHARE = "<div class=share><a href=x>Tweet this</a> <a href=y>Mail it</a></div>"
 ])
 def test_names_within_the_article_leave_no_text_out(html, text):
     assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    (page(f"<article><p>{LONG}</p><p>See <a href=x>R&amp;D &mdash; Q&amp;A</a>.</p></article>"), f"{P}\nSee R&D — Q&A."),
+    (page(f"<article><p>{LONG}</p><p>At <a href=x>\n              the\n              end\n          </a></p></article>"),
+     f"{P}\nAt the end"),
+    (page(f"<article><h2><a href=x>Title</a></h2><p>{LONG}</p><ul><li><a href=y>A source</a></ul></article>"),
+     f"Title\n{P}\nA source"),
+    (page(f"<article><p><a name=top>{LONG}<p><a id=b>{LONG}</article>"), f"{P}\n{P}"),
+    (page(f"<div><p><a name=top>{LONG}</p><p>{LONG}</p></div><ul><li><a class=x href=y>{LONG}</a></ul>"), f"{P}\n{P}"),
+])
+def test_linked_blocks_of_the_article_stay(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_links_count_decoded_characters():
+    blocks = html_text.blocks_of("<p>a <a href=x>b&amp;\n  c</a> <a name=y>d</a><a href='z'>e</a></p>")
+    assert [(b.text, b.linked) for b in blocks] == [("a b& c de", 5)]
