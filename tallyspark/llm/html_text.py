@@ -4,9 +4,10 @@ A page becomes its text blocks in order, each with the path of block tags from t
 of the article (menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out
 at once, but no form that holds an h1, article or main element, nor what a name alone speaks against within an article. The head ends where body or text begins. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
 less the share of linked text. The fused ratio, on a log scale, is smoothed along the page over neighbouring blocks,
-averaged again by path, and compared with half of the page's largest; paths above are content. The smallest element that
-holds nearly all content text is the article, and the blocks in it, headings and short paragraphs included, are the text, with the heading
-that stands before that element beside it, where it holds none.
+averaged again by path, and compared with half of the page's largest; paths above are content. The article is
+every outermost article or main element with content, if they have half of it, else the smallest element that holds all
+content. The blocks in it, headings and short paragraphs included, are the text, with the heading that stands before it
+beside it, where it holds none.
 
 Tags need not be closed or balanced. A null or empty page gives an empty text; so does a page without a block that is
 not left out. Texts are read whole. Repeated rows are extracted each on its own; columns named text or n_chars in the
@@ -76,12 +77,13 @@ HIDDEN_FLAG = re.compile(r"(?:^|\s)hidden(?![\w-])", re.IGNORECASE)
 class Element:
     """An open tag on the way down; `beside` says its markup names it as no part of the article."""
 
-    __slots__ = ("tag", "parent", "inside", "beside", "sure", "holds_title", "content", "weight")
+    __slots__ = ("tag", "parent", "inside", "beside", "sure", "holds_title", "holds_only_articles", "content", "weight")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
         names = [m[2] or m[3] or m[4] or "" for m in NAMES.finditer(attrs) if tag not in PROSE or m[1].lower() != "id"]
         words = {w.lower() for name in names for w in WORDS.findall(name)}
         self.tag, self.parent, self.holds_title, self.content, self.weight = tag, parent, False, 0.0, 0
+        self.holds_only_articles = tag != "form"
         self.inside = inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         named = bool(words & BESIDE_WORDS) or any(BESIDE_STEMS.fullmatch(w) or (
             len(w) > 6 and BESIDE_STEMS.search(w)) for w in words) or (not inside and (tag in PAGE_HEAD or bool(words & PAGE_HEAD)))
@@ -184,6 +186,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in ("h1", "article", "main"):
             for e in element.parent.chain():
                 e.holds_title = True
+                e.holds_only_articles = e.holds_only_articles and tag == "article"
     add(page[at:])
     finish()
     del top
@@ -208,6 +211,10 @@ def _without_beside(blocks: list[Block]) -> list[Block]:
         in_articles += own * (articles > 0)
     every = {id(e): e for b in blocks for e in b.element.chain()}.values()
     articles = [e for e in every if e.tag == "article"]
+    for e in every:
+        # Such as a list of related articles; one around the article itself holds most of their text.
+        if e.holds_title and e.holds_only_articles and e.weight * 2 < in_articles:
+            e.holds_title = False
     titled = any(e.tag == "h1" for e in every)
     holders = {id(e) for e in articles if not e.named() or e.weight * 2 > in_articles} or set(map(id, articles))
     if not articles and not any(e.tag == "main" for e in every):
@@ -272,40 +279,38 @@ def main_text(page: str | None) -> str:
     chosen = [b for b in blocks if scores[b.path] >= limit] if limit > 0 else []
     if not chosen:
         return ""
-    total = 0
-    for b in chosen:
-        total += len(b.text)
-        for e in b.element.chain():
-            e.content += len(b.text)
-    article = _holder(chosen, total)
-    inside = [article in b.element.chain() for b in blocks]
-    first = inside.index(True)
+    roots = _roots(chosen)
+    held = {id(e) for e in roots}
+    inside = [any(id(e) in held for e in b.element.chain()) for b in blocks]
     if not any(b.element.tag == "h1" for b, i in zip(blocks, inside) if i):
         # The heading may stand beside the element of the text, within an element that holds both.
-        around = set(map(id, article.chain()))
+        first = inside.index(True)
+        around = {id(e) for root in roots for e in root.chain()}
         titles = [k for k in range(first) if blocks[k].element.tag == "h1" and id(blocks[k].element.parent) in around]
         if titles:
             inside[titles[-1]] = True
     return "\n".join(b.text for b, i in zip(blocks, inside) if i)
 
 
-def _holder(chosen: list[Block], total: int) -> Element:
-    """The element named as the article, if it has most content; else the smallest one with nine tenths of it."""
-    best = chosen[0].element
-    while best.parent is not None:
-        best = best.parent
-    named = None
+def _roots(chosen: list[Block]) -> list[Element]:
+    """The elements that are the article: all outermost ones named so that hold content, if they have half of it; else
+    the smallest element that holds all content."""
+    named, total, within = {}, 0, 0
     for b in chosen:
-        depth = [e for e in b.element.chain() if e.content >= 0.9 * total]
-        if depth and len(list(depth[0].chain())) > len(list(best.chain())):
-            best = depth[0]
+        total += len(b.text)
         for e in b.element.chain():
-            if e.tag in ("article", "main") and e.content >= 0.5 * total and (named is None or e.content >= named.content):
-                named = e
+            e.content += len(b.text)
+        top = [e for e in b.element.chain() if e.tag in ("article", "main")]
+        if top:
+            named[id(top[-1])] = top[-1]
+            within += len(b.text)
+    if within * 2 >= total:
+        return list(named.values())
+    best = next(e for e in chosen[0].element.chain() if e.content >= total)
     # A single long paragraph has its heading beside it.
-    if named is None and best.tag == "p" and best.parent is not None:
+    if best.tag == "p" and best.parent is not None:
         best = best.parent
-    return named or best
+    return [best]
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

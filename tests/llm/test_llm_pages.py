@@ -206,3 +206,20 @@ def test_linked_blocks_of_the_article_stay(html, text):
 def test_links_count_decoded_characters():
     blocks = html_text.blocks_of("<p>a <a href=x>b&amp;\n  c</a> <a name=y>d</a><a href='z'>e</a></p>")
     assert [(b.text, b.linked) for b in blocks] == [("a b& c de", 5)]
+
+
+@pytest.mark.parametrize("html, text", [
+    (page(f"<div id=content><section>{LONG * 20}</section><section>{LONG}</section></div>"), f"{(LONG * 20).strip()}\n{P}"),
+    (page(f"<div><div><p>{LONG * 20}</p></div><h2>Two</h2><div><p>{LONG}</p></div></div>"),
+     f"{(LONG * 20).strip()}\nTwo\n{P}"),
+    (page(f"<article><p>{LONG * 12}</p></article><article><p>{LONG}</p></article>"), f"{(LONG * 12).strip()}\n{P}"),
+    (page(f"<article><p>{LONG}</p></article><div class=menu>a</div><p>b</p><article><h2>Two</h2><p>{LONG}</p></article>"),
+     f"{P}\nTwo\n{P}"),
+    (page(f"<main><p>{LONG}</p></main><div><ul><li><a href=x>{LONG}</a></ul></div>"), P),
+    (page(f"<article><p>{LONG}</p><p>{LONG}</p></article><div class=related-posts><article><p>{LONG}</p></article></div>"),
+     f"{P}\n{P}"),
+    (page(f"<form><article><p>{LONG}</p></article></form><form><article><p>{LONG * 9}</p></article></form>"),
+     f"{P}\n{(LONG * 9).strip()}"),
+])
+def test_all_parts_of_an_article_stay(html, text):
+    assert html_text.main_text(html) == text
