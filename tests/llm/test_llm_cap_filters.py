@@ -57,6 +57,14 @@ def test_pairs_at_the_limit_share_a_filter(width):
     assert 20 <= len(both[0]) / len(a) <= 55
 
 
+@pytest.mark.parametrize("width", [512, 1024, 2048, 4096, 8192])
+def test_recall_does_not_fall_with_the_width(width):
+    a, b = pairs(400, 0.93, 64, np.random.default_rng(2))
+    codes = cap_filters.codes_for(width)(64)
+    first, second = (set(zip(*(x.tolist() for x in cap_filters.filters_of(unit, codes)))) for unit in (a, b))
+    assert len({row for row, _ in first & second}) / len(a) >= 0.97
+
+
 @pytest.mark.parametrize("chunk", [512, 4])
 def test_links_and_components_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(cap_filters, "CHUNK", chunk)
