@@ -104,5 +104,5 @@ def op4(spark, sf_dir):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         tokenizer_json = file.read()
     path = scratch_path(spark, "tokens")
-    token_files.encode_corpus(table(spark, sf_dir, "documents"), path, tokenizer_json, end_id=0)
+    token_files.encode_corpus(table(spark, sf_dir, "documents"), path, tokenizer_json, end_id=0, special_as_text=False)
     return token_files.digest(spark, path)

@@ -6,6 +6,9 @@ document is a frame of its own. A frame is one row of a Parquet file: file and f
 documents, and their token ids as one code of independent, checksummed blocks (`range_coder`). Frames hold whole
 documents, so each is read alone; a document's place in the corpus follows from the frames' lengths.
 
+Text that names a special token, such as <|endoftext|>, is ordinary text unless `special_as_text` is off: then the tokenizer
+works as its file says, and the name becomes the token's single id.
+
 A null text is empty and has the end id only. Null ids come first; equal ids are in order of their texts. The tokenizer's
 file is a parameter; its content travels with the tasks.
 """
@@ -32,7 +35,7 @@ FRAMES = "file int, frame int, doc_ids array<long>, lengths array<long>, n_ids l
 
 
 def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int = 0, id_col: str = "doc_id",
-                  text_col: str = "text") -> None:
+                  text_col: str = "text", special_as_text: bool = True) -> None:
     """Write the token ids of all documents below `path`."""
     rows = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(wide(docs.sparkSession), "id").sortWithinPartitions("id", "text")
@@ -42,7 +45,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
         file, frame = TaskContext.get().partitionId(), 0
         names, parts, held = [], [], 0
 

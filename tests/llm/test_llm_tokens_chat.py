@@ -85,6 +85,19 @@ def test_token_query(spark, sf_dir):
     assert sorted(tuple(r) for r in REGISTRY["op4_token_files"](spark, sf_dir).collect()) == expected(docs)
 
 
+def test_token_query_uses_the_tokenizer_as_loaded(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "plain text", "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer, at, want = Tokenizer.from_file(PATH), 0, []
+    for doc, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert want[2][2] == 2
+    assert sorted(tuple(r) for r in REGISTRY["op4_token_files"](spark, str(tmp_path)).collect()) == want
+
+
 # --- chat ------------------------------------------------------------------------------
 
 HARD = st.lists(st.sampled_from(
