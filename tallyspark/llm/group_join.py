@@ -299,8 +299,28 @@ def _open_blocks(candidates: DataFrame, reps: DataFrame, groups: DataFrame, text
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without an id stay."""
-    found = jaccard_components(docs.select(id_col, options.get("text_col", "text")), id_col=id_col, **options)
-    later = found.filter("id <> component_id").select(F.col("id").alias(id_col))
-    first = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return first.join(later, id_col, "left_anti").select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    """One document of each component, the one with the smallest id; documents without an id stay.
+
+    Rows with one id and different texts are documents of their own, named by a hash of both; of those in one component
+    the least hash stays. Of rows with one id and one text, the one with the least hash of all columns stays.
+    """
+    text_col = options.get("text_col", "text")
+    known = docs.filter(F.col(id_col).isNotNull())
+    often = known.groupBy(id_col).agg(F.count("*").alias("often")).filter("often > 1").select(id_col)
+    repeated = materialize(often, "repeated-ids")
+    if repeated.isEmpty():
+        found = jaccard_components(docs.select(id_col, text_col), id_col=id_col, **options)
+        later = found.filter("id <> component_id").select(F.col("id").alias(id_col))
+        return docs.join(later, id_col, "left_anti").select(*docs.columns)
+    rows = docs.join(repeated.withColumn("_again", F.lit(True)), id_col, "left").withColumn(
+        "_node", F.when(F.col("_again"), F.xxhash64(id_col, text_col)).otherwise(F.col(id_col).cast("long")))
+    found = jaccard_components(rows.select("_node", text_col), id_col="_node", **options)
+    components = found.filter("id is not null").select(F.col("id").alias("_node"), "component_id").distinct()
+    names = rows.filter("_node is not null").select("_node", F.col(id_col).alias("_id")).distinct()
+    first = names.join(components, "_node").groupBy("component_id").agg(
+        F.min(F.struct("_id", "_node")).alias("first")).select("first._node")
+    stay = rows.join(first, "_node", "left_semi")
+    of_repeated = stay.filter("_again").groupBy("_node").agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    single = stay.filter("_again is null").select(*docs.columns)
+    return single.union(of_repeated).union(docs.filter(F.col(id_col).isNull()))

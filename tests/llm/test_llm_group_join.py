@@ -114,6 +114,18 @@ def test_null_ids_equal_ids_and_no_rows(spark):
     assert group_join.jaccard_components(none).count() == 0 and group_join.keep_first(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_rows_with_one_id_and_different_texts_stay(spark, order):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(7, one, "x"), (7, two, "x"), (7, two, "x"), (3, one, "x"), (9, three, "x"), (5, three, "x"), (5, three, "y"),
+            (5, "", "x"), (None, one, "x"), (12, two, "x")]
+    docs = spark.createDataFrame(rows[::order], "doc_id long, text string, n string")
+    got = sorted(((r.doc_id or 0, r.text) for r in group_join.keep_first(docs.repartition(3), size=3).collect()))
+    assert got == sorted([(0, one), (3, one), (5, ""), (5, three), (7, two)])
+    kept = [sorted(r.n for r in group_join.keep_first(docs.repartition(k), size=3).collect()) for k in (1, 4)]
+    assert kept[0] == kept[1]
+
+
 def test_query_on_the_smallest_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in REGISTRY["op7_group_join"](spark, sf_dir).collect()}
