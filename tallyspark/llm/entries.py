@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import cap_filters, chat, decontaminate, group_join, html_text, mixing, quality, shards, token_files, warc
+from tallyspark.llm import (
+    cap_filters, chat, decontaminate, group_join, html_text, mixing, periodic_runs, quality, shards, token_files, warc,
+)
 from tallyspark.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +108,9 @@ def op4(spark, sf_dir):
     path = scratch_path(spark, "tokens")
     token_files.encode_corpus(table(spark, sf_dir, "documents"), path, tokenizer_json, end_id=0, special_as_text=False)
     return token_files.digest(spark, path)
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_planted_runs(docs)))
