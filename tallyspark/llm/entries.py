@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
-    cap_filters, chat, decontaminate, group_join, html_text, mixing, periodic_runs, quality, shards, token_files, warc,
+    cap_filters, chat, decontaminate, group_join, hard_negatives, html_text, mixing, nearest_examples,
+    periodic_runs, quality, shards, token_files, warc,
 )
 from tallyspark.session import materialize, scratch_path
 
@@ -114,3 +115,16 @@ def op4(spark, sf_dir):
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_planted_runs(docs)))
+
+
+@query("op11_hard_negatives")
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, is_anchor=F.col("vec_id") % 100 == 0)
+
+
+@query("op12_toxicity")
+def op12(spark, sf_dir):
+    scored = nearest_examples.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.drop("evidence")
