@@ -37,8 +37,8 @@ SAMPLE = 2_048
 CELL = 32
 MOST_WORDS = 64
 ROUNDS = 4
-#: Rows to gather from cells before they are scored together.
-TOGETHER = 128
+#: Rows to gather from cells before they are scored together, at first and at most.
+FIRST, LAST = 128, 4_096
 EXACT = 2.0**53
 LARGEST = 2**63 - 1
 
@@ -108,12 +108,12 @@ class MultiIndex:
                 heapq.heappush(heap, (-(u[i + 1] + w[0]), i + 1, 0))
 
     def groups(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-        """(rows, largest score of any row still to come), about TOGETHER rows at a time."""
-        held, count = [], 0
+        """(rows, largest score of any row still to come); groups grow from FIRST rows to LAST."""
+        held, count, enough = [], 0, FIRST
         for bound, cell in self.cells(query):
-            if count >= TOGETHER:
+            if count >= enough:
                 yield np.concatenate(held), bound
-                held, count = [], 0
+                held, count, enough = [], 0, min(2 * enough, LAST)
             a, b = self.starts[cell], self.starts[cell + 1]
             if b > a:
                 held.append(np.arange(a, b))
@@ -128,20 +128,34 @@ class MultiIndex:
         exact = (sum(int(x) * q for x, q in zip(row, whole)) for row in self.vectors[rows].tolist())
         return np.array([max(-LARGEST, min(LARGEST, x)) for x in exact], np.int64)
 
-    def top(self, query: np.ndarray, take: int, fits, low: float = -np.inf, high: float = np.inf):
-        """(ids, scores) of the `take` best rows that fit, with scores from `low` to `high`."""
+    def top(self, query: np.ndarray, take: int, fits, lows=(-np.inf,), highs=(np.inf,)) -> list[tuple]:
+        """(ids, scores) of the `take` best rows that fit, for each window of scores from a low to a high.
+
+        All windows share one visit of the cells, which ends when each is certified.
+        """
+        lows, highs = np.asarray(lows, float), np.asarray(highs, float)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for rows, rest in self.groups(query):
             rows = rows[fits(rows)]
-            if len(rows):
-                score = self.scores(rows, query)
-                inside = (score >= low) & (score <= high)
-                ids, scores = np.append(ids, self.ids[rows[inside]]), np.append(scores, score[inside])
-                best = np.lexsort((ids, -scores))[:take]
-                ids, scores = ids[best], scores[best]
-            if rest < low or (len(ids) == take and scores[-1] > rest):
+            score = self.scores(rows, query)
+            near = (score >= lows.min()) & (score <= highs.max())
+            if near.any():
+                ids, scores = np.append(ids, self.ids[rows[near]]), np.append(scores, score[near])
+                order = np.lexsort((ids, -scores))
+                ids, scores = ids[order], scores[order]
+                # Of the rows by falling score, a window can need the first few from its high on.
+                begin = np.searchsorted(-scores, -highs)
+                kept = np.unique((begin[:, None] + np.arange(take)).ravel())
+                kept = kept[kept < len(ids)]
+                ids, scores = ids[kept], scores[kept]
+            sure = ((scores[:, None] <= highs) & (scores[:, None] > rest)).sum(0) >= take
+            if (sure | (rest < lows)).all():
                 break
-        return ids, scores
+        out = []
+        for low, high in zip(lows, highs):
+            inside = np.flatnonzero((scores >= low) & (scores <= high))[:take]
+            out.append((ids[inside], scores[inside]))
+        return out
 
 
 def least_score(high: int, low_percent: int) -> int:
@@ -152,12 +166,15 @@ def least_score(high: int, low_percent: int) -> int:
 def answer(index: MultiIndex, anchor: int, label: int, query: np.ndarray, highs, take: int, low_percent: int):
     """(window, ids, scores): the best rows of the anchor's label, or of the other labels for each window."""
     if highs is None:
-        yield 0, *index.top(query, take, lambda r: (index.labels[r] == label) & (index.ids[r] != anchor))
+        (ids, scores), = index.top(query, take, lambda r: (index.labels[r] == label) & (index.ids[r] != anchor))
+        yield 0, ids, scores
         return
-    for high in highs:
-        low = least_score(high, low_percent)
-        if low <= high:
-            yield high, *index.top(query, take, lambda r: index.labels[r] != label, low, high)
+    windows = [(least_score(high, low_percent), high) for high in highs]
+    windows = [w for w in windows if w[0] <= w[1]]
+    if windows:
+        found = index.top(query, take, lambda r: index.labels[r] != label, *zip(*windows))
+        for (_, high), (ids, scores) in zip(windows, found):
+            yield high, ids, scores
 
 
 COLUMNS = ["shard", "length", "kind", "id", "label", "vector", "highs"]

@@ -103,7 +103,7 @@ def test_search_stops_early_on_clustered_vectors():
     scored = []
     score = index.scores
     index.scores = lambda rows, query: scored.append(len(rows)) or score(rows, query)
-    ids, scores = index.top(vectors[7], 5, lambda r: np.ones(len(r), bool))
+    (ids, scores), = index.top(vectors[7], 5, lambda r: np.ones(len(r), bool))
     exact = vectors @ vectors[7]
     assert scores.tolist() == np.sort(exact)[::-1][:5].tolist() and sum(scored) < 4_000
 
