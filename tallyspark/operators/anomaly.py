@@ -6,6 +6,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +83,12 @@ def features(ledger: DataFrame) -> DataFrame:
     )
 
 
+def stored_features(ledger: DataFrame) -> DataFrame:
+    """`features`, stored in as many files as tasks should score them: a row costs far more to score than to move."""
+    spread = features(ledger).repartition(wide(ledger.sparkSession), "transaction_id")
+    return materialize(spread, "features")
+
+
 @dataclass
 class ForestModel:
     """Grown trees as packed arrays. Their size depends on tree count and sample size only."""
@@ -117,36 +124,59 @@ def describe(spark: SparkSession, model: ForestModel) -> DataFrame:
 
 
 def sample_for_trees(featured: DataFrame, n_rows: int, trees: int = schemas.FOREST_TREES,
-                     sample: int = schemas.FOREST_SAMPLE, seed: int = schemas.SEED) -> DataFrame:
-    """At most `sample` rows for each tree, drawn by hashes of the transaction id.
-
-    Hashes make the draw independent of how rows are partitioned. A row joins a
-    tree with a probability that gives each tree half as many rows again as it
-    needs. How many trees it joins is therefore binomial: one hash picks that
-    number, further ones that many distinct trees. The rule is the same for any
-    number of rows, and most rows of a large ledger fail its first comparison.
+                     sample: int = schemas.FOREST_SAMPLE, seed: int = schemas.SEED, below: float | None = None) -> DataFrame:
+    """For each tree the `sample` rows with the smallest numbers, all rows if there are fewer.
+
+    A row has one number for each tree, which follow from a hash of its transaction id, so the draw does not depend on
+    partitioning. A partition keeps no more than `sample` rows of a tree, and partials are merged by tree. Numbers from
+    `below` on are left out before that: on a large ledger a row's smallest number, which is one comparison, rules out
+    nearly every row. By default so many are left that no tree can be expected to run short; `fit_forest` makes sure.
     """
-    def unit(*parts):
-        return (F.pmod(F.xxhash64("transaction_id", *parts), F.lit(1 << 40)) / float(1 << 40)).cast("double")
-
-    share = min(1.0, 1.5 * sample / max(n_rows, 1))
-    # Chance of at most k trees, for k below the number of trees.
-    chance = [math.comb(trees, k) * share**k * (1 - share) ** (trees - k) for k in range(trees)]
-    at_most = F.array(*[F.lit(min(1.0, sum(chance[:k + 1]))) for k in range(trees)])
-    by_hash = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        F.xxhash64("transaction_id", F.lit(seed), t).alias("h"), t.alias("t"))))
-    drawn = (
-        featured.withColumn("_u", unit(F.lit(seed))).filter(F.col("_u") >= chance[0])
-        .withColumn("_k", F.size(F.filter(at_most, lambda c: c <= F.col("_u"))))
-        .withColumn("tree", F.explode(F.slice(by_hash, 1, F.col("_k")))).withColumn("tree", F.col("tree.t"))
-    )
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("transaction_id", F.lit(seed + 1), "tree"), "transaction_id")
+    if below is None:
+        below = likely_bound(n_rows, sample)
+    bits = 1 << 40
+    hashed = featured.withColumn("_hash", F.xxhash64("transaction_id", F.lit(seed)))
+    if below < 1:
+        first_below = -math.expm1(trees * math.log1p(-below))
+        hashed = hashed.filter(F.pmod("_hash", F.lit(bits)) <= F.lit(math.ceil(first_below * bits)))
+    schema = T.StructType([
+        T.StructField("tree", T.LongType()), T.StructField("number", T.DoubleType()),
+        featured.schema["transaction_id"], featured.schema["vector"]])
+
+    def smallest(batches):
+        limit, held = below, None
+        for batch in batches:
+            base = np.asarray(batch.column(0)).view(np.uint64)
+            first = ((base & np.uint64(bits - 1)).astype(float) + kernel.unit_numbers(base, 0)) / bits
+            row, tree, number = kernel.lowest_numbers(base, first, trees, limit)
+            rows = pa.table([pa.array(tree), pa.array(number), *(batch.column(i).take(pa.array(row)) for i in (1, 2))],
+                            names=schema.names)
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if len(held) > 4 * trees * sample:
+                held = cut(held)
+                if len(held) == trees * sample:
+                    limit = min(limit, float(np.max(held.column("number"))))
+        if held is not None:
+            yield from cut(held).to_batches(max_chunksize=10_000)
+
+    def cut(table):
+        places = kernel.smallest_of_trees(*(np.asarray(table.column(c)) for c in ("tree", "number")), sample)
+        return table.take(pa.array(places)).combine_chunks()
+
+    partial = hashed.select("_hash", "transaction_id", "vector").mapInArrow(smallest, schema)
+    order = Window.partitionBy("tree").orderBy("number", "transaction_id")
     return (
-        drawn.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= sample).select("tree", "transaction_id", "vector")
+        partial.repartition(min(trees, wide(featured.sparkSession)), "tree")
+        .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
+        .select("tree", "transaction_id", "vector")
     )
 
 
+def likely_bound(n_rows: int, sample: int) -> float:
+    """A limit that leaves a tree `sample` rows and ten deviations more on the average."""
+    return min(1.0, (sample + 10 * math.sqrt(sample) + 20) / max(n_rows, 1))
+
+
 def fit_forest(featured: DataFrame, trees: int = schemas.FOREST_TREES, sample: int = schemas.FOREST_SAMPLE,
                seed: int = schemas.SEED) -> ForestModel:
     """Grow the forest, one task group per tree.
@@ -167,14 +197,17 @@ def fit_forest(featured: DataFrame, trees: int = schemas.FOREST_TREES, sample: i
             "left": [nodes[2]], "depth": [nodes[3]],
         })
 
-    grown = (
-        sample_for_trees(featured, n_rows, trees, sample, seed)
-        .repartition(min(trees, wide(featured.sparkSession)), "tree")
-        .groupBy("tree").applyInPandas(
-            build, "tree int, n int, feature array<int>, threshold array<double>, "
-                   "left array<int>, depth array<double>")
-        .toPandas().sort_values("tree")
-    )
+    for below in (likely_bound(n_rows, sample), 1.0):
+        grown = (
+            sample_for_trees(featured, n_rows, trees, sample, seed, below)
+            .groupBy("tree").applyInPandas(
+                build, "tree int, n int, feature array<int>, threshold array<double>, "
+                       "left array<int>, depth array<double>")
+            .toPandas().sort_values("tree")
+        )
+        # Draws are the same for any bound, so a tree that ran short is drawn again without one.
+        if len(grown) == trees and grown["n"].min() >= min(sample, n_rows):
+            break
     packed = kernel.pack([tuple(row) for row in grown[["feature", "threshold", "left", "depth"]].to_numpy()])
     return ForestModel(packed, int(grown["n"].max()))
 
@@ -255,7 +288,7 @@ def detect(ledger: DataFrame, contamination: float = schemas.CONTAMINATION) -> D
     fit, threshold, normalisation and flags all read them. Inside a
     `session.scratch` block they are removed when the flags are stored.
     """
-    featured = materialize(features(ledger), "features")
+    featured = stored_features(ledger)
     model = fit_forest(featured)
     scored = materialize(model.score(featured), "scores")
     threshold = contamination_threshold(scored, contamination)

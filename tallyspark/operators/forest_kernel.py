@@ -24,6 +24,51 @@ def mean_path_length(n):
     return np.where(n > 2, longer, np.where(n == 2, 1.0, 0.0))
 
 
+def unit_numbers(base, step):
+    """Numbers in (0, 1) that follow from 64-bit hashes and a step."""
+    x = base + np.uint64((step * 0x9E3779B97F4A7C15) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 + 2.0**-54
+
+
+def lowest_numbers(base, first, trees, below):
+    """(row, tree, number) for every number below `below` that a row has for a tree.
+
+    A row has one uniform number for each tree. They are drawn from the smallest up, each for a tree that has none yet,
+    so a row without a number below the limit costs one step. `first` is the row's first draw, in (0, 1); the others
+    follow from `base`.
+    """
+    n = len(base)
+    rows, chosen, numbers = [], [], []
+    alive, rest = np.arange(n), np.zeros(n)
+    left = np.empty((n, 0), np.int16)
+    for step in range(trees):
+        draw = first[alive] if step == 0 else unit_numbers(base[alive], 2 * step)
+        rest = rest + np.log1p(-draw) / (trees - step)
+        number = -np.expm1(rest)
+        stays = number < below
+        alive, rest, number = alive[stays], rest[stays], number[stays]
+        if not len(alive):
+            break
+        left = np.tile(np.arange(trees, dtype=np.int16), (len(alive), 1)) if step == 0 else left[stays]
+        pick = step + (unit_numbers(base[alive], 2 * step + 1) * (trees - step)).astype(np.int64)
+        at = np.arange(len(alive))
+        tree = left[at, pick]
+        left[at, pick] = left[:, step]
+        rows.append(alive), chosen.append(tree.astype(np.int64)), numbers.append(number)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(chosen), np.concatenate(numbers)
+
+
+def smallest_of_trees(tree, number, take):
+    """Places of the `take` smallest numbers of each tree."""
+    order = np.lexsort((number, tree))
+    begins = np.searchsorted(tree[order], tree[order])
+    return order[np.arange(len(order)) - begins < take]
+
+
 def grow_tree(sample, seed):
     """One random tree over `sample` (rows by features), as flat node arrays.
 

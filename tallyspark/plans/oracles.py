@@ -670,6 +670,20 @@ SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date,
        CAST(amount AS DOUBLE) AS amount, CASE WHEN is_recurring THEN 'credit' ELSE txn_type END AS txn_type,
        description, is_recurring
 FROM ledger WHERE NOT amount < 30000"""
+QUERIES["edit_stored_months"] = """
+WITH c AS (
+  SELECT *, txn_date < DATE '1992-04-01' AS early, month AS old_month,
+    CASE WHEN txn_date < DATE '1992-04-01' AND is_recurring AND txn_type <> 'credit'
+         THEN CAST(txn_date + 366 AS DATE) ELSE txn_date END AS new_date
+  FROM ledger),
+hit AS (
+  SELECT old_month, strftime(new_date, '%Y-%m') AS new_month, NOT is_recurring AND amount < 20000 AS gone FROM c
+  WHERE early AND (txn_type = 'credit' OR is_recurring OR amount < 20000)),
+m AS (SELECT old_month AS m FROM hit UNION SELECT new_month FROM hit WHERE NOT gone)
+SELECT transaction_id, account_id, CAST(new_date AS VARCHAR) AS txn_date, merchant_name, category_name,
+       CAST(CASE WHEN early AND txn_type = 'credit' THEN amount * 2 ELSE amount END AS DOUBLE) AS amount, txn_type,
+       description, is_recurring, strftime(new_date, '%Y-%m') IN (SELECT m FROM m) AS rewritten
+FROM c WHERE NOT (early AND NOT is_recurring AND amount < 20000)"""
 QUERIES["edit_merchant_upsert"] = """
 SELECT merchant_id, merchant_name, default_category FROM merchants
 UNION ALL

@@ -28,21 +28,33 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
     step only and later steps read columns, not lineage. Malformed rows of any
     feed end up in `malformed_rows`, those of transactions in `rejected` too. A
     later row of the budget feed replaces an earlier one; files are in order of
-    their paths. The gate raises before any model runs, and the two models run
-    side by side. `out_dir` must not lie below `in_dir`.
+    their paths. `out_dir` must not lie below `in_dir`.
+
+    Raw tables, staging and marts are written to the run's own folder and tested there. Only when the gate lets them
+    pass are they put into place, all together; otherwise it raises, every published table is the old one, and the run's
+    folder stays to be looked at. The two models read published tables and run side by side.
     """
     run = RunResult({})
+    publication = files.Publication(spark, out_dir)
 
     def step(name, work):
         started = time.monotonic()
         work()
         run.seconds[name] = round(time.monotonic() - started, 3)
 
-    def stored(name, df, path=None):
-        path = path or f"{out_dir}/{name}"
+    def stored(name, df, partition_by=None):
+        run.tables[name] = publication.write(name, df, partition_by)
+
+    def replaced(name, df):
+        path = f"{out_dir}/{name}"
         files.replace_table(df, path)
         run.tables[name] = spark.read.schema(df.schema).parquet(path)
 
+    def raw_view(name, landed):
+        """The validation gives malformed transactions their reason; other feeds go on without such rows."""
+        whole = landed.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT)
+        return landed if name == "transactions" else whole
+
     def load_raw():
         raw = {
             name: files.read_raw_csv(spark, f"{in_dir}/{name}.csv", schema, order="load_seq" if name == "budgets" else None)
@@ -50,14 +62,12 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
         }
         raw["accounts"] = files.read_accounts_csv(spark, f"{in_dir}/accounts.csv")
         malformed = None
-        for name, path in files.land_raw(raw, out_dir).items():
-            landed = spark.read.parquet(path)
+        for name, df in raw.items():
+            landed = publication.write(f"raw_{name}", files.stamp_loaded_at(df))
             marked = landed.filter(F.col(files.CORRUPT).isNotNull()).select(
                 F.lit(name).alias("feed"), F.col(files.CORRUPT).alias("record"))
             malformed = marked if malformed is None else malformed.unionByName(marked)
-            # The validation gives malformed transactions their reason; other feeds go on without such rows.
-            run.tables[f"raw_{name}"] = landed if name == "transactions" else (
-                landed.filter(F.col(files.CORRUPT).isNull()).drop(files.CORRUPT))
+            run.tables[f"raw_{name}"] = raw_view(name, landed)
         stored("malformed_rows", malformed)
 
     def stage():
@@ -70,9 +80,7 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
         stored("checked", checked)
         stored("rejected", validation.rejected(t["checked"]))
         fct = marts.fct_transactions(validation.accepted(t["checked"]), t["categories"])
-        files.write_ledger(fct, f"{out_dir}/fct_transactions")
-        t["fct_transactions"] = spark.read.schema(fct.schema.add("txn_month", "string")).parquet(
-            f"{out_dir}/fct_transactions")
+        stored("fct_transactions", files.ledger_layout(fct), files.LEDGER_PARTITION)
         budgets = staging.load_budgets(t["raw_budgets"], t["categories"], t["accounts"])
         stored("budgets", budgets.drop("category_id"))
 
@@ -98,27 +106,31 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
         stored("data_tests", quality.run_tests(tested, quality.STAGING_TESTS + quality.MART_TESTS))
         quality.assert_gate(t["data_tests"])
 
+    def publish():
+        for name, df in publication.publish().items():
+            run.tables[name] = raw_view(name.removeprefix("raw_"), df) if name.startswith("raw_") else df
+
     def flag():
         if anomaly.debits(run.tables["fct_transactions"]).isEmpty():
             return
         with scratch(spark):
-            stored("anomaly_flags", anomaly.detect(run.tables["fct_transactions"]).flags)
+            replaced("anomaly_flags", anomaly.detect(run.tables["fct_transactions"]).flags)
 
     def predict():
         t = run.tables
         daily = t["daily_movement"].select("account_id", "txn_date", "net_flow")
         rows = forecast.feature_rows(forecast.densify(daily))
-        stored("skipped_accounts", forecast.skipped_accounts(t["accounts"], rows))
+        replaced("skipped_accounts", forecast.skipped_accounts(t["accounts"], rows))
         with scratch(spark):
             split = materialize(forecast.with_split(rows), "split")
-            stored("forecast_models", forecast.fit_models(split))
-            stored("forecast_metrics", forecast.metrics(forecast.backtest(split), split))
+            replaced("forecast_models", forecast.fit_models(split))
+            replaced("forecast_metrics", forecast.metrics(forecast.backtest(split), split))
         steps = forecast.forecast_steps(t["forecast_models"])
-        stored("cashflow_forecast", forecast.forecast_table(steps, t["account_health"]))
+        replaced("cashflow_forecast", forecast.forecast_table(steps, t["account_health"]))
 
     for name, work in (
         ("load raw", load_raw), ("stage and validate", stage), ("marts", build_marts),
-        ("quality gate", gate),
+        ("quality gate", gate), ("publish", publish),
     ):
         step(name, work)
     with ThreadPoolExecutor(2) as models:

@@ -550,14 +550,14 @@ def _(t):
 @query("anom_iforest_fit")
 def _(t):
     """The grown forest, one row per tree."""
-    featured = materialize(t.event_features, "features")
+    featured = anomaly.stored_features(t.events)
     model = anomaly.fit_forest(featured)
     return anomaly.describe(t.spark, model)
 
 
 @query("anom_iforest_score")
 def _(t):
-    featured = materialize(t.event_features, "features")
+    featured = anomaly.stored_features(t.events)
     return anomaly.fit_forest(featured).score(featured).select("transaction_id", "raw_score")
 
 
@@ -599,7 +599,7 @@ def _(t):
             F.count_if(F.col("raw_score") > found.threshold).alias("n_above"),
             F.count_if(F.col("raw_score") >= found.threshold).alias("n_from")).first()
         n_flags = found.flags.count()
-        trees = anomaly.describe(t.spark, anomaly.fit_forest(materialize(t.event_features, "features"))).agg(
+        trees = anomaly.describe(t.spark, anomaly.fit_forest(anomaly.stored_features(t.events))).agg(
             F.count("*").alias("n"), F.count_if(F.col("nodes") == 2 * F.col("leaves") - 1).alias("n_binary")).first()
     # Ranks above the percentile's are flagged, but for ties with it.
     most = scored["n"] - 1 - int((scored["n"] - 1) * (1 - schemas.CONTAMINATION))
@@ -791,6 +791,21 @@ def _(t):
     return changes.apply_changes(t.ledger, last.unionByName(first), deletes)
 
 
+@query("edit_stored_months")
+def _(t):
+    """Changes of a stored ledger: the first months' credits are doubled, its other recurring rows move a year ahead, and
+    its smaller other rows go. Only these months and those a year later are written."""
+    path = scratch_path(t.spark, "ledger")
+    files.write_ledger(t.ledger, path)
+    early = files.read_ledger(t.spark, path).filter("txn_month < '1992-04'").drop("txn_month")
+    credits = early.filter("txn_type = 'credit'").withColumns({"amount": F.col("amount") * 2, "sequence": F.lit(1)})
+    moved = early.filter("is_recurring AND txn_type <> 'credit'").withColumns({
+        "txn_date": F.date_add("txn_date", 366), "sequence": F.lit(1)})
+    gone = early.filter("NOT is_recurring AND amount < 20000").select("transaction_id")
+    months = changes.change_stored_ledger(t.spark, path, credits.unionByName(moved), gone)
+    return files.read_ledger(t.spark, path).withColumn("rewritten", F.col("txn_month").isin(months)).drop("txn_month")
+
+
 @query("edit_merchant_upsert")
 def _(t):
     """Events naming merchants by their key, some of which are known brands."""

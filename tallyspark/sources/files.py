@@ -9,8 +9,11 @@ from pyspark.sql import types as T
 from tallyspark import schemas
 from tallyspark.functions.columns import slug
 from tallyspark.session import exists, remove, rename
+from tallyspark.sources import csv_records
 
 CORRUPT = "_corrupt_record"
+PLACE = "_place"
+QUOTED = {"quote": '"', "escape": '"'}
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True,
@@ -19,27 +22,33 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], schema: T.StructTyp
 
     A missing column fails, but for those with a default in `schemas.RAW_DEFAULTS`; other columns of the files are left
     out. All files must have the first one's header. Rows with too few or too many fields keep their text in
-    `_corrupt_record`. Line breaks inside quotes belong to the field; files of feeds without any can be read with
-    `multi_line=False`, which also splits large files between tasks. There an unclosed quote ends with its line, and the
-    row is marked as corrupt.
+    `_corrupt_record`. Line breaks inside quotes belong to the field, and large files are split between tasks all the
+    same: `csv_records` looks for such breaks first, which is a job of its own. Feeds known to have none can be read with
+    `multi_line=False`; there an unclosed quote ends with its line, and the row is marked as corrupt. Blank lines are no
+    records.
 
     `order` names a column to add that sorts rows by file path and then by place in the file.
     """
-    header = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
+    header = spark.read.option("header", True).options(**QUOTED).csv(path).columns
     missing = [c for c in schema.names if c not in header and c not in schemas.RAW_DEFAULTS]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
     in_file = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
-    rows = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line)
-        .schema(in_file)
-        .csv(path)
-    )
+    broken = csv_records.records(spark, path) if multi_line else None
+    if broken is not None:
+        rows = _parsed(broken, in_file)
+    else:
+        rows = (
+            spark.read.option("header", True)
+            .option("enforceSchema", False)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .options(**QUOTED)
+            .schema(in_file)
+            .csv(path)
+        ).withColumn(PLACE, F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row")))
     corrupt = F.col(CORRUPT)
     if not multi_line:
         odd_quotes = F.concat_ws(",", *[F.col(f"`{c}`") for c in header])
@@ -50,17 +59,27 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], schema: T.StructTyp
         for c in schema.names
     ]
     if order:
-        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-        columns.append(place.alias(order))
+        columns.append(F.col(PLACE).alias(order))
     return rows.select(*columns, corrupt.alias(CORRUPT))
 
 
+def _parsed(records: DataFrame, in_file: T.StructType) -> DataFrame:
+    """Records as columns; each file's first one must be the header, as Spark's reader demands."""
+    options = {**QUOTED, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+    names = [f.name for f in in_file if f.name != CORRUPT]
+    columns = ", ".join("`{}` STRING".format(f.name.replace("`", "``")) for f in in_file)
+    parsed = records.withColumn("_row", F.from_csv("record", columns, options))
+    same = F.lower(F.concat_ws("\n", *[F.col(f"_row.`{c}`") for c in names])) == "\n".join(names).lower()
+    refused = F.raise_error(F.concat(F.lit("CSV header does not conform to the first file's: "), F.col("file")))
+    data = F.when((F.col("start") > 0) | (F.col("row") > 0), True).otherwise(F.when(same, False).otherwise(refused))
+    return parsed.filter(data.cast("boolean")).select("_row.*", F.struct("file", "start", "row").alias(PLACE))
+
+
 def read_accounts_csv(spark: SparkSession, path: str) -> DataFrame:
     """accounts.csv with its 0-based row position as `account_ref`.
 
-    Position only means something within one file, so several files without
-    an `account_ref` column are refused. A file read whole is one task, whose
-    rows are numbered from 0 in order.
+    Position only means something within one file, so several files without an `account_ref` column are refused. Rows
+    are numbered by counting those of each split and adding up the counts in the order of the splits.
     """
     reader = spark.read.option("header", True).csv(path)
     if "account_ref" in reader.columns:
@@ -68,8 +87,26 @@ def read_accounts_csv(spark: SparkSession, path: str) -> DataFrame:
         return read_raw_csv(spark, path, schema)
     if len(reader.inputFiles()) > 1:
         raise ValueError(f"{path} holds several files without account_ref; row positions have no meaning across them")
-    rows = read_raw_csv(spark, path, schemas.RAW_TABLES["accounts"])
-    return rows.select(F.monotonically_increasing_id().cast("string").alias("account_ref"), *rows.columns)
+    rows = numbered(read_raw_csv(spark, path, schemas.RAW_TABLES["accounts"], order=PLACE), PLACE, "account_ref")
+    return rows.select(F.col("account_ref").cast("string").alias("account_ref"), *[c for c in rows.columns if c != "account_ref"])
+
+
+def numbered(rows: DataFrame, place: str, name: str) -> DataFrame:
+    """`rows` of `read_raw_csv` with their position over all files, from 0, as `name` instead of `place`.
+
+    Within a split rows are numbered without gaps; the driver adds up one count for each split.
+    """
+    splits = rows.groupBy(f"{place}.file", f"{place}.start").agg(
+        F.min(f"{place}.row").alias("first"), F.count("*").alias("n")).orderBy("file", "start").collect()
+    before, bases = 0, []
+    for split in splits:
+        bases.append((split["file"], split["start"], before - split["first"]))
+        before += split["n"]
+    base = rows.sparkSession.createDataFrame(bases, "_file string, _start long, _base long")
+    # As short as the list of splits, which the driver holds anyway.
+    at_split = (F.col(f"{place}.file") == F.col("_file")) & (F.col(f"{place}.start") == F.col("_start"))
+    found = rows.join(F.broadcast(base), at_split, "left")
+    return found.withColumn(name, F.col("_base") + F.col(f"{place}.row")).drop("_file", "_start", "_base", place)
 
 
 def stamp_loaded_at(df: DataFrame) -> DataFrame:
@@ -88,31 +125,37 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def replace_tables(tables: dict[str, DataFrame], partition_by: list[str] | None = None) -> None:
-    """Replace several tables, by path, as one: none is touched before all are written.
-
-    Folders are switched by renames, which a file system does at once. If one
-    fails, the old folders are put back.
-    """
+    """Replace several tables, by path, as one: none is touched before all are written."""
     spark = next(iter(tables.values())).sparkSession
     new = {path: f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" for path in tables}
     try:
         for path, df in tables.items():
-            writer = df.write
-            if partition_by:
-                writer = writer.partitionBy(*partition_by)
-            writer.parquet(new[path])
+            _writer(df, partition_by).parquet(new[path])
     except Exception:
         for path in new.values():
             remove(spark, path)
         raise
+    switch(spark, new)
+
+
+def _writer(df: DataFrame, partition_by: list[str] | None):
+    return df.write.partitionBy(*partition_by) if partition_by else df.write
+
+
+def switch(spark: SparkSession, new: dict[str, str | None]) -> None:
+    """Put folders into the places that they are to have; a place without a new folder is emptied.
+
+    Folders are switched by renames, which a file system does at once. If one fails, the old folders are put back.
+    """
     switched = []
     try:
-        for path in tables:
+        for path, source in new.items():
             old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}" if exists(spark, path) else None
             if old:
-                rename(spark, path, old)
-            switched.append((path, old))
-            rename(spark, new[path], path)
+                rename(spark, path, hidden(old))
+            switched.append((path, old and hidden(old)))
+            if source:
+                rename(spark, source, path)
     except Exception:
         for path, old in reversed(switched):
             if old and exists(spark, path):
@@ -125,6 +168,56 @@ def replace_tables(tables: dict[str, DataFrame], partition_by: list[str] | None
             remove(spark, old)
 
 
+def hidden(path: str) -> str:
+    """A name beside `path` that readers of the folder pass over."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_{name}"
+
+
+class Publication:
+    """Tables of a run, written to a folder of their own and put into place together.
+
+    `write` stores a table below the run's folder and reads it back, so later steps and audits work on what would be
+    published. `publish` switches all tables at once; without it the published ones stay as they were, and the run's
+    folder stays for a look at what went wrong. Its name begins with an underscore, which readers pass over.
+    """
+
+    def __init__(self, spark: SparkSession, out_dir: str):
+        self.spark, self.out_dir = spark, out_dir.rstrip("/")
+        self.folder = f"{self.out_dir}/_run-{uuid.uuid4().hex}"
+        self._schemas: dict[str, T.StructType] = {}
+
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        _writer(df, partition_by).parquet(f"{self.folder}/{name}")
+        self._schemas[name] = df.schema
+        return self._read(self.folder, name)
+
+    def _read(self, folder: str, name: str) -> DataFrame:
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{folder}/{name}")
+
+    def publish(self) -> dict[str, DataFrame]:
+        """The published tables, by name."""
+        switch(self.spark, {f"{self.out_dir}/{name}": f"{self.folder}/{name}" for name in self._schemas})
+        remove(self.spark, self.folder)
+        return {name: self._read(self.out_dir, name) for name in self._schemas}
+
+
+def replace_partitions(df: DataFrame, path: str, column: str, values: list[str]) -> None:
+    """Replace the partitions `values` of a table stored by `column`; `df` has their new rows and may read the table.
+
+    A partition that gets no rows is removed. Files of other partitions are not touched.
+    """
+    spark, new = df.sparkSession, f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    try:
+        df.write.partitionBy(column).parquet(new)
+        folders = {value: f"{column}={value}" for value in values}
+        switch(spark, {
+            f"{path.rstrip('/')}/{name}": f"{new}/{name}" if exists(spark, f"{new}/{name}") else None
+            for name in folders.values()})
+    finally:
+        remove(spark, new)
+
+
 def land_raw(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
     """Replace the raw zone as one, every row stamped; a feed without rows leaves an empty table.
 
@@ -135,21 +228,36 @@ def land_raw(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
     return paths
 
 
-def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Store the ledger by month, sorted by account inside each month.
+LEDGER_PARTITION = ["txn_month"]
+
+
+def ledger_layout(ledger: DataFrame) -> DataFrame:
+    """The ledger as it is stored by month, sorted by account inside each month.
 
     The range covers the transaction id as well, so an account that holds most
     of the rows is cut into many files instead of one task's output, and each
     file's account and date statistics stay narrow for later filters.
     """
-    (
+    return (
         ledger.withColumn("txn_month", F.date_format("txn_date", "yyyy-MM"))
         .repartitionByRange("txn_month", "account_id", "transaction_id")
         .sortWithinPartitions("txn_month", "account_id", "txn_date")
-        .write.mode("overwrite").partitionBy("txn_month").parquet(path)
     )
 
 
+def write_ledger(ledger: DataFrame, path: str) -> None:
+    """Replace the stored ledger; a job that fails leaves the old one."""
+    replace_table(ledger_layout(ledger), path, LEDGER_PARTITION)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The stored ledger with its month as text."""
+    schema = spark.read.parquet(path).schema
+    month, = LEDGER_PARTITION
+    fields = [T.StructField(month, T.StringType()) if f.name == month else f for f in schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def materialize_layer(frames: dict[str, DataFrame], out_dir: str, layer: str, as_views: bool) -> dict[str, DataFrame]:
     """Staging frames become views (plans only), mart frames become stored tables."""
     result = {}
@@ -168,11 +276,17 @@ def export_flags_csv(flags: DataFrame, path: str) -> None:
     """Flagged transactions as CSV, one folder per account slug.
 
     Rows are spread by account and transaction, so a single account's export
-    may be several files but never one task's work.
+    may be several files but never one task's work. A job that fails leaves the old export.
     """
-    (
-        flags.withColumn("account_slug", slug("account_name"))
-        .repartitionByRange("account_slug", "transaction_id")
-        .sortWithinPartitions("account_slug", F.desc("anomaly_score"), "transaction_id")
-        .write.mode("overwrite").partitionBy("account_slug").option("header", True).csv(path)
-    )
+    spark, new = flags.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        (
+            flags.withColumn("account_slug", slug("account_name"))
+            .repartitionByRange("account_slug", "transaction_id")
+            .sortWithinPartitions("account_slug", F.desc("anomaly_score"), "transaction_id")
+            .write.partitionBy("account_slug").option("header", True).csv(new)
+        )
+    except Exception:
+        remove(spark, new)
+        raise
+    switch(spark, {path: new})

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import os
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark import schemas, session
-from tallyspark.operators import quality, serving, staging
+from tallyspark.operators import changes, quality, serving, staging
 from tallyspark.plans.pipeline import run_pipeline
 from tallyspark.sources import files
 
@@ -238,3 +240,202 @@ def test_gate_stops_before_the_models(spark, tmp_path):
     with pytest.raises(quality.QualityGateError, match="transaction_id: 1"):
         run_pipeline(spark, str(source), str(tmp_path / "out"))
     assert not (tmp_path / "out" / "anomaly_flags").exists()
+
+
+# --- records over split borders -----------------------------------------------------------
+
+FIELDS = ["x", "", '"q"', '"a\nb"', '"say ""hi"""', '"\n\n"', '5" pipe', '"x"y', '"x" ', ' "x"', '"m\n""l"",\n,end"', "é", '"a,b"',
+          '"\r\nz"', '"""\n"""']
+
+
+def messy_csv(seed, records, newline):
+    rng = random.Random(seed)
+    lines = [",".join(rng.choice(FIELDS) for _ in range(rng.choice([3, 3, 3, 2, 4]))) for _ in range(records)]
+    return "a,b,c" + newline + newline.join(lines) + newline * (seed % 2)
+
+
+ABC = T.StructType([T.StructField(c, T.StringType()) for c in "abc"])
+
+
+def by_multi_line(spark, path):
+    """Spark's own reader, one task a file."""
+    schema = T.StructType([*ABC, T.StructField(files.CORRUPT, T.StringType())])
+    rows = spark.read.options(header=True, enforceSchema=False, columnNameOfCorruptRecord=files.CORRUPT, multiLine=True,
+                              **files.QUOTED).schema(schema).csv(path)
+    return [tuple(r) for r in rows.select(*[F.coalesce(c, F.lit("")) for c in "abc"], files.CORRUPT).collect()]
+
+
+def in_splits(spark, path, size):
+    settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = files.read_raw_csv(spark, path, ABC, order="place")
+        found = sorted(rows.collect(), key=lambda r: tuple(r.place))
+        return [(r.a, r.b, r.c, r[files.CORRUPT]) for r in found], rows.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed, newline", [(0, "\n"), (1, "\n"), (3, "\r\n"), (5, "\r\n")])
+def test_records_equal_the_whole_file_reader_for_any_split(spark, tmp_path, seed, newline):
+    path = tmp_path / "m.csv"
+    path.write_bytes(messy_csv(seed, 20, newline).encode())
+    # The text that a malformed record is kept with has one kind of line break here.
+    want = [(*r[:3], r[3] and r[3].replace("\r\n", newline[-1] if len(newline) > 1 else "\r\n"))
+            for r in by_multi_line(spark, str(path))]
+    for size in (7, 64, 10_000):
+        got, tasks = in_splits(spark, str(path), size)
+        assert got == want and (tasks > 1 or size == 10_000)
+
+
+def test_a_file_cut_at_every_offset(spark, tmp_path):
+    """Splits of n bytes put a border at every multiple of n; all sizes together meet every offset."""
+    text = 'a,b,c\n1,"x\n",2\n5" p,"\n""\n",\n'
+    path = tmp_path / "m.csv"
+    path.write_text(text)
+    want = by_multi_line(spark, str(path))
+    assert len(want) == 2
+    for size in range(1, len(text) + 1):
+        assert in_splits(spark, str(path), size)[0] == want
+
+
+def test_a_field_never_closed_takes_the_rest(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text('a,b,c\n1,"x\ny",2\n3,"open,4\n5,6,7\n')
+    want = [("1", "x\ny", "2", None), ("3", "open,4\n5,6,7", "", '3,"open,4\n5,6,7')]
+    assert [tuple(v and v.rstrip() for v in r) for r in by_multi_line(spark, str(path))] == want
+    for size in (4, 9, 1000):
+        assert in_splits(spark, str(path), size)[0] == want
+
+
+def test_several_files_with_line_breaks_keep_their_order_and_headers(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    for name in ("1.csv", "2.csv"):
+        (feed / name).write_text(f'a,b,c\n"{name}\nx",1,2\nplain,3,4\n\n')
+    got, _ = in_splits(spark, str(feed), 6)
+    assert [r[0] for r in got] == ["1.csv\nx", "plain", "2.csv\nx", "plain"]
+    (feed / "3.csv").write_text('b,a,c\n"x\ny",1,2\n')
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        in_splits(spark, str(feed), 6)
+
+
+def test_account_positions_of_a_split_file(spark, tmp_path):
+    text = "account_name,account_type,owner_name,currency,opening_balance\n" + "".join(
+        f'"A{i}\n{i}",personal,x,USD,{i}\n' if i % 5 else f"A{i},personal,x,USD,{i}\n" for i in range(60))
+    for name, body in (("broken", text), ("plain", text.replace('\n', ' ').replace(' A', '\nA').replace(' "A', '\n"A'))):
+        path = write(tmp_path / f"{name}.csv", body)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        try:
+            rows = files.read_accounts_csv(spark, path)
+            got = {int(r.account_ref): r.opening_balance for r in rows.collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert {k: int(v) for k, v in got.items()} == {i: i for i in range(60)}
+
+
+# --- publication and stored changes ---------------------------------------------------------
+
+def listing(folder):
+    """Every file below a folder and when it was written, but for folders that readers pass over."""
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(folder) for f in names
+            if "/_" not in os.path.join(d, f)[len(str(folder)):]}
+
+
+def test_a_failing_gate_leaves_every_published_table(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    raw_files(source)
+    run = run_pipeline(spark, str(source), str(out))
+    rows = run.tables["fct_transactions"].count()
+    before = listing(out)
+    raw_files(source, accounts=3, doubled=True)
+    with pytest.raises(quality.QualityGateError):
+        run_pipeline(spark, str(source), str(out))
+    assert listing(out) == before and spark.read.parquet(str(out / "fct_transactions")).count() == rows
+    kept, = [d for d in os.listdir(out) if d.startswith("_run-")]
+    assert spark.read.parquet(str(out / kept / "data_tests")).filter("failures > 0").count() > 0
+    raw_files(source, accounts=3)
+    again = run_pipeline(spark, str(source), str(out))
+    assert again.tables["accounts"].count() == 3 and again.tables["fct_transactions"].count() == rows * 3 // 2
+    parts = [{f for f in x if f.endswith(".parquet")} for x in (before, listing(out))]
+    assert parts[0] and not parts[0] & parts[1]
+
+
+def test_a_failing_ledger_or_export_leaves_the_old_one(spark, tmp_path):
+    ledger = spark.range(40).select(
+        F.col("id").cast("string").alias("transaction_id"), F.lit(1).cast("long").alias("account_id"),
+        F.expr("date_add(date'2026-01-01', cast(id as int))").alias("txn_date"))
+    path, export = str(tmp_path / "ledger"), str(tmp_path / "export")
+    files.write_ledger(ledger, path)
+    flags = ledger.select("transaction_id", F.lit(0.5).alias("anomaly_score"), F.lit("B&B").alias("account_name"))
+    files.export_flags_csv(flags, export)
+    before = listing(tmp_path)
+    broken = F.when(F.col("transaction_id") == "7", F.raise_error(F.lit("broken"))).otherwise(F.col("transaction_id"))
+    for write_it in (lambda: files.write_ledger(ledger.withColumn("transaction_id", broken), path),
+                     lambda: files.export_flags_csv(flags.withColumn("transaction_id", broken), export)):
+        with pytest.raises(Exception, match="broken"):
+            write_it()
+    assert listing(tmp_path) == before
+    files.write_ledger(ledger.limit(3), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def stored_ledger(spark, path):
+    rows = spark.range(120).select(
+        F.col("id").cast("string").alias("transaction_id"), F.lit(1).cast("long").alias("account_id"),
+        F.expr("date_add(date'2026-01-01', cast(id as int))").alias("txn_date"), F.lit("m").alias("merchant_name"),
+        F.lit("Food").alias("category_name"), (F.col("id") + 1).cast(schemas.MONEY).alias("amount"),
+        F.lit("debit").alias("txn_type"), F.lit(" d ").alias("description"), F.lit(False).alias("is_recurring"))
+    files.write_ledger(rows, path)
+    return files.read_ledger(spark, path)
+
+
+def test_stored_changes_write_only_touched_months(spark, tmp_path):
+    """One row moves from January to April, February loses all its rows, March stays as it is."""
+    path = str(tmp_path / "ledger")
+    old = session.materialize(stored_ledger(spark, path), "old")
+    before = listing(path)
+    rows = old.drop("txn_month")
+    updates = rows.filter("transaction_id = '5'").withColumns({
+        "txn_date": F.lit(dt.date(2026, 4, 2)), "amount": F.lit(-7), "sequence": F.lit(1)})
+    unknown = updates.withColumn("transaction_id", F.lit("no such row")).withColumn("txn_date", F.lit(dt.date(2030, 1, 1)))
+    deletes = rows.filter("month(txn_date) = 2").select("transaction_id")
+    want = changes.apply_changes(rows, updates.unionByName(unknown), deletes)
+    assert changes.change_stored_ledger(spark, path, updates.unionByName(unknown), deletes) == [
+        "2026-01", "2026-02", "2026-04"]
+    now = files.read_ledger(spark, path)
+    assert sorted(map(tuple, now.drop("txn_month").collect())) == sorted(map(tuple, want.collect()))
+    assert now.filter("txn_month <> date_format(txn_date, 'yyyy-MM')").count() == 0
+    assert sorted(d for d in os.listdir(path) if "=" in d) == ["txn_month=2026-01", "txn_month=2026-03", "txn_month=2026-04"]
+    march = {f: t for f, t in before.items() if "2026-03" in f}
+    assert march and march.items() <= listing(path).items()
+    assert not [f for f in listing(path) if f in before and f not in march and "=" in f]
+    assert changes.change_stored_ledger(spark, path, unknown, deletes.limit(0)) == []
+    assert not [d for d in os.listdir(path) if d.startswith("_new")]
+
+
+def test_a_failing_change_leaves_the_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = stored_ledger(spark, path).drop("txn_month")
+    before = listing(path)
+    broken = rows.filter("transaction_id = '5'").withColumns({"sequence": F.lit(1)})
+    real = session.rename
+    moved = []
+
+    def failing_rename(spark_, source, target):
+        moved.append(target)
+        if len(moved) == 3:
+            raise OSError("lost")
+        real(spark_, source, target)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(files, "rename", failing_rename)
+        with pytest.raises(OSError):
+            changes.change_stored_ledger(
+                spark, path, broken, rows.filter("transaction_id = '50'").select("transaction_id"))
+    assert listing(path) == before
