@@ -1,17 +1,22 @@
 """Operator 3, main text of web pages by tag-path ratios.
 
-A page becomes its text blocks in order, each with the path of block tags from the root. What its markup names as no part
-of the article (menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out
-at once, but no form that holds an h1, article or main element, nor what a name alone speaks against within an article. The head ends where body or text begins. For the rest, every path gets ratios over all its blocks: text length per block, and punctuation marks per block,
-less the share of linked text. The fused ratio, on a log scale, is smoothed along the page over neighbouring blocks,
-averaged again by path, and compared with half of the page's largest; paths above are content. The article is
-every outermost article or main element with content, if they have half of it, else the smallest element that holds all
-content. The blocks in it, headings and short paragraphs included, are the text, with the heading that stands before it
-beside it, where it holds none.
-
-Tags need not be closed or balanced. A null or empty page gives an empty text; so does a page without a block that is
-not left out. Texts are read whole. Repeated rows are extracted each on its own; columns named text or n_chars in the
-input are replaced.
+A page becomes its text blocks in order, each with its path: tags from the root, with the words of their classes and ids.
+Every path gets a ratio over all its blocks, text length times punctuation per block, less the share of linked text. The
+ratio, on a log scale, is smoothed along the page over neighbouring blocks, fused with the path's own, and compared with
+SHARE of the page's largest; paths above are content. The article is the smallest element around all content. Inside,
+subtrees without content are left out where they are linked or stand before or after all content; headings, short
+paragraphs and lists between content blocks stay, as do those among the content's own siblings. What markup names as no
+part of the article (menus, footers, sidebars, notices, adverts, forms, comments) is left out after that, which decides
+only where ratios are alike, as for comments; an element that holds most of the text is never left out for its name.
+
+Where the page says itself what its article is, by article or main elements that hold half of its content or more, these
+are taken whole, all outermost ones, with the heading that stands before them if they hold none. Named parts outside, forms
+and named nested articles go; other named parts inside go only where the ratios agree.
+
+Scripts, styles and elements that are not shown hold no text. The head ends where body or text begins. Tags need not be
+closed or balanced, and work grows in proportion to the page, however deep. A null or empty page gives an empty text; so
+does a page without content. Texts are read whole; blocks are joined by an empty line. Repeated rows are extracted each
+on its own; columns named text or n_chars in the input are replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ SCOPES = frozenset("ul ol dl table body html".split())
 
 #: Elements and words in class, id or role that name parts beside the article.
 BESIDE = frozenset("nav aside footer button dialog menu head".split())
+#: Of these, the ones that hold no text of a page at all.
+UNSEEN = frozenset("button dialog menu head".split())
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert "
@@ -57,6 +64,11 @@ BESIDE_STEMS = re.compile(
 PAGE_HEAD = frozenset("header masthead topbar".split())
 #: Their ids are targets of links; within an article they are text whatever they are named.
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = PROSE - {"p"}
+#: Elements that are text themselves, not containers of anything.
+PROSE_BLOCKS = PROSE | frozenset("ul ol dl li dt dd blockquote pre table figure figcaption address hr".split())
+#: A path is content from this share of the best path's ratio.
+SHARE = 1 / 3
 
 TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<(?:{EMPTY_RAW})(?=[\s/])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
@@ -65,7 +77,9 @@ TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-MARKS = re.compile(r"[.,;:!?…。、，！？¡¿]")
+DIGITS = re.compile(r"\d+")
+#: Marks that end words; those inside of numbers and addresses say nothing.
+MARKS = re.compile(r"[.,;:!?…](?=\s|$)|[。、，！？]")
 #: An a element that only names a place in the page is no link.
 HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.IGNORECASE)
 ANCHOR = re.compile(r"(?:^|[\s\"'])(?:name|id)\s*=", re.IGNORECASE)
@@ -75,26 +89,33 @@ HIDDEN_FLAG = re.compile(r"(?:^|\s)hidden(?![\w-])", re.IGNORECASE)
 
 
 class Element:
-    """An open tag on the way down; `beside` says its markup names it as no part of the article."""
+    """An open tag on the way down; `beside` says its markup names it as no part of the article.
 
-    __slots__ = ("tag", "parent", "inside", "beside", "sure", "holds_title", "holds_only_articles", "content", "weight")
+    Its path is numbered by its parent's path and its own tag, classes and id, so no path is ever spelled out.
+    """
 
-    def __init__(self, tag: str, parent: Element | None, attrs: str):
-        names = [m[2] or m[3] or m[4] or "" for m in NAMES.finditer(attrs) if tag not in PROSE or m[1].lower() != "id"]
-        words = {w.lower() for name in names for w in WORDS.findall(name)}
-        self.tag, self.parent, self.holds_title, self.content, self.weight = tag, parent, False, 0.0, 0
+    __slots__ = ("tag", "parent", "path", "inside", "beside", "hidden", "sure", "holds_title", "holds_only_articles",
+                 "own", "text", "linked", "content", "blocks", "prose", "mark", "top")
+
+    def __init__(self, tag: str, parent: Element | None, attrs: str, paths: dict[tuple, int]):
+        names = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in NAMES.finditer(attrs)]
+        names = [(kind, name) for kind, name in names if tag not in PROSE or kind != "id"]
+        words = {w.lower() for _, name in names for w in WORDS.findall(name)}
+        # Ids are often numbered through, classes are not.
+        tokens = frozenset(t for kind, name in names for t in (DIGITS.sub("", name) if kind == "id" else name).split())
+        self.tag, self.parent, self.holds_title = tag, parent, False
+        self.path = paths.setdefault((parent.path if parent else -1, tag, tokens), len(paths))
         self.holds_only_articles = tag != "form"
         self.inside = inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         named = bool(words & BESIDE_WORDS) or any(BESIDE_STEMS.fullmatch(w) or (
             len(w) > 6 and BESIDE_STEMS.search(w)) for w in words) or (not inside and (tag in PAGE_HEAD or bool(words & PAGE_HEAD)))
-        self.sure = tag in BESIDE or bool(HIDDEN.search(attrs)) or bool(HIDDEN_FLAG.search(QUOTED.sub("''", attrs)))
+        unseen = tag in UNSEEN or bool(HIDDEN.search(attrs)) or bool(HIDDEN_FLAG.search(QUOTED.sub("''", attrs)))
+        self.hidden = unseen or (parent is not None and parent.hidden)
+        self.sure = tag in BESIDE or self.hidden or (parent is not None and parent.sure)
         self.beside = tag == "form" or named and tag not in ("html", "body", "main")
-
-    def chain(self):
-        e = self
-        while e is not None:
-            yield e
-            e = e.parent
+        self.own = self.text = self.linked = self.content = self.blocks = 0
+        self.prose = self.mark = False
+        self.top = None
 
     def named(self) -> bool:
         """A name such as "with-sidebar" on an element around the article itself leaves nothing out."""
@@ -107,8 +128,7 @@ class Block:
     __slots__ = ("element", "text", "linked", "path")
 
     def __init__(self, element: Element, text: str, linked: int):
-        self.element, self.text, self.linked = element, text, linked
-        self.path = "/".join(e.tag for e in element.chain())
+        self.element, self.text, self.linked, self.path = element, text, min(linked, len(text)), element.path
 
 
 def collapsed(parts: list[str]) -> str:
@@ -120,18 +140,28 @@ def outside_head(element: Element) -> Element:
     return element.parent if element.tag == "head" else element
 
 
-def blocks_of(page: str) -> list[Block]:
-    top = element = Element("#page", None, "")
-    blocks: list[Block] = []
+def parsed(page: str) -> tuple[list[Element], list[Block]]:
+    """All elements, parents first, and all blocks, both in the order of the page."""
+    paths: dict[tuple, int] = {}
+    element = Element("#page", None, "", paths)
+    elements, blocks = [element], []
+    opened: dict[str, int] = defaultdict(int)
     parts: list[str] = []
     links: list[list[str]] = []
     in_link, at = False, 0
 
+    def up_to(parent: Element) -> None:
+        """Close what is open below `parent`."""
+        nonlocal element
+        while element is not parent:
+            opened[element.tag] -= 1
+            element = element.parent
+
     def finish():
-        nonlocal element, in_link
+        nonlocal in_link
         text = collapsed(parts)
         if text:
-            element = outside_head(element)
+            up_to(outside_head(element))
             blocks.append(Block(element, text, sum(len(collapsed(link)) for link in links)))
         parts.clear()
         links.clear()
@@ -165,152 +195,248 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for e in element.chain():
-                if e.tag == tag and e.parent is not None:
-                    element = e.parent
-                    break
+            if opened[tag]:
+                while element.tag != tag:
+                    up_to(element.parent)
+                up_to(element.parent)
             continue
-        element = outside_head(element)
+        up_to(outside_head(element))
         # An open paragraph ends where another block begins, a list item where the next one does.
         ends = CLOSES.get(tag, set()) | {"p"}
-        for e in element.chain():
-            if e.tag in SCOPES or e.parent is None:
-                break
+        e = element
+        while e.parent is not None and e.tag not in SCOPES:
             if e.tag in ends:
-                element = e.parent
+                up_to(e.parent)
                 if e.tag == "p":
                     break
-            elif e.tag not in ("p", *CLOSES):
+            elif e.tag not in CLOSES:
                 break
-        element = Element(tag, element, attrs)
+            e = e.parent
+        element = Element(tag, element, attrs, paths)
+        elements.append(element)
+        opened[tag] += 1
         if tag in ("h1", "article", "main"):
-            for e in element.parent.chain():
+            e = element.parent
+            # What is above an element that is marked already is marked as well.
+            while e is not None and not (e.holds_title and (tag == "article" or not e.holds_only_articles)):
                 e.holds_title = True
                 e.holds_only_articles = e.holds_only_articles and tag == "article"
+                e = e.parent
     add(page[at:])
     finish()
-    del top
-    return _without_beside([b for b in blocks if not any(e.sure for e in b.element.chain())])
+    return elements, blocks
 
 
-def _without_beside(blocks: list[Block]) -> list[Block]:
-    """The blocks that no name leaves out.
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page but those that are not shown."""
+    return [b for b in parsed(page)[1] if not b.element.hidden]
 
-    A name does not count on an element that holds most of the text: an article with most of all articles' text, or, on a
-    page without article or main, an element with nine tenths of it, or with half of it where there is no h1. Within an
-    article (or main, on a page without article) a name only counts if the ratios agree: at least half of the container's
-    text is linked, or it has no paragraph, no heading and no block on a path above the limit.
-    """
-    total = in_articles = 0
-    for b in blocks:
-        own, articles = max(len(b.text) - b.linked, 0), 0
-        for e in b.element.chain():
-            e.weight += own
-            articles += e.tag == "article"
-        total += own
-        in_articles += own * (articles > 0)
-    every = {id(e): e for b in blocks for e in b.element.chain()}.values()
-    articles = [e for e in every if e.tag == "article"]
-    for e in every:
-        # Such as a list of related articles; one around the article itself holds most of their text.
-        if e.holds_title and e.holds_only_articles and e.weight * 2 < in_articles:
-            e.holds_title = False
-    titled = any(e.tag == "h1" for e in every)
-    holders = {id(e) for e in articles if not e.named() or e.weight * 2 > in_articles} or set(map(id, articles))
-    if not articles and not any(e.tag == "main" for e in every):
-        holders = {id(e) for e in every if e.weight * 10 >= total * 9 or (e.weight * 2 > total and not titled)}
-    scope = "article" if articles else "main"
 
-    free, unsure = [], []
-    for b in blocks:
-        names, within = [], []
-        for e in b.element.chain():
-            if e.tag == scope and (scope == "main" or id(e) in holders):
-                within, names = within + [x for x in names if x.tag not in PROSE], []
-            if e.named() and id(e) not in holders:
-                names.append(e)
-        # A form in an article is a form; a nested article that is named, such as a comment, is none of the article.
-        if not names and not any(e.tag in ("form", "article") for e in within):
-            free.append(b)
-            if within:
-                unsure.append((b, within))
-    if not unsure:
-        return free
-    scores = path_scores(free)
-    limit = max(scores.values()) / 2
-    text, linked, prose = defaultdict(int), defaultdict(int), set()
-    for b, within in unsure:
-        for e in within:
-            text[id(e)] += len(b.text)
-            linked[id(e)] += min(b.linked, len(b.text))
-            if b.element.tag in PROSE or scores[b.path] >= limit:
-                prose.add(id(e))
-    gone = {id(b) for b, within in unsure if any(linked[id(e)] * 2 >= text[id(e)] or id(e) not in prose for e in within)}
-    return [b for b in free if id(b) not in gone]
-
-
-def path_scores(blocks: list[Block]) -> dict[str, float]:
-    """Fused and smoothed ratio of every path."""
+def path_scores(blocks: list[Block]) -> dict[int, float]:
+    """Fused ratio of every path: its own, on a log scale, and that of its surroundings along the page."""
     length, marks, links, count = (defaultdict(float) for _ in range(4))
     for b in blocks:
         length[b.path] += len(b.text)
         marks[b.path] += len(MARKS.findall(b.text))
-        links[b.path] += min(b.linked, len(b.text))
+        links[b.path] += b.linked
         count[b.path] += 1
     ratio = {
-        p: math.log1p(length[p] / count[p] * (1 + marks[p] / count[p]) * (1 - links[p] / length[p])) for p in count
+        p: math.log1p(length[p] / count[p] * (1 + marks[p] / count[p]) * (1 - links[p] / length[p]) * math.sqrt(length[p]))
+        for p in count
     }
     along = [ratio[b.path] for b in blocks]
     around = [along[0], *along, along[-1]]
-    smoothed = [0.25 * around[i] + 0.5 * around[i + 1] + 0.25 * around[i + 2] for i in range(len(along))]
-    fused: dict[str, float] = defaultdict(float)
-    for b, s in zip(blocks, smoothed):
-        fused[b.path] += s * ratio[b.path] / count[b.path]
+    fused: dict[int, float] = defaultdict(float)
+    for i, b in enumerate(blocks):
+        smoothed = 0.25 * around[i] + 0.5 * around[i + 1] + 0.25 * around[i + 2]
+        fused[b.path] += (ratio[b.path] + smoothed) / 2 / count[b.path]
     return fused
 
 
+def content_limit(scores: dict[int, float]) -> float:
+    """The score from which a path is content: SHARE of the best one's ratio, on the log scale of scores."""
+    best = max(scores.values())
+    return max(best + math.log(SHARE), best / 2) if best > 0 else math.inf
+
+
+def summed(elements: list[Element], blocks: list[Block], content: list[bool]) -> None:
+    """For every element what the blocks inside hold: text, its linked part, content, number and number of content."""
+    for e in elements:
+        e.own = e.text = e.linked = e.content = e.blocks = 0
+        e.prose = False
+    for b, is_content in zip(blocks, content):
+        e, n = b.element, len(b.text)
+        e.text, e.linked, e.own = e.text + n, e.linked + b.linked, e.own + n - b.linked
+        e.prose = e.prose or is_content or e.tag in PROSE
+        if is_content:
+            e.content, e.blocks = e.content + n, e.blocks + 1
+    for e in reversed(elements[1:]):
+        up = e.parent
+        up.text, up.linked, up.own = up.text + e.text, up.linked + e.linked, up.own + e.own
+        up.content, up.blocks, up.prose = up.content + e.content, up.blocks + e.blocks, up.prose or e.prose
+
+
+def carry_down(elements: list[Element], marks) -> None:
+    """Mark elements that `marks` picks, and all inside them."""
+    for e in elements:
+        e.mark = (e.parent is not None and e.parent.mark) or marks(e)
+
+
 def main_text(page: str | None) -> str:
-    """Blocks of the article, one per line."""
-    blocks = blocks_of(page) if page else []
+    """Blocks of the article, with an empty line between."""
+    elements, blocks = parsed(page) if page else ([], [])
+    blocks = [b for b in blocks if not b.element.hidden]
+    chosen = None
+    if any(e.tag in ("article", "main") for e in elements):
+        chosen = _by_element(elements, blocks)
+    if chosen is None:
+        chosen = _by_paths(elements, blocks)
+    return "\n\n".join(b.text for b in chosen)
+
+
+def _by_paths(elements: list[Element], blocks: list[Block]) -> list[Block]:
+    """The article of a page that does not mark it: what paths above the limit hold, and what stands between.
+
+    The article's element is the smallest around all content. In it, a subtree without content is left out if half of
+    its text or more is linked, or if it stands before or after all content, unless it is a heading or other prose among
+    the content's own siblings. Names decide only where ratios are alike: they take away content such as comments.
+    """
+    if not blocks:
+        return []
+    _mark_beside(elements, blocks)
+    unnamed = [b for b in blocks if not b.element.mark]
+    # If names take away all content, what they leave is compared with itself.
+    for compared in (blocks, unnamed):
+        scores = path_scores(compared) if compared else {}
+        limit = content_limit(scores) if scores else 0
+        content = [not b.element.mark and scores[b.path] >= limit for b in blocks]
+        if any(content):
+            break
+    else:
+        return []
+    summed(elements, blocks, content)
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    beside = {id(b.element) for b in blocks if b.element.mark}
+    root, total = blocks[first].element, sum(content)
+    while root.blocks < total or (root.tag == "p" and root.parent is not None):
+        root = root.parent
+    carry_down(elements, lambda e: e is root)
+    inside = {id(e) for e in elements if e.mark}
+    # The largest subtree without content that an element is in.
+    for e in elements:
+        e.top = e.parent.top if e.parent is not None and e.parent.top is not None else (e if not e.blocks else None)
+    holders = {id(b.element.parent) for b, c in zip(blocks, content) if c} | {id(b.element) for b, c in zip(blocks, content) if c}
+
+    def kept(i: int, b: Block) -> bool:
+        if id(b.element) not in inside or id(b.element) in beside:
+            return False
+        free = b.element.top
+        if content[i]:
+            return True
+        if free is None:
+            return first < i < last or b.linked * 2 < len(b.text)
+        if free.tag in HEADINGS:
+            return i < last
+        if free.linked * 2 >= free.text:
+            return False
+        return first < i < last or (free.tag in PROSE_BLOCKS and id(free.parent) in holders)
+
+    keep = [kept(i, b) for i, b in enumerate(blocks)]
+    _with_title(blocks, keep, [root])
+    return [b for b, k in zip(blocks, keep) if k]
+
+
+def _mark_beside(elements: list[Element], blocks: list[Block]) -> None:
+    """Mark what names leave out on a page without article or main: no element with nine tenths of the text, or with half
+    of it where there is no h1."""
+    summed(elements, blocks, [False] * len(blocks))
+    total = elements[0].own
+    titled = any(b.element.tag == "h1" for b in blocks)
+    carry_down(elements, lambda e: e.tag in BESIDE or e.named() and not (
+        e.own * 10 >= total * 9 or (e.own * 2 > total and not titled)))
+
+
+def _by_element(elements: list[Element], blocks: list[Block]) -> list[Block] | None:
+    """The article of a page with article or main elements, if they hold half of its content.
+
+    A name leaves out what stands outside, but not an article with most of all articles' text. Within an article (or
+    main, on a page without article) a name only counts if the ratios agree: at least half of the container's text is
+    linked, or it has no paragraph, no heading and no block on a path above the limit.
+    """
+    blocks = [b for b in blocks if not b.element.sure]
+    if not blocks:
+        return []
+    summed(elements, blocks, [False] * len(blocks))
+    articles = [e for e in elements if e.tag == "article" and e.text]
+    nested: set[int] = set()
+    for e in elements[1:]:
+        if e.parent.tag == "article" or id(e.parent) in nested:
+            nested.add(id(e))
+    in_articles = sum(e.own for e in articles if id(e) not in nested)
+    for e in elements:
+        # Such as a list of related articles; one around the article itself holds most of their text.
+        if e.holds_title and e.holds_only_articles and e.own * 2 < in_articles:
+            e.holds_title = False
+    holders = {id(e) for e in articles if not e.named() or e.own * 2 > in_articles} or set(map(id, articles))
+    scope = "article" if articles else "main"
+
+    def is_scope(e: Element) -> bool:
+        return e.tag == scope and (scope == "main" or id(e) in holders)
+
+    scoped: set[int] = set()
+    for e in elements:
+        if (e.parent is not None and id(e.parent) in scoped) or is_scope(e):
+            scoped.add(id(e))
+
+    def within(e: Element) -> bool:
+        """Named inside an outermost scope."""
+        return (e.parent is not None and id(e.parent) in scoped and e.named() and id(e) not in holders
+                and e.tag not in PROSE)
+
+    # Outside, a name is enough; a form in an article is a form, and a nested article that is named none of it.
+    carry_down(elements, lambda e: (
+        within(e) and e.tag in ("form", "article")) or (
+        (e.parent is None or id(e.parent) not in scoped) and e.named() and id(e) not in holders))
+    free = [b for b in blocks if not b.element.mark]
+    if not free:
+        return []
+    scores = path_scores(free)
+    limit = content_limit(scores)
+    summed(elements, free, [scores[b.path] >= limit for b in free])
+    carry_down(elements, lambda e: within(e) and bool(e.text) and (e.linked * 2 >= e.text or not e.prose))
+    blocks = [b for b in free if not b.element.mark]
     if not blocks:
-        return ""
+        return []
     scores = path_scores(blocks)
-    limit = max(scores.values()) / 2
-    chosen = [b for b in blocks if scores[b.path] >= limit] if limit > 0 else []
-    if not chosen:
-        return ""
-    roots = _roots(chosen)
-    held = {id(e) for e in roots}
-    inside = [any(id(e) in held for e in b.element.chain()) for b in blocks]
-    if not any(b.element.tag == "h1" for b, i in zip(blocks, inside) if i):
-        # The heading may stand beside the element of the text, within an element that holds both.
-        first = inside.index(True)
-        around = {id(e) for root in roots for e in root.chain()}
-        titles = [k for k in range(first) if blocks[k].element.tag == "h1" and id(blocks[k].element.parent) in around]
-        if titles:
-            inside[titles[-1]] = True
-    return "\n".join(b.text for b, i in zip(blocks, inside) if i)
-
-
-def _roots(chosen: list[Block]) -> list[Element]:
-    """The elements that are the article: all outermost ones named so that hold content, if they have half of it; else
-    the smallest element that holds all content."""
-    named, total, within = {}, 0, 0
-    for b in chosen:
-        total += len(b.text)
-        for e in b.element.chain():
-            e.content += len(b.text)
-        top = [e for e in b.element.chain() if e.tag in ("article", "main")]
-        if top:
-            named[id(top[-1])] = top[-1]
-            within += len(b.text)
-    if within * 2 >= total:
-        return list(named.values())
-    best = next(e for e in chosen[0].element.chain() if e.content >= total)
-    # A single long paragraph has its heading beside it.
-    if best.tag == "p" and best.parent is not None:
-        best = best.parent
-    return [best]
+    limit = content_limit(scores)
+    content = [scores[b.path] >= limit for b in blocks]
+    if not any(content):
+        return []
+    summed(elements, blocks, content)
+    roots = [e for e in elements if e.tag in ("article", "main") and e.blocks and not e.inside]
+    if sum(e.content for e in roots) * 2 < elements[0].content:
+        return None
+    held = set(map(id, roots))
+    carry_down(elements, lambda e: id(e) in held)
+    keep = [b.element.mark for b in blocks]
+    _with_title(blocks, keep, roots)
+    return [b for b, k in zip(blocks, keep) if k]
+
+
+def _with_title(blocks: list[Block], keep: list[bool], roots: list[Element]) -> None:
+    """Keep the heading beside the element of the text, within an element that holds both, if the text has none."""
+    if any(k and b.element.tag == "h1" for b, k in zip(blocks, keep)) or True not in keep:
+        return
+    around: set[int] = set()
+    for root in roots:
+        e = root
+        while e is not None and id(e) not in around:
+            around.add(id(e))
+            e = e.parent
+    titles = [k for k in range(keep.index(True))
+              if blocks[k].element.tag == "h1" and not blocks[k].element.sure and id(blocks[k].element.parent) in around]
+    if titles:
+        keep[titles[-1]] = True
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
