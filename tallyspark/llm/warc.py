@@ -10,11 +10,14 @@ blank lines or whole record headers. A task holds one record at a time. Archives
 because only those files are never split between tasks.
 
 Assembly. Requests and metadata are joined with the response or revisit that they are concurrent to, and a revisit with
-the response it refers to, into one nested row per capture. Records with the same id are one record.
+the response it refers to, into one nested row per capture. Either side may name the other, in any number of
+WARC-Concurrent-To fields, and a capture holds all its requests and all its metadata. Records with the same id are one.
 
 A null text is an empty payload. A null url has no target header. Among equal payloads a null page id is never the largest;
-if all are null, all are responses. Pages repeated with id, url and payload have the same record ids and come back as one
-capture. Record ids follow from content, so a repeated task writes the same file.
+if all are null, all are responses. Of rows equal in id, url and payload one is written as above and the others as revisits
+of it, so each row of the input comes back. Record ids follow from content, so a repeated task writes the same file.
+Header fields keep their order and repetitions. An archive that ends within a record is refused. Other columns are left
+out, whatever their names; empty tables give empty archives.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import materialize
+
 END = "\r\n\r\n"
 # The base 32 alphabet and the names of the WARC format.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -33,9 +38,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 4 << 20
 
 RECORD = (
-    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
-    "fields map<string, string>, payload_bytes long, payload_digest string, payload binary"
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
+    "fields array<struct<name: string, value: string>>, payload_bytes long, payload_digest string, payload binary"
 )
+PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+RECORD_TYPES = {
+    "record_id": pa.string(), "type": pa.string(), "concurrent_to": pa.list_(pa.string()), "refers_to": pa.string(),
+    "target_uri": pa.string(), "date": pa.string(), "fields": PAIRS, "payload_bytes": pa.int64(),
+    "payload_digest": pa.string(), "payload": pa.binary()}
 
 
 def base32_of_hex(digits: Column, length: int) -> Column:
@@ -78,28 +88,34 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"),
     ).withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
+    census = materialize(rows.groupBy("id", "url", "sha1", "bytes").agg(F.count("*").alias("n")), "payloads")
 
-    def urn(kind: str, page_id: str, url: str) -> Column:
+    def urn(kind: str, page_id: str, url: str, copy: Column | None = None) -> Column:
         some = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (page_id, url)]
-        return _urn(F.lit(kind), *some, F.col("sha1"))
+        again = [F.when(copy > 0, copy.cast("string"))] if copy is not None else []
+        return _urn(F.lit(kind), *some, F.col("sha1"), *again)
 
     # Only payloads that occur twice need a look at the others.
-    repeated = rows.groupBy("sha1", "bytes").agg(
-        F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("first")).filter("n > 1")
+    repeated = census.groupBy("sha1", "bytes").agg(
+        F.sum("n").alias("n"), F.max(F.struct("id", "url")).alias("first")).filter("n > 1")
     repeated = repeated.select(
         F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes"), F.lit(True).alias("shared"),
         F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    rows = _numbered(rows, census.filter("n > 1"))
     placed = rows.join(repeated, (F.col("sha1") == F.col("_sha1")) & (F.col("bytes") == F.col("_bytes")), "left")
-    is_first = F.col("shared").isNull() | (
+    is_first = F.col("shared").isNull() | (F.col("copy") == 0) & (
         F.col("id").eqNullSafe(F.col("first_id")) & (F.col("id").isNull() | F.col("url").eqNullSafe(F.col("first_url"))))
+    # Without ids none is the largest, and every row is a response.
+    is_first = is_first | (F.col("id").isNull() & F.col("first_id").isNull())
 
-    url, capture = F.col("url"), urn("capture", "id", "url")
+    url, copy = F.col("url"), F.col("copy")
+    capture = urn("capture", "id", "url", copy)
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha1"), 40))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("bytes").cast("string"), F.lit(END))
     with_to = F.concat(F.lit("WARC-Concurrent-To: "), capture)
     request = _record(
-        _header("request", urn("request", "id", "url"), date, url, with_to,
+        _header("request", urn("request", "id", "url", copy), date, url, with_to,
                 "Content-Type: application/http; msgtype=request"),
         F.concat(F.lit("GET "), F.coalesce(F.nullif(F.regexp_replace(url, r"^[a-z]+://[^/\s]*|\s", ""), F.lit("")), F.lit("/")),
                  F.lit(" HTTP/1.1\r\nHost: "),
@@ -113,30 +129,52 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
                 "Content-Type: application/http; msgtype=response"),
         http)
     metadata = _record(
-        _header("metadata", urn("metadata", "id", "url"), date, url, with_to, "Content-Type: application/warc-fields"),
+        _header("metadata", urn("metadata", "id", "url", copy), date, url, with_to, "Content-Type: application/warc-fields"),
         F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit("")))
     records = placed.select(F.explode(F.array(
         request, F.when(is_first, response).otherwise(revisit), metadata)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+def _numbered(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """`rows` with `copy`, which numbers rows equal in id, url and payload from 0. They are the same row, so any order does."""
+    if twins.isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    keys = ["id", "url", "sha1", "bytes"]
+    named = twins.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"))
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    single = rows.join(named, match, "left_anti").withColumn("copy", F.lit(0))
+    # Equal rows of any number are one row and a count, so they need not meet in a task.
+    every = rows.join(named, match).groupBy(*keys, "_n").agg(F.any_value("payload").alias("payload"))
+    several = every.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+    return single.unionByName(several.select(*single.columns))
+
+
 def _parse(header: bytes, block: bytes) -> tuple:
-    lines = dict(_field(x) for x in header.split(b"\r\n")[1:] if b":" in x)
+    pairs = _fields(header)
+    lines = dict(reversed(pairs))
     kind = lines.get("warc-type")
-    payload, fields = None, {}
+    payload, fields = None, []
     digest = lines.get("warc-payload-digest", "").removeprefix("sha1:") or None
     length = None
     if kind in ("response", "revisit"):
         head, _, payload = block.partition(b"\r\n\r\n")
-        fields = dict(_field(x) for x in head.split(b"\r\n")[1:] if b":" in x)
+        fields = _fields(head)
         if kind == "response":
             digest, length = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
         else:
             payload = None
     elif kind == "metadata":
-        fields = dict(_field(x) for x in block.split(b"\r\n") if b":" in x)
-    return (lines.get("warc-record-id"), kind, lines.get("warc-concurrent-to"), lines.get("warc-refers-to"),
-            lines.get("warc-target-uri"), lines.get("warc-date"), list(fields.items()), length, digest, payload)
+        fields = _fields(b"\r\n" + block)
+    concurrent = [value for name, value in pairs if name == "warc-concurrent-to"]
+    return (lines.get("warc-record-id"), kind, concurrent, lines.get("warc-refers-to"),
+            lines.get("warc-target-uri"), lines.get("warc-date"),
+            [{"name": name, "value": value} for name, value in fields], length, digest, payload)
+
+
+def _fields(head: bytes) -> list[tuple[str, str]]:
+    """All (name, value) lines after the first, in order."""
+    return [_field(x) for x in head.split(b"\r\n")[1:] if b":" in x]
 
 
 def _field(line: bytes) -> tuple[str, str]:
@@ -163,7 +201,7 @@ class RecordCutter:
                 if end < 0:
                     return
                 self.header = bytes(self.buffer[start:end])
-                fields = dict(_field(x) for x in self.header.split(b"\r\n")[1:] if b":" in x)
+                fields = dict(_fields(self.header))
                 if not self.header.startswith(b"WARC/") or not fields.get("content-length", "").isdigit():
                     raise ValueError(f"not a WARC record: {self.header[:80]!r}")
                 self.length = int(fields["content-length"])
@@ -175,25 +213,30 @@ class RecordCutter:
             yield self.header, block
             self.header = None
 
+    def finish(self, file: str) -> None:
+        """Refuse an archive whose last record is not whole: after its block stands an empty line."""
+        if self.header is not None or self.buffer.strip(b"\r\n") or len(self.buffer) < len(END):
+            raise ValueError(f"{file} ends within a record")
+
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of all gzipped archives below `path`; the payload's digest is computed from what was read."""
     pieces = spark.read.option("lineSep", END).text(path).select(
         F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
-    types = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
-    names = [f.split()[0] for f in RECORD.replace("map<string, string>", "map").split(", ")]
 
     def parse(batches):
         rows, held, cutter, last = [], 0, RecordCutter(), None
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names=names)
+                [pa.array(column, kind) for column, kind in zip(zip(*rows), RECORD_TYPES.values())], names=[*RECORD_TYPES])
 
         for batch in batches:
             for piece, file in zip(batch.column(0), batch.column(1)):
                 file = file.as_py()
                 if file != last:
+                    if last is not None:
+                        cutter.finish(last)
                     cutter, last = RecordCutter(), file
                 for header, block in cutter.feed(piece.as_py() + b"\r\n\r\n"):
                     rows.append(_parse(header, block))
@@ -201,6 +244,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     if held >= BATCH_BYTES:
                         yield batch_of(rows)
                         rows, held = [], 0
+        if last is not None:
+            cutter.finish(last)
         if rows:
             yield batch_of(rows)
 
@@ -208,28 +253,38 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, type, url, date, payload_bytes, payload_digest, refers_to (a record id),
-    page_id, refers_to_page_id, and the structs request and metadata."""
+    """One nested row per capture: record_id, type, target_uri, date, payload_bytes, payload_digest, refers_to (a record
+    id), page_id, refers_to_page_id, and the arrays requests and metadata of (record_id, fields) by record id.
+
+    The page id is that of the first metadata record that has one.
+    """
     extra = ["payload"] if "payload" in records.columns else []
+    records = records.filter(F.col("record_id").isNotNull())
     captures = records.filter(F.col("type").isin("response", "revisit")).dropDuplicates(["record_id"])
-
-    def concurrent(kind: str) -> DataFrame:
-        own = records.filter((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        whole = F.struct("record_id", F.map_entries("fields").alias("fields"))
-        return own.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(whole).alias(kind))
-
-    joined = captures.join(concurrent("request"), "record_id", "left").join(
-        concurrent("metadata"), "record_id", "left"
-    ).withColumn("page_id", F.try_element_at(
-        F.map_from_entries(F.col("metadata.fields")), F.lit("page-id")).cast("long"))
+    others = records.filter(F.col("type").isin("request", "metadata")).select(
+        "record_id", "type", "concurrent_to", F.struct("record_id", "fields").alias("part"))
+    naming = others.select(F.explode("concurrent_to").alias("capture"), "type", "part")
+    named = captures.select(F.col("record_id").alias("capture"), F.explode("concurrent_to").alias("record_id")).join(
+        others, "record_id").select("capture", "type", "part")
+
+    def of(kind: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("part"))))
+
+    parts = naming.union(named).groupBy(F.col("capture").alias("record_id")).agg(
+        of("request").alias("requests"), of("metadata").alias("metadata"))
+    none = F.array().cast(parts.schema["requests"].dataType)
+    page_ids = F.filter(F.flatten(F.transform("metadata", lambda m: m["fields"])), lambda f: f["name"] == "page-id")
+    joined = captures.join(parts, "record_id", "left").withColumns({
+        "requests": F.coalesce("requests", none), "metadata": F.coalesce("metadata", none),
+    }).withColumn("page_id", F.get(page_ids, F.lit(0))["value"].try_cast("long"))
     targets = joined.filter("type = 'response'").select(
         F.col("record_id").alias("_target"), F.col("page_id").alias("_page_id"),
         F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
     revisits = joined.filter("type = 'revisit'").join(targets, F.col("refers_to") == F.col("_target"), "left").select(
         "record_id", "type", "target_uri", "date", F.col("_bytes").alias("payload_bytes"),
         F.coalesce("_digest", "payload_digest").alias("payload_digest"), "refers_to", "page_id",
-        F.col("_page_id").alias("refers_to_page_id"), "request", "metadata", *extra)
+        F.col("_page_id").alias("refers_to_page_id"), "requests", "metadata", *extra)
     responses = joined.filter("type = 'response'").select(
         "record_id", "type", "target_uri", "date", "payload_bytes", "payload_digest", "refers_to", "page_id",
-        F.lit(None).cast("long").alias("refers_to_page_id"), "request", "metadata", *extra)
+        F.lit(None).cast("long").alias("refers_to_page_id"), "requests", "metadata", *extra)
     return responses.union(revisits)

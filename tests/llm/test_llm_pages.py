@@ -191,7 +191,7 @@ def test_archives_give_back_every_payload(spark, tmp_path):
     assert got == brute(rows)
     payloads = {r.page_id: bytes(r.payload).decode() for r in captures if r.type == "response"}
     assert all(payloads[i] == (h or "") for i, _, h in rows if i in payloads)
-    assert all(r.request.record_id and r.metadata.record_id for r in captures)
+    assert all(len(r.requests) == len(r.metadata) == 1 for r in captures)
     files = [f for f in (tmp_path / "archive").iterdir() if f.suffix == ".gz"]
     assert files and all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: request") for f in files)
 
@@ -202,7 +202,7 @@ def test_null_ids_repeated_pages_and_no_pages(spark, tmp_path):
     warc.write_captures(frame, str(tmp_path / "a"))
     captures = warc.assemble(warc.read_records(spark, str(tmp_path / "a"))).collect()
     assert sorted((r.page_id or 0, r.type, r.refers_to_page_id or 0) for r in captures) == [
-        (0, "response", 0), (0, "revisit", 4), (4, "response", 0)]
+        (0, "response", 0), (0, "revisit", 4), (4, "response", 0), (4, "revisit", 4)]
     warc.write_captures(frame.limit(0), str(tmp_path / "b"))
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "b"))).count() == 0
 
@@ -213,6 +213,57 @@ def test_other_files_are_refused(spark, tmp_path):
         warc.read_records(spark, str(tmp_path / "x.gz")).count()
 
 
+def test_equal_rows_all_come_back(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    rows = [(7, "u", "same")] * 5 + [(7, None, "same"), (3, "u", "same"), (None, None, None), (None, None, None), (8, "u", None)]
+    path = str(tmp_path / "a")
+    warc.write_captures(spark.createDataFrame(rows, schema), path)
+    captures = warc.assemble(warc.read_records(spark, path)).collect()
+    assert sorted((r.page_id or 0, r.type, r.refers_to_page_id or 0) for r in captures) == [
+        (0, "revisit", 8), (0, "revisit", 8), (3, "revisit", 7)] + [
+        (7, "response", 0)] + [(7, "revisit", 7)] * 5 + [(8, "response", 0)]
+    assert len({r.record_id for r in captures}) == len(rows) and all(len(r.requests) == 1 for r in captures)
+
+
+def archive(*records):
+    """Bytes of an archive of (header lines, block)."""
+    return b"".join(
+        b"WARC/1.1\r\n" + "".join(f"{line}\r\n" for line in lines).encode()
+        + b"Content-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block) for lines, block in records)
+
+
+def test_repeated_fields_and_records_are_all_kept(spark, tmp_path):
+    """Two requests and two metadata records of a capture, one named by the response, and one that is of two captures."""
+    data = archive(
+        (["WARC-Type: response", "WARC-Record-ID: <a>", "WARC-Concurrent-To: <r2>", "WARC-Concurrent-To: <none>"],
+         b"HTTP/1.1 200 OK\r\nSet-Cookie: x=1\r\nSet-Cookie: y=2\r\n\r\nbody"),
+        (["WARC-Type: response", "WARC-Record-ID: <b>"], b"HTTP/1.1 200 OK\r\n\r\nother"),
+        (["WARC-Type: request", "WARC-Record-ID: <r1>", "WARC-Concurrent-To: <a>"], b"GET / HTTP/1.1\r\n\r\n"),
+        (["WARC-Type: request", "WARC-Record-ID: <r2>"], b"GET / HTTP/1.1\r\n\r\n"),
+        (["WARC-Type: metadata", "WARC-Record-ID: <m1>", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"],
+         b"via: here\r\nvia: there\r\n"),
+        (["WARC-Type: metadata", "WARC-Record-ID: <m2>", "WARC-Concurrent-To: <a>"], b"page-id: 5\r\n"))
+    (tmp_path / "x.gz").write_bytes(gzip.compress(data))
+    rows = {r.record_id: r for r in warc.assemble(warc.read_records(spark, str(tmp_path / "x.gz"))).collect()}
+    assert [x.record_id for x in rows["<a>"].requests] == ["<r1>", "<r2>"]
+    assert [x.record_id for x in rows["<a>"].metadata] == ["<m1>", "<m2>"] and rows["<a>"].page_id == 5
+    assert [(f.name, f.value) for f in rows["<a>"].metadata[0].fields] == [("via", "here"), ("via", "there")]
+    assert rows["<b>"].requests == [] and [x.record_id for x in rows["<b>"].metadata] == ["<m1>"]
+    response, = warc.read_records(spark, str(tmp_path / "x.gz")).filter("record_id = '<a>'").collect()
+    assert [(f.name, f.value) for f in response.fields] == [("set-cookie", "x=1"), ("set-cookie", "y=2")]
+    assert response.concurrent_to == ["<r2>", "<none>"]
+
+
+@pytest.mark.parametrize("lost", [1, 2, 3, 4, 5, 9, 40])
+def test_cut_off_archives_are_refused(spark, tmp_path, lost):
+    data = archive((["WARC-Type: response", "WARC-Record-ID: <a>"], b"HTTP/1.1 200 OK\r\n\r\nbody of some bytes"),
+                   (["WARC-Type: response", "WARC-Record-ID: <b>"], b"HTTP/1.1 200 OK\r\n\r\nother"))
+    # The empty line after the last record may be missing, nothing before it.
+    (tmp_path / "x.gz").write_bytes(gzip.compress(data[:-4 - lost]))
+    with pytest.raises(Exception, match="x.gz ends within a record|not a WARC record"):
+        warc.read_records(spark, str(tmp_path / "x.gz")).count()
+
+
 def test_warc_query(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html) for r in table(spark, sf_dir, "pages").collect()]
     assert sorted(tuple(r) for r in REGISTRY["op6_warc"](spark, sf_dir).collect()) == brute(rows)
