@@ -262,13 +262,25 @@ def _voted(vectors: DataFrame, model: Model, id_col: str) -> DataFrame:
     return vectors.select(id_col, "terms", "counts", "label").mapInArrow(run, "votes long, label int")
 
 
+def document_counts(vectors: DataFrame, n_terms: int) -> np.ndarray:
+    """How many documents hold each term; a task hands on one number a term."""
+    def count(batches):
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(np.asarray(batch.column(0).flatten()), minlength=n_terms)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_terms)), pa.array(total)], names=["term", "n"])
+
+    found = np.zeros(n_terms, np.int64)
+    counted = vectors.select("terms").mapInArrow(count, "term long, n long")
+    for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
+        found[r.term] = r.n
+    return found
+
+
 def fit(vectors: DataFrame, known: DataFrame, n_terms: int, n_rows: int, n_ones: int, id_col: str) -> Model:
     """The model of stored `vectors` of all documents and `known` (id, label), of which `n_rows` and `n_ones` matter."""
     n_docs = vectors.count()
-    document_count = np.zeros(n_terms)
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        document_count[r.t] = r["count"]
-    idf = np.log1p(n_docs / np.maximum(document_count, 1))
+    idf = np.log1p(n_docs / np.maximum(document_counts(vectors, n_terms), 1))
     labelled = vectors.join(known, id_col)
     distinct = labelled.filter(F.size("terms") > 0).groupBy("terms", "counts", "label").agg(F.min(id_col).alias(id_col))
     chosen = []
