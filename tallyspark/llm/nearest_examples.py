@@ -307,8 +307,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & ~held_out(id_col))
-    taught = materialize(docs.filter(~held_out(id_col)).join(known, id_col).select("text", "label"), "taught")
-    n_rows, n_ones = taught.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    # Labels grow with the documents, so texts and labels meet by a shuffle at every size; that is done once.
+    taught = docs.filter(~held_out(id_col)).join(known.hint("merge"), id_col).select("text", "label")
+    n_rows, n_ones = docs.select(id_col).join(known, id_col).agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     terms = telling_terms(taught, n_rows, n_ones)
     vectors = materialize(with_vectors(docs, terms, id_col), "vectors")
     model = fit(vectors, known, len(terms), n_rows, n_ones, id_col)
