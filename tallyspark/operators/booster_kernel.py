@@ -1,9 +1,11 @@
 """NumPy gradient boosting for squared loss (Friedman 2001), for one short series.
 
-Runs inside one Spark task per account. Splits are exact: every midpoint
-between neighbouring feature values is a candidate.
+Runs inside one Spark task per account. A feature's values are dealt to at most
+MOST_BINS bins of about equal size, and cuts lie between neighbouring bins; with
+fewer distinct values every midpoint is a candidate and splits are exact.
 """
 
+import copy
 import sys
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark import cloudpickle
 # Ship the kernels with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MOST_BINS = 128
+
 
 class Booster:
     def __init__(self, start, rate, feature, threshold, value):
@@ -31,18 +35,20 @@ class Booster:
         return self.start + self.rate * self.value[trees, node - inner].sum(axis=1)
 
 
-def fit(x, y, n_trees, depth, rate):
-    """Boosted trees of a fixed depth on rows `x` and targets `y`.
+def fit(x, y, n_trees, depth, rate, most_bins=MOST_BINS):
+    """Boosted trees of a fixed depth on rows `x` and targets `y`."""
+    return fit_binned(Bins(x, most_bins), y, n_trees, depth, rate)
+
 
-    Every distinct value of a feature is a bin, so the search over bins is
-    exact. A whole level is searched at once. Running counts and sums over the
-    bins are gathered for the smaller child of each node only; the larger
-    one's are the parent's minus those.
+def fit_binned(bins, y, n_trees, depth, rate):
+    """The same on rows that are binned already, so several fits can share the bins.
+
+    A whole level is searched at once. Running counts and sums over the bins
+    are gathered for the smaller child of each node only; the larger one's are
+    the parent's minus those.
     """
-    x = np.ascontiguousarray(x, dtype=float)
     y = np.asarray(y, dtype=float)
-    n = len(x)
-    bins = _Bins(x)
+    n = len(y)
     inner, leaves = 2**depth - 1, 2**depth
     feature = np.zeros((n_trees, inner), dtype=np.int64)
     threshold = np.full((n_trees, inner), np.inf)
@@ -86,18 +92,35 @@ def _children(parent, small, small_side):
     return both
 
 
-class _Bins:
-    """The distinct values of every feature, end to end, and each row's place among them."""
+class Bins:
+    """The bins of every feature, end to end, and each row's place among them."""
 
-    def __init__(self, x):
-        found = [np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])]
-        self.values = np.concatenate([v for v, _ in found])
-        self.spans = np.array([len(v) for v, _ in found])
+    def __init__(self, x, most=MOST_BINS):
+        x = np.ascontiguousarray(x, dtype=float)
+        found = [self._of_feature(x[:, f], most) for f in range(x.shape[1])]
+        self.lows, self.highs = (np.concatenate([part[i] for part in found]) for i in (0, 1))
+        self.spans = np.array([len(part[0]) for part in found])
         self.starts = np.concatenate([[0], np.cumsum(self.spans)])
         self.size = int(self.starts[-1])
-        self.code = np.column_stack([inverse for _, inverse in found])
+        self.code = np.column_stack([part[2] for part in found])
         self.flat = self.code + self.starts[:-1]
 
+    @staticmethod
+    def _of_feature(column, most):
+        """(smallest value, largest value) of every bin, and each row's bin; equal values share a bin."""
+        values, inverse, often = np.unique(column, return_inverse=True, return_counts=True)
+        if len(values) <= most:
+            return values, values, inverse
+        share = (np.cumsum(often) - often) * most // len(column)
+        _, first, bin_ = np.unique(share, return_index=True, return_inverse=True)
+        return values[first], values[np.append(first[1:], len(values)) - 1], bin_[inverse]
+
+    def rows(self, chosen):
+        """The same bins for some of the rows."""
+        part = copy.copy(self)
+        part.code, part.flat = self.code[chosen], self.flat[chosen]
+        return part
+
     def running(self, places, n_nodes, residual=None):
         """Per node and bin, the count (or sum of residuals) of rows up to the bin's value.
 
@@ -134,8 +157,8 @@ class _Bins:
                 continue
             begin, end = self.starts[f[k]], self.starts[f[k] + 1]
             seen = left_n[k, begin:end]
-            # Values the node really has on both sides of the cut.
+            # Bins the node really has rows in on both sides of the cut.
             below = begin + np.searchsorted(seen, seen[code[k]], side="left")
             above = begin + np.searchsorted(seen, seen[code[k]], side="right")
-            cut[k] = 0.5 * (self.values[below] + self.values[above])
+            cut[k] = 0.5 * (self.highs[below] + self.lows[above])
         return f, code, cut

@@ -2,16 +2,22 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.schemas import ACCOUNT_TYPES, CATEGORY_GROUPS, TXN_TYPES
+from tallyspark.session import materialize, wide
 
 
 @dataclass(frozen=True)
 class Unique:
+    """`large` says that the table grows with the ledger; its keys are searched by packed hashes first."""
+
     table: str
     columns: tuple[str, ...]
+    large: bool = False
 
 
 @dataclass(frozen=True)
@@ -40,14 +46,14 @@ STAGING_TESTS = (
     Unique("stg_accounts", ("account_id",)), NotNull("stg_accounts", "account_id"),
     Unique("stg_categories", ("category_id",)), NotNull("stg_categories", "category_id"),
     Unique("stg_merchants", ("merchant_id",)), NotNull("stg_merchants", "merchant_id"),
-    Unique("stg_transactions", ("transaction_id",)), NotNull("stg_transactions", "transaction_id"),
+    Unique("stg_transactions", ("transaction_id",), large=True), NotNull("stg_transactions", "transaction_id"),
     NotNull("stg_transactions", "account_id"),
     Relationship("stg_transactions", "account_id", "stg_accounts", "account_id"),
     Accepted("stg_transactions", "txn_type", TXN_TYPES),
 )
 MART_TESTS = (
     Unique("dim_accounts", ("account_id",)), NotNull("dim_accounts", "account_id"),
-    Unique("fct_transactions", ("transaction_id",)), NotNull("fct_transactions", "transaction_id"),
+    Unique("fct_transactions", ("transaction_id",), large=True), NotNull("fct_transactions", "transaction_id"),
     Relationship("fct_transactions", "account_id", "dim_accounts", "account_id"),
     Unique("account_health", ("account_id",)), NotNull("account_health", "account_id"),
 )
@@ -80,11 +86,85 @@ SCHEMA_TESTS = (
 
 
 def duplicated(df: DataFrame, columns) -> DataFrame:
-    """The values that occur more than once, NULLs aside."""
+    """The values that occur more than once, NULLs aside, and how often."""
     present = df.dropna(subset=list(columns))
     return present.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def duplicated_in_large(df: DataFrame, columns) -> DataFrame:
+    """The same for a table of ledger size, whose keys would be shuffled in full.
+
+    A first pass looks for hashes that occur twice; only rows with such a hash are shuffled and counted by their real
+    values. Keys that are unique, as they should be, cost PACKED bytes each and nothing in the second pass.
+    """
+    present = df.dropna(subset=list(columns))
+    bits = bucket_bits(df.sparkSession)
+    keyed = present.select(*columns, F.shiftrightunsigned(F.xxhash64(*columns), 16 - bits).alias("_hash"))
+    suspects = materialize(repeated_hashes(keyed.select("_hash"), bits), "suspects")
+    return keyed.join(suspects, "_hash", "left_semi").groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+PACKED = 6
+HELD_HASHES = 1 << 22
+
+
+def bucket_bits(spark: SparkSession) -> int:
+    """Four buckets a shuffle partition, which is sized for the table: a bucket's hashes are a few megabytes."""
+    return min(15, max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def repeated_hashes(hashes: DataFrame, bits: int) -> DataFrame:
+    """The values of a column of hashes (below 2**(48 + bits)) that occur more than once.
+
+    Tasks sort their hashes and hand on their low 48 bits by bucket, the top ones, two of a value at most. A bucket's
+    packs are put together and sorted again; equal neighbours are repeated.
+    """
+    name = hashes.columns[0]
+
+    def pack(batches):
+        held, number = [], 0
+        for batch in batches:
+            held.append(np.asarray(batch.column(0)))
+            number += batch.num_rows
+            if number >= HELD_HASHES:
+                yield _packed(held)
+                held, number = [], 0
+        if number:
+            yield _packed(held)
+
+    def _packed(held):
+        x = np.sort(np.concatenate(held))
+        x = x[np.append([True, True], x[2:] != x[:-2])[:len(x)]]
+        buckets, first = np.unique(x >> 48, return_index=True)
+        low = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED]).reshape(-1)
+        ends = np.append(first[1:], len(x))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(buckets.astype(np.int32)), pa.array([low[PACKED * a:PACKED * b].tobytes() for a, b in zip(first, ends)], pa.binary())],
+            names=["bucket", "pack"])
+
+    def repeated(batches):
+        bucket, held = None, []
+        for batch in batches:
+            for number, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number != bucket:
+                    yield from _found(bucket, held)
+                    bucket, held = number, []
+                held.append(piece)
+        yield from _found(bucket, held)
+
+    def _found(bucket, held):
+        if held:
+            low = np.zeros((sum(map(len, held)) // PACKED, 8), np.uint8)
+            low[:, :PACKED] = np.frombuffer(b"".join(held), np.uint8).reshape(-1, PACKED)
+            x = np.sort(low.reshape(-1).view("<u8")).astype(np.int64)
+            again = np.unique(x[1:][x[1:] == x[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(again | (bucket << 48))], names=[name])
+
+    packed = hashes.mapInArrow(pack, "bucket int, pack binary")
+    dealt = packed.repartition(wide(hashes.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(repeated, f"{name} long")
+
+
 def nulls(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
 
@@ -118,7 +198,8 @@ def run_tests(tables: dict[str, DataFrame], tests) -> DataFrame:
         if isinstance(test, (NotNull, Accepted)):
             row_tests.setdefault(test.table, []).append(test)
         elif isinstance(test, Unique):
-            bad = duplicated(tables[test.table], test.columns).agg(F.count("*").alias("failures"))
+            search = duplicated_in_large if test.large else duplicated
+            bad = search(tables[test.table], test.columns).agg(F.count("*").alias("failures"))
             parts.append(_labelled(bad, "unique", test.table, ",".join(test.columns)))
         else:
             bad = orphans(tables[test.table], test.column, tables[test.parent], test.parent_column)

@@ -89,7 +89,15 @@ def newest_per_account(ledger: DataFrame, account_id=None, n: int = 300) -> Data
 
 
 def data_status(ledger: DataFrame) -> DataFrame:
-    """Row count, newest transaction and, where rows are stamped, time of the last load."""
+    """Row count, newest transaction and, where rows are stamped, time of the last load.
+
+    On the stored ledger the count reads file footers only, and the newest transaction is looked for in the last month's
+    folder, which its list of folders tells.
+    """
+    if "txn_month" in ledger.columns and "loaded_at" not in ledger.columns:
+        last_month = ledger.agg(F.max("txn_month")).scalar()
+        newest = ledger.filter(F.col("txn_month") == last_month).agg(F.max("txn_date")).scalar()
+        return ledger.agg(F.count("*").alias("n")).select("n", newest.alias("last_txn_date"))
     aggregates = [F.count("*").alias("n"), F.max("txn_date").alias("last_txn_date")]
     if "loaded_at" in ledger.columns:
         aggregates.append(F.max("loaded_at").alias("last_loaded_at"))

@@ -96,12 +96,12 @@ def load_categories(raw: DataFrame) -> DataFrame:
 
 
 def load_merchants(raw: DataFrame, categories: DataFrame) -> DataFrame:
-    """Merchants with the id of their default category, NULL when it is unknown."""
+    """Merchants with the id of their default category, NULL when it is unknown; a category listed twice counts once."""
     ids = categories.select(
         F.col("category_name").alias("default_category"), F.col("category_id").alias("default_category_id")
     )
     return (
-        stage_merchants(raw).join(ids, "default_category", "left")
+        join_dimension(stage_merchants(raw), ids, "default_category")
         .select("merchant_id", "merchant_name", "default_category_id")
     )
 

@@ -48,6 +48,17 @@ UNION ALL SELECT 'a-' || transaction_id, account_id + 1000000000, CAST(txn_date
 UNION ALL SELECT 'c-' || transaction_id, account_id, CAST(txn_date + to_days(36500) AS DATE), merchant_name,
                  'Uncharted', amount, txn_type FROM ledger WHERE is_recurring"""
 
+TABLES["moved_ledger"] = """
+SELECT *, txn_date < DATE '1992-04-01' AS early, NOT is_recurring AND amount < 20000 AND txn_date < DATE '1992-04-01' AS gone,
+  CASE WHEN txn_date < DATE '1992-04-01' AND is_recurring AND txn_type <> 'credit'
+       THEN CAST(txn_date + 366 AS DATE) ELSE txn_date END AS new_date
+FROM ledger"""
+
+TABLES["changed_months"] = """
+SELECT month AS m FROM moved_ledger WHERE early AND (txn_type = 'credit' OR is_recurring OR gone)
+UNION SELECT strftime(new_date, '%Y-%m') FROM moved_ledger
+WHERE early AND NOT gone AND (txn_type = 'credit' OR is_recurring)"""
+
 TABLES["fct"] = """
 SELECT t.*, c.category_group FROM ledger t LEFT JOIN categories c ON c.category_name = t.category_name"""
 
@@ -335,6 +346,7 @@ QUERIES["load_categories"] = "SELECT category_name, category_id, category_group
 QUERIES["load_merchants"] = """
 SELECT m.merchant_id, m.merchant_name, c.category_id AS default_category_id
 FROM stg_merchants m LEFT JOIN categories c ON c.category_name = m.default_category"""
+QUERIES["load_merchants_repeated"] = QUERIES["load_merchants"]
 QUERIES["load_budgets"] = """
 SELECT account_id, md5(category_name) AS category_id, category_name, month, CAST(budget_cents + 10000 AS DOUBLE) / 100 AS budgeted_amount FROM budgets"""
 QUERIES["stg_accounts"] = """
@@ -496,6 +508,21 @@ FROM lineitem"""
 QUERIES["srv_access_filter"] = """
 SELECT 'demo' AS username, account_id, account_name FROM accounts
 UNION ALL SELECT 'nation_3', s_suppkey, s_name FROM supplier WHERE s_nationkey = 3"""
+QUERIES["srv_data_status_stored"] = """
+SELECT count(*) AS n, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS last_txn_date FROM lineitem"""
+
+# --- reports in SQL with bound parameters ---
+for _call, _report in (
+    ("health_of", "srv_health"), ("monthly_cashflow_of", "srv_monthly"), ("category_spend_of", "srv_category_spend"),
+    ("budget_vs_actual_of", "srv_budget_vs_actual"), ("recurring_of", "srv_recurring"),
+    ("anomalies_of", "srv_anomalies"), ("newest_transactions", "srv_recent_300"),
+):
+    QUERIES[f"sql_{_call}"] = f"SELECT * FROM ({QUERIES[_report]}) WHERE account_id = 7"
+QUERIES["sql_forecast_of"] = QUERIES["srv_forecast"]
+QUERIES["sql_category_drilldown"] = QUERIES["srv_category_drilldown"]
+QUERIES["sql_accounts_visible_to"] = """
+SELECT account_id, account_name, account_type FROM accounts
+WHERE account_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"""
 
 # --- report frames ---
 QUERIES["rep_kpi"] = "SELECT account_id, current_balance, avg_daily_burn, runway_days, last_month_net FROM kpi"
@@ -671,19 +698,10 @@ SELECT transaction_id, account_id, CAST(txn_date AS VARCHAR) AS txn_date,
        description, is_recurring
 FROM ledger WHERE NOT amount < 30000"""
 QUERIES["edit_stored_months"] = """
-WITH c AS (
-  SELECT *, txn_date < DATE '1992-04-01' AS early, month AS old_month,
-    CASE WHEN txn_date < DATE '1992-04-01' AND is_recurring AND txn_type <> 'credit'
-         THEN CAST(txn_date + 366 AS DATE) ELSE txn_date END AS new_date
-  FROM ledger),
-hit AS (
-  SELECT old_month, strftime(new_date, '%Y-%m') AS new_month, NOT is_recurring AND amount < 20000 AS gone FROM c
-  WHERE early AND (txn_type = 'credit' OR is_recurring OR amount < 20000)),
-m AS (SELECT old_month AS m FROM hit UNION SELECT new_month FROM hit WHERE NOT gone)
 SELECT transaction_id, account_id, CAST(new_date AS VARCHAR) AS txn_date, merchant_name, category_name,
        CAST(CASE WHEN early AND txn_type = 'credit' THEN amount * 2 ELSE amount END AS DOUBLE) AS amount, txn_type,
-       description, is_recurring, strftime(new_date, '%Y-%m') IN (SELECT m FROM m) AS rewritten
-FROM c WHERE NOT (early AND NOT is_recurring AND amount < 20000)"""
+       description, is_recurring, strftime(new_date, '%Y-%m') IN (SELECT m FROM changed_months) AS rewritten
+FROM moved_ledger WHERE NOT gone"""
 QUERIES["edit_merchant_upsert"] = """
 SELECT merchant_id, merchant_name, default_category FROM merchants
 UNION ALL

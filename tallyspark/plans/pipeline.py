@@ -123,8 +123,9 @@ def run_pipeline(spark: SparkSession, in_dir: str, out_dir: str) -> RunResult:
         replaced("skipped_accounts", forecast.skipped_accounts(t["accounts"], rows))
         with scratch(spark):
             split = materialize(forecast.with_split(rows), "split")
-            replaced("forecast_models", forecast.fit_models(split))
-            replaced("forecast_metrics", forecast.metrics(forecast.backtest(split), split))
+            trained = materialize(forecast.train(split), "trained")
+            replaced("forecast_models", trained.drop("n_test", "mae_model"))
+            replaced("forecast_metrics", forecast.metrics(trained, split))
         steps = forecast.forecast_steps(t["forecast_models"])
         replaced("cashflow_forecast", forecast.forecast_table(steps, t["account_health"]))
 

@@ -9,6 +9,7 @@ from tallyspark.functions.columns import clean_text, slug
 from tallyspark.operators import (
     analytics, anomaly, changes, forecast, marts, quality, reports, serving, staging, validation,
 )
+from tallyspark.plans import sql_functions
 from tallyspark.plans.pipeline import run_pipeline
 from tallyspark.plans.tables import Tables
 from tallyspark.session import materialize, scratch, scratch_path
@@ -178,6 +179,14 @@ def _(t):
     return staging.load_merchants(t.raw_merchants, staging.load_categories(t.raw_categories))
 
 
+@query("load_merchants_repeated")
+def _(t):
+    """Categories listed twice, with another id each, leave one row a merchant."""
+    categories = staging.load_categories(t.raw_categories)
+    again = categories.withColumn("category_id", F.concat(F.lit("z"), "category_id"))
+    return staging.load_merchants(t.raw_merchants, categories.unionByName(again))
+
+
 @query("load_budgets")
 def _(t):
     """The feed's loads as two files; the second, larger one wins."""
@@ -241,7 +250,7 @@ def _(t):
 
 @query("dq_unique")
 def _(t):
-    return quality.duplicated(t.raw_table("lineitem"), ["l_orderkey", "l_linenumber"])
+    return quality.duplicated_in_large(t.raw_table("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("dq_not_null")
@@ -465,6 +474,74 @@ def _(t):
     return seen
 
 
+@query("srv_data_status_stored")
+def _(t):
+    """The status of the ledger as it is stored by month."""
+    path = scratch_path(t.spark, "ledger")
+    files.write_ledger(t.ledger, path)
+    return serving.data_status(files.read_ledger(t.spark, path))
+
+
+# --- reports in SQL with bound parameters -------------------------------------------
+
+def _in_sql(t, call, args, **tables):
+    sql_functions.register(t.spark, tables)
+    return t.spark.sql(f"SELECT * FROM {call}", args=args)
+
+
+@query("sql_health_of")
+def _(t):
+    return _in_sql(t, "health_of(:account)", {"account": 7}, account_health=t.health)
+
+
+@query("sql_monthly_cashflow_of")
+def _(t):
+    return _in_sql(t, "monthly_cashflow_of(:account)", {"account": 7}, monthly_cashflow=t.monthly)
+
+
+@query("sql_category_spend_of")
+def _(t):
+    return _in_sql(t, "category_spend_of(:account)", {"account": 7}, category_spend_monthly=t.spend)
+
+
+@query("sql_budget_vs_actual_of")
+def _(t):
+    return _in_sql(t, "budget_vs_actual_of(:account)", {"account": 7}, budget_vs_actual=t.budget_vs_actual)
+
+
+@query("sql_recurring_of")
+def _(t):
+    return _in_sql(t, "recurring_of(:account)", {"account": 7}, recurring_transactions=t.recurring)
+
+
+@query("sql_forecast_of")
+def _(t):
+    """A missing account stands for all."""
+    return _in_sql(t, "forecast_of(:account)", {"account": None}, cashflow_forecast=t.naive_forecast)
+
+
+@query("sql_anomalies_of")
+def _(t):
+    return _in_sql(t, "anomalies_of(:account)", {"account": 7}, anomaly_flags=t.distance_flags, fct_transactions=t.ledger)
+
+
+@query("sql_category_drilldown")
+def _(t):
+    """Months in reverse order, all accounts."""
+    return _in_sql(t, "category_drilldown(:category, :start, :end)",
+                   {"category": "PROMO", "start": "1998-06", "end": "1998-01"}, fct_transactions=t.ledger)
+
+
+@query("sql_newest_transactions")
+def _(t):
+    return _in_sql(t, "newest_transactions(:account)", {"account": 7}, fct_transactions=t.ledger).drop("place")
+
+
+@query("sql_accounts_visible_to")
+def _(t):
+    return _in_sql(t, "accounts_visible_to(:user)", {"user": "nation_3"}, accounts=t.accounts, access=t.access)
+
+
 # --- report frames ----------------------------------------------------------------
 
 def _kpis(t):

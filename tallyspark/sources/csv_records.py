@@ -109,68 +109,78 @@ def assembled(lined: DataFrame, states: SplitStates) -> DataFrame:
     """
     def group(batches):
         split, held, row, quoted, rest = None, [], 0, False, False
-
-        def piece(text, kind):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([split[0]]), pa.array([split[1]], pa.int64()), pa.array([row], pa.int64()),
-                 pa.array([text]), pa.array([kind], pa.string())], names=names)
-
+        out = _Rows()
         for batch in batches:
             for file, start, a, b in _runs(batch):
                 if (file, start) != split:
                     if held:
-                        yield piece("\n".join(held), "first" if not rest else "rest")
+                        out.add(split, row, "\n".join(held), "rest" if rest else "first")
                     split, held, row = (file, start), [], 0
                     quoted = rest = states.begins_quoted(file, start)
                 column = batch.column(2).slice(a, b - a)
                 at = 0
                 for i in np.flatnonzero(np.asarray(pc.match_substring(column, '"'))).tolist():
-                    if not quoted and i > at:
-                        whole = _records(column.slice(at, i - at))
-                        yield from _batch(split, row, whole)
-                        row += len(whole)
-                        at = i
-                    elif quoted:
-                        held += column.slice(at, i - at).to_pylist()
-                        at = i
+                    between = column.slice(at, i - at).to_pylist()
+                    if quoted:
+                        held += between
+                    else:
+                        row += out.add_plain(split, row, between)
                     line = column[i].as_py()
                     held.append(line)
                     at = i + 1
-                    if ends_record(line, quoted):
-                        quoted = False
-                        text = "\n".join(held)
-                        held = []
-                        if rest:
-                            yield piece(text, "rest")
-                            rest = False
-                        else:
-                            yield from _batch(split, row, pa.array([unix_breaks(text)]))
-                            row += 1
+                    quoted = not ends_record(line, quoted)
+                    if quoted:
+                        continue
+                    text, held = "\n".join(held), []
+                    if rest:
+                        out.add(split, row, text, "rest")
+                        rest = False
                     else:
-                        quoted = True
-                left = column.slice(at)
+                        out.add(split, row, unix_breaks(text), None)
+                        row += 1
+                left = column.slice(at).to_pylist()
                 if quoted:
-                    held += left.to_pylist()
-                elif len(left):
-                    whole = _records(left)
-                    yield from _batch(split, row, whole)
-                    row += len(whole)
+                    held += left
+                else:
+                    row += out.add_plain(split, row, left)
+            if out.full():
+                yield out.take()
         if held:
-            yield piece("\n".join(held), "first" if not rest else "rest")
+            out.add(split, row, "\n".join(held), "rest" if rest else "first")
+        yield out.take()
 
-    def _records(column):
-        text = pc.replace_substring_regex(column, "\r$", "")
-        return text.filter(pc.not_equal(pc.utf8_trim_whitespace(text), ""))
+    return lined.mapInArrow(group, RECORD)
 
-    def _batch(split, row, texts):
-        n = len(texts)
-        if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([split[0]] * n), pa.array(np.full(n, split[1])), pa.array(np.arange(row, row + n)),
-                 texts, pa.nulls(n, pa.string())], names=names)
 
-    names = ["file", "start", "row", "record", "piece"]
-    return lined.mapInArrow(group, RECORD)
+class _Rows:
+    """Rows of RECORD on their way out."""
+
+    def __init__(self):
+        self.columns: list[list] = [[] for _ in range(5)]
+
+    def add(self, split: tuple[str, int], row: int, record: str, piece: str | None) -> None:
+        for column, value in zip(self.columns, (*split, row, record, piece)):
+            column.append(value)
+
+    def add_plain(self, split: tuple[str, int], row: int, lines_: list[str]) -> int:
+        """Lines that are records, but for blank ones; returns how many."""
+        number = 0
+        for line in lines_:
+            line = line.removesuffix("\r")
+            if line.strip():
+                self.add(split, row + number, line, None)
+                number += 1
+        return number
+
+    def full(self) -> bool:
+        return len(self.columns[0]) >= 4_096
+
+    def take(self) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(self.columns, kinds)], names=["file", "start", "row", "record", "piece"])
+        self.columns = [[] for _ in range(5)]
+        return batch
 
 
 def joined_pieces(pieces: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyspark import schemas
 from tallyspark.functions.columns import slug
+from tallyspark.operators.joins import join_dimension
 from tallyspark.session import exists, remove, rename
 from tallyspark.sources import csv_records
 
@@ -229,22 +231,56 @@ def land_raw(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
 
 
 LEDGER_PARTITION = ["txn_month"]
+#: Steps of each clustered column, as a power of two.
+CLUSTER_BITS = 6
 
 
 def ledger_layout(ledger: DataFrame) -> DataFrame:
-    """The ledger as it is stored by month, sorted by account inside each month.
+    """The ledger as it is stored by month, clustered by account and category inside each month.
 
-    The range covers the transaction id as well, so an account that holds most
-    of the rows is cut into many files instead of one task's output, and each
-    file's account and date statistics stay narrow for later filters.
+    Accounts and categories are numbered by the share of rows up to them, in equal steps, and the bits of both numbers
+    interleave. Ranges of that value are small rectangles of both columns, so a filter on either finds few files by their
+    statistics. The range includes the transaction id: one account's rows of one category are cut into several files,
+    never one task's output. A ledger without categories is clustered by account.
     """
+    placed, clustered = ledger, ["account_id"]
+    if "category_name" in ledger.columns:
+        placed = join_dimension(ledger, _category_steps(ledger), "category_name").withColumn(
+            "_square", interleaved(_account_step(ledger), F.coalesce("_step", F.lit(0)), CLUSTER_BITS))
+        clustered = ["_square", "account_id"]
     return (
-        ledger.withColumn("txn_month", F.date_format("txn_date", "yyyy-MM"))
-        .repartitionByRange("txn_month", "account_id", "transaction_id")
-        .sortWithinPartitions("txn_month", "account_id", "txn_date")
+        placed.withColumn("txn_month", F.date_format("txn_date", "yyyy-MM"))
+        .repartitionByRange("txn_month", *clustered, "transaction_id")
+        .sortWithinPartitions("txn_month", *clustered, "txn_date")
+        .select(*ledger.columns, "txn_month")
     )
 
 
+def _account_step(ledger: DataFrame) -> Column:
+    """The step of an account; the bounds of steps are approximate quantiles, a literal of fixed length."""
+    steps = 1 << CLUSTER_BITS
+    bounds = ledger.agg(F.percentile_approx("account_id", [i / steps for i in range(1, steps)])).first()[0] or []
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<bigint>"), lambda x: x < F.col("account_id")))
+
+
+def _category_steps(ledger: DataFrame) -> DataFrame:
+    """(category_name, _step) for every category of the ledger, which is a lookup's number of rows."""
+    counted = ledger.groupBy("category_name").agg(F.count("*").alias("n")).filter(F.col("category_name").isNotNull())
+    by_name, every = Window.orderBy("category_name"), Window.partitionBy()
+    before = F.sum("n").over(by_name) - F.col("n")
+    step = F.floor(before * (1 << CLUSTER_BITS) / F.sum("n").over(every)).cast("int")
+    return counted.select("category_name", step.alias("_step"))
+
+
+def interleaved(a: Column, b: Column, bits: int) -> Column:
+    """The bits of two numbers in turn, a's before b's."""
+    value = F.lit(0)
+    for i in range(bits):
+        value = value + F.shiftleft(F.shiftright(a, i).bitwiseAND(1), 2 * i + 1)
+        value = value + F.shiftleft(F.shiftright(b, i).bitwiseAND(1), 2 * i)
+    return value
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
     """Replace the stored ledger; a job that fails leaves the old one."""
     replace_table(ledger_layout(ledger), path, LEDGER_PARTITION)

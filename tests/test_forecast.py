@@ -154,3 +154,41 @@ def test_constant_series_predicts_itself():
     x = np.ones((50, 2))
     model = booster_kernel.fit(x, np.full(50, 7.0), 20, 3, 0.05)
     assert model.predict(x).tolist() == [7.0] * 50
+
+
+def test_bins_hold_equal_values_together_and_all_rows():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=3000).round(2), rng.integers(0, 7, 3000), np.zeros(3000)])
+    bins = booster_kernel.Bins(x, 64)
+    assert bins.spans.max() <= 64 and bins.spans.tolist()[1:] == [7, 1]
+    for f in range(3):
+        begin = bins.starts[f]
+        low, high = bins.lows[begin:begin + bins.spans[f]], bins.highs[begin:begin + bins.spans[f]]
+        assert (low <= high).all() and (high[:-1] < low[1:]).all()
+        assert ((low[bins.code[:, f]] <= x[:, f]) & (x[:, f] <= high[bins.code[:, f]])).all()
+    assert np.bincount(bins.code[:, 0]).max() < 3000 / 64 * 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_binned_splits_err_as_little_as_exact_ones(seed):
+    """A year-long weekly pattern with noise and rare large flows; errors on days not seen."""
+    rng = np.random.default_rng(seed)
+    flows = 40 * np.sin(np.arange(2000) / 7 * 2 * np.pi) + rng.normal(0, 25, 2000) + 900 * (np.arange(2000) % 30 == 0)
+    x = np.column_stack([np.roll(flows, k) for k in range(1, 8)] + [np.arange(2000) % 7, np.arange(2000) % 30])[7:]
+    y, cut = flows[7:], 1700
+    errors = [np.abs(y[cut:] - booster_kernel.fit(x[:cut], y[:cut], 150, 3, 0.05, most).predict(x[cut:])).mean()
+              for most in (booster_kernel.MOST_BINS, 10**9)]
+    assert errors[0] == pytest.approx(errors[1], rel=0.01)
+
+
+def test_one_pass_gives_the_same_models_and_errors(spark):
+    """Few enough days for exact bins, which then do not depend on the rows they were made of."""
+    split = forecast.with_split(forecast.feature_rows(series(spark, noise(23, 35, 75)).unionByName(
+        series(spark, noise(24, 400, 90), account=2))))
+    both = {r.account_id: r for r in forecast.train(split).collect()}
+    models = {r.account_id: r for r in forecast.fit_models(split).collect()}
+    errors = {r.account_id: r for r in forecast.backtest(split).collect()}
+    for account in (1, 2):
+        assert tuple(both[account])[:9] == tuple(models[account])
+        assert both[account].mae_model == pytest.approx(errors[account].mae_model, rel=1e-9)
+        assert both[account].n_test == errors[account].n_test

@@ -5,6 +5,7 @@ import os
 import random
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,6 +159,39 @@ def test_ledger_is_stored_by_month_and_split_within_one_account(spark, tmp_path)
     assert spark.read.parquet(path).count() == 2000
 
 
+def test_either_filter_touches_few_files(spark, tmp_path):
+    """A month of 64 accounts and 64 categories in about 64 files; a value of either is in about the root of them."""
+    path = str(tmp_path / "ledger")
+    rows = spark.range(40_000).select(
+        F.col("id").cast("string").alias("transaction_id"), (F.xxhash64("id") % 64 + 64).cast("long").alias("account_id"),
+        F.lit(dt.date(2026, 1, 5)).alias("txn_date"),
+        F.format_string("Category %02d", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64))).alias("category_name"))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_ledger(rows, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert sorted(map(tuple, files.read_ledger(spark, path).drop("txn_month").collect())) == sorted(map(tuple, rows.collect()))
+    folder = os.path.join(path, "txn_month=2026-01")
+    parts = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+
+    def touched(column, value):
+        found = 0
+        for f in parts:
+            meta = pq.ParquetFile(os.path.join(folder, f)).metadata
+            at = meta.schema.names.index(column)
+            stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+            found += any(s.min <= value <= s.max for s in stats)
+        return found
+
+    assert 50 <= len(parts) <= 80
+    for column, value in (("account_id", 70), ("account_id", 100), ("category_name", "Category 05"), ("category_name", "Category 40")):
+        assert touched(column, value) <= len(parts) / 3
+
+
 def test_export_writes_one_folder_per_account(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = [("1", Decimal("0.5"), "Tove's Purse"), ("2", Decimal("0.9"), "Tove's Purse"), ("3", Decimal("0.7"), "B&B")]
