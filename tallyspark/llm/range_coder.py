@@ -1,18 +1,17 @@
 """Adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
-Every block starts from the same empty model, so any block decodes alone; its header holds its number of ids, its length
-and the checksum of its ids. All blocks of a call advance together, one id a step, as lanes of NumPy arrays. The model
-uses integers only, so that coder and decoder agree on every machine. For an id,
+Every block starts from the same model, so any block decodes alone with its frame's table; the header holds each block's
+number of ids, length and the checksum of its ids. All blocks of a call advance together, one id a step, as lanes of NumPy
+arrays. The model uses integers only, so that coder and decoder agree on every machine. For an id,
 
 1. the contexts of order 2 (the last two ids) and order 1 (the last one) each remember an id they expect and how often it
    came; the expected id of order 2, or of order 1 where order 2 has none, is the prediction;
 2. the chance that it is right is a mix of two adaptive estimates, one by the confidence of each order, with a weight that
-   follows the better one; that it is right, or not, is one coding step;
-3. if it is not, the id follows in groups of four bits, highest first, each under an adaptive distribution of order 0 in
-   the context of the bits before it; two groups are one coding step.
+   follows the better one;
+3. if it is not right, the id has its chance of order 0, from the frame's table of ids and their frequencies.
 
-Distributions are cumulative, out of a constant total, and move towards each coded symbol by a fixed share of the distance.
-The coder is a carry-less range coder with a 64-bit low end that emits 16 bits at a time.
+The prediction's chance and the table's share of the rest are one interval, so an id is one coding step. The coder is a
+carry-less range coder with a 64-bit low end that emits 16 bits at a time.
 """
 
 from __future__ import annotations
@@ -22,128 +21,154 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
-HEADER, BLOCK = "<4sQIII", "<III"
-MAGIC = b"CMR1"
+BLOCK_IDS = 2048
+HEADER, BLOCK = "<4sQIIIQ", "<III"
+MAGIC = b"CMR2"
 
 _U = np.uint64
 _TOP, _LOW_BITS, _16, _48 = _U(1 << 48), _U((1 << 48) - 1), _U(16), _U(48)
-ONE = 1 << 16
-TOTAL_BITS = 14
-TOTAL = 1 << TOTAL_BITS
-SLOTS_1, SLOTS_2 = 1024, 2048
-DEEP = 512
-SHALLOW = 1 + 16 + 256
+ONE_BITS = 16
+ONE = 1 << ONE_BITS
+BITS_1, BITS_2 = 9, 10
 CHANCE_RATE = 5
 FLOOR = 32
-
-_EVEN = (np.arange(17) * (TOTAL // 16)).astype(np.int16)
-# Share of the distance, as a power of two, by how often a context was seen.
-_RATES = np.array([2] * 2 + [3] * 6 + [4] * 24 + [5], np.int16)
-# Where the bounds of 16 symbols go when one of them is coded; every symbol keeps a width of 1.
-_TOWARDS = np.array([[i if i <= s else TOTAL - 16 + i for i in range(16)] + [TOTAL] for s in range(16)], np.int16)
+#: Up to this many bits, an id's place in the table is looked up; beyond, searched.
+LOOKED_UP = 20
+#: Ids below this are counted in an array, larger ones sorted.
+COUNTED = 1 << 20
+
+
+class _Table:
+    """The ids of a frame, most frequent first, with intervals out of 2**bits in proportion to their frequency."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes.astype(np.uint64)
+        self.bits = int(sizes.sum()).bit_length() - 1 if len(ids) else 0
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Table, np.ndarray]:
+        """The table of some ids, and each one's place in it."""
+        if not len(ids):
+            return cls(ids, ids), ids
+        if ids.max() < COUNTED:
+            often = np.bincount(ids)
+            distinct = np.flatnonzero(often)
+            often = often[distinct]
+            place = np.empty(int(distinct[-1]) + 1, np.int32)
+            place[distinct] = np.arange(len(distinct), dtype=np.int32)
+            place = place[ids]
+        else:
+            distinct, place, often = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        total = 1 << max(16, len(distinct).bit_length() + 4)
+        # Every id keeps a width of 1; what rounding leaves goes to the most frequent one.
+        sizes = 1 + often[order] * (total - len(distinct)) // len(ids)
+        sizes[0] += total - sizes.sum()
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        return cls(distinct[order], sizes), back[place]
+
+    def finder(self):
+        """A function from places in the interval to places in the table."""
+        if self.bits <= LOOKED_UP:
+            places = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes.astype(np.int64))
+            return lambda value: places[value]
+        ends = np.cumsum(self.sizes)
+        return lambda value: np.searchsorted(ends, value, "right").astype(np.int32)
+
+    def pack(self) -> bytes:
+        return zlib.compress(self.ids.astype("<u4").tobytes() + self.sizes.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> _Table:
+        both = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        return cls(both[:len(both) // 2], both[len(both) // 2:])
 
 
 class _Model:
-    """Distributions and predictions of `lanes` blocks."""
-
-    def __init__(self, lanes: int, groups: int):
-        self.lane = np.arange(lanes)
-        # Each group has contexts of its own, so all groups of an id can be looked up at once.
-        self.slots = SHALLOW + DEEP * max(0, groups - 3)
-        self.bounds = np.empty((lanes * self.slots, 17), np.int16)
-        self.bounds[:] = _EVEN
-        self.seen = np.zeros(lanes * self.slots, np.int8)
-        self.base = np.stack([self.lane * SLOTS_1, lanes * SLOTS_1 + self.lane * SLOTS_2])
-        self.expected = np.zeros(lanes * (SLOTS_1 + SLOTS_2), np.int64)
-        self.times = np.zeros(lanes * (SLOTS_1 + SLOTS_2), np.int8)
+    """What `lanes` blocks expect, as places in the table."""
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.base = np.stack([lane << BITS_1, (lanes << BITS_1) + (lane << BITS_2)])
+        slots = (lanes << BITS_1) + (lanes << BITS_2)
+        # Place 0 is the frame's most frequent id, which is as good a first guess as any.
+        self.expected, self.times = np.zeros(slots, np.int32), np.zeros(slots, np.int8)
         self.chance = np.full(2 * lanes * 32, ONE // 8, np.int32)
-        self.chance_base = np.stack([self.lane * 32, (lanes + self.lane) * 32])
+        self.chance_base = np.stack([lane * 32, (lanes + lane) * 32])
         self.weight = np.full(lanes, 128, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def predict(self, n: int):
-        """Prediction for the first n lanes and the chance that it is right, out of 65,536."""
-        last = self.last[:n]
+        """Prediction for the first n lanes and the chance that it is right, out of ONE."""
+        last, before = self.last[:n], self.before[:n]
         at = self.base[:, :n].copy()
-        at[0] += (last * 0x9E3779B1 >> 15) & (SLOTS_1 - 1)
-        at[1] += ((last + 1) * 0x85EBCA6B + self.before[:n] * 0xC2B2AE35 >> 13) & (SLOTS_2 - 1)
-        ids, times = self.expected[at], self.times[at]
-        cell = self.chance_base[:, :n] + times * 2 + (ids[0] == ids[1])
+        at[0] += (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS_1)
+        at[1] += ((last + np.uint32(1)) * np.uint32(0x85EBCA6B) + before * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS_2)
+        places, times = self.expected[at], self.times[at]
+        cell = self.chance_base[:, :n] + times * 2 + (places[0] == places[1])
         chance = self.chance[cell]
-        weight = self.weight[:n]
-        mixed = (weight * chance[1] + (256 - weight) * chance[0]) >> 8
-        guess = np.where(times[1] > 0, ids[1], ids[0])
-        return guess, np.minimum(np.maximum(mixed, FLOOR), ONE - FLOOR), (at, ids, times, cell, chance)
+        mixed = (self.weight[:n] * (chance[1] - chance[0]) >> 8) + chance[0]
+        guess = np.where(times[1] > 0, places[1], places[0])
+        return guess, np.minimum(np.maximum(mixed, FLOOR), ONE - FLOOR), (at, places, times, cell, chance)
 
-    def learn(self, n: int, ids: np.ndarray, right: np.ndarray, state):
+    def learn(self, n: int, place: np.ndarray, right: np.ndarray, state):
         at, expected, times, cell, chance = state
         away = right * np.int32(ONE - 1) - chance
         self.chance[cell] = chance + (away >> CHANCE_RATE)
-        same = expected == ids
+        same = expected == place
         keep = same | (times > 1)
-        self.expected[at] = np.where(keep, expected, ids)
+        self.expected[at] = np.where(keep, expected, place)
         self.times[at] = np.where(same, np.minimum(times + 1, 15), np.where(keep, times >> 1, 1))
         away = np.abs(away)
-        weight = self.weight[:n] + np.where(away[1] < away[0], 2, -2)
+        weight = self.weight[:n] + np.where(away[1] < away[0], 2, -2).astype(np.int32)
         self.weight[:n] = np.minimum(np.maximum(weight, 8), 248)
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-    def context(self, lanes: np.ndarray, group: int, prefix: np.ndarray) -> np.ndarray:
-        """Where the distribution of a group of four bits is, by the bits before it."""
-        if group <= 2:
-            return lanes * self.slots + (0, 1, 17)[group] + prefix
-        return lanes * self.slots + SHALLOW + DEEP * (group - 3) + (prefix * 0x9E3779B1 >> 12 & (DEEP - 1))
-
-    def learn_groups(self, at: np.ndarray, bounds: np.ndarray, symbol: np.ndarray):
-        seen = self.seen[at]
-        self.seen[at] = np.minimum(seen + 1, len(_RATES) - 1)
-        moved = np.take(_TOWARDS, symbol, axis=0)
-        moved -= bounds
-        moved >>= _RATES[seen][..., None]
-        moved += bounds
-        self.bounds[at] = moved
-
-
-def _settled(low: np.ndarray, rng: np.ndarray, move) -> tuple[np.ndarray, np.ndarray]:
-    """Shift out 16 bits wherever they are certain, or the range is too small; `move` gets the lanes."""
+        self.last[:n] = place
+
+
+def _settled(low: np.ndarray, rng: np.ndarray, move) -> None:
+    """Shift out 16 bits, in place, wherever they are certain or the range is too small; `move` gets the lanes."""
+    open_ = None
     while True:
-        same = (low ^ (low + rng)) < _TOP
-        short = rng < _TOP
-        short &= ~same
-        if short.any():
-            rng = np.where(short, (_U(0) - low) & _LOW_BITS, rng)
-            same |= short
-        out = np.flatnonzero(same)
+        a, b = (low, rng) if open_ is None else (low[open_], rng[open_])
+        same = (a ^ (a + b)) < _TOP
+        short = (b < _TOP) & ~same
+        out = np.flatnonzero(same | short)
         if not len(out):
-            return low, rng
-        move(out, low)
-        low[out] <<= _16
-        rng[out] <<= _16
+            return
+        if short.any():
+            b = np.where(short, (_U(0) - a) & _LOW_BITS, b)
+        lanes = out if open_ is None else open_[out]
+        move(lanes, a[out])
+        low[lanes] = a[out] << _16
+        rng[lanes] = b[out] << _16
+        # Only lanes that moved can have to move again.
+        open_ = lanes
 
 
 class _Encoder:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, ids: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
-        self.words = np.zeros((lanes, 256), np.uint16)
+        self.room = ids + 16
+        self.words = np.zeros((lanes, self.room), np.uint16)
         self.length = np.zeros(lanes, np.int64)
 
-    def put(self, lanes, start, size, bits):
-        """One step for some lanes (a slice or numbers): `size` from `start` out of 2**bits."""
-        unit = self.range[lanes] >> _U(bits)
-        low = self.low[lanes] + unit * start.astype(np.uint64)
-        numbers = np.arange(len(self.low))[lanes]
-        self.low[lanes], self.range[lanes] = _settled(
-            low, unit * size.astype(np.uint64), lambda out, low: self._emit(numbers[out], low[out] >> _48))
+    def put(self, n: int, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """One step of the first n lanes: `size` from `start` out of 2**bits."""
+        unit = self.range[:n] >> _U(bits)
+        self.low[:n] += unit * start
+        self.range[:n] = unit * size
+        _settled(self.low[:n], self.range[:n], lambda lanes, low: self._emit(lanes, low >> _48))
 
     def _emit(self, lanes, words):
         at = self.length[lanes]
-        if at.max() >= self.words.shape[1]:
-            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1])))
-        self.words[lanes, at] = words
+        if at.max() >= self.room:
+            self.words = np.pad(self.words, ((0, 0), (0, self.room)))
+            self.room *= 2
+        self.words.reshape(-1)[lanes * self.room + at] = words
         self.length[lanes] = at + 1
 
     def finish(self):
@@ -153,7 +178,7 @@ class _Encoder:
 
 class _Decoder:
     def __init__(self, words: np.ndarray, starts: np.ndarray):
-        self.words, self.next = np.append(words, np.zeros(4, np.uint16)).astype(np.uint64), starts.copy()
+        self.words, self.next = np.append(words, np.zeros(4, np.uint16)), starts.copy()
         self.low = np.zeros(len(starts), np.uint64)
         self.range = np.full(len(starts), 2**64 - 1, np.uint64)
         self.code = np.zeros(len(starts), np.uint64)
@@ -163,24 +188,21 @@ class _Decoder:
     def _word(self, lanes):
         at = self.next[lanes]
         self.next[lanes] = at + 1
-        return self.words[np.minimum(at, len(self.words) - 1)]
+        return self.words[np.minimum(at, len(self.words) - 1)].astype(np.uint64)
 
-    def target(self, lanes, bits):
-        self.unit = self.range[lanes] >> _U(bits)
-        value = (self.code[lanes] - self.low[lanes]) // self.unit
-        return np.minimum(value, _U((1 << bits) - 1)).astype(np.int64)
+    def target(self, n: int, bits: int) -> np.ndarray:
+        self.unit = self.range[:n] >> _U(bits)
+        return np.minimum((self.code[:n] - self.low[:n]) // self.unit, _U((1 << bits) - 1))
 
-    def take(self, lanes, start, size):
-        low = self.low[lanes] + self.unit * start.astype(np.uint64)
-        code = self.code[lanes]
-        numbers = np.arange(len(self.low))[lanes]
+    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        self.low[:n] += self.unit * start
+        self.range[:n] = self.unit * size
+        code = self.code
 
-        def move(out, _):
-            code[out] = (code[out] << _16) | self._word(numbers[out])
+        def move(lanes, _):
+            code[lanes] = (code[lanes] << _16) | self._word(lanes)
 
-        code = code.copy()
-        self.low[lanes], self.range[lanes] = _settled(low, self.unit * size.astype(np.uint64), move)
-        self.code[lanes] = code
+        _settled(self.low[:n], self.range[:n], move)
 
 
 def _sizes(n_ids: int, block_ids: int) -> np.ndarray:
@@ -194,80 +216,69 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """Ids (0 to 2**32 - 1) as checksummed blocks."""
     ids = np.asarray(ids, np.int64)
     sizes = _sizes(len(ids), block_ids)
-    # An even number of groups of four bits.
-    groups = 2 * max(1, -(-int(ids.max()).bit_length() // 8)) if len(ids) else 2
-    model, coder = _Model(len(sizes), groups), _Encoder(len(sizes))
-    first = block_ids * np.arange(len(sizes))
-    shifts = 4 * np.arange(groups - 1, -1, -1)[:, None]
+    table, place = _Table.of(ids)
+    model, coder = _Model(len(sizes)), _Encoder(len(sizes), int(sizes.max(initial=0)))
+    bits = _U(table.bits)
+    # Column i holds the i-th id of every block; the last block may be shorter.
+    columns = np.zeros(len(sizes) * block_ids, np.int32)
+    columns[:len(place)] = place
+    columns = np.ascontiguousarray(columns.reshape(-1, block_ids).T)
     for i in range(int(sizes.max(initial=0))):
         n = len(sizes) if i < sizes[-1] else len(sizes) - 1
-        token = ids[first[:n] + i]
+        own = columns[i, :n]
         guess, chance, state = model.predict(n)
-        right = guess == token
-        coder.put(slice(0, n), chance * ~right, np.where(right, chance, ONE - chance), 16)
-        miss = np.flatnonzero(~right)
-        if len(miss):
-            value = token[miss]
-            at = np.stack([model.context(miss, g, value >> (s + 4)) for g, s in enumerate(shifts[:, 0].tolist())])
-            symbol = value >> shifts & 15
-            bounds = np.take(model.bounds, at, axis=0)
-            place = 17 * np.arange(at.size).reshape(at.shape) + symbol
-            start = np.take(bounds, place).astype(np.int64)
-            size = np.take(bounds, place + 1).astype(np.int64) - start
-            model.learn_groups(at, bounds, symbol)
-            for g in range(0, groups, 2):
-                coder.put(miss, (start[g] << TOTAL_BITS) + size[g] * start[g + 1], size[g] * size[g + 1], 2 * TOTAL_BITS)
-        model.learn(n, token, right, state)
+        right = guess == own
+        mine = chance.astype(np.uint64)
+        rest = _U(ONE) - mine
+        mine <<= bits
+        start = np.where(right, _U(0), mine + rest * table.starts[own])
+        coder.put(n, start, np.where(right, mine, rest * table.sizes[own]), ONE_BITS + table.bits)
+        model.learn(n, own, right, state)
     if len(sizes):
         coder.finish()
     little = ids.astype("<u4")
-    parts = [struct.pack(HEADER, MAGIC, len(ids), block_ids, len(sizes), groups)]
+    packed = table.pack()
+    parts = [struct.pack(HEADER, MAGIC, len(ids), block_ids, len(sizes), zlib.crc32(packed), len(packed)), packed]
     for k, size in enumerate(sizes.tolist()):
-        part = little[block_ids * k:block_ids * k + size].tobytes()
+        part = little[block_ids * k:block_ids * k + size]
         parts.append(struct.pack(BLOCK, size, int(coder.length[k]), zlib.crc32(part)))
     parts += [coder.words[k, :coder.length[k]].astype("<u2").tobytes() for k in range(len(sizes))]
     return b"".join(parts)
 
 
 def decode(code: bytes) -> np.ndarray:
-    """The ids of `encode`; raises ValueError when a block's checksum does not hold."""
-    magic, n_ids, block_ids, n_blocks, groups = struct.unpack_from(HEADER, code)
-    if magic != MAGIC:
+    """The ids of `encode`; raises ValueError when a checksum does not hold."""
+    if code[:len(MAGIC)] != MAGIC:
         raise ValueError("not a coded frame")
-    sizes, lengths, sums = np.frombuffer(code, "<u4", 3 * n_blocks, struct.calcsize(HEADER)).reshape(-1, 3).astype(np.int64).T
-    words = np.frombuffer(code, "<u2", offset=struct.calcsize(HEADER) + struct.calcsize(BLOCK) * n_blocks)
-    ids = np.zeros(n_ids, np.int64)
-    model = _Model(n_blocks, groups)
-    coder = _Decoder(words, np.cumsum(lengths) - lengths)
-    first = block_ids * np.arange(n_blocks)
+    _, n_ids, block_ids, n_blocks, table_sum, n_table = struct.unpack_from(HEADER, code)
+    at = struct.calcsize(HEADER)
+    packed = code[at:at + n_table]
+    if zlib.crc32(packed) != table_sum:
+        raise ValueError("checksum of the table does not hold")
+    table = _Table.unpack(packed)
+    at += n_table
+    sizes, lengths, sums = np.frombuffer(code, "<u4", 3 * n_blocks, at).reshape(-1, 3).astype(np.int64).T
+    words = np.frombuffer(code[at + struct.calcsize(BLOCK) * n_blocks:], "<u2")
+    model, coder, find = _Model(n_blocks), _Decoder(words, np.cumsum(lengths) - lengths), table.finder()
+    bits, most = _U(table.bits), _U((1 << table.bits) - 1)
+    columns = np.zeros((block_ids, n_blocks), np.int32)
     for i in range(int(sizes.max(initial=0))):
         n = n_blocks if i < sizes[-1] else n_blocks - 1
         guess, chance, state = model.predict(n)
-        right = coder.target(slice(0, n), 16) < chance
-        coder.take(slice(0, n), chance * ~right, np.where(right, chance, ONE - chance))
-        token = guess
-        miss = np.flatnonzero(~right)
-        if len(miss):
-            value = np.zeros(len(miss), np.int64)
-            row = np.arange(len(miss))
-            for g in range(0, groups, 2):
-                target = coder.target(miss, 2 * TOTAL_BITS)
-                start, size = [], []
-                for k in (g, g + 1):
-                    at = model.context(miss, k, value)
-                    bounds = np.take(model.bounds, at, axis=0)
-                    level = target >> TOTAL_BITS if k == g else (target - (start[0] << TOTAL_BITS)) // size[0]
-                    symbol = np.count_nonzero(bounds[:, 1:16] <= level[:, None].astype(np.int16), axis=1)
-                    start.append(bounds[row, symbol].astype(np.int64))
-                    size.append(bounds[row, symbol + 1].astype(np.int64) - start[-1])
-                    model.learn_groups(at, bounds, symbol)
-                    value = value << 4 | symbol
-                coder.take(miss, (start[0] << TOTAL_BITS) + size[0] * start[1], size[0] * size[1])
-            token[miss] = value
-        ids[first[:n] + i] = token
-        model.learn(n, token, right, state)
+        mine = chance.astype(np.uint64)
+        rest = _U(ONE) - mine
+        mine <<= bits
+        target = coder.target(n, ONE_BITS + table.bits)
+        right = target < mine
+        other = find(np.minimum((target - np.where(right, target, mine)) // rest, most))
+        own = np.where(right, guess, other)
+        start = np.where(right, _U(0), mine + rest * table.starts[other])
+        coder.take(n, start, np.where(right, mine, rest * table.sizes[other]))
+        columns[i, :n] = own
+        model.learn(n, own, right, state)
+    ids = table.ids[columns.T.reshape(-1)[:n_ids]] if n_ids else np.zeros(0, np.int64)
     little = ids.astype("<u4")
     for k, size in enumerate(sizes.tolist()):
-        if zlib.crc32(little[block_ids * k:block_ids * k + size].tobytes()) != sums[k]:
+        if zlib.crc32(little[block_ids * k:block_ids * k + size]) != sums[k]:
             raise ValueError(f"checksum of block {k} does not hold")
     return ids

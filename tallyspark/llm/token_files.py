@@ -3,7 +3,7 @@
 Documents are dealt by ranges of their id and sorted, so files, and frames in a file, follow ascending ids. A task encodes
 whole texts, ends each document with one extra id, and gathers documents to frames of about FRAME_IDS ids; a longer
 document is a frame of its own. A frame is one row of a Parquet file: file and frame number, the ids and lengths of its
-documents, and their token ids as one code of independent, checksummed blocks (`range_coder`). Frames hold whole
+documents, and their token ids as one code of a table and independent, checksummed blocks (`range_coder`). Frames hold whole
 documents, so each is read alone; a document's place in the corpus follows from the frames' lengths.
 
 Text that names a special token, such as <|endoftext|>, is ordinary text unless `special_as_text` is off: then the tokenizer
@@ -29,7 +29,7 @@ from tallyspark.llm import range_coder
 from tallyspark.llm.words import text_batches
 from tallyspark.session import wide
 
-FRAME_IDS = 1 << 23
+FRAME_IDS = 1 << 22
 SLICE_CHARS = 1 << 20
 FRAMES = "file int, frame int, doc_ids array<long>, lengths array<long>, n_ids long, code binary"
 
@@ -60,9 +60,13 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
 
         for batch in batches:
             for some_ids, texts in _slices(batch):
-                for name, coded in zip(some_ids, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                # Equal texts are encoded once.
+                place = {text: i for i, text in enumerate(dict.fromkeys(texts))}
+                coded = tokenizer.encode_batch_fast([*place], add_special_tokens=False)
+                arrays = [np.array([*c.ids, end_id], np.uint32) for c in coded]
+                for name, text in zip(some_ids, texts):
                     names.append(name)
-                    parts.append(np.array([*coded.ids, end_id], np.uint32))
+                    parts.append(arrays[place[text]])
                     held += len(parts[-1])
                     if held >= FRAME_IDS:
                         yield finish()
