@@ -15,7 +15,9 @@ each pair of chunks is a task's unit, so that no cell must fit one task and no p
 and the edges of local components, never pairs.
 
 A vector that is null, empty, zero or holds a null or non-finite component links with nothing, nor does one with a null
-label or id; such rows are their own components (null for a null id). Vectors of different lengths never link.
+label or id; such rows are their own components (null for a null id). Vectors of different lengths never link. Labels are
+of any type and equal or not by a 64-bit hash. Other columns are left out, whatever their names; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.components import connected_components
 from tallyspark.session import materialize, wide
@@ -139,8 +142,9 @@ def cells_of(reps: DataFrame, width: int) -> DataFrame:
                          pa.array(cell[start:start + 4096].astype(np.int64)), part.take(some), weights.take(at)],
                         names=["id", "label", "length", "cell", "vector", "weight"])
 
+    kind = reps.schema["vector"].dataType.simpleString()
     return reps.select("id", "label", "vector", "weight").mapInArrow(
-        expand, "id long, label int, length int, cell long, vector array<float>, weight long")
+        expand, f"id long, label long, length int, cell long, vector {kind}, weight long")
 
 
 class Cell:
@@ -257,14 +261,16 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     label_col: str = "label", cosine: float = 0.93) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of `vectors`."""
     raw = F.col(vector_col)
+    # Single precision is kept as it is, and any other number is taken as a double.
+    kind = "float" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "double"
     finite = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(
         F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & finite & F.exists(raw, lambda x: x != 0), F.lit(False))
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"),
-        raw.cast("array<float>").alias("vector"), usable.alias("usable"))
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("label"),
+        raw.cast(f"array<{kind}>").alias("vector"), usable.alias("usable"))
     # Two hashes name a vector; zero of either sign is one value.
-    named = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
+    named = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))
     name = ["label", "name_a", "name_b"]
     named = named.withColumns({"name_a": F.xxhash64("vector"), "name_b": F.xxhash64(F.lit(1), "vector")})
     reps = materialize(

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import cap_filters
 from tallyspark.llm.entries import REGISTRY, table
@@ -9,13 +10,13 @@ from tallyspark.llm.entries import REGISTRY, table
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, links int"
 
 
-def brute(rows, cosine=0.93):
+def brute(rows, cosine=0.93, kind=np.float32):
     parent, links = {}, {}
     good = []
     for i, v, label in rows:
         links[i], parent[i] = 0, i
         if v and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            v = np.array(v, np.float32).astype(float)
+            v = np.array(v, kind).astype(float)
             good.append((i, v / np.linalg.norm(v), label))
 
     def root(x):
@@ -88,6 +89,21 @@ def test_links_and_components_equal_brute_force(spark, monkeypatch, chunk):
     assert got == brute(every)
 
 
+def test_double_vectors_and_labels_of_any_type(spark):
+    """Pairs a billionth beside the limit, which single precision does not tell apart, and labels between whole numbers."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, limit in enumerate([0.93 - 1e-9, 0.93 + 1e-9] * 12):
+        a, b = pairs(1, limit, 16, rng)
+        rows += [(10 * k, a[0].tolist(), 1.5 + k), (10 * k + 1, b[0].tolist(), 1.5 + k), (10 * k + 2, a[0].tolist(), 1.25 + k)]
+    frame = spark.createDataFrame([(i, v, label) for i, v, label in rows], "vec_id long, embedding array<double>, label double")
+    want = brute(rows, kind=float)
+    assert sum(n for n, _, _ in want.values()) == 24
+    for some in (frame, frame.withColumn("label", F.concat(F.lit("label "), F.col("label").cast("string")))):
+        got = {r.id: (r.n_links, r.component_id, r.kept) for r in cap_filters.near_duplicates(some).collect()}
+        assert got == want
+
+
 def test_null_ids_and_no_rows(spark):
     frame = spark.createDataFrame([(None, [1.0], 1, "x", 1), (5, [1.0], 1, "x", 1)], SCHEMA)
     got = sorted((r.id or 0, r.n_links, r.kept) for r in cap_filters.near_duplicates(frame).collect())
