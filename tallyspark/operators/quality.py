@@ -1,5 +1,6 @@
 """Data tests as DataFrames, and the gate that stops a run when one fails."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,12 +195,17 @@ def run_tests(tables: dict[str, DataFrame], tests) -> DataFrame:
     """
     parts = []
     row_tests: dict[str, list] = {}
+    large = [t for t in tests if isinstance(t, Unique) and t.large]
+    # The searches for repeated hashes are jobs of their own, which run side by side.
+    with ThreadPoolExecutor(max(1, len(large))) as pool:
+        searches = {t: pool.submit(duplicated_in_large, tables[t.table], t.columns) for t in large}
+        repeated = {t: search.result() for t, search in searches.items()}
     for test in tests:
         if isinstance(test, (NotNull, Accepted)):
             row_tests.setdefault(test.table, []).append(test)
         elif isinstance(test, Unique):
-            search = duplicated_in_large if test.large else duplicated
-            bad = search(tables[test.table], test.columns).agg(F.count("*").alias("failures"))
+            found = repeated[test] if test.large else duplicated(tables[test.table], test.columns)
+            bad = found.agg(F.count("*").alias("failures"))
             parts.append(_labelled(bad, "unique", test.table, ",".join(test.columns)))
         else:
             bad = orphans(tables[test.table], test.column, tables[test.parent], test.parent_column)
