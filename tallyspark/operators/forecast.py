@@ -1,7 +1,9 @@
 """Cash-flow forecasting: daily series, lag features, models and backtests."""
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+from operator import add
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from tallyspark import schemas
 from tallyspark.functions.columns import signed
 from tallyspark.operators import booster_kernel as kernel
+from tallyspark.operators import series_kernel as series
 from tallyspark.session import wide
 
 LAG_COLUMNS = [f"lag_{k}" for k in range(1, schemas.LAGS + 1)]
@@ -48,11 +51,13 @@ def with_calendar(dense: DataFrame) -> DataFrame:
 
 
 def with_rolling_mean(dense: DataFrame) -> DataFrame:
-    """Mean of the seven days before; NULL until there are seven."""
-    before = Window.partitionBy("account_id").orderBy("txn_date").rowsBetween(-schemas.LAGS, -1)
-    mean = F.sum("net_flow").over(before).cast("double") / schemas.LAGS
-    full = F.count("net_flow").over(before) == schemas.LAGS
-    return dense.withColumn("rolling_mean_7", F.when(full, mean))
+    """Mean of the seven days before; NULL until there are seven.
+
+    The sum of the lags, which a day lacks until there are seven; a frame of seven rows would be added up anew each day.
+    """
+    lagged = dense if set(LAG_COLUMNS) <= set(dense.columns) else with_lags(dense)
+    mean = reduce(add, [F.col(c) for c in LAG_COLUMNS]).cast("double") / schemas.LAGS
+    return lagged.select(*dense.columns, mean.alias("rolling_mean_7"))
 
 
 def feature_rows(dense: DataFrame) -> DataFrame:
@@ -133,28 +138,35 @@ MODEL = (
 
 
 def _inputs(split: DataFrame) -> DataFrame:
+    """Every account's days in order, in one task; `_day` counts from 1.
+
+    The window asks for a shuffle only if the rows are not dealt by account already, as `densify` leaves them.
+    """
+    by_day = Window.partitionBy("account_id").orderBy("txn_date")
     return split.select(
         "account_id", "txn_date", "is_train", F.col("net_flow").cast("double").alias("net_flow"),
-        *[F.col(c).cast("double").alias(c) for c in FEATURES])
+        *[F.col(c).cast("double").alias(c) for c in FEATURES], F.row_number().over(by_day).alias("_day"),
+    ).sortWithinPartitions("account_id", "txn_date")
 
 
 def backtest(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
              rate: float = schemas.BOOSTER_RATE) -> DataFrame:
     """Per account, the error on its test days of a model fit to its train days: (account_id, n_test, mae_model).
 
-    Each group is one row per calendar day, so its size is bounded by the span
+    A series is one row per calendar day, so its size is bounded by the span
     of dates, however many transactions the account has.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("txn_date")
-        x, y = pdf[FEATURES].to_numpy(dtype=float), pdf["net_flow"].to_numpy(dtype=float)
-        train = pdf["is_train"].to_numpy(dtype=bool)
-        model = kernel.fit(x[train], y[train], n_trees, depth, rate)
-        return pd.DataFrame({
-            "account_id": [pdf["account_id"].iloc[0]], "n_test": [int((~train).sum())],
-            "mae_model": [float(np.abs(y[~train] - model.predict(x[~train])).mean())]})
+    features = FEATURES
 
-    return _inputs(split).groupBy("account_id").applyInPandas(run, "account_id long, n_test int, mae_model double")
+    def run(batches):
+        for chunk in series.chunks(batches, features):
+            tested = kernel.fit_all([kernel.Bins(s.x[s.is_train]) for s in chunk], [s.y[s.is_train] for s in chunk],
+                                    n_trees, depth, rate)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s.account for s in chunk], pa.int64()), *series.errors(chunk, tested)],
+                names=["account_id", "n_test", "mae_model"])
+
+    return _inputs(split).mapInArrow(run, "account_id long, n_test int, mae_model double")
 
 
 def fit_models(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
@@ -164,13 +176,14 @@ def fit_models(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: in
     The row also holds the last day and the days before it that the first
     forecasts need as lags.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("txn_date")
-        y = pdf["net_flow"].to_numpy(dtype=float)
-        model = kernel.fit(pdf[FEATURES].to_numpy(dtype=float), y, n_trees, depth, rate)
-        return _model_row(pdf, y, model)
+    features, lags = FEATURES, schemas.LAGS
+
+    def run(batches):
+        for chunk in series.chunks(batches, features):
+            models = kernel.fit_all([kernel.Bins(s.x) for s in chunk], [s.y for s in chunk], n_trees, depth, rate)
+            yield pa.RecordBatch.from_arrays(series.model_rows(chunk, models, lags), names=series.MODEL_COLUMNS)
 
-    return _inputs(split).groupBy("account_id").applyInPandas(run, MODEL)
+    return _inputs(split).mapInArrow(run, MODEL)
 
 
 def train(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
@@ -179,53 +192,33 @@ def train(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = s
 
     Bins say nothing of the flows to predict, so the test days' part in them tells the backtest nothing.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("txn_date")
-        x, y = pdf[FEATURES].to_numpy(dtype=float), pdf["net_flow"].to_numpy(dtype=float)
-        is_train = pdf["is_train"].to_numpy(dtype=bool)
-        bins = kernel.Bins(x)
-        tested = kernel.fit_binned(bins.rows(is_train), y[is_train], n_trees, depth, rate)
-        row = _model_row(pdf, y, kernel.fit_binned(bins, y, n_trees, depth, rate))
-        return row.assign(n_test=int((~is_train).sum()),
-                          mae_model=float(np.abs(y[~is_train] - tested.predict(x[~is_train])).mean()))
-
-    return _inputs(split).groupBy("account_id").applyInPandas(run, MODEL + ", n_test int, mae_model double")
+    features, lags = FEATURES, schemas.LAGS
 
+    def run(batches):
+        for chunk in series.chunks(batches, features):
+            bins = [kernel.Bins(s.x) for s in chunk]
+            tested = kernel.fit_all([b.rows(s.is_train) for b, s in zip(bins, chunk)], [s.y[s.is_train] for s in chunk],
+                                    n_trees, depth, rate)
+            models = kernel.fit_all(bins, [s.y for s in chunk], n_trees, depth, rate)
+            yield pa.RecordBatch.from_arrays([*series.model_rows(chunk, models, lags), *series.errors(chunk, tested)],
+                                             names=[*series.MODEL_COLUMNS, "n_test", "mae_model"])
 
-def _model_row(pdf: pd.DataFrame, y: np.ndarray, model) -> pd.DataFrame:
-    return pd.DataFrame({
-        "account_id": [pdf["account_id"].iloc[0]], "last": [pdf["txn_date"].iloc[-1]], "n_rows": [len(pdf)],
-        "history": [list(y[-schemas.LAGS:])], "start": [model.start], "rate": [model.rate],
-        "feature": [model.feature.tolist()], "threshold": [model.threshold.tolist()], "value": [model.value.tolist()]})
+    return _inputs(split).mapInArrow(run, MODEL + ", n_test int, mae_model double")
 
 
 def forecast_steps(models: DataFrame, horizon: int = schemas.HORIZON) -> DataFrame:
     """Stored models carried forward a day at a time: (account_id, last, step, predicted_net_flow).
 
-    Models of a batch advance together; a forecast day is a lag of the next.
+    Some models of a batch advance together; a forecast day is a lag of the next.
     """
     lags = schemas.LAGS
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            boosters = [
-                kernel.Booster(start, rate, np.stack(feature), np.stack(threshold), np.stack(value))
-                for start, rate, feature, threshold, value in zip(
-                    pdf["start"], pdf["rate"], pdf["feature"], pdf["threshold"], pdf["value"])]
-            for account, last, history, model in zip(pdf["account_id"], pdf["last"], pdf["history"], boosters):
-                flows = list(history)
-                for step in range(1, horizon + 1):
-                    day = last + pd.Timedelta(days=step)
-                    recent = flows[-lags:]
-                    row = recent[::-1] + [day.weekday(), day.day, float(np.mean(recent))]
-                    flows.append(float(model.predict(np.array([row], dtype=float))[0]))
-                yield pd.DataFrame({
-                    "account_id": account, "last": last, "step": range(1, horizon + 1),
-                    "predicted_net_flow": flows[-horizon:] if horizon else []})
-
-    return models.mapInPandas(run, "account_id long, last date, step int, predicted_net_flow double")
+        for batch in batches:
+            yield from series.carried(batch, horizon, lags)
+
+    return models.select(*series.MODEL_COLUMNS).mapInArrow(
+        run, "account_id long, last date, step int, predicted_net_flow double")
 
 
 def forecast_table(steps: DataFrame, balances: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import booster_kernel, forecast
+from tallyspark.operators import booster_kernel, forecast, series_kernel
 
 
 def series(spark, flows, account=1, start=dt.date(2026, 1, 1)):
@@ -192,3 +192,53 @@ def test_one_pass_gives_the_same_models_and_errors(spark):
         assert tuple(both[account])[:9] == tuple(models[account])
         assert both[account].mae_model == pytest.approx(errors[account].mae_model, rel=1e-9)
         assert both[account].n_test == errors[account].n_test
+
+
+def same_booster(a, b):
+    return all(np.array_equal(getattr(a, part), getattr(b, part), equal_nan=True)
+               for part in ("start", "feature", "threshold", "value"))
+
+
+def test_series_fitted_side_by_side_get_the_models_they_get_alone():
+    """Of different lengths and bins; one without any number has no say in the others."""
+    rng = np.random.default_rng(5)
+    data = [(rng.normal(size=(n, 4)).round(digits), rng.normal(size=n).round(1)) for n, digits in
+            ((300, 3), (45, 0), (1, 1), (120, 1))]
+    data.insert(2, (np.full((20, 4), np.nan), np.full(20, np.nan)))
+    many = booster_kernel.fit_all([booster_kernel.Bins(x) for x, _ in data], [y for _, y in data], 12, 3, 0.3)
+    for (x, y), model in zip(data, many):
+        assert same_booster(model, booster_kernel.fit(x, y, 12, 3, 0.3))
+
+
+def test_series_cross_batches_and_missing_flows_give_null(spark):
+    rows = series(spark, noise(23, 35, 75)).unionByName(series(spark, noise(24, 400, 190), account=2)).unionByName(
+        series(spark, noise(25, 5, 60), account=None))
+    lost = spark.createDataFrame([(4, dt.date(2026, 1, 1) + dt.timedelta(days=i), None if i > 40 and i % 9 == 0 else Decimal(i))
+                                  for i in range(90)], rows.schema)
+    split = forecast.with_split(forecast.feature_rows(rows.unionByName(lost)))
+    found = []
+    for most in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            both = forecast.train(split, n_trees=9)
+            steps = forecast.forecast_steps(both).collect()
+            found.append((sorted(both.collect(), key=str), sorted(steps, key=str)))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    assert {r.account_id: r.start is None for r in found[0][0]} == {1: False, 2: False, None: False, 4: True}
+    assert {r.predicted_net_flow for r in found[0][1] if r.account_id == 4} == {None}
+
+
+def test_a_batch_of_models_is_carried_forward_in_parts(spark, monkeypatch):
+    """Memory follows the part, not the batch; models of another size are a part of their own."""
+    split = forecast.with_split(forecast.feature_rows(
+        series(spark, noise(23, 35, 75)).unionByName(series(spark, noise(24, 400, 90), account=2))))
+    small, large = (forecast.fit_models(split, n_trees=n).toArrow().combine_chunks().to_batches()[0] for n in (3, 5))
+    import pyarrow as pa
+    table = pa.Table.from_batches([small, large, large]).combine_chunks().to_batches()[0]
+    monkeypatch.setattr(series_kernel, "MODELS_AT_ONCE", 3)
+    parts = list(series_kernel.carried(table, 4, 7))
+    assert [p.num_rows for p in parts] == [8, 4, 12]
+    whole = pa.Table.from_batches(parts)["predicted_net_flow"].to_pylist()
+    assert whole[8:16] == whole[16:] and whole[:8] != whole[8:16]
