@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 
 from tallyspark import schemas
 from tallyspark.functions.columns import slug
-from tallyspark.operators.joins import join_dimension
 from tallyspark.session import exists, remove, rename
 from tallyspark.sources import csv_records
 
@@ -233,6 +232,8 @@ def land_raw(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
 LEDGER_PARTITION = ["txn_month"]
 #: Steps of each clustered column, as a power of two.
 CLUSTER_BITS = 6
+#: Rows that one task sorts and writes, about 100 MB; a larger ledger gets more tasks than the session's shuffles.
+LEDGER_ROWS_PER_TASK = 1 << 20
 
 
 def ledger_layout(ledger: DataFrame) -> DataFrame:
@@ -244,23 +245,28 @@ def ledger_layout(ledger: DataFrame) -> DataFrame:
     never one task's output. A ledger without categories is clustered by account.
     """
     placed, clustered = ledger, ["account_id"]
+    account_step, n_rows = _account_step(ledger)
     if "category_name" in ledger.columns:
-        placed = join_dimension(ledger, _category_steps(ledger), "category_name").withColumn(
-            "_square", interleaved(_account_step(ledger), F.coalesce("_step", F.lit(0)), CLUSTER_BITS))
+        placed = ledger.withColumn("_square", interleaved(account_step, _category_step(ledger), CLUSTER_BITS))
         clustered = ["_square", "account_id"]
+    n_tasks = -(-n_rows // LEDGER_ROWS_PER_TASK)
+    # A stated number is kept as it is, so only a ledger too large for the session's number gets one.
+    stated = [n_tasks] if n_tasks > int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     return (
         placed.withColumn("txn_month", F.date_format("txn_date", "yyyy-MM"))
-        .repartitionByRange("txn_month", *clustered, "transaction_id")
+        .repartitionByRange(*stated, "txn_month", *clustered, "transaction_id")
         .sortWithinPartitions("txn_month", *clustered, "txn_date")
         .select(*ledger.columns, "txn_month")
     )
 
 
-def _account_step(ledger: DataFrame) -> Column:
-    """The step of an account; the bounds of steps are approximate quantiles, a literal of fixed length."""
+def _account_step(ledger: DataFrame) -> tuple[Column, int]:
+    """The step of an account, and the number of rows; the bounds of steps are approximate quantiles, a literal of fixed length."""
     steps = 1 << CLUSTER_BITS
-    bounds = ledger.agg(F.percentile_approx("account_id", [i / steps for i in range(1, steps)])).first()[0] or []
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<bigint>"), lambda x: x < F.col("account_id")))
+    bounds, n_rows = ledger.agg(
+        F.percentile_approx("account_id", [i / steps for i in range(1, steps)]), F.count("*")).first()
+    found = F.array(*map(F.lit, sorted(set(bounds or [])))).cast("array<bigint>")
+    return F.size(F.filter(found, lambda x: x < F.col("account_id"))), n_rows
 
 
 def _category_steps(ledger: DataFrame) -> DataFrame:
@@ -272,6 +278,19 @@ def _category_steps(ledger: DataFrame) -> DataFrame:
     return counted.select("category_name", step.alias("_step"))
 
 
+def _category_step(ledger: DataFrame) -> Column:
+    """The step of a category, 0 where it is NULL.
+
+    Steps rise with the names, so the first name of each, a literal of fixed length, tells them all; a join by category
+    would put all rows of one into one task.
+    """
+    firsts = _category_steps(ledger).groupBy("_step").agg(F.min("category_name").alias("first")).orderBy("first").collect()
+    if not firsts:
+        return F.lit(0)
+    names, steps = F.array(*[F.lit(r["first"]) for r in firsts]), F.array(*[F.lit(r["_step"]) for r in firsts])
+    return F.coalesce(F.get(steps, F.size(F.filter(names, lambda x: x <= F.col("category_name"))) - 1), F.lit(0))
+
+
 def interleaved(a: Column, b: Column, bits: int) -> Column:
     """The bits of two numbers in turn, a's before b's."""
     value = F.lit(0)

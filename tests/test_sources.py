@@ -473,3 +473,25 @@ def test_a_failing_change_leaves_the_ledger(spark, tmp_path):
             changes.change_stored_ledger(
                 spark, path, broken, rows.filter("transaction_id = '50'").select("transaction_id"))
     assert listing(path) == before
+
+
+def test_a_large_ledger_is_dealt_to_more_tasks_than_the_session_shuffles(spark, monkeypatch):
+    ledger = spark.range(200).selectExpr(
+        "id AS transaction_id", "id % 7 AS account_id", "date_add(DATE'2026-01-01', CAST(id AS INT)) AS txn_date",
+        "concat('c', id % 3) AS category_name")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(files, "LEDGER_ROWS_PER_TASK", 10)
+    assert most < 20 and files.ledger_layout(ledger).rdd.getNumPartitions() == 20
+    assert sorted(files.ledger_layout(ledger).drop("txn_month").collect()) == sorted(ledger.collect())
+
+
+def test_the_ledger_layout_deals_no_rows_by_category(spark):
+    """Categories get the steps that their share of rows gives them, without a join that puts each into one task."""
+    names = ["b", "a", "zz", None, "m", "b", "é"]
+    ledger = spark.createDataFrame(
+        [(i, i % 5, dt.date(2026, 1, 1), names[i % 7]) for i in range(700)],
+        "transaction_id long, account_id long, txn_date date, category_name string")
+    assert "Join" not in files.ledger_layout(ledger)._jdf.queryExecution().optimizedPlan().toString()
+    steps = {r.category_name: r._step for r in files._category_steps(ledger).collect()}
+    rows = ledger.withColumn("step", files._category_step(ledger)).select("category_name", "step").distinct().collect()
+    assert {r.category_name: r.step for r in rows} == {**steps, None: 0}
