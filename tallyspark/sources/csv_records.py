@@ -29,7 +29,8 @@ _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+|)'
 _WHOLE = re.compile(f"{_FIELD}(?:,{_FIELD})*+", re.DOTALL)
 _REST = re.compile(f'[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,{_FIELD})*+', re.DOTALL)
 
-RECORD = "file string, start long, row long, record string, piece string"
+RECORD = "file string, start long, row long, record string"
+PIECE = RECORD + ", piece string"
 
 
 def ends_record(line: str, quoted: bool) -> bool:
@@ -59,6 +60,51 @@ def _runs(batch: pa.RecordBatch):
             yield batch.column(0)[a].as_py(), int(start[a]), int(a), int(b)
 
 
+class _Quotes:
+    """What each line of a column does to the state "inside quotes", found for all lines at once.
+
+    As long as every quote opens or closes a field, a line with an odd number of quotes changes the state and others keep
+    it. A line can do otherwise only if a quote that would open a field stands neither at the start of a field nor right
+    behind the quote that has just closed it, where it is an escape. Such lines are matched as text, one by one.
+    """
+
+    def __init__(self, column: pa.Array):
+        self.column, n = column, len(column)
+        kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        ends = np.frombuffer(column.buffers()[1], kind, n + 1, column.offset * np.dtype(kind).itemsize)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        self.starts = ends - ends[0]
+        at = np.flatnonzero(data == ord('"'))
+        line = np.searchsorted(self.starts, at, "right") - 1
+        count = np.bincount(line, minlength=n)
+        odd = (np.cumsum(count) & 1).astype(bool)
+        self.change = np.concatenate([[False], odd])
+        number = np.arange(len(at)) - (np.cumsum(count) - count)[line]
+        before = data[at - 1]
+        strange = (at != self.starts[line]) & (before != ord(",")) & (before != ord('"'))
+        by_start = np.zeros((2, n), bool)
+        for quoted in (0, 1):
+            by_start[quoted, line[strange & (number % 2 == quoted)]] = True
+        #: Lines to match, where the state is `phase` changed by all quotes before the line.
+        self.matched = [np.flatnonzero(np.where(self.change[:-1] ^ phase, by_start[1], by_start[0])) for phase in (False, True)]
+
+    def open_after(self, quoted: bool) -> np.ndarray:
+        """Whether a quoted field is open after each line; the first begins inside one (`quoted`) or with a record."""
+        n, at = len(self.column), 0
+        found = np.empty(n, bool)
+        while at < n:
+            phase = bool(quoted ^ self.change[at])
+            matched = self.matched[phase]
+            k = np.searchsorted(matched, at)
+            end = int(matched[k]) if k < len(matched) else n
+            found[at:end] = self.change[at + 1:end + 1] ^ phase
+            if end < n:
+                quoted = not ends_record(self.column[end].as_py(), bool(self.change[end] ^ phase))
+                found[end] = quoted
+            at = end + 1
+        return found
+
+
 class SplitStates:
     """Whether a quoted field is open after each split that holds quotes, by file in the order of offsets."""
 
@@ -78,17 +124,19 @@ class SplitStates:
 def split_states(lined: DataFrame) -> SplitStates | None:
     """The composed lines of all splits; None if no line leaves a quoted field open.
 
-    The driver receives a path and three flags for each split with quotes; it holds more than that for every split to
-    plan the scan.
+    The first line of all that leaves a field open begins with a record, and so does its split; it is enough to look for
+    one from there. The driver receives a path and three flags for each split with quotes; it holds more than that for
+    every split to plan the scan.
     """
     def compose(batches):
         after: dict[tuple[str, int], list[bool]] = {}
         for batch in batches:
             for file, start, a, b in _runs(batch):
                 state = after.setdefault((file, start), [False, True, False])
-                for line in batch.column(2).slice(a, b - a).to_pylist():
-                    open_ = not ends_record(line, False), not ends_record(line, True)
-                    state[:] = open_[state[0]], open_[state[1]], state[2] or open_[0]
+                quotes = _Quotes(batch.column(2).slice(a, b - a))
+                open_ = quotes.open_after(state[0])
+                other = open_ if state[0] == state[1] else quotes.open_after(state[1])
+                state[:] = bool(open_[-1]), bool(other[-1]), state[2] or bool(open_.any())
         for (file, start), state in after.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([file]), pa.array([start], pa.int64()), *(pa.array([s]) for s in state)],
@@ -102,85 +150,88 @@ def split_states(lined: DataFrame) -> SplitStates | None:
     return SplitStates([tuple(r)[:4] for r in found])
 
 
-def assembled(lined: DataFrame, states: SplitStates) -> DataFrame:
-    """RECORD rows: whole records, and pieces ("first" or "rest") of those that cross a split's border.
+def assembled(lined: DataFrame, states: SplitStates, pieces: bool) -> DataFrame:
+    """RECORD rows of whole records, or PIECE rows ("first" or "rest") of those that cross a split's border.
 
     `row` numbers the records that begin in a split. Blank lines between records are no records.
     """
     def group(batches):
         split, held, row, quoted, rest = None, [], 0, False, False
-        out = _Rows()
+
+        def taken(whole=None):
+            """The lines held, as one piece of a record or as a whole one."""
+            text = "\n".join(line for part in held for line in part.to_pylist())
+            if whole:
+                return _batch(split, row, pa.array([unix_breaks(text)], pa.string()))
+            return _batch(split, row, pa.array([text], pa.string()), "rest" if rest else "first")
+
         for batch in batches:
             for file, start, a, b in _runs(batch):
                 if (file, start) != split:
-                    if held:
-                        out.add(split, row, "\n".join(held), "rest" if rest else "first")
+                    if held and pieces:
+                        yield taken()
                     split, held, row = (file, start), [], 0
                     quoted = rest = states.begins_quoted(file, start)
                 column = batch.column(2).slice(a, b - a)
-                at = 0
-                for i in np.flatnonzero(np.asarray(pc.match_substring(column, '"'))).tolist():
-                    between = column.slice(at, i - at).to_pylist()
-                    if quoted:
-                        held += between
-                    else:
-                        row += out.add_plain(split, row, between)
-                    line = column[i].as_py()
-                    held.append(line)
-                    at = i + 1
-                    quoted = not ends_record(line, quoted)
-                    if quoted:
-                        continue
-                    text, held = "\n".join(held), []
+                open_ = _Quotes(column).open_after(quoted)
+                quoted = bool(open_[-1])
+                ends, at = np.flatnonzero(~open_) + 1, 0
+                if len(ends) and (held or rest):
+                    at, ends = int(ends[0]), ends[1:]
+                    held.append(column.slice(0, at))
                     if rest:
-                        out.add(split, row, text, "rest")
-                        rest = False
+                        if pieces:
+                            yield taken()
                     else:
-                        out.add(split, row, unix_breaks(text), None)
+                        if not pieces:
+                            yield taken(whole=True)
                         row += 1
-                left = column.slice(at).to_pylist()
-                if quoted:
-                    held += left
-                else:
-                    row += out.add_plain(split, row, left)
-            if out.full():
-                yield out.take()
-        if held:
-            out.add(split, row, "\n".join(held), "rest" if rest else "first")
-        yield out.take()
-
-    return lined.mapInArrow(group, RECORD)
-
-
-class _Rows:
-    """Rows of RECORD on their way out."""
-
-    def __init__(self):
-        self.columns: list[list] = [[] for _ in range(5)]
-
-    def add(self, split: tuple[str, int], row: int, record: str, piece: str | None) -> None:
-        for column, value in zip(self.columns, (*split, row, record, piece)):
-            column.append(value)
-
-    def add_plain(self, split: tuple[str, int], row: int, lines_: list[str]) -> int:
-        """Lines that are records, but for blank ones; returns how many."""
-        number = 0
-        for line in lines_:
-            line = line.removesuffix("\r")
-            if line.strip():
-                self.add(split, row + number, line, None)
-                number += 1
-        return number
-
-    def full(self) -> bool:
-        return len(self.columns[0]) >= 4_096
-
-    def take(self) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(self.columns, kinds)], names=["file", "start", "row", "record", "piece"])
-        self.columns = [[] for _ in range(5)]
-        return batch
+                    held, rest = [], False
+                if len(ends):
+                    found = _joined(column, at, ends)
+                    if not pieces:
+                        yield _batch(split, row, found)
+                    row, at = row + len(found), int(ends[-1])
+                if at < len(column):
+                    held.append(column.slice(at))
+        if held and pieces:
+            yield taken()
+
+    return lined.mapInArrow(group, PIECE if pieces else RECORD)
+
+
+def _joined(column: pa.Array, start: int, ends: np.ndarray) -> pa.Array:
+    """The records of a column's lines from `start` on that end before the lines `ends`, without blank ones."""
+    if len(ends) == ends[-1] - start:
+        found = column.slice(start, len(ends))
+    else:
+        groups = pa.ListArray.from_arrays(pa.array(np.concatenate([[start], ends]), pa.int32()), column)
+        found = pc.binary_join(groups, "\n")
+    if column.type != pa.string():
+        found = found.cast(pa.string())
+    returned = pc.ends_with(found, "\r")
+    if pc.any(returned).as_py():
+        unix = pc.replace_substring(pc.replace_substring_regex(found, "\r\\z", ""), "\r\n", "\n")
+        found = pc.if_else(returned, unix, found)
+    # A text that begins with a visible character is not blank; few others are left to look at.
+    seen = pc.match_substring_regex(found, "^[!-~]")
+    blank = [i for i in np.flatnonzero(~np.asarray(seen)).tolist() if not found[i].as_py().strip()]
+    if blank:
+        kept = np.ones(len(found), bool)
+        kept[blank] = False
+        found = found.filter(pa.array(kept))
+    return found
+
+
+def _batch(split: tuple[str, int], row: int, texts: pa.Array, piece: str | None = None) -> pa.RecordBatch:
+    """Rows of RECORD, or of PIECE, numbered from `row`."""
+    file, start = split
+    columns = {"file": pa.repeat(pa.scalar(file, pa.string()), len(texts)),
+               "start": pa.repeat(pa.scalar(start, pa.int64()), len(texts)),
+               "row": pa.array(np.arange(row, row + len(texts)), pa.int64()), "record": texts}
+    if piece:
+        columns["piece"] = pa.repeat(pa.scalar(piece, pa.string()), len(texts))
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def joined_pieces(pieces: DataFrame) -> DataFrame:
@@ -205,6 +256,4 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
     states = split_states(lined)
     if states is None:
         return None
-    found = assembled(lined, states)
-    whole = found.filter(F.col("piece").isNull()).drop("piece")
-    return whole.unionByName(joined_pieces(found.filter(F.col("piece").isNotNull())))
+    return assembled(lined, states, pieces=False).unionByName(joined_pieces(assembled(lined, states, pieces=True)))

@@ -69,11 +69,15 @@ def _parsed(records: DataFrame, in_file: T.StructType) -> DataFrame:
     options = {**QUOTED, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
     names = [f.name for f in in_file if f.name != CORRUPT]
     columns = ", ".join("`{}` STRING".format(f.name.replace("`", "``")) for f in in_file)
-    parsed = records.withColumn("_row", F.from_csv("record", columns, options))
-    same = F.lower(F.concat_ws("\n", *[F.col(f"_row.`{c}`") for c in names])) == "\n".join(names).lower()
+    # As a generator's output a record is parsed once; filters on its columns would each parse it again below a projection.
+    row = [F.col(f"`_{i}`") for i in range(len(in_file))]
+    parsed = records.select("file", "start", "row", F.inline(F.array(F.from_csv("record", columns, options))).alias(
+        *[f"_{i}" for i in range(len(in_file))]))
+    same = F.lower(F.concat_ws("\n", *row[:len(names)])) == "\n".join(names).lower()
     refused = F.raise_error(F.concat(F.lit("CSV header does not conform to the first file's: "), F.col("file")))
     data = F.when((F.col("start") > 0) | (F.col("row") > 0), True).otherwise(F.when(same, False).otherwise(refused))
-    return parsed.filter(data.cast("boolean")).select("_row.*", F.struct("file", "start", "row").alias(PLACE))
+    return parsed.filter(data.cast("boolean")).select(
+        *[c.alias(f.name) for c, f in zip(row, in_file)], F.struct("file", "start", "row").alias(PLACE))
 
 
 def read_accounts_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from tallyspark import schemas, session
 from tallyspark.operators import changes, quality, serving, staging
 from tallyspark.plans.pipeline import run_pipeline
-from tallyspark.sources import files
+from tallyspark.sources import csv_records, files
 
 
 def write(path, text):
@@ -357,6 +358,43 @@ def test_several_files_with_line_breaks_keep_their_order_and_headers(spark, tmp_
         in_splits(spark, str(feed), 6)
 
 
+def test_line_states_of_a_column_equal_those_of_single_lines():
+    rng = random.Random(4)
+    for i in range(3000):
+        some = ["".join(rng.choice('"",,ax') for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 8))]
+        kind = pa.large_string() if i % 2 else pa.string()
+        quotes = csv_records._Quotes(pa.array(['z,"', *some, '"'], kind).slice(1, len(some)))
+        for quoted in (False, True):
+            want, state = [], quoted
+            for line in some:
+                want.append(state := not csv_records.ends_record(line, state))
+            assert quotes.open_after(quoted).tolist() == want
+
+
+def test_lines_of_well_formed_records_are_not_matched_one_by_one(monkeypatch):
+    monkeypatch.delattr(csv_records, "ends_record")
+    column = pa.array(['1,"a', '""b"",', 'c",2', "", '3,"x ""y""",""', '"', '""",4', "5,6"])
+    assert csv_records._Quotes(column).open_after(False).tolist() == [True, True, False, False, False, True, False, False]
+
+
+def test_a_record_is_parsed_once_whatever_filters_its_columns(spark, tmp_path):
+    path = write(tmp_path / "m.csv", 'merchant_name,default_category\n"A\nB",Food\nC,D,E\n')
+    rows = files.read_raw_csv(spark, path, schemas.RAW_TABLES["merchants"])
+    whole = rows.filter(F.col(files.CORRUPT).isNull() & (F.col("merchant_name") != ""))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv(") == 1
+    assert [r.merchant_name for r in whole.collect()] == ["A\nB"]
+
+
+def test_blank_and_returned_lines_by_column(spark, tmp_path):
+    """Blank lines of any white space go, one carriage return ends a line, and those inside quotes stay without it."""
+    path = tmp_path / "m.csv"
+    path.write_bytes('a,b,c\r\n"x\r\ny",1,2\r\n\r\n\u00a0 \r\n\t\né,3,4\r\n"z\r\n",5,6\n'.encode())
+    want = [("x\ny", "1", "2"), ("é", "3", "4"), ("z\r\n", "5", "6")]
+    for size in (5, 11, 1000):
+        assert [r[:3] for r in in_splits(spark, str(path), size)[0]] == want
+
+
 def test_account_positions_of_a_split_file(spark, tmp_path):
     text = "account_name,account_type,owner_name,currency,opening_balance\n" + "".join(
         f'"A{i}\n{i}",personal,x,USD,{i}\n' if i % 5 else f"A{i},personal,x,USD,{i}\n" for i in range(60))
