@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tallyspark import schemas
 from tallyspark.functions.columns import slug
-from tallyspark.session import exists, remove, rename
+from tallyspark.session import exists, remove, rename, wide
 from tallyspark.sources import csv_records
 
 CORRUPT = "_corrupt_record"
@@ -335,13 +335,14 @@ def export_flags_csv(flags: DataFrame, path: str) -> None:
     """Flagged transactions as CSV, one folder per account slug.
 
     Rows are spread by account and transaction, so a single account's export
-    may be several files but never one task's work. A job that fails leaves the old export.
+    may be several files but never one task's work. A folder costs far more than its bytes, so the number of tasks does
+    not follow from these. A job that fails leaves the old export.
     """
     spark, new = flags.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     try:
         (
             flags.withColumn("account_slug", slug("account_name"))
-            .repartitionByRange("account_slug", "transaction_id")
+            .repartitionByRange(wide(spark), "account_slug", "transaction_id")
             .sortWithinPartitions("account_slug", F.desc("anomaly_score"), "transaction_id")
             .write.partitionBy("account_slug").option("header", True).csv(new)
         )

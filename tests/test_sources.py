@@ -202,6 +202,24 @@ def test_export_writes_one_folder_per_account(spark, tmp_path):
     assert spark.read.option("header", True).csv(path).count() == 3
 
 
+def test_export_folders_are_written_by_many_tasks(spark, tmp_path):
+    """However few bytes the rows have, no task writes most of the folders."""
+    path = str(tmp_path / "out")
+    flags = spark.range(400).select(
+        F.col("id").cast("string").alias("transaction_id"), F.lit(0.5).alias("anomaly_score"),
+        F.concat(F.lit("Account "), (F.col("id") % 100).cast("string")).alias("account_name"))
+    files.export_flags_csv(flags, path)
+    by_task = {}
+    for folder, _, names in os.walk(path):
+        for name in names:
+            if name.startswith("part-"):
+                by_task.setdefault(name.split("-")[1], set()).add(folder)
+    assert len(by_task) > 4 and max(map(len, by_task.values())) < 50
+    back = spark.read.option("header", True).csv(path)
+    assert back.count() == back.select("transaction_id").distinct().count() == 400
+    assert back.select("account_slug").distinct().count() == 100
+
+
 def test_views_and_stored_layers(spark, tmp_path):
     df = spark.range(3)
     assert files.materialize_layer({"x": df}, str(tmp_path), "staging", as_views=True)["x"] is df
