@@ -23,15 +23,22 @@ import numpy as np
 
 BLOCK_IDS = 2048
 HEADER, BLOCK = "<4sQIIIQ", "<III"
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 
-_U = np.uint64
-_TOP, _LOW_BITS, _16, _48 = _U(1 << 48), _U((1 << 48) - 1), _U(16), _U(48)
 ONE_BITS = 16
 ONE = 1 << ONE_BITS
+#: Chances are kept in ONE_BITS and coded in these; what is coded is at least FLOOR from both ends.
+CODED_BITS, FLOOR = 12, 2
 BITS_1, BITS_2 = 9, 10
 CHANCE_RATE = 5
-FLOOR = 32
+TIMES_BITS = 4
+MOST_TIMES = (1 << TIMES_BITS) - 1
+
+_U = np.uint64
+_CODED, _LEAST, _MOST = _U(1 << CODED_BITS), _U(FLOOR), _U((1 << CODED_BITS) - FLOOR)
+_HASH_1, _HASH_2, _HASH_3, _ODD = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 1))
+_SHIFT_1, _SHIFT_2 = np.uint32(32 - BITS_1), np.uint32(32 - BITS_2)
+_UP, _DOWN = np.int32(2), np.int32(-2)
 #: Up to this many bits, an id's place in the table is looked up; beyond, searched.
 LOOKED_UP = 20
 #: Ids below this are counted in an array, larger ones sorted.
@@ -73,7 +80,7 @@ class _Table:
         """A function from places in the interval to places in the table."""
         if self.bits <= LOOKED_UP:
             places = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes.astype(np.int64))
-            return lambda value: places[value]
+            return lambda value: places.take(value.astype(np.intp))
         ends = np.cumsum(self.sizes)
         return lambda value: np.searchsorted(ends, value, "right").astype(np.int32)
 
@@ -82,19 +89,19 @@ class _Table:
 
     @classmethod
     def unpack(cls, data: bytes) -> _Table:
-        both = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        both = np.frombuffer(zlib.decompress(data), "<u4")
         return cls(both[:len(both) // 2], both[len(both) // 2:])
 
 
 class _Model:
-    """What `lanes` blocks expect, as places in the table."""
+    """What `lanes` blocks expect, as places in the table. A slot holds a place and, in its lowest bits, how often it came."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, places: int):
         lane = np.arange(lanes)
         self.base = np.stack([lane << BITS_1, (lanes << BITS_1) + (lane << BITS_2)])
-        slots = (lanes << BITS_1) + (lanes << BITS_2)
         # Place 0 is the frame's most frequent id, which is as good a first guess as any.
-        self.expected, self.times = np.zeros(slots, np.int32), np.zeros(slots, np.int8)
+        self.kind = np.int32 if places < 1 << (31 - TIMES_BITS) else np.int64
+        self.slots = np.zeros((lanes << BITS_1) + (lanes << BITS_2), self.kind)
         self.chance = np.full(2 * lanes * 32, ONE // 8, np.int32)
         self.chance_base = np.stack([lane * 32, (lanes + lane) * 32])
         self.weight = np.full(lanes, 128, np.int32)
@@ -102,66 +109,86 @@ class _Model:
 
     def predict(self, n: int):
         """Prediction for the first n lanes and the chance that it is right, out of ONE."""
-        last, before = self.last[:n], self.before[:n]
-        at = self.base[:, :n].copy()
-        at[0] += (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS_1)
-        at[1] += ((last + np.uint32(1)) * np.uint32(0x85EBCA6B) + before * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS_2)
-        places, times = self.expected[at], self.times[at]
-        cell = self.chance_base[:, :n] + times * 2 + (places[0] == places[1])
-        chance = self.chance[cell]
-        mixed = (self.weight[:n] * (chance[1] - chance[0]) >> 8) + chance[0]
+        last = self.last[:n]
+        at = np.empty((2, n), np.intp)
+        np.add(self.base[0, :n], (last * _HASH_1) >> _SHIFT_1, out=at[0])
+        np.add(self.base[1, :n], ((last + _ODD) * _HASH_2 + self.before[:n] * _HASH_3) >> _SHIFT_2, out=at[1])
+        slots = self.slots.take(at)
+        places, times = slots >> TIMES_BITS, slots & MOST_TIMES
+        cell = self.chance_base[:, :n] + (times << 1)
+        cell += places[0] == places[1]
+        chance = self.chance.take(cell)
+        mixed = chance[1] - chance[0]
+        mixed *= self.weight[:n]
+        mixed >>= 8
+        mixed += chance[0]
         guess = np.where(times[1] > 0, places[1], places[0])
-        return guess, np.minimum(np.maximum(mixed, FLOOR), ONE - FLOOR), (at, places, times, cell, chance)
+        return guess, mixed, (at, slots, places, times, cell, chance)
 
     def learn(self, n: int, place: np.ndarray, right: np.ndarray, state):
-        at, expected, times, cell, chance = state
+        at, slots, places, times, cell, chance = state
         away = right * np.int32(ONE - 1) - chance
         self.chance[cell] = chance + (away >> CHANCE_RATE)
-        same = expected == place
-        keep = same | (times > 1)
-        self.expected[at] = np.where(keep, expected, place)
-        self.times[at] = np.where(same, np.minimum(times + 1, 15), np.where(keep, times >> 1, 1))
-        away = np.abs(away)
-        weight = self.weight[:n] + np.where(away[1] < away[0], 2, -2).astype(np.int32)
-        self.weight[:n] = np.minimum(np.maximum(weight, 8), 248)
+        # Right: one more time, up to the most. Wrong: half as often, or the id itself, once.
+        other = np.where(times > 1, slots - ((times + 1) >> 1), (place << TIMES_BITS) | 1)
+        self.slots[at] = np.where(places == place, slots + (times < MOST_TIMES), other)
+        np.abs(away, out=away)
+        weight = self.weight[:n]
+        weight += np.where(away[1] < away[0], _UP, _DOWN)
+        np.minimum(np.maximum(weight, 8, out=weight), 248, out=weight)
         self.before[:n] = self.last[:n]
         self.last[:n] = place
 
 
-def _settled(low: np.ndarray, rng: np.ndarray, move) -> None:
-    """Shift out 16 bits, in place, wherever they are certain or the range is too small; `move` gets the lanes."""
-    open_ = None
-    while True:
-        a, b = (low, rng) if open_ is None else (low[open_], rng[open_])
-        same = (a ^ (a + b)) < _TOP
-        short = (b < _TOP) & ~same
-        out = np.flatnonzero(same | short)
-        if not len(out):
-            return
-        if short.any():
-            b = np.where(short, (_U(0) - a) & _LOW_BITS, b)
-        lanes = out if open_ is None else open_[out]
-        move(lanes, a[out])
-        low[lanes] = a[out] << _16
-        rng[lanes] = b[out] << _16
-        # Only lanes that moved can have to move again.
-        open_ = lanes
+def _intervals(table: _Table, mixed: np.ndarray):
+    """Width of the prediction's interval, and that of the rest for each unit of the table."""
+    mine = (mixed >> (ONE_BITS - CODED_BITS)).astype(np.uint64)
+    np.minimum(np.maximum(mine, _LEAST, out=mine), _MOST, out=mine)
+    rest = _CODED - mine
+    mine <<= _U(table.bits)
+    return mine, rest
+
+
+def _word_bits(bits: int) -> int:
+    """Bits shifted out at a time: the range keeps 64 less than these, and an interval of 2**bits has to fit in."""
+    return 32 if bits <= 32 else 16
 
 
 class _Encoder:
-    def __init__(self, lanes: int, ids: int):
+    """Range coder with a 64-bit low end for each lane; a carry is added to the words that are already out."""
+
+    def __init__(self, lanes: int, ids: int, bits: int):
+        self.bits, self.shift = _U(bits), _word_bits(bits)
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
-        self.room = ids + 16
-        self.words = np.zeros((lanes, self.room), np.uint16)
+        self.room = ids * 16 // self.shift + 16
+        self.words = np.zeros((lanes, self.room), f"u{self.shift // 8}")
         self.length = np.zeros(lanes, np.int64)
 
-    def put(self, n: int, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+    def put(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
         """One step of the first n lanes: `size` from `start` out of 2**bits."""
-        unit = self.range[:n] >> _U(bits)
-        self.low[:n] += unit * start
-        self.range[:n] = unit * size
-        _settled(self.low[:n], self.range[:n], lambda lanes, low: self._emit(lanes, low >> _48))
+        low, range_ = self.low[:n], self.range[:n]
+        range_ >>= self.bits
+        start *= range_
+        low += start
+        range_ *= size
+        over = np.flatnonzero(low < start)
+        if len(over):
+            self._carry(over)
+        small = np.flatnonzero(range_ < _U(1 << 64 - self.shift))
+        while len(small):
+            own, width = low[small], range_[small] << _U(self.shift)
+            self._emit(small, own >> _U(64 - self.shift))
+            low[small] = own << _U(self.shift)
+            range_[small] = width
+            small = small[width < _U(1 << 64 - self.shift)]
+
+    def _carry(self, lanes):
+        words, at = self.words.reshape(-1), lanes * self.room + self.length[lanes] - 1
+        while len(at):
+            raised = words[at] + words.dtype.type(1)
+            words[at] = raised
+            at = at[raised == 0] - 1
 
     def _emit(self, lanes, words):
         at = self.length[lanes]
@@ -172,37 +199,43 @@ class _Encoder:
         self.length[lanes] = at + 1
 
     def finish(self):
-        for shift in (48, 32, 16, 0):
-            self._emit(np.arange(len(self.low)), (self.low >> _U(shift)) & _U(0xFFFF))
+        for _ in range(64 // self.shift):
+            self._emit(np.arange(len(self.low)), self.low >> _U(64 - self.shift))
+            self.low <<= _U(self.shift)
 
 
 class _Decoder:
-    def __init__(self, words: np.ndarray, starts: np.ndarray):
-        self.words, self.next = np.append(words, np.zeros(4, np.uint16)), starts.copy()
-        self.low = np.zeros(len(starts), np.uint64)
+    """The same without a low end: `code` is what lies above it."""
+
+    def __init__(self, data: bytes, starts: np.ndarray, bits: int):
+        self.bits, self.shift = _U(bits), _word_bits(bits)
+        self.words = np.append(np.frombuffer(data, f"<u{self.shift // 8}"), np.zeros(1, np.uint32)).astype(np.uint64)
+        self.next = starts.copy()
         self.range = np.full(len(starts), 2**64 - 1, np.uint64)
         self.code = np.zeros(len(starts), np.uint64)
-        for _ in range(4):
-            self.code = (self.code << _16) | self._word(np.arange(len(starts)))
+        for _ in range(64 // self.shift):
+            self.code = (self.code << _U(self.shift)) | self._word(np.arange(len(starts)))
 
     def _word(self, lanes):
         at = self.next[lanes]
         self.next[lanes] = at + 1
-        return self.words[np.minimum(at, len(self.words) - 1)].astype(np.uint64)
+        return self.words.take(at, mode="clip")
 
-    def target(self, n: int, bits: int) -> np.ndarray:
-        self.unit = self.range[:n] >> _U(bits)
-        return np.minimum((self.code[:n] - self.low[:n]) // self.unit, _U((1 << bits) - 1))
+    def target(self, n: int) -> np.ndarray:
+        self.unit = self.range[:n] >> self.bits
+        return np.minimum(self.code[:n] // self.unit, (_U(1) << self.bits) - _U(1))
 
     def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[:n] += self.unit * start
-        self.range[:n] = self.unit * size
-        code = self.code
-
-        def move(lanes, _):
-            code[lanes] = (code[lanes] << _16) | self._word(lanes)
-
-        _settled(self.low[:n], self.range[:n], move)
+        code, range_ = self.code[:n], self.range[:n]
+        start *= self.unit
+        code -= start
+        np.multiply(self.unit, size, out=range_)
+        small = np.flatnonzero(range_ < _U(1 << 64 - self.shift))
+        while len(small):
+            width = range_[small] << _U(self.shift)
+            code[small] = (code[small] << _U(self.shift)) | self._word(small)
+            range_[small] = width
+            small = small[width < _U(1 << 64 - self.shift)]
 
 
 def _sizes(n_ids: int, block_ids: int) -> np.ndarray:
@@ -214,40 +247,38 @@ def _sizes(n_ids: int, block_ids: int) -> np.ndarray:
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """Ids (0 to 2**32 - 1) as checksummed blocks."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids).astype("<u4", copy=False)
     sizes = _sizes(len(ids), block_ids)
     table, place = _Table.of(ids)
-    model, coder = _Model(len(sizes)), _Encoder(len(sizes), int(sizes.max(initial=0)))
-    bits = _U(table.bits)
+    model = _Model(len(sizes), len(table.ids))
+    coder = _Encoder(len(sizes), int(sizes.max(initial=0)), CODED_BITS + table.bits)
     # Column i holds the i-th id of every block; the last block may be shorter.
-    columns = np.zeros(len(sizes) * block_ids, np.int32)
+    columns = np.zeros(len(sizes) * block_ids, model.kind)
     columns[:len(place)] = place
     columns = np.ascontiguousarray(columns.reshape(-1, block_ids).T)
     for i in range(int(sizes.max(initial=0))):
         n = len(sizes) if i < sizes[-1] else len(sizes) - 1
         own = columns[i, :n]
-        guess, chance, state = model.predict(n)
+        guess, mixed, state = model.predict(n)
         right = guess == own
-        mine = chance.astype(np.uint64)
-        rest = _U(ONE) - mine
-        mine <<= bits
-        start = np.where(right, _U(0), mine + rest * table.starts[own])
-        coder.put(n, start, np.where(right, mine, rest * table.sizes[own]), ONE_BITS + table.bits)
+        mine, rest = _intervals(table, mixed)
+        start = np.where(right, _U(0), mine + rest * table.starts.take(own))
+        coder.put(n, start, np.where(right, mine, rest * table.sizes.take(own)))
         model.learn(n, own, right, state)
     if len(sizes):
         coder.finish()
-    little = ids.astype("<u4")
     packed = table.pack()
     parts = [struct.pack(HEADER, MAGIC, len(ids), block_ids, len(sizes), zlib.crc32(packed), len(packed)), packed]
     for k, size in enumerate(sizes.tolist()):
-        part = little[block_ids * k:block_ids * k + size]
+        part = ids[block_ids * k:block_ids * k + size]
         parts.append(struct.pack(BLOCK, size, int(coder.length[k]), zlib.crc32(part)))
-    parts += [coder.words[k, :coder.length[k]].astype("<u2").tobytes() for k in range(len(sizes))]
+    kind = coder.words.dtype.newbyteorder("<")
+    parts += [coder.words[k, :coder.length[k]].astype(kind).tobytes() for k in range(len(sizes))]
     return b"".join(parts)
 
 
 def decode(code: bytes) -> np.ndarray:
-    """The ids of `encode`; raises ValueError when a checksum does not hold."""
+    """The ids of `encode`, as 32-bit integers; raises ValueError when a checksum does not hold."""
     if code[:len(MAGIC)] != MAGIC:
         raise ValueError("not a coded frame")
     _, n_ids, block_ids, n_blocks, table_sum, n_table = struct.unpack_from(HEADER, code)
@@ -258,27 +289,24 @@ def decode(code: bytes) -> np.ndarray:
     table = _Table.unpack(packed)
     at += n_table
     sizes, lengths, sums = np.frombuffer(code, "<u4", 3 * n_blocks, at).reshape(-1, 3).astype(np.int64).T
-    words = np.frombuffer(code[at + struct.calcsize(BLOCK) * n_blocks:], "<u2")
-    model, coder, find = _Model(n_blocks), _Decoder(words, np.cumsum(lengths) - lengths), table.finder()
-    bits, most = _U(table.bits), _U((1 << table.bits) - 1)
-    columns = np.zeros((block_ids, n_blocks), np.int32)
+    model, find = _Model(n_blocks, len(table.ids)), table.finder()
+    coder = _Decoder(code[at + struct.calcsize(BLOCK) * n_blocks:], np.cumsum(lengths) - lengths, CODED_BITS + table.bits)
+    most = _U((1 << table.bits) - 1)
+    columns = np.zeros((block_ids, n_blocks), model.kind)
     for i in range(int(sizes.max(initial=0))):
         n = n_blocks if i < sizes[-1] else n_blocks - 1
-        guess, chance, state = model.predict(n)
-        mine = chance.astype(np.uint64)
-        rest = _U(ONE) - mine
-        mine <<= bits
-        target = coder.target(n, ONE_BITS + table.bits)
+        guess, mixed, state = model.predict(n)
+        mine, rest = _intervals(table, mixed)
+        target = coder.target(n)
         right = target < mine
         other = find(np.minimum((target - np.where(right, target, mine)) // rest, most))
         own = np.where(right, guess, other)
-        start = np.where(right, _U(0), mine + rest * table.starts[other])
-        coder.take(n, start, np.where(right, mine, rest * table.sizes[other]))
+        start = np.where(right, _U(0), mine + rest * table.starts.take(other))
+        coder.take(n, start, np.where(right, mine, rest * table.sizes.take(other)))
         columns[i, :n] = own
         model.learn(n, own, right, state)
-    ids = table.ids[columns.T.reshape(-1)[:n_ids]] if n_ids else np.zeros(0, np.int64)
-    little = ids.astype("<u4")
+    ids = table.ids.take(columns).T.reshape(-1)[:n_ids] if n_ids else np.zeros(0, "<u4")
     for k, size in enumerate(sizes.tolist()):
-        if zlib.crc32(little[block_ids * k:block_ids * k + size]) != sums[k]:
+        if zlib.crc32(ids[block_ids * k:block_ids * k + size]) != sums[k]:
             raise ValueError(f"checksum of block {k} does not hold")
     return ids

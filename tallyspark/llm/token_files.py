@@ -1,7 +1,7 @@
 """Operator 4, token ids of a corpus in files of range-coded blocks.
 
 Documents are dealt by ranges of their id and sorted, so files, and frames in a file, follow ascending ids. A task encodes
-whole texts, ends each document with one extra id, and gathers documents to frames of about FRAME_IDS ids; a longer
+whole texts (`text_ids`: equal pieces of text once), ends each document with one extra id, and gathers documents to frames of about FRAME_IDS ids; a longer
 document is a frame of its own. A frame is one row of a Parquet file: file and frame number, the ids and lengths of its
 documents, and their token ids as one code of a table and independent, checksummed blocks (`range_coder`). Frames hold whole
 documents, so each is read alone; a document's place in the corpus follows from the frames' lengths.
@@ -15,22 +15,22 @@ file is a parameter; its content travels with the tasks.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.llm import range_coder
+from tallyspark.llm import range_coder, text_ids
 from tallyspark.llm.words import text_batches
 from tallyspark.session import wide
 
 FRAME_IDS = 1 << 22
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 22
 FRAMES = "file int, frame int, doc_ids array<long>, lengths array<long>, n_ids long, code binary"
 
 
@@ -41,17 +41,14 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
     dealt = rows.repartitionByRange(wide(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
     def encode(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = special_as_text
+        encoder = text_ids.encoder(tokenizer_json, special_as_text)
+        end = np.array([end_id], np.uint32)
         file, frame = TaskContext.get().partitionId(), 0
         names, parts, held = [], [], 0
 
         def finish():
-            lengths = [len(p) for p in parts]
-            code = range_coder.encode(np.concatenate(parts))
+            lengths = [len(p) + 1 for p in parts]
+            code = range_coder.encode(np.concatenate([x for p in parts for x in (p, end)]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([file], pa.int32()), pa.array([frame], pa.int32()), pa.array([names], pa.list_(pa.int64())),
                  pa.array([lengths], pa.list_(pa.int64())), pa.array([sum(lengths)], pa.int64()),
@@ -59,15 +56,11 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
                 names=["file", "frame", "doc_ids", "lengths", "n_ids", "code"])
 
         for batch in batches:
-            for some_ids, texts in _slices(batch):
-                # Equal texts are encoded once.
-                place = {text: i for i, text in enumerate(dict.fromkeys(texts))}
-                coded = tokenizer.encode_batch_fast([*place], add_special_tokens=False)
-                arrays = [np.array([*c.ids, end_id], np.uint32) for c in coded]
-                for name, text in zip(some_ids, texts):
+            for some in _slices(batch):
+                for name, ids in zip(some.column(0).to_pylist(), encoder.ids(some.column(1))):
                     names.append(name)
-                    parts.append(arrays[place[text]])
-                    held += len(parts[-1])
+                    parts.append(ids)
+                    held += len(ids) + 1
                     if held >= FRAME_IDS:
                         yield finish()
                         names, parts, held, frame = [], [], 0, frame + 1
@@ -78,17 +71,13 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
 
 
 def _slices(batch: pa.RecordBatch):
-    """Ids and texts of a batch, about SLICE_CHARS characters at a time."""
-    ids, texts, held = [], [], 0
-    for name, text in zip(batch.column(0), batch.column(1)):
-        ids.append(name.as_py())
-        texts.append(text.as_py())
-        held += len(texts[-1])
-        if held >= SLICE_CHARS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+    """Rows of a batch, about SLICE_BYTES of text at a time."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        size = int(np.searchsorted(ends[at:], (ends[at - 1] if at else 0) + SLICE_BYTES)) + 1
+        yield batch.slice(at, size)
+        at += size
 
 
 def _frames(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +108,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document, decoded from the files."""
     def read(batches):
         for file, frame, documents in _documents(batches):
-            yield _rows(file, frame, documents, [d[2] for d in documents], pa.list_(pa.int64()))
+            yield _rows(file, frame, documents, [d[2].astype(np.int64) for d in documents], pa.list_(pa.int64()))
 
     return _placed(spark, path, read, "ids array<long>").select("doc_id", "start", "ids")
 
@@ -128,7 +117,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
     def read(batches):
         for file, frame, documents in _documents(batches):
-            sums = [zlib.crc32(d[2].astype("<u4").tobytes()) for d in documents]
+            sums = [zlib.crc32(d[2].astype("<u4", copy=False)) for d in documents]
             yield _rows(file, frame, documents, sums, pa.int64())
 
     return _placed(spark, path, read, "ids_crc32 long").select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -1,16 +1,18 @@
 """Token files and the range coder, chat formatting: exact round trips."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyspark.llm import chat, range_coder, token_files
+from tallyspark.llm import chat, range_coder, text_ids, token_files
 from tallyspark.llm.entries import REGISTRY, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +46,77 @@ def test_blocks_are_independent_and_checked():
         range_coder.decode(b"x" * 24)
 
 
+def test_carries_and_wide_tables_come_back():
+    rng = np.random.default_rng(9)
+    # Nearly all ids alike; so many different ones that words have 16 bits; widths between.
+    rare = np.where(rng.random(60_000) < 0.001, rng.integers(0, 50_257, 60_000), 50_256)
+    wide = rng.permutation(3 << 19) * 2_730
+    for ids in (rare, wide, wide[:90_000] % 70_001):
+        assert (range_coder.decode(range_coder.encode(ids)) == ids).all()
+    # A carry runs through words that are all ones.
+    coder = range_coder._Encoder(1, 64, 28)
+    coder.words[0, :3], coder.length[0], coder.low[0] = (5, 2**32 - 1, 2**32 - 1), 3, 2**64 - 1
+    coder.put(1, np.array([1], np.uint64), np.array([1 << 20], np.uint64))
+    assert coder.words[0, :3].tolist() == [6, 0, 0]
+
+
+# --- ids of texts by pieces ------------------------------------------------------------
+
+with open(PATH, encoding="utf-8") as _file:
+    TOKENIZER = _file.read()
+BITS = st.sampled_from([
+    "a", "Bc", "é", "ß", "×", "÷", "ª", "İ", "ſ", "ƀ", "e\u0301", "日本", "—", "’", "…", "🙂", "Ж", "\u00a0", "\u2003", "\u3000",
+    "\u1680", "\u180e", "\u0085", "\u2028", "\u200b", "\ufeff", "\x1c", "\x00", "\x7f", " ", " ", "  ", "\n", "\t", "\r\n", "'",
+    "'s", "'ll", "'re", "1", "23", "½", "²", "٣", "!", "...", "_", "(", "<|endoftext|>", "<|", "the", "tion"])
+TEXTS = st.lists(st.lists(BITS, max_size=14).map("".join) | st.text(max_size=8), min_size=1, max_size=6)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(TEXTS, st.booleans())
+def test_ids_of_pieces_are_ids_of_whole_texts(texts, special_as_text):
+    encoder = text_ids.encoder(TOKENIZER, special_as_text)
+    column = pa.array(["cut off", *texts], pa.string())[1:]
+    assert [x.tolist() for x in encoder.ids(column)] == [
+        encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class Counting:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_the_library_gets_equal_pieces_once(monkeypatch):
+    encoder = text_ids.TextEncoder(TOKENIZER, True)
+    plain, encoder.tokenizer = encoder.tokenizer, Counting(encoder.tokenizer)
+    texts = ["Über die Brücke, über den Fluss.\nThe rest.", "The rest, über\n\nden Fluss. The rest."] * 50
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.ids(pa.array(texts, pa.string()))] == want
+    assert sorted(encoder.tokenizer.asked) == sorted([
+        "Über", " die", " Brücke", ",", " über", " den", " Fluss", ".", "\n", "The", " rest", "\n\nden", " The"])
+    monkeypatch.setattr(text_ids, "KEPT_PIECES", 3)
+    assert [x.tolist() for x in encoder.ids(pa.array(texts[:1], pa.string()))] == want[:1]
+    assert len(encoder.known) == 11
+
+
+def test_other_tokenizers_get_whole_texts():
+    texts = ["Ab  cd", "", "x <|endoftext|> y", " Ab"]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"truncation": {
+            "direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}},
+            {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+            {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        told = json.dumps(json.loads(TOKENIZER) | change)
+        assert not text_ids.cuts_hold(told)
+        plain = Tokenizer.from_str(told)
+        assert [x.tolist() for x in text_ids.TextEncoder(told, False).ids(pa.array(texts))] == [
+            plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert text_ids.cuts_hold(TOKENIZER)
+
+
 def expected(docs):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
