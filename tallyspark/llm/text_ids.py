@@ -5,7 +5,7 @@ any pieces that end where such parts end. `TextEncoder` cuts texts where the byt
 library encode every distinct piece, and puts the ids of whole texts together from these. A piece may hold several parts:
 around characters whose kind is not certain from their bytes (most beyond U+017F) nothing is cut.
 
-Pieces are remembered in a worker, over its tasks, up to a bounded number of pieces and characters; then all are forgotten.
+Pieces are remembered in a worker, over its tasks of one run, up to a bounded number of pieces and characters; then all are forgotten.
 Texts that name an added token, and tokenizers of another kind, are encoded as they are, each text by one call.
 """
 
@@ -93,8 +93,8 @@ def cuts_hold(tokenizer_json: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def encoder(tokenizer_json: str, special_as_text: bool) -> TextEncoder:
-    """The encoder of a worker, which keeps its pieces from task to task."""
+def encoder(tokenizer_json: str, special_as_text: bool, run: str) -> TextEncoder:
+    """The encoder of a worker, which keeps its pieces from task to task of a run."""
     return TextEncoder(tokenizer_json, special_as_text)
 
 

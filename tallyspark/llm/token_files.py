@@ -30,7 +30,7 @@ from tallyspark.llm.words import text_batches
 from tallyspark.session import wide
 
 FRAME_IDS = 1 << 22
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 FRAMES = "file int, frame int, doc_ids array<long>, lengths array<long>, n_ids long, code binary"
 
 
@@ -41,7 +41,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
     dealt = rows.repartitionByRange(wide(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
     def encode(batches):
-        encoder = text_ids.encoder(tokenizer_json, special_as_text)
+        encoder = text_ids.encoder(tokenizer_json, special_as_text, path)
         end = np.array([end_id], np.uint32)
         file, frame = TaskContext.get().partitionId(), 0
         names, parts, held = [], [], 0
@@ -55,29 +55,35 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: in
                  pa.array([code], pa.binary())],
                 names=["file", "frame", "doc_ids", "lengths", "n_ids", "code"])
 
-        for batch in batches:
-            for some in _slices(batch):
-                for name, ids in zip(some.column(0).to_pylist(), encoder.ids(some.column(1))):
-                    names.append(name)
-                    parts.append(ids)
-                    held += len(ids) + 1
-                    if held >= FRAME_IDS:
-                        yield finish()
-                        names, parts, held, frame = [], [], 0, frame + 1
+        for some in _slices(batches):
+            for name, ids in zip(some.column(0).to_pylist(), encoder.ids(some.column(1))):
+                names.append(name)
+                parts.append(ids)
+                held += len(ids) + 1
+                if held >= FRAME_IDS:
+                    yield finish()
+                    names, parts, held, frame = [], [], 0, frame + 1
         if parts:
             yield finish()
 
     dealt.mapInArrow(encode, FRAMES).write.option("compression", "none").parquet(path)
 
 
-def _slices(batch: pa.RecordBatch):
-    """Rows of a batch, about SLICE_BYTES of text at a time."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        size = int(np.searchsorted(ends[at:], (ends[at - 1] if at else 0) + SLICE_BYTES)) + 1
-        yield batch.slice(at, size)
-        at += size
+def _slices(batches):
+    """Rows of all batches, about SLICE_BYTES of text at a time."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < len(ends):
+            held.append(batch.slice(at, int(np.searchsorted(ends[at:], before + SLICE_BYTES - size)) + 1))
+            at += len(held[-1])
+            size, before = size + int(ends[at - 1]) - before, int(ends[at - 1])
+            if size >= SLICE_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _frames(spark: SparkSession, path: str) -> DataFrame:

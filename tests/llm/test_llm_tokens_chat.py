@@ -74,7 +74,7 @@ TEXTS = st.lists(st.lists(BITS, max_size=14).map("".join) | st.text(max_size=8),
 @settings(max_examples=400, deadline=None)
 @given(TEXTS, st.booleans())
 def test_ids_of_pieces_are_ids_of_whole_texts(texts, special_as_text):
-    encoder = text_ids.encoder(TOKENIZER, special_as_text)
+    encoder = text_ids.encoder(TOKENIZER, special_as_text, "test")
     column = pa.array(["cut off", *texts], pa.string())[1:]
     assert [x.tolist() for x in encoder.ids(column)] == [
         encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -110,6 +110,23 @@ def test_the_library_gets_equal_pieces_once(monkeypatch):
     assert len(encoder.known) == 11
 
 
+def test_slices_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 10)
+    texts = ["", "abc", "é" * 20, "x", "y" * 9, "z" * 10, "", "", "end"]
+    column = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": texts})
+    for cuts in ([9], [1, 8], [2, 3, 4], [3, 0, 6]):
+        starts = np.cumsum([0, *cuts])
+        slices = [x.column(1).to_pylist() for x in token_files._slices(column.slice(a, n) for a, n in zip(starts, cuts))]
+        assert slices == [["", "abc", "é" * 20], ["x", "y" * 9], ["z" * 10], ["", "", "end"]]
+
+
+def test_a_run_starts_without_pieces():
+    encoder = text_ids.encoder(TOKENIZER, True, "a")
+    encoder.ids(pa.array(["some text"]))
+    assert text_ids.encoder(TOKENIZER, True, "a") is encoder and encoder.known
+    assert not text_ids.encoder(TOKENIZER, True, "b").known
+
+
 def test_other_tokenizers_get_whole_texts():
     texts = ["Ab  cd", "", "x <|endoftext|> y", " Ab"]
     for change in ({"normalizer": {"type": "Lowercase"}}, {"truncation": {
