@@ -33,13 +33,14 @@ from pyspark.sql.window import Window
 
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.words import NOT_BLANK, mix, shingle_sets, slices, text_batches
-from tallyspark.session import materialize
+from tallyspark.session import materialize, scratch
 
 COUNTERS = 1 << 20
 SLICES = 64
 MINHASHES = 4
 BLOCK = 32
 ID_BITS = 1 << 23
+NAME = ["name_a", "name_b", "n"]
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64, MINHASHES, dtype=np.uint64)
 
 
@@ -163,32 +164,49 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                        percent: int = 90) -> DataFrame:
     """`docs` with `n_shingles` and `component_id`, the smallest id that links reach."""
     texts = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(texts, "id", "text", size, percent), "signatures")
-    name = ["name_a", "name_b", "n"]
-    classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*name).agg(F.min("id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = materialize(
-        signed.join(classes.select(F.col("rep").alias("id"), *name), ["id", *name], "left_semi")
-        .dropDuplicates(["id", *name]).select("id", "n", "prefix", "common", "minhash"), "representatives")
-
-    alike = materialize(_first_of_key(reps, percent), "alike")
-    postings = reps.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    sets = _active_sets(texts, alike, size)
-    near = _linked(alike, sets, percent)
-    groups = materialize(connected_components(near), "groups")
-
-    candidates = materialize(_block_candidates(postings, groups, percent), "candidates")
-    found = _open_blocks(candidates, reps, groups, texts, size, percent)
-    links = near.union(found)
-    whole = materialize(connected_components(links), "components")
-
-    of_set = classes.join(whole, classes["rep"] == whole["node"], "left").select(
-        *name, F.coalesce("component", "rep").alias("component"))
-    # Equal ids with different texts are one node: the id's sets are joined by the id.
-    members = signed.join(of_set, name, "left").select(
-        "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-    return members
+    # Each step leaves its result only; what it stored on the way goes when it ends.
+    with scratch(docs.sparkSession):
+        named, classes, reps = _representatives(texts, size, percent)
+        near = _near(texts, reps, size, percent)
+        groups = _components(near, "groups")
+        candidates = _block_candidates(reps, groups, percent)
+        found = _open_blocks(candidates, classes, groups, texts, size, percent)
+        whole = _components(near.union(found), "components")
+
+        of_set = classes.join(whole, classes["rep"] == whole["node"], "left").select(
+            *NAME, F.coalesce("component", "rep").alias("component"))
+        # Equal ids with different texts are one node: the id's sets are joined by the id.
+        return materialize(named.join(of_set, NAME, "left").select(
+            "id", F.col("n").alias("n_shingles"),
+            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")),
+            "members", outlives=True)
+
+
+def _representatives(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The name of each document's set, the smallest id of each set, and the signatures of those."""
+    with scratch(texts.sparkSession):
+        signed = materialize(signatures(texts, "id", "text", size, percent), "signatures")
+        named = materialize(signed.select("id", *NAME), "names", outlives=True)
+        classes = materialize(
+            named.filter("n > 0 AND id IS NOT NULL").groupBy(*NAME).agg(F.min("id").alias("rep")), "classes",
+            outlives=True)
+        reps = materialize(
+            signed.join(classes.select(F.col("rep").alias("id"), *NAME), ["id", *NAME], "left_semi")
+            .dropDuplicates(["id", *NAME]).select("id", "n", "prefix", "common", "minhash"), "representatives",
+            outlives=True)
+    return named, classes, reps
+
+
+def _near(texts: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links among the pairs of `_first_of_key`."""
+    with scratch(texts.sparkSession):
+        alike = materialize(_first_of_key(reps, percent), "alike")
+        return materialize(_linked(alike, _active_sets(texts, alike, size), percent), "near", outlives=True)
+
+
+def _components(links: DataFrame, label: str) -> DataFrame:
+    with scratch(links.sparkSession):
+        return materialize(connected_components(links), label, outlives=True)
 
 
 def _first_of_key(reps: DataFrame, percent: int) -> DataFrame:
@@ -225,23 +243,38 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """`rows` with the group of their id, its size and the block."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("group_size"))
-    placed = groups.join(sizes, "component").select(F.col("node").alias("id"), "component", "group_size")
-    return rows.join(placed, "id", "left").withColumns({
-        "group": F.coalesce("component", "id"), "group_size": F.coalesce("group_size", F.lit(1)),
-    }).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.ceil(F.col("group_size") / BLOCK)).cast("int")).drop("component")
+    """`rows` with the group of their id."""
+    placed = groups.select(F.col("node").alias("id"), "component")
+    return rows.join(placed, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
 
 
-def _block_candidates(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _blocked(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rows` with the size of their group and the block of their id."""
+    sizes = groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("group_size"))
+    return rows.join(sizes, "group", "left").withColumn(
+        "group_size", F.coalesce("group_size", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.ceil(F.col("group_size") / BLOCK)).cast("int"))
+
+
+def _block_candidates(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(query, n, group, block): blocks of other groups that hold enough of a query's rare tokens."""
-    # Most tokens occur in one group only and go before the matrix is joined with the queries.
+    with scratch(reps.sparkSession):
+        return materialize(_met_blocks(_shared_postings(reps, groups), percent), "candidates", outlives=True)
+
+
+def _shared_postings(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rare tokens of each representative that occur in other groups too."""
+    # Most tokens occur in one group only and go before the matrix is joined with the queries. All of them are dealt out
+    # for that, so a row has no more than its place and group until then.
     token = Window.partitionBy("token")
-    placed = _grouped(postings.select("token", "id", "n", "at"), groups)
-    shared = materialize(
-        placed.withColumns({"low": F.min("group").over(token), "high": F.max("group").over(token)})
-        .filter("low <> high").drop("low", "high"), "matrix")
+    postings = _grouped(reps.select("id", "n", "prefix"), groups).select(
+        "id", "n", "group", F.posexplode("prefix").alias("at", "token"))
+    several = postings.withColumns({"low": F.min("group").over(token), "high": F.max("group").over(token)}).filter(
+        "low <> high").drop("low", "high")
+    return materialize(_blocked(several, groups), "matrix")
+
+
+def _met_blocks(shared: DataFrame, percent: int) -> DataFrame:
     query = shared.select("token", F.col("id").alias("query"), F.col("n").alias("query_n"),
                           (F.col("n") - F.col("at")).alias("query_rest"),
                           F.struct(F.col("group_size").alias("s"), F.col("group").alias("g")).alias("query_rank"))
@@ -268,13 +301,19 @@ def _required(column: str, percent: int):
     return F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 100))
 
 
-def _open_blocks(candidates: DataFrame, reps: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
+def _open_blocks(candidates: DataFrame, classes: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
                  percent: int) -> DataFrame:
     """The links between queries and members of the candidate blocks."""
-    blocks = candidates.select("group", "block").distinct()
-    members = materialize(
-        _grouped(reps.select("id", "n"), groups).join(blocks, ["group", "block"], "left_semi")
-        .select("group", "block", F.col("id").alias("member"), F.col("n").alias("member_n")), "members")
+    with scratch(texts.sparkSession):
+        blocks = candidates.select("group", "block").distinct()
+        members = materialize(
+            _blocked(_grouped(classes.select(F.col("rep").alias("id"), "n"), groups), groups)
+            .join(blocks, ["group", "block"], "left_semi")
+            .select("group", "block", F.col("id").alias("member"), F.col("n").alias("member_n")), "members")
+        return materialize(_opened(candidates, members, texts, size, percent), "found", outlives=True)
+
+
+def _opened(candidates: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     ends = candidates.select(F.col("query").alias("a"), F.col("query").alias("b")).union(
         members.select(F.col("member").alias("a"), F.col("member").alias("b")))
     sets = _active_sets(texts, ends, size)

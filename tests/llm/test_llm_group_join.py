@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallyspark import session
 from tallyspark.llm import group_join
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.entries import REGISTRY, table
@@ -126,6 +127,34 @@ def test_rows_with_one_id_and_different_texts_stay(spark, order):
     assert kept[0] == kept[1]
 
 
+def test_links_are_found_once_and_only_the_result_stays(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    searched = []
+    monkeypatch.setattr(group_join, "connected_components", lambda e: searched.append(e) or connected_components(e))
+    rng = random.Random(8)
+    texts = family(rng, [f"v{i}" for i in range(60)], 12, 3) + family(rng, [f"u{i}" for i in range(60)], 12, 3)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def labels():
+        return sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "tallyspark").iterdir())
+
+    expected = brute_components(rows, 3, 90)
+    got = group_join.jaccard_components(docs)
+    assert labels() == ["members"]
+    assert {r.id: (r.n_shingles, r.component_id) for r in got.collect()} == expected
+    # Links that are not stored would be searched for again by each pass over them.
+    plans = [e._jdf.queryExecution().optimizedPlan().toString() for e in searched]
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
+    kept = group_join.keep_first(docs, size=3, percent=90)
+    assert labels() == ["members", "members", "repeated-ids"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in expected.values()})
+    with session.scratch(spark):
+        assert group_join.jaccard_components(docs).count() == 24
+        assert labels() == ["members", "members", "members", "repeated-ids"]
+    assert labels() == ["members", "members", "repeated-ids"]
+
+
 def test_query_on_the_smallest_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in REGISTRY["op7_group_join"](spark, sf_dir).collect()}

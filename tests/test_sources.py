@@ -134,6 +134,20 @@ def test_scratch_tables_go_with_their_block(spark, tmp_path, monkeypatch):
     assert kept.count() == 3 and len(os.listdir(tmp_path / "tallyspark")) == 1
 
 
+def test_a_table_can_outlive_its_block_but_not_the_one_around(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    with session.scratch(spark):
+        with session.scratch(spark):
+            session.materialize(spark.range(4), "step")
+            result = session.materialize(spark.range(3), "result", outlives=True)
+        assert result.count() == 3 and len(os.listdir(tmp_path / "tallyspark")) == 1
+    assert not os.listdir(tmp_path / "tallyspark")
+    with session.scratch(spark):
+        result = session.materialize(spark.range(3), "result", outlives=True)
+    assert result.count() == 3
+    assert session.materialize(spark.range(3), "no block", outlives=True).count() == 3
+
+
 def test_drill_down_lists_only_the_months_asked_for(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rows = spark.range(300).select(
