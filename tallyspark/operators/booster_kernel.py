@@ -1,6 +1,7 @@
 """NumPy gradient boosting for squared loss (Friedman 2001), for one short series.
 
-Runs inside Spark tasks, several accounts at a time. A feature's values are dealt to at most
+`predict_each` carries stored models forward inside Spark tasks. Tasks fit with SeriesFitter.java, which adds up in the same
+order and gives the same trees; tests hold the two against each other. A feature's values are dealt to at most
 MOST_BINS bins of about equal size, and cuts lie between neighbouring bins; with
 fewer distinct values every midpoint is a candidate and splits are exact.
 """

@@ -1,20 +1,21 @@
 """Cash-flow forecasting: daily series, lag features, models and backtests."""
 
+import os
 from functools import reduce
 from operator import add
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark import schemas
 from tallyspark.functions.columns import signed
-from tallyspark.operators import booster_kernel as kernel
 from tallyspark.operators import series_kernel as series
-from tallyspark.session import wide
+from tallyspark.operators.booster_kernel import MOST_BINS
+from tallyspark.session import jvm_object, wide
 
 LAG_COLUMNS = [f"lag_{k}" for k in range(1, schemas.LAGS + 1)]
+FITTER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "SeriesFitter.java")
 FEATURES = LAG_COLUMNS + ["dow", "day_of_month", "rolling_mean_7"]
 
 
@@ -131,22 +132,39 @@ def _with_balance(flows: DataFrame, balances: DataFrame) -> DataFrame:
     )
 
 
+# A fitter's columns; its days are numbers.
 MODEL = (
-    "account_id long, last date, n_rows int, history array<double>, start double, rate double, "
+    "account_id long, last int, n_rows int, history array<double>, start double, rate double, "
     "feature array<array<int>>, threshold array<array<double>>, value array<array<double>>"
 )
+ERRORS = "n_test int, mae_model double"
 
 
 def _inputs(split: DataFrame) -> DataFrame:
     """Every account's days in order, in one task; `_day` counts from 1.
 
-    The window asks for a shuffle only if the rows are not dealt by account already, as `densify` leaves them.
+    The window asks for a shuffle only if the rows are not dealt by account already, as `densify` leaves them. Doubles go
+    through it, which are cheaper to copy than wide decimals.
     """
-    by_day = Window.partitionBy("account_id").orderBy("txn_date")
-    return split.select(
-        "account_id", "txn_date", "is_train", F.col("net_flow").cast("double").alias("net_flow"),
-        *[F.col(c).cast("double").alias(c) for c in FEATURES], F.row_number().over(by_day).alias("_day"),
-    ).sortWithinPartitions("account_id", "txn_date")
+    by_day = Window.partitionBy("account_id").orderBy("_date")
+    plain = split.select(
+        "account_id", F.unix_date("txn_date").alias("_date"), "is_train", F.col("net_flow").cast("double").alias("net_flow"),
+        *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return plain.withColumn("_day", F.row_number().over(by_day)).sortWithinPartitions("account_id", "_date")
+
+
+def _fitted(split: DataFrame, columns: str, n_trees: int, depth: int, rate: float, models: bool, errors: bool) -> DataFrame:
+    """One row for each account's series, from the fitter in the tasks' JVM, which holds one series at a time."""
+    spark = split.sparkSession
+    fitter = jvm_object(spark, FITTER, "tallyspark.operators.SeriesFitter", len(FEATURES), n_trees, depth, float(rate),
+                        schemas.LAGS, MOST_BINS, models, errors)
+    types = spark.sparkContext._jvm.org.apache.spark.sql
+    encoder = types.Encoders.row(types.types.StructType.fromDDL(columns))
+    return DataFrame(_inputs(split)._jdf.mapPartitions(fitter, encoder), spark)
+
+
+def _with_last_day(fitted: DataFrame) -> DataFrame:
+    return fitted.withColumn("last", F.date_from_unix_date("last"))
 
 
 def backtest(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
@@ -156,17 +174,7 @@ def backtest(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int
     A series is one row per calendar day, so its size is bounded by the span
     of dates, however many transactions the account has.
     """
-    features = FEATURES
-
-    def run(batches):
-        for chunk in series.chunks(batches, features):
-            tested = kernel.fit_all([kernel.Bins(s.x[s.is_train]) for s in chunk], [s.y[s.is_train] for s in chunk],
-                                    n_trees, depth, rate)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s.account for s in chunk], pa.int64()), *series.errors(chunk, tested)],
-                names=["account_id", "n_test", "mae_model"])
-
-    return _inputs(split).mapInArrow(run, "account_id long, n_test int, mae_model double")
+    return _fitted(split, f"account_id long, {ERRORS}", n_trees, depth, rate, models=False, errors=True)
 
 
 def fit_models(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
@@ -176,14 +184,7 @@ def fit_models(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: in
     The row also holds the last day and the days before it that the first
     forecasts need as lags.
     """
-    features, lags = FEATURES, schemas.LAGS
-
-    def run(batches):
-        for chunk in series.chunks(batches, features):
-            models = kernel.fit_all([kernel.Bins(s.x) for s in chunk], [s.y for s in chunk], n_trees, depth, rate)
-            yield pa.RecordBatch.from_arrays(series.model_rows(chunk, models, lags), names=series.MODEL_COLUMNS)
-
-    return _inputs(split).mapInArrow(run, MODEL)
+    return _with_last_day(_fitted(split, MODEL, n_trees, depth, rate, models=True, errors=False))
 
 
 def train(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = schemas.BOOSTER_DEPTH,
@@ -192,18 +193,7 @@ def train(split: DataFrame, n_trees: int = schemas.BOOSTER_TREES, depth: int = s
 
     Bins say nothing of the flows to predict, so the test days' part in them tells the backtest nothing.
     """
-    features, lags = FEATURES, schemas.LAGS
-
-    def run(batches):
-        for chunk in series.chunks(batches, features):
-            bins = [kernel.Bins(s.x) for s in chunk]
-            tested = kernel.fit_all([b.rows(s.is_train) for b, s in zip(bins, chunk)], [s.y[s.is_train] for s in chunk],
-                                    n_trees, depth, rate)
-            models = kernel.fit_all(bins, [s.y for s in chunk], n_trees, depth, rate)
-            yield pa.RecordBatch.from_arrays([*series.model_rows(chunk, models, lags), *series.errors(chunk, tested)],
-                                             names=[*series.MODEL_COLUMNS, "n_test", "mae_model"])
-
-    return _inputs(split).mapInArrow(run, MODEL + ", n_test int, mae_model double")
+    return _with_last_day(_fitted(split, f"{MODEL}, {ERRORS}", n_trees, depth, rate, models=True, errors=True))
 
 
 def forecast_steps(models: DataFrame, horizon: int = schemas.HORIZON) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Accounts' daily series and their boosters in Arrow batches.
+"""Stored boosters carried forward in Arrow batches.
 
 Runs inside Spark tasks, several accounts at a time.
 """
@@ -16,79 +16,15 @@ from tallyspark.operators import booster_kernel as kernel
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODEL_COLUMNS = ["account_id", "last", "n_rows", "history", "start", "rate", "feature", "threshold", "value"]
-#: Series fitted side by side, and days in them at most (each as long as the longest), which bounds a task's memory.
-SERIES_AT_ONCE, DAYS_AT_ONCE = 32, 1 << 17
 #: Models carried forward at once; a batch of stored models may hold thousands, each some 24 KB.
 MODELS_AT_ONCE = 64
 
 
-class Series:
-    """One account's days as arrays."""
-
-    def __init__(self, parts: list[pa.RecordBatch], features: list[str]):
-        rows = pa.Table.from_batches(parts)
-        self.account, self.last = rows["account_id"][0].as_py(), rows["txn_date"][-1].as_py()
-        self.x = np.column_stack([rows[c].to_numpy() for c in features])
-        self.y = rows["net_flow"].to_numpy()
-        self.is_train = rows["is_train"].to_numpy().astype(bool)
-
-
-def chunks(batches, features):
-    """Lists of whole series, from batches of days in order, `_day` counted from 1."""
-    def series():
-        held = []
-        for batch in batches:
-            begins = np.flatnonzero(batch.column("_day").to_numpy() == 1).tolist()
-            for a, b in zip([0, *begins], [*begins, batch.num_rows]):
-                if held and a in begins:
-                    yield Series(held, features)
-                    held = []
-                if b > a:
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield Series(held, features)
-
-    chunk, longest = [], 0
-    for one in series():
-        longest = max(longest, len(one.y))
-        if chunk and (len(chunk) == SERIES_AT_ONCE or longest * (len(chunk) + 1) > DAYS_AT_ONCE):
-            yield chunk
-            chunk, longest = [], len(one.y)
-        chunk.append(one)
-    if chunk:
-        yield chunk
-
-
 def _doubles(values) -> pa.Array:
     """What is not a number becomes NULL."""
     return pa.array(np.asarray(values, dtype=float), from_pandas=True)
 
 
-def errors(chunk: list[Series], tested: list) -> list[pa.Array]:
-    """Number of test days and mean absolute error on them."""
-    found = [float(np.abs(s.y[~s.is_train] - m.predict(s.x[~s.is_train])).mean()) for s, m in zip(chunk, tested)]
-    return [pa.array([int((~s.is_train).sum()) for s in chunk], pa.int32()), _doubles(found)]
-
-
-def model_rows(chunk: list[Series], models: list, lags: int) -> list[pa.Array]:
-    """The columns of MODEL_COLUMNS."""
-    def nested(arrays):
-        flat = np.concatenate([a.ravel() for a in arrays])
-        flat = pa.array(flat) if flat.dtype == np.int32 else _doubles(flat)
-        trees, nodes = arrays[0].shape
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(arrays) * trees + 1) * nodes, pa.int32()), flat)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(arrays) + 1) * trees, pa.int32()), inner)
-
-    history = [s.y[-lags:] for s in chunk]
-    return [
-        pa.array([s.account for s in chunk], pa.int64()), pa.array([s.last for s in chunk], pa.date32()),
-        pa.array([len(s.y) for s in chunk], pa.int32()),
-        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, history)]), pa.int32()), _doubles(np.concatenate(history))),
-        _doubles([m.start for m in models]), _doubles([m.rate for m in models]),
-        nested([m.feature.astype(np.int32) for m in models]),
-        nested([m.threshold for m in models]), nested([m.value for m in models])]
-
-
 def carried(batch: pa.RecordBatch, horizon: int, lags: int):
     """The forecasts of a batch of models, some models at a time."""
     for at in range(0, batch.num_rows, MODELS_AT_ONCE):

@@ -242,3 +242,48 @@ def test_a_batch_of_models_is_carried_forward_in_parts(spark, monkeypatch):
     assert [p.num_rows for p in parts] == [8, 4, 12]
     whole = pa.Table.from_batches(parts)["predicted_net_flow"].to_pylist()
     assert whole[8:16] == whole[16:] and whole[:8] != whole[8:16]
+
+
+def fitted_in_numpy(days, all_bins):
+    """(model, mean error on the test days) of one account's rows, by the kernel in NumPy."""
+    x = np.array([[np.nan if r[c] is None else float(r[c]) for c in forecast.FEATURES] for r in days])
+    y = np.array([np.nan if r.net_flow is None else float(r.net_flow) for r in days])
+    train = np.array([r.is_train for r in days])
+    bins = booster_kernel.Bins(x)
+    binned = bins.rows(train) if all_bins else booster_kernel.Bins(x[train])
+    tested = booster_kernel.fit_binned(binned, y[train], 20, 3, 0.2)
+    return booster_kernel.fit_binned(bins, y, 20, 3, 0.2), np.abs(y[~train] - tested.predict(x[~train])).mean()
+
+
+def test_tasks_fit_the_models_of_the_numpy_kernel(spark):
+    """To the last bit, in the tasks' JVM: many bins, many ties, constant and missing flows."""
+    rng = np.random.default_rng(8)
+    sparse = np.where(rng.random(900) < 0.8, 0, rng.normal(0, 90, 900))
+    rows = None
+    for account, flows in enumerate((rng.normal(0, 400, 700), sparse, rng.integers(-2, 3, 400), np.full(90, 7.0))):
+        one = series(spark, flows, account)
+        rows = one if rows is None else rows.unionByName(one)
+    lost = spark.createDataFrame([(9, dt.date(2026, 1, 1) + dt.timedelta(days=i), None if i % 50 == 49 else Decimal(i % 11))
+                                  for i in range(160)], rows.schema)
+    split = forecast.with_split(forecast.feature_rows(rows.unionByName(lost)))
+    days = {}
+    for r in split.orderBy("txn_date").collect():
+        days.setdefault(r.account_id, []).append(r)
+    fits = [step(split, 20, 3, 0.2) for step in (forecast.train, forecast.fit_models, forecast.backtest)]
+    for fit in fits:
+        plan = fit._jdf.queryExecution().executedPlan().toString()
+        assert "MapPartitions" in plan and "InArrow" not in plan
+    both, models, errors = ({r.account_id: r for r in fit.collect()} for fit in fits)
+    assert set(both) == set(models) == set(errors) == set(days) == {0, 1, 2, 3, 9}
+    number = lambda values: np.array(values, dtype=float)
+    for account, own in days.items():
+        model, _ = fitted_in_numpy(own, False)
+        for row in (both[account], models[account]):
+            assert row.last == own[-1].txn_date and row.n_rows == len(own)
+            assert row.feature == model.feature.tolist()
+            for part in ("start", "threshold", "value"):
+                assert np.array_equal(number(getattr(row, part)), getattr(model, part), equal_nan=True)
+        for row, all_bins in ((both[account], True), (errors[account], False)):
+            expected = fitted_in_numpy(own, all_bins)[1]
+            assert row.n_test == sum(not r.is_train for r in own)
+            assert np.array_equal(number(row.mae_model), expected, equal_nan=True)
