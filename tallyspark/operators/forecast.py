@@ -41,9 +41,15 @@ def densify(daily: DataFrame) -> DataFrame:
 
 
 def with_lags(dense: DataFrame) -> DataFrame:
+    """The flows of the seven days before. They pass the window inside a struct, whose bytes are copied; a wide decimal would
+    be taken apart and put together each time."""
     by_day = Window.partitionBy("account_id").orderBy("txn_date")
-    return dense.select("*", *[
-        F.lag("net_flow", k).over(by_day).alias(f"lag_{k}") for k in range(1, schemas.LAGS + 1)
+    packed = dense.withColumn("_packed", F.struct("net_flow"))
+    lagged = packed.select("*", *[
+        F.lag("_packed", k).over(by_day).alias(f"_packed_{k}") for k in range(1, schemas.LAGS + 1)
+    ])
+    return lagged.select(*dense.columns, *[
+        F.col(f"_packed_{k}.net_flow").alias(f"lag_{k}") for k in range(1, schemas.LAGS + 1)
     ])
 
 
@@ -70,13 +76,17 @@ def feature_rows(dense: DataFrame) -> DataFrame:
 def with_split(featured: DataFrame) -> DataFrame:
     """Drops accounts with too little history and marks each row as train or test.
 
-    The first 85 % of an account's days train, in order of time.
+    The first 85 % of an account's days train, in order of time. Count and position share one window, which the other columns
+    pass as one struct.
     """
-    by_account = Window.partitionBy("account_id")
-    counted = featured.withColumn("n_rows", F.count("*").over(by_account)).filter(
-        F.col("n_rows") >= schemas.MIN_FEATURE_ROWS)
-    position = F.row_number().over(by_account.orderBy("txn_date"))
-    return counted.withColumn("is_train", position <= F.call_function("div", F.col("n_rows") * 85, F.lit(100)))
+    by_day = Window.partitionBy("account_id").orderBy("txn_date")
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keys = ["account_id", "txn_date"]
+    packed = featured.select(*keys, F.struct(*[c for c in featured.columns if c not in keys]).alias("_row"))
+    counted = packed.select("*", F.count("*").over(whole).alias("n_rows"), F.row_number().over(by_day).alias("_position"))
+    is_train = F.col("_position") <= F.call_function("div", F.col("n_rows") * 85, F.lit(100))
+    return counted.filter(F.col("n_rows") >= schemas.MIN_FEATURE_ROWS).select(
+        *[c if c in keys else f"_row.{c}" for c in featured.columns], "n_rows", is_train.alias("is_train"))
 
 
 def skipped_accounts(accounts: DataFrame, featured: DataFrame) -> DataFrame:
@@ -143,14 +153,14 @@ ERRORS = "n_test int, mae_model double"
 def _inputs(split: DataFrame) -> DataFrame:
     """Every account's days in order, in one task; `_day` counts from 1.
 
-    The window asks for a shuffle only if the rows are not dealt by account already, as `densify` leaves them. Doubles go
-    through it, which are cheaper to copy than wide decimals.
+    The window asks for a shuffle or a sort only if the rows are not dealt by account and in order already, as `densify` and
+    `with_split` leave them. Doubles go through it, which are cheaper to copy than wide decimals. Days are given as numbers.
     """
-    by_day = Window.partitionBy("account_id").orderBy("_date")
-    plain = split.select(
-        "account_id", F.unix_date("txn_date").alias("_date"), "is_train", F.col("net_flow").cast("double").alias("net_flow"),
-        *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    return plain.withColumn("_day", F.row_number().over(by_day)).sortWithinPartitions("account_id", "_date")
+    by_day = Window.partitionBy("account_id").orderBy("txn_date")
+    plain = split.select("account_id", "txn_date", "is_train", F.col("net_flow").cast("double").alias("net_flow"),
+                         *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    ordered = plain.withColumn("_day", F.row_number().over(by_day)).sortWithinPartitions("account_id", "txn_date")
+    return ordered.withColumn("txn_date", F.unix_date("txn_date"))
 
 
 def _fitted(split: DataFrame, columns: str, n_trees: int, depth: int, rate: float, models: bool, errors: bool) -> DataFrame:

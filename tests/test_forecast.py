@@ -287,3 +287,27 @@ def test_tasks_fit_the_models_of_the_numpy_kernel(spark):
             expected = fitted_in_numpy(own, all_bins)[1]
             assert row.n_test == sum(not r.is_train for r in own)
             assert np.array_equal(number(row.mae_model), expected, equal_nan=True)
+
+
+def test_days_are_dealt_and_sorted_once_for_all_windows(spark):
+    """One exchange; sorts of the sparse and of the dense rows; windows for gaps, lags, split and numbers."""
+    rows = series(spark, noise(3, 40, 60)).unionByName(series(spark, noise(4, 40, 20), account=2))
+    split = forecast.with_split(forecast.feature_rows(forecast.densify(rows)))
+    plan = forecast._inputs(split)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange "), plan.count("Sort ["), plan.count("Window [")) == (1, 2, 4)
+    assert split.columns == ["account_id", "txn_date", "net_flow", "dow", "day_of_month", *forecast.LAG_COLUMNS,
+                             "rolling_mean_7", "n_rows", "is_train"]
+    assert {split.schema[c].dataType for c in forecast.LAG_COLUMNS} == {rows.schema["net_flow"].dataType}
+    assert {(r.account_id, r.n_rows) for r in split.collect()} == {(1, 53)}
+
+
+def test_a_missing_flow_is_a_missing_lag(spark):
+    """A lag without a value is no lag beyond the first day: only rows whose seventh lag is missing are dropped."""
+    flows = [None if i == 10 else Decimal(i) for i in range(30)]
+    rows = spark.createDataFrame([(1, dt.date(2026, 1, 1) + dt.timedelta(days=i), v) for i, v in enumerate(flows)],
+                                 "account_id long, txn_date date, net_flow decimal(12,2)")
+    featured = {r.txn_date.day - 1: r for r in forecast.feature_rows(rows).collect()}
+    assert set(featured) == set(range(7, 30)) - {17}
+    for i, r in featured.items():
+        assert [r[c] for c in forecast.LAG_COLUMNS] == [flows[i - k] for k in range(1, 8)]
+        assert (r.rolling_mean_7 is None) == (10 in range(i - 7, i))
